@@ -60,8 +60,9 @@ def literal_match_all(match: dict, labels) -> Column:
 # ---------------------------------------------------------------- canonical text
 
 def sorted_entries(labels) -> Column:
-    """Entries sorted by key (byte order, as Go's sort.Strings)."""
-    return F.array_sort(F.map_entries(_col(labels)))
+    """Entries sorted by key (byte order, as Go's sort.Strings). Also the
+    join key of a label set: equal maps give equal arrays."""
+    return F.sort_array(F.map_entries(_col(labels)))
 
 
 def label_hex(labels) -> Column:
@@ -70,8 +71,13 @@ def label_hex(labels) -> Column:
     Hex of ``name 0xFF value 0xFF`` per sorted label; 0xFF never occurs in
     UTF-8, so the text is an injective key of the label set.
     """
+    return label_hex_of_entries(sorted_entries(labels))
+
+
+def label_hex_of_entries(entries) -> Column:
+    """:func:`label_hex` for already sorted ``array<struct<key,value>>``."""
     return F.array_join(
-        F.transform(sorted_entries(labels),
+        F.transform(_col(entries),
                     lambda e: F.concat(F.hex(F.encode(e["key"], "UTF-8")), F.lit(LABEL_SEPARATOR_HEX),
                                        F.hex(F.encode(e["value"], "UTF-8")), F.lit(LABEL_SEPARATOR_HEX))),
         "")
@@ -124,13 +130,13 @@ def with_fingerprint(df: DataFrame, labels: str = "labels", out: str = "fingerpr
     count is under ``broadcast_max_rows``; otherwise both sides shuffle on
     the key.
     """
-    keyed = df.withColumn("_lhex", label_hex(labels))
-    dim = (keyed.select("_lhex").distinct()
-           .withColumn(out, fingerprint_from_hex("_lhex")))
+    keyed = df.withColumn("_lkey", sorted_entries(labels))
+    dim = (keyed.select("_lkey").distinct()
+           .select("_lkey", fingerprint_from_hex(label_hex_of_entries("_lkey")).alias(out)))
     dim = materialize(dim)
     n = dim.count()
     side = F.broadcast(dim) if n <= broadcast_max_rows else dim
-    return keyed.join(side, "_lhex", "inner").drop("_lhex")
+    return keyed.join(side, "_lkey", "inner").drop("_lkey")
 
 
 # ---------------------------------------------------------------- formatting

@@ -32,7 +32,8 @@ from alertflow.functions.status import (FIRING_SENT, RESOLVED_SENT, desired_stat
 
 KEY = ["rule_name", "fingerprint"]
 DEFAULT_CHUNK_SECONDS = 900
-_SEED_CHUNK = -(1 << 62)
+_SEED_CHUNK = -(1 << 31)
+_SEED_POS = -(1 << 62)
 
 
 def _maxes(desired: Column, ok: Column, ordk: Column) -> list[Column]:
@@ -78,17 +79,23 @@ def delivery_plan(decisions: DataFrame, ok: Column | str = "call_ok", seed: Data
         # NULL fields sort first inside the struct, so the seed precedes all rows
         rows = rows.unionByName(s, allowMissingColumns=True)
 
-    m = _maxes(F.col("desired"), F.col("_ok"), F.col("_ord"))
-    w_local = (Window.partitionBy(*KEY, "_chunk").orderBy("_ord")
-               .rowsBetween(Window.unboundedPreceding, -1))
+    # position of each row in its key's order, as one long: chunk * 2**31 +
+    # row number inside the chunk (both windows share one sort)
+    w_pos = Window.partitionBy(*KEY, "_chunk").orderBy("_ord")
+    rows = rows.withColumn(
+        "_pos", F.when(F.col("_seed"), F.lit(_SEED_POS))
+        .otherwise(F.col("_chunk") * F.lit(1 << 31) + F.row_number().over(w_pos)))
+    m = _maxes(F.col("desired"), F.col("_ok"), F.col("_pos"))
+    w_local = w_pos.rowsBetween(Window.unboundedPreceding, -1)
     local = rows.select("*", *[F.max(x).over(w_local).alias(f"_l_{n}") for x, n in zip(m, _NAMES)])
 
-    # one summary row per (key, chunk), then maxima carried from earlier chunks
-    totals = rows.groupBy(*KEY, "_chunk").agg(*[F.max(x).alias(f"_t_{n}") for x, n in zip(m, _NAMES)])
+    # one summary row per (key, chunk) from the already partitioned rows,
+    # then the maxima carried over from all earlier chunks of the key
+    totals = local.groupBy(*KEY, "_chunk").agg(*[F.max(x).alias(f"_t_{n}") for x, n in zip(m, _NAMES)])
     w_chunks = Window.partitionBy(*KEY).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*KEY, "_chunk",
                           *[F.max(f"_t_{n}").over(w_chunks).alias(f"_c_{n}") for n in _NAMES])
-    both = local.join(carry, [*KEY, "_chunk"], "inner").where(~F.col("_seed"))
+    both = local.where(~F.col("_seed")).join(carry, [*KEY, "_chunk"], "inner")
 
     g = {n: F.greatest(F.col(f"_l_{n}"), F.col(f"_c_{n}")) for n in _NAMES}
     fir = F.col("desired") == FIRING_SENT
