@@ -50,9 +50,10 @@ def routed_decisions(alerts: DataFrame, ruleset: RuleSet, mutes: DataFrame | Non
 
 def replay(alerts: DataFrame, ruleset: RuleSet, mutes: DataFrame | None = None,
            seed: DataFrame | None = None, ok: Column | str = "call_ok",
-           failing_receivers=(), chunk_seconds: int = delivery.DEFAULT_CHUNK_SECONDS) -> ReplayResult:
+           failing_receivers=(), chunk_seconds: int = delivery.DEFAULT_CHUNK_SECONDS,
+           fingerprinted: bool = False) -> ReplayResult:
     """What would this rule set have sent for this alert history?"""
-    dec = routed_decisions(alerts, ruleset, mutes)
+    dec = routed_decisions(alerts, ruleset, mutes, fingerprinted=fingerprinted)
     okc = failing_outcome(ok, failing_receivers) if isinstance(ok, str) else ok
     plan = delivery.delivery_plan(dec, ok=okc, seed=seed, chunk_seconds=chunk_seconds)
     att = delivery.attempts(plan)

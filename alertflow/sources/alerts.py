@@ -33,51 +33,49 @@ def _normalise(df: DataFrame) -> DataFrame:
 
 
 def parse_batches(files: DataFrame, observed_at=None) -> tuple[DataFrame, DataFrame]:
-    """S1 core over a DataFrame ``(path, value)`` of raw bodies.
+    """S1 core over a DataFrame ``(path, mtime, value)`` of raw bodies.
 
-    Returns ``(alerts, rejects)``. ``seq`` orders pushes: file ordinal by
-    path (input order of the batch files) then array position.
+    Returns ``(alerts, rejects)``. ``observed_at`` is the body's arrival
+    time (file modification time) unless a time is given; ``seq`` orders
+    pushes of equal arrival time by file and array position.
     """
-    parsed = files.select(
-        "path", "value",
-        F.from_json("value", _BATCH, _JSON_OPTS).alias("batch"),
-        F.get_json_object("value", "$").isNotNull().alias("_json_ok"))
-    # a body is rejected when it is not JSON, or when an element's labels
-    # did not parse although the raw text had them
-    bad_elem = F.exists(F.coalesce(F.col("batch"), F.array()),
-                        lambda a: a.isNull())
-    ok = F.col("batch").isNotNull() & ~bad_elem
-    rejects = parsed.filter(~ok).select("path", F.lit("malformed alert batch").alias("error"))
-    good = parsed.filter(ok)
-    obs = F.col("_mtime") if observed_at is None else F.lit(observed_at).cast("timestamp")
-    exploded = good.select(
-        "path", F.col("_mtime") if "_mtime" in files.columns else F.lit(None).cast("timestamp").alias("_mtime"),
-        F.posexplode("batch").alias("pos", "a"))
+    # elements are kept as raw JSON text first, so that an element whose
+    # labels do not parse as a string map is seen (the reference rejects the
+    # whole body then; a lenient parse would silently drop the labels)
+    raw = F.from_json("value", "array<string>")
+    elems = F.transform(raw, lambda e: F.struct(e.alias("raw"), F.from_json(e, schemas.POSTABLE_ALERT, _JSON_OPTS)
+                                                .alias("a")))
+    parsed = files.select("path", "mtime", elems.alias("_e"))
+    bad_elem = F.exists(F.coalesce(F.col("_e"), F.array()), lambda x: x["a"].isNull() | (
+        x["a"]["labels"].isNull() & F.get_json_object(x["raw"], "$.labels").isNotNull()))
+    parsed = parsed.select("path", "mtime", (F.col("_e").isNotNull() & ~bad_elem).alias("_ok"),
+                           F.transform("_e", lambda x: x["a"]).alias("batch"))
+    rejects = parsed.where(~F.col("_ok")).select("path", F.lit("malformed alert batch").alias("error"))
+    exploded = parsed.where("_ok").select("path", "mtime", F.posexplode("batch").alias("pos", "a"))
     out = _normalise(exploded)
+    obs = F.col("mtime") if observed_at is None else F.lit(observed_at).cast("timestamp")
     return (out.select(
         F.xxhash64("path", "pos").alias("alert_id"),
         obs.alias("observed_at"),
-        "path", "pos", "labels", "annotations", "starts_at", "ends_at", "generator_url"),
+        _seq(F.col("path"), F.col("pos")).alias("seq"),
+        "labels", "annotations", "starts_at", "ends_at", "generator_url"),
         rejects)
 
 
-def read_alert_batches(spark: SparkSession, path: str, observed_at=None) -> tuple[DataFrame, DataFrame]:
-    """A directory (or glob) of JSON-array bodies."""
-    files = (spark.read.format("binaryFile").load(path)
-             .select("path", F.col("modificationTime").alias("_mtime"),
-                     F.col("content").cast("string").alias("value")))
-    alerts, rejects = parse_batches(files, observed_at)
-    return with_seq(alerts), rejects
+def _seq(path, pos):
+    # file ordinal from the path (bodies are at most 10 MiB, so fewer than
+    # 2**20 alerts each), then the position inside the array
+    return (F.abs(F.xxhash64(path)) % F.lit(1 << 42)) * F.lit(1 << 20) + pos
+
 
+def _bodies(reader_df: DataFrame) -> DataFrame:
+    return reader_df.select(F.col("_metadata.file_path").alias("path"),
+                            F.col("_metadata.file_modification_time").alias("mtime"), "value")
 
-def with_seq(alerts: DataFrame) -> DataFrame:
-    """Processing order inside a load: ``observed_at``, then file path and
-    array position. ``seq`` is a dense 64-bit key built from both without a
-    global sort: the file's modification order is carried by ``observed_at``;
-    positions are below 2**20 per body (10 MiB limit)."""
-    return alerts.withColumn(
-        "seq", (F.abs(F.xxhash64("path")) % F.lit(1 << 42)) * F.lit(1 << 20) + F.col("pos")
-    ).drop("path", "pos")
+
+def read_alert_batches(spark: SparkSession, path: str, observed_at=None) -> tuple[DataFrame, DataFrame]:
+    """A directory (or glob) of JSON-array bodies, one body per file."""
+    return parse_batches(_bodies(spark.read.option("wholetext", "true").text(path)), observed_at)
 
 
 def read_alert_file(spark: SparkSession, path: str) -> DataFrame:
@@ -88,17 +86,17 @@ def read_alert_file(spark: SparkSession, path: str) -> DataFrame:
         F.xxhash64("path").alias("alert_id"), "labels", "annotations", "starts_at", "ends_at", "generator_url")
 
 
-def read_alert_stream(spark: SparkSession, path: str) -> DataFrame:
+def read_alert_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None):
     """S3: continuous ingestion from a directory of JSON-array bodies.
 
     Every new file is one posted batch; the same parse as S1 runs on each
-    micro-batch (Kafka ``value`` columns fit the same ``parse_batches``).
+    micro-batch. Returns ``(alerts, rejects)`` streams. (A Kafka ``value``
+    column fits :func:`parse_batches` the same way.)
     """
-    raw = spark.readStream.format("text").option("wholetext", "true").load(path)
-    files = raw.select(F.input_file_name().alias("path"), "value",
-                       F.current_timestamp().alias("_mtime"))
-    alerts, _ = parse_batches(files)
-    return with_seq(alerts)
+    r = spark.readStream.option("wholetext", "true")
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    return parse_batches(_bodies(r.text(path)))
 
 
 def read_mutes(spark: SparkSession, path: str) -> DataFrame:

@@ -1,0 +1,83 @@
+import datetime as dt
+import random
+
+from alertflow import schemas
+from alertflow.operators import observed as O
+from tests import models
+
+MAP = "map<string,string>"
+T0 = dt.datetime(2024, 1, 1)
+PUSH = f"fingerprint string, labels {MAP}, starts_at timestamp, ends_at timestamp, observed_at timestamp, seq long"
+
+
+def test_fold_matches_upsert_model(spark):
+    rng = random.Random(2)
+    pushes = []
+    for i in range(800):
+        fp = f"f{rng.randint(0, 20)}"
+        t = T0 + dt.timedelta(minutes=rng.randint(0, 500))
+        ends = rng.choice([None, t, t + dt.timedelta(minutes=5)])
+        pushes.append((fp, {"v": str(rng.randint(0, 2))}, t - dt.timedelta(minutes=rng.randint(0, 9)), ends, t, i))
+    df = spark.createDataFrame(pushes, PUSH)
+    got = {r.fingerprint: r for r in O.alert_state(df).collect()}
+    want = models.upsert([((p[4], p[5]), p[0], p[1], p[2], p[3], p[4]) for p in pushes])
+    assert set(got) == set(want)
+    for fp, w in want.items():
+        g = got[fp]
+        assert (g.labels, g.starts_at, g.ends_at, g.first_seen_at, g.last_seen_at) == \
+               (w["labels"], w["starts_at"], w["ends_at"], w["first_seen_at"], w["last_seen_at"])
+
+
+def test_refire_resets_ends_at_and_seed(spark):
+    p1 = [("f", {"a": "1"}, T0, T0, T0, 1)]
+    p2 = [("f", {"a": "1"}, T0 + dt.timedelta(hours=1), None, T0 + dt.timedelta(hours=2), 2)]
+    s1 = O.alert_state(spark.createDataFrame(p1, PUSH))
+    s2 = O.alert_state(spark.createDataFrame(p2, PUSH), seed=s1).first()
+    assert s2.ends_at is None and s2.starts_at == T0 and s2.first_seen_at == T0
+    assert s2.last_seen_at == T0 + dt.timedelta(hours=2)
+
+
+def _state(spark, rows):
+    return spark.createDataFrame(rows, schemas.ALERT_STATE)
+
+
+def test_lists_limits_and_mutes(spark):
+    now = T0 + dt.timedelta(days=1)
+    rows = []
+    for i in range(150):
+        ends = None if i % 3 else now - dt.timedelta(seconds=i % 2)  # every third expired at/before now
+        rows.append((f"f{i:03d}", {"i": str(i), "team": "a" if i % 2 else "b"}, T0, ends, T0,
+                     T0 + dt.timedelta(minutes=i)))
+    st = _state(spark, rows)
+    firing = O.list_alerts(st, now, "firing").collect()
+    assert len(firing) == 100 and all(r.status == "firing" for r in firing)
+    assert firing[0].last_seen_at == T0 + dt.timedelta(minutes=149)
+    assert len(O.list_alerts(st, now, "firing", limit=5).collect()) == 5
+    expired = O.list_alerts(st, now, "expired").collect()
+    assert len(expired) == 50 and all(r.status == "expired" for r in expired)
+    mutes = spark.createDataFrame([("m", {"team": "a"}, T0, now + dt.timedelta(days=1), "c", "u")], schemas.MUTES)
+    unm = O.list_alerts(st, now, "firing", exclude_muted=True, mutes=mutes, limit=1000).collect()
+    assert unm and all(r.labels["team"] == "b" for r in unm)
+    m = O.matching_alerts(st, {"team": "a"}, now, "all", limit=1000).collect()
+    assert len(m) == 75
+
+
+def test_get_alerts_and_overview(spark):
+    now = T0 + dt.timedelta(days=1)
+    st = _state(spark, [("f1", {"x": "1"}, T0, None, T0, T0 + dt.timedelta(minutes=1)),
+                        ("f2", {"x": "1", "y": "2"}, T0, None, T0, T0 + dt.timedelta(minutes=2)),
+                        ("f3", {"x": "2"}, T0, None, T0, T0)])
+    found, missing = O.get_alerts(st, spark.createDataFrame([("f1",), ("zz",)], "fingerprint string"), now)
+    assert [r.fingerprint for r in found.collect()] == ["f1"]
+    assert [r.error for r in missing.collect()] == ['alert "zz" not found']
+    mutes = spark.createDataFrame([("m1", {"x": "1"}, T0, now + dt.timedelta(hours=1), "c", "u"),
+                                   ("m2", {"x": "9"}, now + dt.timedelta(hours=1), now + dt.timedelta(hours=2), "c", "u"),
+                                   ("m3", {"x": "1"}, T0, T0, "c", "u")], schemas.MUTES)
+    ov = O.mute_overview(mutes, st, now, "all", per_mute=1).collect()
+    got = sorted((r.id, r.status, r.fingerprint) for r in ov)
+    assert got == [("m1", "active", "f2"), ("m2", "pending", None), ("m3", "expired", None)]
+
+
+def test_retention(spark):
+    st = _state(spark, [("a", {}, T0, None, T0, T0), ("b", {}, T0, None, T0, T0 + dt.timedelta(days=2))])
+    assert [r.fingerprint for r in O.retain(st, T0 + dt.timedelta(days=1)).collect()] == ["b"]
