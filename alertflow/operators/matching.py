@@ -48,7 +48,7 @@ def condition_pairs(probe: DataFrame, conds: DataFrame, labels: str = "labels",
     if mode not in ("loose", "strict"):
         raise ValueError(mode)
     m = F.coalesce(F.col(matchers), _empty_map())
-    c = conds.withColumn("_ckeys", F.array_sort(F.map_keys(m)))
+    c = conds.withColumn("_ckeys", F.sort_array(F.map_keys(m)))
     strategy = force
     keysets = None
     if strategy in (None, "keyset"):
