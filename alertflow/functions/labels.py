@@ -121,21 +121,32 @@ def fingerprint(labels) -> Column:
 FINGERPRINT_BROADCAST_MAX_ROWS = 2_000_000
 
 
+def fingerprint_table(df: DataFrame, labels: str = "labels", out: str = "fingerprint") -> DataFrame:
+    """The distinct label sets of ``df`` with their F3 fingerprint:
+    ``(_lkey, fingerprint)``, where ``_lkey`` is the sorted entry array.
+
+    Distinct is aggregated map-side (partial aggregation) and the hash runs
+    once per label set. The table is checkpointed (lineage cut, survives
+    executor loss), so its size is known before anyone broadcasts it.
+    """
+    dim = (df.select(sorted_entries(labels).alias("_lkey")).distinct()
+           .select("_lkey", fingerprint_from_hex(label_hex_of_entries("_lkey")).alias(out)))
+    return materialize(dim)
+
+
 def with_fingerprint(df: DataFrame, labels: str = "labels", out: str = "fingerprint",
-                     broadcast_max_rows: int = FINGERPRINT_BROADCAST_MAX_ROWS) -> DataFrame:
+                     broadcast_max_rows: int = FINGERPRINT_BROADCAST_MAX_ROWS,
+                     table: DataFrame | None = None) -> DataFrame:
     """Add the F3 fingerprint, hashing each distinct label set once.
 
-    The distinct label sets are aggregated map-side (partial aggregation),
-    hashed, checkpointed and counted. The table is broadcast only when the
-    count is under ``broadcast_max_rows``; otherwise both sides shuffle on
-    the key.
+    The table of :func:`fingerprint_table` is broadcast only when its counted
+    size is under ``broadcast_max_rows``; otherwise both sides shuffle on the
+    key.
     """
-    keyed = df.withColumn("_lkey", sorted_entries(labels))
-    dim = (keyed.select("_lkey").distinct()
-           .select("_lkey", fingerprint_from_hex(label_hex_of_entries("_lkey")).alias(out)))
-    dim = materialize(dim)
+    dim = table if table is not None else fingerprint_table(df, labels, out)
     n = dim.count()
     side = F.broadcast(dim) if n <= broadcast_max_rows else dim
+    keyed = df.withColumn("_lkey", sorted_entries(labels))
     return keyed.join(side, "_lkey", "inner").drop("_lkey")
 
 

@@ -1,12 +1,14 @@
 """Mutes: lookup, attribution, listing, validation, create and expire
 (R3, R4, R5a, R9, R10, R16, K4, K5, P2).
 
-The lookup is an interval + label-condition join. Mute intervals are cut
-into fixed time buckets (a mute row per bucket it covers); an alert has one
-bucket. Together with the condition key of ``operators.matching`` this makes
-the join an equi join on ``(condition key, values, bucket)`` with the exact
-closed-interval check as residual, so no nested loop and no broadcast of a
-mute table whose size grows with the data.
+The lookup is an interval + label-condition join done in two equi joins:
+the label condition is matched once per distinct label set (the condition
+join of ``operators.matching``), and the time condition per alert: the
+matching (label set, mute) pairs are cut into fixed time buckets (one row
+per bucket the mute covers), the alert has one bucket, and the exact closed
+interval check is the residual. No nested loop, and no broadcast of a mute
+table whose size grows with the data (Spark broadcasts only what its size
+estimate allows).
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from alertflow.functions.labels import sorted_entries
 from alertflow.functions.status import as_time, is_blank, mute_active, mute_id, mute_status
 from alertflow.operators.matching import condition_pairs
 
@@ -30,18 +33,35 @@ def _bucket(ts: Column, seconds: int) -> Column:
 
 def mute_pairs(alerts: DataFrame, mutes: DataFrame, mode: str = "loose", time_col: str = "observed_at",
                bucket_seconds: int = DEFAULT_BUCKET_SECONDS, labels: str = "labels",
-               force: str | None = None) -> DataFrame:
+               force: str | None = None, label_sets: DataFrame | None = None,
+               set_key: str = "fingerprint") -> DataFrame:
     """One row per (alert, mute) where the mute is active at the alert's
-    own time and its matchers match (loose F1 by default)."""
+    own time and its matchers match (loose F1 by default).
+
+    Matching depends only on the label set, so it runs on the distinct label
+    sets (a map-side partial distinct of the alerts): label set x mute pairs
+    come from the condition join, are cut into time buckets, and the alerts
+    join them once on ``(label set, bucket)`` with the exact closed-interval
+    check as residual. The alert table is neither exploded nor broadcast.
+
+    ``label_sets`` is an existing table of the distinct label sets
+    (``fingerprint_table``: ``_lkey`` plus ``set_key``); with it the alerts
+    join on their ``set_key`` column and are not scanned a second time.
+    """
     m = _prefixed(mutes).where(F.col("m_ends_at") >= F.col("m_starts_at"))
-    m = m.withColumn("_bucket", F.explode(F.sequence(_bucket(F.col("m_starts_at"), bucket_seconds),
-                                                     _bucket(F.col("m_ends_at"), bucket_seconds))))
-    a = alerts.withColumn("_bucket", _bucket(F.col(time_col), bucket_seconds))
+    if label_sets is not None:
+        a = alerts.withColumn("_lk", F.col(set_key))
+        sets = label_sets.select(F.col(set_key).alias("_lk"), F.map_from_entries("_lkey").alias("_lset"))
+    else:
+        a = alerts.withColumn("_lk", sorted_entries(labels))
+        sets = a.select("_lk").distinct().withColumn("_lset", F.map_from_entries("_lk"))
+    lm = condition_pairs(sets, m, labels="_lset", matchers="m_matchers", mode=mode, force=force).drop("_lset")
+    lm = lm.withColumn("_bucket", F.explode(F.sequence(_bucket(F.col("m_starts_at"), bucket_seconds),
+                                                       _bucket(F.col("m_ends_at"), bucket_seconds))))
+    a = a.withColumn("_bucket", _bucket(F.col(time_col), bucket_seconds))
     t = F.col(time_col)
     residual = (F.col("m_starts_at") <= t) & (t <= F.col("m_ends_at"))
-    pairs = condition_pairs(a, m, labels=labels, matchers="m_matchers", mode=mode,
-                            extra_eq=("_bucket",), residual=residual, force=force)
-    return pairs.drop("_bucket")
+    return a.join(lm, ["_lk", "_bucket"], "inner").where(residual).drop("_lk", "_bucket")
 
 
 def active_mute_pairs(alerts: DataFrame, mutes: DataFrame, as_of, mode: str = "strict",
@@ -126,7 +146,7 @@ def create_mutes(requests: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
     v = requests.withColumn("_err", validation_error())
     ok = v.where(F.col("_err").isNull()).drop("_err")
     created = ok.select(
-        mute_id(F.to_json(F.map_from_entries(F.array_sort(F.map_entries("matchers")))),
+        mute_id(F.to_json(F.map_from_entries(F.sort_array(F.map_entries("matchers")))),
                 "starts_at", "ends_at", "comment", "created_by").alias("id"),
         "matchers", "starts_at", "ends_at",
         F.coalesce("comment", F.lit("")).alias("comment"),

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertflow.functions.labels import with_fingerprint
+from alertflow.functions.labels import fingerprint_table, with_fingerprint
 from alertflow.operators import delivery, routing
 from alertflow.operators.mutes import unmuted
 from alertflow.sources.config import RuleSet
@@ -40,10 +40,17 @@ def failing_outcome(ok_col: str, failing_receivers=()) -> Column:
 
 def routed_decisions(alerts: DataFrame, ruleset: RuleSet, mutes: DataFrame | None = None,
                      fingerprinted: bool = False) -> DataFrame:
-    """Unmuted alerts routed to known receivers, with fingerprints."""
-    a = alerts if fingerprinted else with_fingerprint(alerts)
+    """Unmuted alerts routed to known receivers, with fingerprints. The label
+    set table is built once and serves both the fingerprint and the mute
+    match (which then runs per label set, not per alert)."""
+    table = None
+    if fingerprinted:
+        a = alerts
+    else:
+        table = fingerprint_table(alerts)
+        a = with_fingerprint(alerts, table=table)
     if mutes is not None:
-        a = unmuted(a, mutes)
+        a = unmuted(a, mutes, label_sets=table)
     dec = routing.route(a, ruleset)
     return routing.known_receiver_decisions(dec, ruleset)
 
