@@ -180,7 +180,8 @@ def parse_matchers_text(text) -> Column:
     key wins.
     """
     t = _col(text)
-    tokens = F.filter(F.split(F.regexp_replace(t, r"^\s+|\s+$", ""), r"\s+"), lambda s: F.length(s) > 0)
+    # strings.Fields: split on Unicode white space
+    tokens = F.filter(F.split(F.regexp_replace(t, r"(?U)^\s+|\s+$", ""), r"(?U)\s+"), lambda s: F.length(s) > 0)
     pos = lambda s: F.instr(s, "=")
     bad = F.filter(tokens, lambda s: (pos(s) <= 1) | (pos(s) == F.length(s)))
     entries = F.transform(tokens, lambda s: F.struct(

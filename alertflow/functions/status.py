@@ -94,7 +94,7 @@ def parse_duration_ms(text) -> Column:
     units = F.regexp_extract_all(t, F.lit(r"(\d+)([smhd])"), 2)
     scale = lambda u: (F.when(u == "s", F.lit(1000)).when(u == "m", F.lit(60000))
                        .when(u == "h", F.lit(3600000)).otherwise(F.lit(86400000)))
-    parts = F.zip_with(nums, units, lambda n, u: n.cast("long") * scale(u))
+    parts = F.zip_with(nums, units, lambda n, u: n.try_cast("long") * scale(u))
     total = F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + x)
     return F.when(total > 0, total)
 

@@ -19,14 +19,14 @@ KNOWN_RECEIVER_TYPES = ("webhook",)
 
 
 def validate_receivers(receivers: DataFrame) -> DataFrame:
-    """Receiver violations: name required, duplicate, type required, URL
-    required, unknown type. One row per violation with ``ord``."""
-    w = Window.partitionBy("config_id", "name").orderBy("_pos")
-    r = receivers.withColumn("_pos", F.monotonically_increasing_id()) if "_pos" not in receivers.columns else receivers
-    r = r.withColumn("_dup", F.row_number().over(w) > 1)
+    """Receiver violations: name required, duplicate (the later one is
+    blamed), type required, URL required, unknown type; the first failing
+    check per receiver, with its position as ``ord``."""
+    w = Window.partitionBy("config_id", "name").orderBy("receiver_idx")
+    r = receivers.withColumn("_dup", F.row_number().over(w) > 1)
     name = F.coalesce(F.col("name"), F.lit(""))
     typ = F.coalesce(F.col("type"), F.lit(""))
-    msg = (F.when(name == "", F.lit("name is required"))
+    msg = (F.when(name == "", F.format_string("receiver #%d: name is required", F.col("receiver_idx") + 1))
            .when(F.col("_dup"), F.format_string('receiver "%s": duplicate name', name))
            .when(typ == "", F.format_string('receiver "%s": type is required', name))
            .when((typ == "webhook") & (F.coalesce(F.col("url"), F.lit("")) == ""),
@@ -34,8 +34,8 @@ def validate_receivers(receivers: DataFrame) -> DataFrame:
            .when(~typ.isin(*KNOWN_RECEIVER_TYPES),
                  F.format_string('receiver "%s": unknown receiver type "%s" (only "webhook" is configurable)',
                                  name, typ)))
-    return r.where(msg.isNotNull()).select("config_id", F.lit(0).alias("phase"), F.col("_pos").alias("ord"),
-                                           msg.alias("message"))
+    return r.where(msg.isNotNull()).select("config_id", F.lit(0).alias("phase"),
+                                           F.col("receiver_idx").cast("long").alias("ord"), msg.alias("message"))
 
 
 def validate_rules(rules: DataFrame, receivers: DataFrame) -> DataFrame:

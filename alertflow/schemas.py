@@ -42,6 +42,7 @@ RULES = T.StructType([
 ])
 
 RECEIVERS = T.StructType([
+    T.StructField("receiver_idx", T.IntegerType()),
     T.StructField("name", T.StringType()),
     T.StructField("type", T.StringType()),
     T.StructField("url", T.StringType()),

@@ -45,7 +45,7 @@ class RuleSet:
         return spark.createDataFrame(rows, schemas.RULES)
 
     def receivers_df(self, spark: SparkSession) -> DataFrame:
-        rows = [(r.name, r.type, r.url, self.config_id) for r in self.receivers]
+        rows = [(i, r.name, r.type, r.url, self.config_id) for i, r in enumerate(self.receivers)]
         return spark.createDataFrame(rows, schemas.RECEIVERS)
 
     @staticmethod

@@ -194,3 +194,10 @@ def test_payload_shape(spark):
     a1 = out[1]
     assert a1["status"] == "resolved" and a1["alerts"][0]["endsAt"] == "2026-05-27T03:00:00.5Z"
     assert a1["alerts"][0]["annotations"] == {"summary": "s"} and a1["alerts"][0]["generatorURL"] == "http://g"
+
+
+def test_parse_matchers_unicode_space_and_huge_duration(spark):
+    df = spark.createDataFrame([("a=1 b=2",)], "t string")
+    assert df.select(L.parse_matchers_text("t").alias("p")).first().p.matchers == {"a": "1", "b": "2"}
+    got = _one(spark, S.parse_duration_ms("t"), [("99999999999999999999999s",)], "t string")
+    assert got == [None]

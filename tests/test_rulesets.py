@@ -81,3 +81,8 @@ def test_config_from_dict():
                                                        "continue": True}]}
     rs = RuleSet.from_dict(cfg)
     assert rs.rules[0].match == {} and rs.rules[1].cont and rs.receivers[0].url == "u"
+
+
+def test_receiver_name_required_message(spark):
+    assert _first(spark, [Rule("a", {}, "x")], [Receiver("x", "webhook", "u"), Receiver("", "webhook", "u")]) == \
+        "receiver #2: name is required"
