@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertflow.functions.labels import labels_contain
 from alertflow.functions.status import as_time, observed_status
 from alertflow.operators.mutes import exclude_muted_at, filter_mutes, mute_view
 
@@ -132,6 +131,3 @@ def retain(state: DataFrame, cutoff) -> DataFrame:
     """Retention cut, written as a new snapshot by the caller."""
     return state.where(F.col("last_seen_at") >= as_time(cutoff))
 
-
-def strict_match(labels="labels", matchers="matchers"):
-    return labels_contain(labels, matchers)

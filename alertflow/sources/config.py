@@ -58,6 +58,27 @@ class RuleSet:
                  for r in cfg.get("rules", []) or []]
         return RuleSet(rules, recv, config_id)
 
+    @staticmethod
+    def from_yaml(text: str, config_id: str = "default") -> "RuleSet":
+        """S6 convenience on the driver: the YAML configuration layout.
+        Secrets in ``url_file`` are not read here; pass resolved URLs."""
+        try:
+            import yaml
+        except ImportError as e:  # pragma: no cover - optional dependency
+            raise RuntimeError("PyYAML is needed for from_yaml; use from_dict") from e
+        return RuleSet.from_dict(yaml.safe_load(text) or {}, config_id)
+
+    @staticmethod
+    def from_dataframes(rules: DataFrame, receivers: DataFrame, max_rules: int = 100_000) -> "RuleSet":
+        """Rule sets kept as tables: read back to the driver with a bound
+        (a rule set is configuration, not data)."""
+        rr = rules.orderBy("rule_idx").limit(max_rules + 1).collect()
+        if len(rr) > max_rules:
+            raise ValueError(f"rule set larger than {max_rules} rules")
+        vv = receivers.limit(max_rules + 1).collect()
+        return RuleSet([Rule(r["name"], dict(r["match"] or {}), r["receiver"], bool(r["continue"])) for r in rr],
+                       [Receiver(v["name"], v["type"], v["url"] or "") for v in vv])
+
 
 # The example configuration shipped with the reference
 # (receivers, then rules in file order).

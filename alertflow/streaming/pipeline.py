@@ -4,9 +4,10 @@
 pipeline of ``plans.pipeline`` on every micro-batch. Inside a batch it
 re-reads the mutes (a mute written after the stream started applies to the
 next alert), seeds the state machine with the latest notifications
-snapshot, appends the attempts of the batch under ``batch_id=N`` (a replayed
-batch overwrites its own folder, so retries are idempotent) and writes new
-snapshot versions of ``notifications`` and ``alert_state``.
+snapshot, appends the attempts and counters of the batch under
+``batch_id=N`` (a replayed batch overwrites its own folders, so retries are
+idempotent) and writes new snapshot versions of ``notifications`` and
+``alert_state``.
 
 ``dedup_stream`` (T1) is the low-latency form: ``applyInPandasWithState``
 keeps the last status per (rule, fingerprint) in the state store, no timers.
@@ -26,7 +27,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from alertflow import schemas
 from alertflow.functions.labels import with_fingerprint
 from alertflow.functions.status import desired_status
-from alertflow.operators import delivery, observed
+from alertflow.operators import delivery, metrics, observed
 from alertflow.plans.pipeline import replay
 from alertflow.sources.config import RuleSet
 
@@ -85,6 +86,10 @@ class ReplaySink:
                     notif.select("rule_name", "fingerprint", F.col("sent_at").alias("attempt_at"),
                                  F.lit(None).cast("long").alias("seq"), "status")))
         new_notif.write.mode("overwrite").parquet(f"{self.out}/notifications/v={batch_id + 1:08d}")
+        # R22 per batch (a foreachBatch frame is evaluated several times, so
+        # df.observe would count more than once here)
+        (metrics.counters(batch, r.plan)
+         .write.mode("overwrite").parquet(f"{self.out}/counters/batch_id={batch_id}"))
         new_state = observed.alert_state(fa, seed=state)
         new_state.write.mode("overwrite").parquet(f"{self.out}/alert_state/v={batch_id + 1:08d}")
 
@@ -110,21 +115,32 @@ DEDUP_STATE = T.StructType([T.StructField("status", T.StringType())])
 
 
 def _dedup(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
+    """Vectorised per key: the stored status acts as a seed row, runs of
+    equal ``desired`` are numbered, and a row is attempted when no earlier
+    row of its run succeeded (the same rule as the batch plan, R13)."""
     parts = [p for p in pdfs]
     if not parts:
         return
-    pdf = pd.concat(parts).sort_values(["observed_at", "seq"])
-    out = []
-    for r in pdf.itertuples(index=False):
-        if last is not None and last == r.desired:
-            continue
-        st = r.desired if r.ok else r.desired.replace("-sent", "-failed")
-        last = st
-        out.append((r.rule_name, r.fingerprint, r.observed_at, r.seq, r.desired, st))
-    state.update((last,))
-    if out:
-        yield pd.DataFrame(out, columns=[f.name for f in DEDUP_OUT.fields])
+    pdf = pd.concat(parts, ignore_index=True).sort_values(["observed_at", "seq"], kind="stable")
+    des = pdf["desired"].tolist()
+    ok = pdf["ok"].fillna(False).astype(bool).tolist()
+    prev = state.get[0] if state.exists else None
+    if prev is not None:
+        des = [prev.replace("-failed", "-sent")] + des
+        ok = [prev.endswith("-sent")] + ok
+    d = pd.Series(des)
+    o = pd.Series(ok, dtype="int64")
+    run = (d != d.shift()).cumsum()
+    ok_before = o.groupby(run).cumsum() - o
+    deliver = (ok_before == 0).to_numpy()
+    status = d.where(o.astype(bool), d.str.replace("-sent", "-failed", regex=False)).to_numpy()
+    if prev is not None:
+        deliver, status = deliver[1:], status[1:]
+    out = pdf.loc[deliver, ["rule_name", "fingerprint", "observed_at", "seq", "desired"]].copy()
+    out["status"] = status[deliver]
+    if len(out):
+        state.update((out["status"].iloc[-1],))
+        yield out[[f.name for f in DEDUP_OUT.fields]]
 
 
 def dedup_stream(decisions: DataFrame, ok: str = "ok") -> DataFrame:

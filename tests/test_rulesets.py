@@ -86,3 +86,24 @@ def test_config_from_dict():
 def test_receiver_name_required_message(spark):
     assert _first(spark, [Rule("a", {}, "x")], [Receiver("x", "webhook", "u"), Receiver("", "webhook", "u")]) == \
         "receiver #2: name is required"
+
+
+def test_config_from_yaml_and_tables(spark):
+    text = """
+receivers:
+  - name: r
+    type: webhook
+    url: http://u
+rules:
+  - name: a
+    match: {x: "1"}
+    receiver: r
+    continue: true
+  - name: b
+    match: {}
+    receiver: r
+"""
+    rs = RuleSet.from_yaml(text)
+    assert [r.name for r in rs.rules] == ["a", "b"] and rs.rules[0].cont and rs.rules[1].match == {}
+    back = RuleSet.from_dataframes(rs.rules_df(spark), rs.receivers_df(spark))
+    assert back.rules == rs.rules and back.receivers == rs.receivers

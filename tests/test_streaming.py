@@ -65,6 +65,8 @@ def test_stream_equals_batch_and_replay_is_idempotent(spark):
     sink = SP.ReplaySink(rs, out, failing_receivers=EXAMPLE_FAILING_RECEIVERS)
     q = SP.start_replay_stream(stream, sink, ck)
     q.awaitTermination()
+    cnt = spark.read.parquet(f"{out}/counters").agg(F.sum("alerts_received"), F.sum("notify_success")).first()
+    assert cnt[0] == batch_alerts.count()
     got = spark.read.parquet(f"{out}/attempts")
     got_att = {(r.rule_name, r.fingerprint, r.seq, r.status) for r in got.collect()}
     assert got.select("batch_id").distinct().count() >= 3
