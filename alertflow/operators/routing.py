@@ -5,9 +5,10 @@ one boolean per rule, a CASE chain for the first terminal match (``stop``)
 and an array of hit indexes exploded into decision rows. That is a narrow,
 codegen-friendly map-side operator: no shuffle, no join.
 
-Rule sets beyond ``COMPILED_MAX_RULES`` use :func:`route_join`, an equi join
-on the rule's condition key set (see ``operators.matching``) followed by the
-stop filter per alert.
+Rule sets beyond ``COMPILED_MAX_RULES`` use :func:`route_join`: the rules are
+matched once per distinct label set by the condition equi join (see
+``operators.matching``), cut at the first terminal rule, and joined back to
+the alerts on the label set.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertflow.functions.labels import literal_match_all
+from alertflow.functions.labels import literal_match_all, sorted_entries
 from alertflow.operators.matching import condition_pairs
 from alertflow.sources.config import RuleSet
 
@@ -68,18 +69,22 @@ def route(alerts: DataFrame, ruleset: RuleSet, labels: str = "labels") -> DataFr
     return dec.select(*cols, "rule_idx", *_rule_lookup(ruleset, F.col("rule_idx")))
 
 
-def route_join(alerts: DataFrame, ruleset: RuleSet, labels: str = "labels",
-               alert_key: str = "alert_id") -> DataFrame:
-    """R1 for large rule sets: equi join on each rule's condition key set
-    and values, then ``idx <= first terminal idx`` per alert."""
+def route_join(alerts: DataFrame, ruleset: RuleSet, labels: str = "labels") -> DataFrame:
+    """R1 for large rule sets. Routing depends only on the label set, so the
+    distinct label sets (map-side partial distinct) are matched against the
+    rules by the condition join, cut at the first terminal rule per label
+    set, and the alerts join the decided (label set, rule) rows once."""
     spark = alerts.sparkSession
     rules = ruleset.rules_df(spark).withColumnRenamed("match", "_match")
-    pairs = condition_pairs(alerts, rules, labels=labels, matchers="_match", mode="loose")
-    w = Window.partitionBy(alert_key)
+    a = alerts.withColumn("_lk", sorted_entries(labels))
+    sets = a.select("_lk").distinct().withColumn("_lset", F.map_from_entries("_lk"))
+    pairs = condition_pairs(sets, rules, labels="_lset", matchers="_match", mode="loose")
+    w = Window.partitionBy("_lk")
     stop = F.min(F.when(~F.col("continue"), F.col("rule_idx"))).over(w)
-    out = (pairs.withColumn("_stop", F.coalesce(stop, F.lit(len(ruleset.rules))))
-           .where(F.col("rule_idx") <= F.col("_stop")))
-    return out.select(*alerts.columns, "rule_idx", F.col("name").alias("rule_name"), "receiver", "continue")
+    decided = (pairs.withColumn("_stop", F.coalesce(stop, F.lit(len(ruleset.rules))))
+               .where(F.col("rule_idx") <= F.col("_stop"))
+               .select("_lk", "rule_idx", F.col("name").alias("rule_name"), "receiver", "continue"))
+    return a.join(decided, "_lk", "inner").select(*alerts.columns, "rule_idx", "rule_name", "receiver", "continue")
 
 
 def unrouted(alerts: DataFrame, ruleset: RuleSet, labels: str = "labels") -> DataFrame:
