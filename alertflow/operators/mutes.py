@@ -83,10 +83,25 @@ def unmuted(alerts: DataFrame, mutes: DataFrame, key: str = "alert_id", **kw) ->
     return alerts.join(ids, key, "left_anti")
 
 
+def muted_keys_at(mutes: DataFrame, as_of, label_sets: DataFrame, key: str = "fingerprint",
+                  mode: str = "strict") -> DataFrame:
+    """Keys of the label sets matched by a mute active at ``as_of``, from a
+    label-set table (``fingerprint_table``: ``_lkey`` plus ``key``)."""
+    sets = label_sets.select(key, F.map_from_entries("_lkey").alias("_lset"))
+    return active_mute_pairs(sets, mutes, as_of, mode=mode, labels="_lset").select(key).distinct()
+
+
 def exclude_muted_at(alerts: DataFrame, mutes: DataFrame, as_of, key: str = "fingerprint",
-                     mode: str = "strict", labels: str = "labels") -> DataFrame:
-    """Drop alerts contained (strict F2) by a mute active at ``as_of``."""
-    ids = active_mute_pairs(alerts, mutes, as_of, mode=mode, labels=labels).select(key)
+                     mode: str = "strict", labels: str = "labels",
+                     label_sets: DataFrame | None = None) -> DataFrame:
+    """Drop alerts contained (strict F2) by a mute active at ``as_of``.
+
+    With ``label_sets`` the match runs on that (small, materialised) table,
+    so ``alerts`` is not evaluated a second time for the lookup side."""
+    if label_sets is not None:
+        ids = muted_keys_at(mutes, as_of, label_sets, key, mode)
+    else:
+        ids = active_mute_pairs(alerts, mutes, as_of, mode=mode, labels=labels).select(key)
     return alerts.join(ids, key, "left_anti")
 
 

@@ -72,15 +72,18 @@ def _limit(n):
 
 
 def list_alerts(state: DataFrame, as_of, status: str = "firing", exclude_muted: bool = False,
-                mutes: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+                mutes: DataFrame | None = None, limit: int | None = None,
+                label_sets: DataFrame | None = None) -> DataFrame:
     """Status filter, optional strict exclusion by mutes active at
     ``as_of`` (R5a), newest ``last_seen_at`` first, limit (default 100).
-    ``fingerprint`` breaks ties; the plan is a TakeOrderedAndProject."""
+    ``fingerprint`` breaks ties; the plan is a TakeOrderedAndProject.
+    ``label_sets`` (the fingerprint table) lets the mute check run on the
+    distinct label sets instead of a second evaluation of ``state``."""
     s = filter_status(state, status, as_of)
     if exclude_muted:
         if mutes is None:
             raise ValueError("exclude_muted needs the mutes table")
-        s = exclude_muted_at(s, mutes, as_of)
+        s = exclude_muted_at(s, mutes, as_of, label_sets=label_sets)
     return (alert_view(s, as_of)
             .orderBy(F.col("last_seen_at").desc(), F.col("fingerprint")).limit(_limit(limit)))
 

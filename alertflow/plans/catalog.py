@@ -13,7 +13,8 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertflow.functions.labels import (format_labels, format_matchers, parse_matchers_text, with_fingerprint)
+from alertflow.functions.labels import (fingerprint_table, format_labels, format_matchers, parse_matchers_text,
+                                        with_fingerprint)
 from alertflow.functions.status import (format_duration, mute_status, parse_duration_ms)
 from alertflow.operators import delivery, metrics, mutes as mute_ops, observed, routing, rulesets
 from alertflow.plans.pipeline import replay, routed_decisions
@@ -51,6 +52,7 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self._fp = None
+        self._table = None
 
     def alerts(self) -> DataFrame:
         return testdata.load_alerts(self.spark, self.sf_dir)
@@ -58,9 +60,15 @@ class Inputs:
     def mutes(self) -> DataFrame:
         return testdata.load_mutes(self.spark, self.sf_dir)
 
+    def fp_table(self) -> DataFrame:
+        """Distinct label sets with fingerprints (materialised once)."""
+        if self._table is None:
+            self._table = fingerprint_table(self.alerts())
+        return self._table
+
     def fp_alerts(self) -> DataFrame:
         if self._fp is None:
-            self._fp = with_fingerprint(self.alerts())
+            self._fp = with_fingerprint(self.alerts(), table=self.fp_table())
         return self._fp
 
     def state_at_as_of(self) -> DataFrame:
@@ -176,7 +184,7 @@ def q_list_firing(spark, sf):
 def q_list_firing_unmuted(spark, sf):
     inp = Inputs(spark, sf)
     return _view_cols(observed.list_alerts(inp.state_at_as_of(), AS_OF, "firing", exclude_muted=True,
-                                           mutes=inp.mutes()))
+                                           mutes=inp.mutes(), label_sets=inp.fp_table()))
 
 
 def q_list_expired(spark, sf):
@@ -277,7 +285,7 @@ def q_explain_trace(spark, sf):
     against the mutes active at as_of (loose)."""
     inp = Inputs(spark, sf)
     sets = inp.state_at_as_of().select("fingerprint", "labels")
-    hit = mute_ops.active_mute_pairs(sets, inp.mutes(), AS_OF, mode="loose").select("fingerprint").distinct()
+    hit = mute_ops.muted_keys_at(inp.mutes(), AS_OF, inp.fp_table(), mode="loose")
     flagged = sets.join(hit.withColumn("muted", F.lit(True)), "fingerprint", "left").fillna(False, ["muted"])
     tr = rulesets.explain(flagged, _ruleset(), muted_col="muted")
     return tr.select("fingerprint", "mute_check", "step", "rule_name", "verdict", "receiver", "action",
