@@ -31,6 +31,36 @@ def _bucket(ts: Column, seconds: int) -> Column:
     return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000))
 
 
+def _keyed_sides(alerts: DataFrame, mutes: DataFrame, mode: str, time_col: str, bucket_seconds: int,
+                 labels: str, force: str | None, label_sets: DataFrame | None, set_key: str):
+    """Alerts keyed by (label set, bucket) and the matching (label set,
+    mute, bucket) rows; the exact closed-interval check is the residual."""
+    m = _prefixed(mutes).where(F.col("m_ends_at") >= F.col("m_starts_at"))
+    if label_sets is not None:
+        a = alerts.withColumn("_lk", F.col(set_key))
+        sets = label_sets.select(F.col(set_key).alias("_lk"), F.map_from_entries("_lkey").alias("_lset"))
+    else:
+        a = alerts.withColumn("_lk", sorted_entries(labels))
+        sets = a.select("_lk").distinct().withColumn("_lset", F.map_from_entries("_lk"))
+    lm = condition_pairs(sets, m, labels="_lset", matchers="m_matchers", mode=mode, force=force).drop("_lset")
+    lm = lm.withColumn("_bucket", F.explode(F.sequence(_bucket(F.col("m_starts_at"), bucket_seconds),
+                                                       _bucket(F.col("m_ends_at"), bucket_seconds))))
+    a = a.withColumn("_bucket", _bucket(F.col(time_col), bucket_seconds))
+    return a, lm
+
+
+def _interval_join(a: DataFrame, lm: DataFrame, time_col: str, how: str) -> DataFrame:
+    al, ml = a.alias("_a"), lm.alias("_m")
+    t = F.col(f"_a.{time_col}")
+    cond = ((F.col("_a._lk") == F.col("_m._lk")) & (F.col("_a._bucket") == F.col("_m._bucket"))
+            & (F.col("_m.m_starts_at") <= t) & (t <= F.col("_m.m_ends_at")))
+    out = al.join(ml, cond, how)
+    if how in ("left_semi", "left_anti"):
+        return out.select(*[F.col(f"_a.{c}") for c in a.columns if c not in ("_lk", "_bucket")])
+    return out.select(*[F.col(f"_a.{c}") for c in a.columns if c not in ("_lk", "_bucket")],
+                      *[F.col(f"_m.{c}") for c in lm.columns if c not in ("_lk", "_bucket")])
+
+
 def mute_pairs(alerts: DataFrame, mutes: DataFrame, mode: str = "loose", time_col: str = "observed_at",
                bucket_seconds: int = DEFAULT_BUCKET_SECONDS, labels: str = "labels",
                force: str | None = None, label_sets: DataFrame | None = None,
@@ -48,20 +78,8 @@ def mute_pairs(alerts: DataFrame, mutes: DataFrame, mode: str = "loose", time_co
     (``fingerprint_table``: ``_lkey`` plus ``set_key``); with it the alerts
     join on their ``set_key`` column and are not scanned a second time.
     """
-    m = _prefixed(mutes).where(F.col("m_ends_at") >= F.col("m_starts_at"))
-    if label_sets is not None:
-        a = alerts.withColumn("_lk", F.col(set_key))
-        sets = label_sets.select(F.col(set_key).alias("_lk"), F.map_from_entries("_lkey").alias("_lset"))
-    else:
-        a = alerts.withColumn("_lk", sorted_entries(labels))
-        sets = a.select("_lk").distinct().withColumn("_lset", F.map_from_entries("_lk"))
-    lm = condition_pairs(sets, m, labels="_lset", matchers="m_matchers", mode=mode, force=force).drop("_lset")
-    lm = lm.withColumn("_bucket", F.explode(F.sequence(_bucket(F.col("m_starts_at"), bucket_seconds),
-                                                       _bucket(F.col("m_ends_at"), bucket_seconds))))
-    a = a.withColumn("_bucket", _bucket(F.col(time_col), bucket_seconds))
-    t = F.col(time_col)
-    residual = (F.col("m_starts_at") <= t) & (t <= F.col("m_ends_at"))
-    return a.join(lm, ["_lk", "_bucket"], "inner").where(residual).drop("_lk", "_bucket")
+    a, lm = _keyed_sides(alerts, mutes, mode, time_col, bucket_seconds, labels, force, label_sets, set_key)
+    return _interval_join(a, lm, time_col, "inner")
 
 
 def active_mute_pairs(alerts: DataFrame, mutes: DataFrame, as_of, mode: str = "strict",
@@ -71,16 +89,22 @@ def active_mute_pairs(alerts: DataFrame, mutes: DataFrame, as_of, mode: str = "s
     return condition_pairs(alerts, m, labels=labels, matchers="m_matchers", mode=mode, force=force)
 
 
-def muted(alerts: DataFrame, mutes: DataFrame, key: str = "alert_id", **kw) -> DataFrame:
-    """R3 semi form: alerts suppressed by at least one active mute."""
-    ids = mute_pairs(alerts, mutes, **kw).select(key)
-    return alerts.join(ids, key, "left_semi")
+def _lookup(alerts, mutes, how, mode="loose", time_col="observed_at", bucket_seconds=DEFAULT_BUCKET_SECONDS,
+            labels="labels", force=None, label_sets=None, set_key="fingerprint"):
+    a, lm = _keyed_sides(alerts, mutes, mode, time_col, bucket_seconds, labels, force, label_sets, set_key)
+    return _interval_join(a, lm, time_col, how)
 
 
-def unmuted(alerts: DataFrame, mutes: DataFrame, key: str = "alert_id", **kw) -> DataFrame:
-    """R3 anti form: alerts that reach routing."""
-    ids = mute_pairs(alerts, mutes, **kw).select(key)
-    return alerts.join(ids, key, "left_anti")
+def muted(alerts: DataFrame, mutes: DataFrame, **kw) -> DataFrame:
+    """R3 semi form: alerts suppressed by at least one active mute. One
+    left-semi join on (label set, bucket) with the interval as condition; an
+    alert hit by several mutes comes out once."""
+    return _lookup(alerts, mutes, "left_semi", **kw)
+
+
+def unmuted(alerts: DataFrame, mutes: DataFrame, **kw) -> DataFrame:
+    """R3 anti form: alerts that reach routing (left-anti join, same keys)."""
+    return _lookup(alerts, mutes, "left_anti", **kw)
 
 
 def muted_keys_at(mutes: DataFrame, as_of, label_sets: DataFrame, key: str = "fingerprint",
