@@ -133,3 +133,20 @@ def mute_id(*cols) -> Column:
     fields so that a re-run writes the same ids (the reference draws random
     ids; determinism is the idempotent choice for batch imports)."""
     return F.md5(F.concat_ws("\u0001", *[F.coalesce(_col(c).cast("string"), F.lit("")) for c in cols]))
+
+
+# Processing order (time, seq) as one fixed-width value: micros * 10**20 +
+# (seq + 2**63). Exact for every timestamp and 64-bit seq, and a decimal(38,0)
+# is a mutable aggregation buffer, so max_by/min_by over it hash-aggregate
+# (a struct order key would force a sort-based aggregate).
+_ORDER_SCALE = "100000000000000000000"
+_SEQ_OFFSET = "9223372036854775808"
+ORDER_KEY_MIN = "-99999999999999999999999999999999999999"
+
+
+def order_key(ts, seq) -> Column:
+    """Exact ``(ts, seq)`` order as ``decimal(38,0)``; a NULL seq sorts first."""
+    d = "decimal(38,0)"
+    micros = F.unix_micros(_col(ts)).cast(d)
+    sq = F.coalesce(_col(seq).cast(d) + F.lit(_SEQ_OFFSET).cast(d), F.lit(0).cast(d))
+    return (micros * F.lit(_ORDER_SCALE).cast(d) + sq).cast(d)

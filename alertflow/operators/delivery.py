@@ -28,9 +28,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertflow.functions.status import (FIRING_SENT, RESOLVED_SENT, desired_status, failed_status)
+from alertflow.functions.status import (FIRING_FAILED, FIRING_SENT, RESOLVED_FAILED, RESOLVED_SENT, desired_status,
+                                       failed_status, order_key)
 
 KEY = ["rule_name", "fingerprint"]
+STATUS_VALUES = [FIRING_SENT, FIRING_FAILED, RESOLVED_SENT, RESOLVED_FAILED]
 DEFAULT_CHUNK_SECONDS = 900
 _SEED_CHUNK = -(1 << 31)
 _SEED_POS = -(1 << 62)
@@ -113,12 +115,15 @@ def attempts(plan: DataFrame, at: str = "observed_at", seq: str = "seq") -> Data
 
 
 def notification_snapshot(attempt_log: DataFrame) -> DataFrame:
-    """Last attempt per (rule_name, fingerprint); partial aggregation
-    before the shuffle, so a hot key is pre-reduced map-side."""
-    ordk = F.struct("attempt_at", "seq")
-    last = F.max_by(F.struct(F.col("attempt_at").alias("sent_at"), "status"), ordk)
-    return (attempt_log.groupBy(*KEY).agg(last.alias("_l"))
-            .select(*KEY, "_l.sent_at", "_l.status"))
+    """Last attempt per (rule_name, fingerprint). The status is coded
+    as a small int and the order key is fixed width, so this is a hash
+    aggregate with partial aggregation (a hot key is pre-reduced map-side)."""
+    ordk = order_key("attempt_at", "seq")
+    codes = F.array(*[F.lit(x) for x in STATUS_VALUES])
+    code = F.array_position(codes, F.col("status"))
+    g = attempt_log.groupBy(*KEY).agg(F.max_by("attempt_at", ordk).alias("sent_at"),
+                                      F.max_by(code, ordk).alias("_code"))
+    return g.select(*KEY, "sent_at", F.get(codes, (F.col("_code") - 1).cast("int")).alias("status"))
 
 
 def last_attempt(decisions: DataFrame, notifications: DataFrame) -> DataFrame:

@@ -3,8 +3,9 @@
 The reference upserts every push by fingerprint. Over a log of pushes the
 upsert is a fold: keep the first ``starts_at`` and ``first_seen_at``, take
 labels, ``ends_at`` and ``last_seen_at`` from the last push in processing
-order ``(observed_at, seq)``. ``max_by``/``min_by`` are partial-aggregatable,
-so a hot fingerprint is pre-reduced map-side before the shuffle.
+order ``(observed_at, seq)``. ``max_by``/``min_by`` over a fixed-width order
+key hash-aggregate with partial aggregation, so a hot fingerprint is
+pre-reduced map-side before the shuffle.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertflow.functions.status import as_time, observed_status
+from alertflow.functions.labels import sorted_entries
+from alertflow.functions.status import ORDER_KEY_MIN, as_time, observed_status, order_key
 from alertflow.operators.mutes import exclude_muted_at, filter_mutes, mute_view
 
 DEFAULT_LIMIT = 100
@@ -26,24 +28,45 @@ def alert_state(pushes: DataFrame, seed: DataFrame | None = None,
     ``pushes`` needs ``fingerprint, labels, starts_at, ends_at`` and the
     order columns. ``seed`` is an earlier snapshot; its row sorts before all
     pushes of its key, so first values come from it.
+
+    The pushes go through a hash aggregate per (fingerprint, label set):
+    every buffer is fixed width (timestamps and the decimal order key), with
+    map-side partial aggregation. A second aggregate per fingerprint over
+    those few rows picks the labels of the newest push (labels are a function
+    of the fingerprint, so this is one row per key unless two label sets
+    share a fingerprint).
     """
     p = pushes.select(
-        "fingerprint", "labels", "starts_at", "ends_at",
-        F.col(order[0]).alias("seen_at"),
-        F.struct(F.lit(1).alias("src"), *[F.col(c) for c in order]).alias("_ord"))
+        "fingerprint", sorted_entries("labels").alias("_lkey"), "starts_at", "ends_at",
+        F.col(order[0]).alias("seen_at"), F.col(order[0]).alias("_first"),
+        order_key(order[0], order[1]).alias("_ord"))
     if seed is not None:
         s = seed.select(
-            "fingerprint", "labels", "starts_at", "ends_at", F.col("last_seen_at").alias("seen_at"),
-            F.col("first_seen_at").alias("_first"),
-            F.struct(F.lit(0).alias("src"), *[F.lit(None).cast(p.schema["_ord"].dataType[c].dataType).alias(c)
-                                              for c in order]).alias("_ord"))
-        p = p.withColumn("_first", F.col("seen_at")).unionByName(s)
-    else:
-        p = p.withColumn("_first", F.col("seen_at"))
-    last = F.max_by(F.struct("labels", "ends_at", "seen_at"), "_ord")
-    return (p.groupBy("fingerprint")
-            .agg(last.alias("_l"), F.min_by("starts_at", "_ord").alias("starts_at"),
-                 F.min_by("_first", "_ord").alias("first_seen_at"))
+            "fingerprint", sorted_entries("labels").alias("_lkey"), "starts_at", "ends_at",
+            F.col("last_seen_at").alias("seen_at"), F.col("first_seen_at").alias("_first"),
+            F.lit(ORDER_KEY_MIN).cast("decimal(38,0)").alias("_ord"))
+        p = p.unionByName(s)
+    g = p.groupBy("fingerprint", "_lkey").agg(
+        F.max_by("ends_at", "_ord").alias("ends_at"), F.max_by("seen_at", "_ord").alias("seen_at"),
+        F.max("_ord").alias("_omax"),
+        F.min_by("starts_at", "_ord").alias("starts_at"), F.min_by("_first", "_ord").alias("_first"),
+        F.min("_ord").alias("_omin"))
+    last = F.max_by(F.struct("_lkey", "ends_at", "seen_at"), "_omax")
+    first = F.min_by(F.struct("starts_at", "_first"), "_omin")
+    return (g.groupBy("fingerprint").agg(last.alias("_l"), first.alias("_f"))
+            .select("fingerprint", F.map_from_entries("_l._lkey").alias("labels"),
+                    F.col("_f.starts_at").alias("starts_at"), F.col("_l.ends_at").alias("ends_at"),
+                    F.col("_f._first").alias("first_seen_at"), F.col("_l.seen_at").alias("last_seen_at")))
+
+
+def alert_state_single(pushes: DataFrame, order: tuple = ("observed_at", "seq")) -> DataFrame:
+    """R11 as one aggregate per fingerprint (the streaming form, T2: a
+    stream allows one stateful aggregation, kept in the state store)."""
+    ordk = order_key(order[0], order[1])
+    last = F.max_by(F.struct("labels", "ends_at", F.col(order[0]).alias("seen_at")), ordk)
+    return (pushes.groupBy("fingerprint")
+            .agg(last.alias("_l"), F.min_by("starts_at", ordk).alias("starts_at"),
+                 F.min_by(order[0], ordk).alias("first_seen_at"))
             .select("fingerprint", F.col("_l.labels").alias("labels"), "starts_at",
                     F.col("_l.ends_at").alias("ends_at"), "first_seen_at",
                     F.col("_l.seen_at").alias("last_seen_at")))

@@ -156,4 +156,4 @@ def dedup_stream(decisions: DataFrame, ok: str = "ok") -> DataFrame:
 
 def observed_state_stream(pushes: DataFrame) -> DataFrame:
     """Continuous observed-alert state (update output mode)."""
-    return observed.alert_state(pushes)
+    return observed.alert_state_single(pushes)

@@ -81,3 +81,16 @@ def test_get_alerts_and_overview(spark):
 def test_retention(spark):
     st = _state(spark, [("a", {}, T0, None, T0, T0), ("b", {}, T0, None, T0, T0 + dt.timedelta(days=2))])
     assert [r.fingerprint for r in O.retain(st, T0 + dt.timedelta(days=1)).collect()] == ["b"]
+
+
+def test_single_level_equals_two_level(spark):
+    rng = random.Random(8)
+    pushes = []
+    for i in range(300):
+        fp = f"f{rng.randint(0, 9)}"
+        t = T0 + dt.timedelta(minutes=rng.randint(0, 50))
+        pushes.append((fp, {"k": fp}, t, rng.choice([None, t]), t, i))
+    df = spark.createDataFrame(pushes, PUSH)
+    a = sorted(tuple(r) for r in O.alert_state(df).collect())
+    b = sorted(tuple(r) for r in O.alert_state_single(df).collect())
+    assert a == b
