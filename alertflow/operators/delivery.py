@@ -33,7 +33,7 @@ from alertflow.functions.status import (FIRING_FAILED, FIRING_SENT, RESOLVED_FAI
 
 KEY = ["rule_name", "fingerprint"]
 STATUS_VALUES = [FIRING_SENT, FIRING_FAILED, RESOLVED_SENT, RESOLVED_FAILED]
-DEFAULT_CHUNK_SECONDS = 900
+DEFAULT_CHUNK_SECONDS = 3600
 _SEED_CHUNK = -(1 << 31)
 _SEED_POS = -(1 << 62)
 
