@@ -3,10 +3,12 @@
 observe -> fingerprint -> mute (loose, at each alert's own time) -> route ->
 receiver -> de-duplicate (R13) -> attempts / notifications / outbox.
 
-Shuffles: one by label set (fingerprint, broadcast when the distinct set is
-small), one by ``(condition key, bucket)`` for the mute join, one by
-``(rule, fingerprint, chunk)`` for the state machine. Routing and receiver
-lookup are map-side projections.
+Shuffles: the distinct label sets (map-side partial distinct; the table is
+checkpointed and broadcast only under a counted bound), one by
+``(label set, bucket)`` for the mute join, one by ``(rule, fingerprint,
+chunk)`` for the state machine plus a narrow one for its chunk summaries.
+Routing and receiver lookup are map-side projections. The routed decisions
+are checkpointed once before the state machine.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertflow.functions.labels import fingerprint_table, with_fingerprint
+from alertflow.session import materialize
 from alertflow.operators import delivery, routing
 from alertflow.operators.mutes import unmuted
 from alertflow.sources.config import RuleSet
@@ -58,9 +61,17 @@ def routed_decisions(alerts: DataFrame, ruleset: RuleSet, mutes: DataFrame | Non
 def replay(alerts: DataFrame, ruleset: RuleSet, mutes: DataFrame | None = None,
            seed: DataFrame | None = None, ok: Column | str = "call_ok",
            failing_receivers=(), chunk_seconds: int = delivery.DEFAULT_CHUNK_SECONDS,
-           fingerprinted: bool = False) -> ReplayResult:
-    """What would this rule set have sent for this alert history?"""
+           fingerprinted: bool = False, checkpoint_decisions: bool = True) -> ReplayResult:
+    """What would this rule set have sent for this alert history?
+
+    The routed decisions are checkpointed: the state machine reads them in
+    two branches (rows and chunk summaries), and the checkpoint keeps the
+    scan, fingerprint and mute joins from running twice. It also cuts the
+    lineage, so a lost executor does not recompute the mute join.
+    """
     dec = routed_decisions(alerts, ruleset, mutes, fingerprinted=fingerprinted)
+    if checkpoint_decisions:
+        dec = materialize(dec)
     okc = failing_outcome(ok, failing_receivers) if isinstance(ok, str) else ok
     plan = delivery.delivery_plan(dec, ok=okc, seed=seed, chunk_seconds=chunk_seconds)
     att = delivery.attempts(plan)

@@ -27,6 +27,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from alertflow import schemas
 from alertflow.functions.labels import with_fingerprint
 from alertflow.functions.status import desired_status
+from alertflow.session import materialize
 from alertflow.operators import delivery, metrics, observed
 from alertflow.plans.pipeline import replay
 from alertflow.sources.config import RuleSet
@@ -77,6 +78,8 @@ class ReplaySink:
         fa = with_fingerprint(batch)
         r = replay(fa, self.ruleset, mutes=mutes, seed=notif, ok=self.ok, failing_receivers=self.failing,
                    fingerprinted=True)
+        # the plan feeds three writes below: compute it once
+        r.plan = materialize(r.plan)
         # A replayed micro-batch rewrites only its own folder
         (delivery.attempts(r.plan).write.mode("overwrite")
          .parquet(f"{self.out}/attempts/batch_id={batch_id}"))
