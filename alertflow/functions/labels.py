@@ -117,8 +117,9 @@ def fingerprint(labels) -> Column:
 
 
 # Above this many distinct label sets the fingerprint table is joined by a
-# shuffle instead of a broadcast. 2M rows x ~140 bytes stays under 300 MB.
-FINGERPRINT_BROADCAST_MAX_ROWS = 2_000_000
+# shuffle instead of a broadcast: 500k rows of ~200 bytes (sorted entries plus
+# 16 hex digits) keep the broadcast near 100 MB.
+FINGERPRINT_BROADCAST_MAX_ROWS = 500_000
 
 
 def fingerprint_table(df: DataFrame, labels: str = "labels", out: str = "fingerprint") -> DataFrame:

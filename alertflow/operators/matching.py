@@ -67,7 +67,10 @@ def _keyset_join(probe, c, labels, m, mode, keysets, extra_eq, residual):
             .withColumn("_kval", F.to_json(F.transform("_ckeys", lambda k: m[k])))
             .drop("_ckeys"))
     if not keysets:
-        return probe.join(cond.drop("_kset", "_kval"), on=list(extra_eq) or None, how="inner").where(F.lit(False))
+        # no conditions at all: the keyed join over an empty probe side
+        empty = probe.select(*probe.columns, F.lit(None).cast("string").alias("_kset"),
+                             F.lit(None).cast("string").alias("_kval")).where(F.lit(False))
+        return empty.join(cond, on=["_kset", "_kval", *extra_eq], how="inner").drop("_kset", "_kval")
     labs = F.col(labels)
     entries = []
     for ks in keysets:
