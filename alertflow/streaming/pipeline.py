@@ -19,7 +19,7 @@ from __future__ import annotations
 from typing import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -33,40 +33,24 @@ from alertflow.plans.pipeline import replay
 from alertflow.sources.config import RuleSet
 
 
-def _latest_version(spark: SparkSession, base: str, at_most: int) -> int | None:
-    """Highest complete ``v=NNNNNNNN`` folder under ``base`` not above
-    ``at_most`` (file listing on the driver through the Hadoop file system;
-    no data is read)."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(base)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    best = None
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            v = int(name[2:])
-            if v <= at_most and (best is None or v > best):
-                best = v
-    return best
-
-
 class ReplaySink:
     """``foreachBatch`` function running the whole Process pipeline."""
 
     def __init__(self, ruleset: RuleSet, out_dir: str, mutes_path: str | None = None,
-                 failing_receivers=(), ok: str | Callable = "call_ok"):
+                 failing_receivers=(), ok: str | Callable = "call_ok",
+                 initial_notifications: str | None = None, initial_state: str | None = None):
         self.ruleset, self.out = ruleset, out_dir.rstrip("/")
         self.mutes_path, self.failing, self.ok = mutes_path, tuple(failing_receivers), ok
+        self.initial = {"notifications": initial_notifications, "alert_state": initial_state}
 
     def _snapshot(self, spark, name, schema, batch_id):
-        # the state before this batch: version <= batch_id; this batch writes
-        # version batch_id + 1, so a replayed batch reads the same input
-        v = _latest_version(spark, f"{self.out}/{name}", batch_id)
-        if v is None:
-            return None
-        return spark.read.schema(schema).parquet(f"{self.out}/{name}/v={v:08d}")
+        # Micro-batch ids are consecutive and batch b-1 is committed only
+        # after its writes, so the state before batch b is version b. This
+        # batch writes version b+1; a replayed batch reads the same input.
+        if batch_id == 0:
+            path = self.initial[name]
+            return spark.read.schema(schema).parquet(path) if path else None
+        return spark.read.schema(schema).parquet(f"{self.out}/{name}/v={batch_id:08d}")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession

@@ -1,4 +1,3 @@
-import datetime as dt
 import json
 import tempfile
 
@@ -51,4 +50,3 @@ def test_outbox_write_and_counters(spark):
     p = outbox.write_snapshot(delivery.notification_snapshot(delivery.attempts(plan)), snap_dir, 1)
     assert spark.read.parquet(p).count() > 0
     outbox.write_json(ob.limit(5), tempfile.mkdtemp(prefix="af-json-") + "/o")
-    assert dt is not None
