@@ -20,7 +20,9 @@ from alertflow.functions.labels import literal_match_all, sorted_entries
 from alertflow.operators.matching import condition_pairs
 from alertflow.sources.config import RuleSet
 
-COMPILED_MAX_RULES = 2000
+# Beyond this many rules the compiled CASE/array expression would outgrow
+# generated-code limits; larger rule sets use the label-set join.
+COMPILED_MAX_RULES = 256
 
 
 def _stop_expr(conds: list[Column], rules) -> Column:

