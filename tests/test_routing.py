@@ -98,5 +98,4 @@ def test_large_rule_set_uses_join_form(spark):
             for i, l in enumerate(labels)}
     want = {k: v for k, v in want.items() if v}
     out = routing.route(df, rs)
-    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString().split("Exchange")[0] or True
     assert _decided(out) == want
