@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from alertflow import schemas
 
@@ -132,3 +133,51 @@ def read_cases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     ok = F.coalesce(F.col("name"), F.lit("")) != ""
     rejects = (df.filter(~ok).withColumn("error", F.lit("name is required")))
     return df.filter(ok), rejects
+
+
+_CONFIG_JSON = T.StructType([
+    T.StructField("receivers", T.ArrayType(T.StructType([
+        T.StructField("name", T.StringType()), T.StructField("type", T.StringType()),
+        T.StructField("url", T.StringType())]))),
+    T.StructField("rules", T.ArrayType(T.StructType([
+        T.StructField("name", T.StringType()), T.StructField("match", schemas.LABELS),
+        T.StructField("receiver", T.StringType()), T.StructField("continue", T.BooleanType())]))),
+])
+
+
+def read_config_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Configuration files in JSON (one document per file, the YAML
+    layout), as ``rules`` and ``receivers`` DataFrames. ``posexplode`` gives
+    each rule its position, which is its meaning; ``config_id`` is the file.
+    Many candidate rule sets load in one read and are checked by R17/R18."""
+    doc = (spark.read.schema(_CONFIG_JSON).option("multiLine", "true").json(path)
+           .withColumn("config_id", F.col("_metadata.file_path")))
+    rules = doc.select("config_id", F.posexplode_outer("rules").alias("rule_idx", "r")).where(F.col("r").isNotNull())
+    rules = rules.select(F.col("rule_idx").cast("int").alias("rule_idx"), F.col("r.name").alias("name"),
+                         F.coalesce(F.col("r.match"), F.create_map().cast(schemas.LABELS)).alias("match"),
+                         F.col("r.receiver").alias("receiver"),
+                         F.coalesce(F.col("r.continue"), F.lit(False)).alias("continue"), "config_id")
+    recv = doc.select("config_id", F.posexplode_outer("receivers").alias("receiver_idx", "v")).where(
+        F.col("v").isNotNull())
+    recv = recv.select(F.col("receiver_idx").cast("int").alias("receiver_idx"), F.col("v.name").alias("name"),
+                       F.col("v.type").alias("type"), F.col("v.url").alias("url"), "config_id")
+    return rules, recv
+
+
+def cases_from_yaml(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame]:
+    """S7 for the YAML case table (``verify:`` list): parsed on the driver
+    (a configuration file), returned as ``(cases, rejects)``; an omitted
+    expectation is an empty list."""
+    try:
+        import yaml
+    except ImportError as e:  # pragma: no cover - optional dependency
+        raise RuntimeError("PyYAML is needed for cases_from_yaml") from e
+    doc = yaml.safe_load(text) or {}
+    rows = []
+    for c in doc.get("verify", []) or []:
+        exp = c.get("expect") or {}
+        rows.append((c.get("name") or "", {str(k): str(v) for k, v in (c.get("labels") or {}).items()},
+                     list(exp.get("rules") or []), list(exp.get("receivers") or []), c.get("description")))
+    df = spark.createDataFrame(rows, schemas.CASES)
+    ok = F.col("name") != ""
+    return df.where(ok), df.where(~ok).withColumn("error", F.lit("name is required"))

@@ -107,3 +107,40 @@ rules:
     assert [r.name for r in rs.rules] == ["a", "b"] and rs.rules[0].cont and rs.rules[1].match == {}
     back = RuleSet.from_dataframes(rs.rules_df(spark), rs.receivers_df(spark))
     assert back.rules == rs.rules and back.receivers == rs.receivers
+
+
+def test_config_json_files_and_yaml_cases(spark):
+    import json
+    import os
+    import tempfile
+    from alertflow.operators import rulesets as R
+    from alertflow.sources.config import cases_from_yaml, read_config_json
+    d = tempfile.mkdtemp(prefix="af-cfg-")
+    good = {"receivers": [{"name": "r", "type": "webhook", "url": "u"}],
+            "rules": [{"name": "a", "match": {"x": "1"}, "receiver": "r", "continue": True},
+                      {"name": "b", "receiver": "r"}]}
+    bad = {"receivers": [{"name": "r", "type": "webhook", "url": "u"}],
+           "rules": [{"name": "a", "receiver": "nope"}, {"name": "z", "match": {"y": "2"}, "receiver": "r"}]}
+    for n, doc in (("good.json", good), ("bad.json", bad)):
+        with open(os.path.join(d, n), "w") as f:
+            json.dump(doc, f, indent=1)
+    rules, recv = read_config_json(spark, d)
+    got = sorted((os.path.basename(r.config_id), r.rule_idx, r.name, r["continue"]) for r in rules.collect())
+    assert got == [("bad.json", 0, "a", False), ("bad.json", 1, "z", False),
+                   ("good.json", 0, "a", True), ("good.json", 1, "b", False)]
+    errs = {os.path.basename(r.config_id): r.error for r in R.first_errors(R.validate_rules(rules, recv)).collect()}
+    assert errs == {"bad.json": 'rule "a": references undefined receiver "nope"'}
+    lint = {os.path.basename(r.config_id) for r in R.lint_rules(rules).collect()}
+    assert lint == {"bad.json"}
+    cases, rejects = cases_from_yaml(spark, """
+verify:
+  - name: critical
+    labels: {severity: critical, team: infra}
+    expect:
+      rules: [critical-to-infra, critical-mirror]
+      receivers: [infra-critical-pager, oncall-mirror]
+  - name: ""
+    labels: {a: b}
+""")
+    assert cases.count() == 1 and rejects.count() == 1
+    assert R.verify(cases, example_ruleset()).first()["pass"]
