@@ -120,6 +120,16 @@ def get_alerts(state: DataFrame, keys: DataFrame, as_of) -> tuple[DataFrame, Dat
     return found, missing
 
 
+def lookup_alerts(state: DataFrame, keys: DataFrame, as_of) -> DataFrame:
+    """R6 as one left join: every key with ``found``, its status, and the
+    reference's error text when missing (the state is evaluated once)."""
+    v = alert_view(state, as_of).select("fingerprint", "status", F.lit(True).alias("_hit"))
+    j = keys.select("fingerprint").join(v, "fingerprint", "left")
+    found = F.coalesce(F.col("_hit"), F.lit(False))
+    return j.select("fingerprint", found.alias("found"), "status",
+                    F.when(~found, F.format_string('alert "%s" not found', F.col("fingerprint"))).alias("error"))
+
+
 def matching_alerts(state: DataFrame, matchers: dict, as_of, status: str = "firing",
                     limit: int | None = None) -> DataFrame:
     """Alerts containing the matcher map (strict F2), by status, newest

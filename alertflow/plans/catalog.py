@@ -198,10 +198,7 @@ def q_get_alerts(spark, sf):
     """Look up every fingerprint pushed after as_of in the state at as_of."""
     inp = Inputs(spark, sf)
     keys = inp.fp_alerts().where(F.col("observed_at") > F.lit(AS_OF).cast("timestamp")).select("fingerprint").distinct()
-    found, missing = observed.get_alerts(inp.state_at_as_of(), keys, AS_OF)
-    return (found.select("fingerprint", F.lit(True).alias("found"), "status", F.lit(None).cast("string").alias("error"))
-            .unionByName(missing.select("fingerprint", F.lit(False).alias("found"),
-                                        F.lit(None).cast("string").alias("status"), "error")))
+    return observed.lookup_alerts(inp.state_at_as_of(), keys, AS_OF)
 
 
 def q_matching_alerts(spark, sf):

@@ -94,3 +94,12 @@ def test_single_level_equals_two_level(spark):
     a = sorted(tuple(r) for r in O.alert_state(df).collect())
     b = sorted(tuple(r) for r in O.alert_state_single(df).collect())
     assert a == b
+
+
+def test_lookup_alerts_single_join(spark):
+    now = T0 + dt.timedelta(days=1)
+    st = _state(spark, [("f1", {"x": "1"}, T0, None, T0, T0), ("f2", {"x": "2"}, T0, T0, T0, T0)])
+    keys = spark.createDataFrame([("f1",), ("f2",), ("zz",)], "fingerprint string")
+    got = sorted(tuple(r) for r in O.lookup_alerts(st, keys, now).collect())
+    assert got == [("f1", True, "firing", None), ("f2", True, "expired", None),
+                   ("zz", False, None, 'alert "zz" not found')]
