@@ -261,11 +261,15 @@ def q_mute_text_roundtrip(spark, sf):
                     dtext.alias("duration_text"), parse_duration_ms(dtext).alias("duration_ms"))
 
 
+def _cases(inp: Inputs) -> DataFrame:
+    """Every distinct alert label set (from the label-set table) as a case."""
+    return inp.fp_table().select("fingerprint", F.map_from_entries("_lkey").alias("labels"))
+
+
 def q_verify_cases(spark, sf):
     """Each distinct alert label set is a case whose expectation is what the
     example rule set decides; the candidate rule set is verified."""
-    a = Inputs(spark, sf).fp_alerts()
-    cases = a.groupBy("fingerprint").agg(F.first("labels").alias("labels"))
+    cases = _cases(Inputs(spark, sf))
     exp = rulesets._route_lists(cases, _ruleset()).select(
         F.col("fingerprint").alias("name"), "labels", F.col("got_rules").alias("expect_rules"),
         F.col("got_receivers").alias("expect_receivers"))
@@ -274,8 +278,7 @@ def q_verify_cases(spark, sf):
 
 
 def q_verify_summary(spark, sf):
-    a = Inputs(spark, sf).fp_alerts()
-    cases = a.groupBy("fingerprint").agg(F.first("labels").alias("labels"))
+    cases = _cases(Inputs(spark, sf))
     exp = rulesets._route_lists(cases, _ruleset()).select(
         F.col("fingerprint").alias("name"), "labels", F.col("got_rules").alias("expect_rules"),
         F.col("got_receivers").alias("expect_receivers"))
