@@ -153,10 +153,30 @@ def with_fingerprint(df: DataFrame, labels: str = "labels", out: str = "fingerpr
 
 # ---------------------------------------------------------------- formatting
 
+# Printable runes for %q (letters, marks, numbers, punctuation,
+# symbols and the ASCII space) and the single-letter escapes.
+_PRINTABLE = r"[\p{L}\p{M}\p{N}\p{P}\p{S} ]"
+_LETTER_ESCAPES = [(7, "\\a"), (8, "\\b"), (12, "\\f"), (10, "\\n"), (13, "\\r"), (9, "\\t"), (11, "\\v")]
+
+
+def _quote_rune(ch: Column) -> Column:
+    cp = F.ascii(ch)  # the code point of the one-character string
+    out = (F.when(ch == "\\", F.lit("\\\\")).when(ch == '"', F.lit('\\"'))
+           .when(ch.rlike("^" + _PRINTABLE + "$"), ch))
+    for code, esc in _LETTER_ESCAPES:
+        out = out.when(cp == code, F.lit(esc))
+    return (out.when((cp < 32) | (cp == 127), F.format_string("\\x%02x", cp))
+            .when(cp < 65536, F.format_string("\\u%04x", cp))
+            .otherwise(F.format_string("\\U%08x", cp)))
+
+
 def _go_quote(c: Column) -> Column:
-    # Go's %q escapes backslash and double quote; non-printable runes are
-    # escaped there too, which this expression does not reproduce.
-    return F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', '\\\\"'), F.lit('"'))
+    """Go's %q: printable text only needs backslash and quote escaped; any
+    other rune is escaped per code point (\\n, \\xNN, \\uNNNN, ...)."""
+    fast = F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', '\\\\"')
+    slow = F.array_join(F.transform(F.regexp_extract_all(c, F.lit("(?s)."), 0), _quote_rune), "")
+    body = F.when(c.rlike("^" + _PRINTABLE + "*$"), fast).otherwise(slow)
+    return F.concat(F.lit('"'), body, F.lit('"'))
 
 
 def format_labels(labels) -> Column:

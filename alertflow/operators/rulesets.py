@@ -8,6 +8,8 @@ explain route case or alert label sets with the compiled rule set.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,7 +164,31 @@ def explain(alerts: DataFrame, ruleset: RuleSet, muted_col: str | None = None,
     return out.select(key, "label_text", "mute_check", "s.*")
 
 
+_LETTER = {7: "\\a", 8: "\\b", 12: "\\f", 10: "\\n", 13: "\\r", 9: "\\t", 11: "\\v"}
+
+
+def _quote(v: str) -> str:
+    """Go's %q for a driver-side string (same rules as ``format_labels``)."""
+    out = []
+    for ch in v:
+        cp = ord(ch)
+        if ch in ('"', "\\"):
+            out.append("\\" + ch)
+        elif ch == " " or unicodedata.category(ch)[0] in "LMNPS":
+            out.append(ch)
+        elif cp in _LETTER:
+            out.append(_LETTER[cp])
+        elif cp < 32 or cp == 127:
+            out.append(f"\\x{cp:02x}")
+        elif cp < 65536:
+            out.append(f"\\u{cp:04x}")
+        else:
+            out.append(f"\\U{cp:08x}")
+    return '"' + "".join(out) + '"'
+
+
 def _cond_text(match: dict) -> str:
     if not match:
         return "(catch-all)"
-    return ", ".join(f'{k}="{match[k]}"' for k in sorted(match))
+    keys = sorted(match, key=lambda k: k.encode("utf-8"))
+    return ", ".join(f"{k}={_quote(match[k])}" for k in keys)

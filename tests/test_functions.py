@@ -201,3 +201,11 @@ def test_parse_matchers_unicode_space_and_huge_duration(spark):
     assert df.select(L.parse_matchers_text("t").alias("p")).first().p.matchers == {"a": "1", "b": "2"}
     got = _one(spark, S.parse_duration_ms("t"), [("99999999999999999999999s",)], "t string")
     assert got == [None]
+
+
+def test_format_labels_go_quoting(spark):
+    cases = [("a\nb", 'k="a\\nb"'), ("\x01", 'k="\\x01"'), ("\x7f", 'k="\\x7f"'), (" ", 'k="\\u00a0"'),
+             ("​", 'k="\\u200b"'), ("é☃ x", 'k="é☃ x"'), ('"q\\', 'k="\\"q\\\\"'),
+             ("\U0001F600", 'k="\U0001F600"'), ("\U000E0001", 'k="\\U000e0001"'), ("t\tz\"", 'k="t\\tz\\""')]
+    got = _one(spark, L.format_labels("l"), [({"k": v},) for v, _ in cases], f"l {MAP}")
+    assert got == [w for _, w in cases]
