@@ -47,10 +47,14 @@ def duck():
     return con
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN",
+                 "double": "DOUBLE"}
+
+
 @pytest.mark.parametrize("name", sorted(E.queries()))
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF_SMALL)
-    res = duck.execute(E.oracle_sql()[name])
-    ocols = [d[0] for d in res.description]
-    assert sorted(df.columns) == sorted(ocols)
-    assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(ocols, res.fetchall())
+    rel = duck.sql(E.oracle_sql()[name])
+    types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    assert types == {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(rel.columns, rel.fetchall())
