@@ -119,8 +119,17 @@ def verify(cases: DataFrame, ruleset: RuleSet) -> DataFrame:
         F.when(~recv_ok, F.array(F.format_string("expected receivers %s, got %s",
                                                  _go_list(F.col("expect_receivers")),
                                                  _go_list(F.col("got_receivers"))))).otherwise(F.array()))
-    return r.select("name", "got_rules", "got_receivers", (rules_ok & recv_ok).alias("pass"),
-                    msgs.cast("array<string>").alias("mismatches"))
+    ok = rules_ok & recv_ok
+    desc = F.col("description") if "description" in cases.columns else F.lit(None).cast("string")
+    # the report block of one case: PASS/FAIL line, then (on failure) the
+    # description and the mismatch lines, each indented by six spaces
+    detail = F.concat(F.when(F.coalesce(desc, F.lit("")) != "", F.array(F.regexp_replace(desc, "\n$", "")))
+                      .otherwise(F.array().cast("array<string>")), msgs.cast("array<string>"))
+    report = F.when(ok, F.concat(F.lit("PASS  "), F.col("name"))).otherwise(
+        F.concat_ws("\n", F.concat(F.lit("FAIL  "), F.col("name")),
+                    F.transform(detail, lambda m: F.concat(F.lit("      "), m))))
+    return r.select("name", desc.alias("description"), "got_rules", "got_receivers", ok.alias("pass"),
+                    msgs.cast("array<string>").alias("mismatches"), report.alias("report"))
 
 
 def verify_summary(results: DataFrame) -> DataFrame:

@@ -39,9 +39,7 @@ def main(argv: list[str]) -> None:
             cases, _ = cases_from_yaml(spark, f.read())
         res = rulesets.verify(cases, rs)
         for r in res.collect():
-            print(("PASS  " if r["pass"] else "FAIL  ") + r.name)
-            for m in r.mismatches:
-                print("      " + m)
+            print(r.report)
         s = rulesets.verify_summary(res).first()
         print(f"\n{s.passed} passed, {s.failed} failed, {s.total} total")
         rest = rest[1:]

@@ -144,3 +144,13 @@ verify:
 """)
     assert cases.count() == 1 and rejects.count() == 1
     assert R.verify(cases, example_ruleset()).first()["pass"]
+
+
+def test_verify_report_text(spark):
+    cases = spark.createDataFrame(
+        [("ok", {"severity": "critical", "team": "platform"}, ["critical-mirror"], ["oncall-mirror"], None),
+         ("bad", {"x": "1"}, ["critical-mirror"], ["log-sink"], "why it matters\n")], schemas.CASES)
+    rep = {r.name: r.report for r in RS.verify(cases, example_ruleset()).collect()}
+    assert rep["ok"] == "PASS  ok"
+    assert rep["bad"] == ("FAIL  bad\n      why it matters\n"
+                          "      expected rules     [critical-mirror], got [catch-all]")
