@@ -28,8 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertflow.functions.status import (FIRING_FAILED, FIRING_SENT, RESOLVED_FAILED, RESOLVED_SENT, desired_status,
-                                       failed_status, order_key)
+from alertflow.functions.status import (FIRING_FAILED, FIRING_SENT, ORDER_KEY_MIN, RESOLVED_FAILED, RESOLVED_SENT,
+                                       desired_status, failed_status, order_key)
 
 KEY = ["rule_name", "fingerprint"]
 STATUS_VALUES = [FIRING_SENT, FIRING_FAILED, RESOLVED_SENT, RESOLVED_FAILED]
@@ -64,21 +64,19 @@ def delivery_plan(decisions: DataFrame, ok: Column | str = "call_ok", seed: Data
         *cols,
         desired_status("ends_at", now).alias("desired"),
         F.coalesce(okc, F.lit(False)).alias("_ok"),
-        F.struct(*[F.col(c) for c in order]).alias("_ord"),
+        order_key(order[0], order[1]).alias("_ord"),
         F.floor(F.unix_micros(F.col(order[0])) / F.lit(chunk_seconds * 1_000_000)).alias("_chunk"),
         F.lit(False).alias("_seed"))
     if seed is not None:
-        first = rows.schema["_ord"].dataType
-        seed_ord = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in first.fields])
         s = seed.select(
             *KEY,
             F.when(F.col("status").startswith("resolved"), F.lit(RESOLVED_SENT))
              .otherwise(F.lit(FIRING_SENT)).alias("desired"),
             F.col("status").endswith("-sent").alias("_ok"),
-            seed_ord.alias("_ord"),
+            F.lit(ORDER_KEY_MIN).cast("decimal(38,0)").alias("_ord"),
             F.lit(_SEED_CHUNK).cast("long").alias("_chunk"),
             F.lit(True).alias("_seed"))
-        # NULL fields sort first inside the struct, so the seed precedes all rows
+        # the seed sorts before every row of its key (own chunk, minimal order)
         rows = rows.unionByName(s, allowMissingColumns=True)
 
     # position of each row in its key's order, as one long: chunk * 2**31 +
