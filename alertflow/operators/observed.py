@@ -22,7 +22,7 @@ VIEW_COLUMNS = ["fingerprint", "labels", "starts_at", "ends_at", "first_seen_at"
 
 
 def alert_state(pushes: DataFrame, seed: DataFrame | None = None,
-                order: tuple = ("observed_at", "seq")) -> DataFrame:
+                order: tuple = ("observed_at", "seq"), label_sets: DataFrame | None = None) -> DataFrame:
     """One row per fingerprint (schema ``schemas.ALERT_STATE``).
 
     ``pushes`` needs ``fingerprint, labels, starts_at, ends_at`` and the
@@ -35,9 +35,15 @@ def alert_state(pushes: DataFrame, seed: DataFrame | None = None,
     those few rows picks the labels of the newest push (labels are a function
     of the fingerprint, so this is one row per key unless two label sets
     share a fingerprint).
+
+    Pushes without a ``fingerprint`` column need ``label_sets`` (the
+    fingerprint table): the first level then groups by label set alone and
+    the fingerprint is attached to its (few) result rows, so no per-push
+    fingerprint join runs.
     """
+    fp = F.col("fingerprint") if "fingerprint" in pushes.columns else F.lit(None).cast("string")
     p = pushes.select(
-        "fingerprint", sorted_entries("labels").alias("_lkey"), "starts_at", "ends_at",
+        fp.alias("fingerprint"), sorted_entries("labels").alias("_lkey"), "starts_at", "ends_at",
         F.col(order[0]).alias("seen_at"), F.col(order[0]).alias("_first"),
         order_key(order[0], order[1]).alias("_ord"))
     if seed is not None:
@@ -51,6 +57,10 @@ def alert_state(pushes: DataFrame, seed: DataFrame | None = None,
         F.max("_ord").alias("_omax"),
         F.min_by("starts_at", "_ord").alias("starts_at"), F.min_by("_first", "_ord").alias("_first"),
         F.min("_ord").alias("_omin"))
+    if "fingerprint" not in pushes.columns:
+        if label_sets is None:
+            raise ValueError("pushes without fingerprints need the label_sets table")
+        g = g.drop("fingerprint").join(label_sets.select("_lkey", "fingerprint"), "_lkey", "inner")
     last = F.max_by(F.struct("_lkey", "ends_at", "seen_at"), "_omax")
     first = F.min_by(F.struct("starts_at", "_first"), "_omin")
     return (g.groupBy("fingerprint").agg(last.alias("_l"), first.alias("_f"))

@@ -74,8 +74,10 @@ class Inputs:
         return self._fp
 
     def state_at_as_of(self) -> DataFrame:
-        pushes = self.fp_alerts().where(F.col("observed_at") <= F.lit(AS_OF).cast("timestamp"))
-        return observed.alert_state(pushes)
+        """Observed state at as_of: pushes up to as_of folded per label set,
+        fingerprints attached from the label-set table."""
+        pushes = self.alerts().where(F.col("observed_at") <= F.lit(AS_OF).cast("timestamp"))
+        return observed.alert_state(pushes, label_sets=self.fp_table())
 
 
 def _plan(inp: Inputs, with_mutes: bool) -> DataFrame:
@@ -168,12 +170,16 @@ def _state_cols(s: DataFrame) -> DataFrame:
                     ts_text("first_seen_at").alias("first_seen_at"), ts_text("last_seen_at").alias("last_seen_at"))
 
 
+def _state(inp: Inputs) -> DataFrame:
+    return observed.alert_state(inp.alerts(), label_sets=inp.fp_table())
+
+
 def q_alert_state(spark, sf):
-    return _state_cols(observed.alert_state(Inputs(spark, sf).fp_alerts()))
+    return _state_cols(_state(Inputs(spark, sf)))
 
 
 def q_alert_state_retained(spark, sf):
-    s = observed.alert_state(Inputs(spark, sf).fp_alerts())
+    s = _state(Inputs(spark, sf))
     return _state_cols(observed.retain(s, AS_OF))
 
 

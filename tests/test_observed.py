@@ -103,3 +103,18 @@ def test_lookup_alerts_single_join(spark):
     got = sorted(tuple(r) for r in O.lookup_alerts(st, keys, now).collect())
     assert got == [("f1", True, "firing", None), ("f2", True, "expired", None),
                    ("zz", False, None, 'alert "zz" not found')]
+
+
+def test_state_from_label_sets_equals_fingerprinted(spark):
+    from alertflow.functions.labels import fingerprint_table, with_fingerprint
+    rng = random.Random(12)
+    rows = []
+    for i in range(400):
+        t = T0 + dt.timedelta(minutes=rng.randint(0, 300))
+        rows.append(({"a": str(rng.randint(0, 6)), "b": rng.choice(["x", "y"])}, t, rng.choice([None, t]), t, i))
+    df = spark.createDataFrame(rows, f"labels {MAP}, starts_at timestamp, ends_at timestamp, observed_at timestamp, "
+                                     "seq long")
+    table = fingerprint_table(df)
+    a = sorted(tuple(r) for r in O.alert_state(df, label_sets=table).collect())
+    b = sorted(tuple(r) for r in O.alert_state(with_fingerprint(df, table=table)).collect())
+    assert a == b and len(a) == 14
