@@ -33,7 +33,10 @@ from alertflow.functions.status import (FIRING_FAILED, FIRING_SENT, ORDER_KEY_MI
 
 KEY = ["rule_name", "fingerprint"]
 STATUS_VALUES = [FIRING_SENT, FIRING_FAILED, RESOLVED_SENT, RESOLVED_FAILED]
-DEFAULT_CHUNK_SECONDS = 3600
+DEFAULT_CHUNK_SECONDS = 3600  # for callers that want fixed time slices
+HOT_KEY_ROWS = 1_000_000      # a key with more rows is cut into time slices
+HOT_CHUNK_ROWS = 1_000_000    # about this many rows per slice of a hot key
+HOT_KEYS_BROADCAST_MAX = 200_000
 _SEED_CHUNK = -(1 << 31)
 _SEED_POS = -(1 << 62)
 
@@ -47,9 +50,29 @@ def _maxes(desired: Column, ok: Column, ordk: Column) -> list[Column]:
 _NAMES = ["ok_f", "ok_r", "any_f", "any_r"]
 
 
+def _adaptive_chunk(rows: DataFrame, time_col: str, hot_rows: int, target_rows: int) -> Column:
+    """Chunk per row: 0 for ordinary keys (the whole key is one window
+    partition), time slices of about ``target_rows`` rows for hot keys.
+
+    Hot keys (more than ``hot_rows`` rows) are found by one partial-aggregated
+    count per key; there are at most ``rows / hot_rows`` of them, and their
+    table is broadcast only when its counted size is small.
+    """
+    micros = F.unix_micros(F.col(time_col))
+    stats = (rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"), F.min(micros).alias("_t0"),
+                                    F.max(micros).alias("_t1"))
+             .where(F.col("_n") > hot_rows))
+    # small and bounded; cached (recomputed from its input if an executor is
+    # lost) and counted before it is broadcast
+    stats = stats.cache()
+    side = F.broadcast(stats) if stats.count() <= HOT_KEYS_BROADCAST_MAX else stats
+    return side
+
+
 def delivery_plan(decisions: DataFrame, ok: Column | str = "call_ok", seed: DataFrame | None = None,
                   now: str = "observed_at", order: tuple = ("observed_at", "seq"),
-                  chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+                  chunk_seconds: int | None = None, hot_rows: int = HOT_KEY_ROWS,
+                  target_rows: int = HOT_CHUNK_ROWS) -> DataFrame:
     """Every decision row with ``desired``, ``deliver`` and the recorded
     ``status`` of the attempt (NULL when skipped).
 
@@ -57,6 +80,10 @@ def delivery_plan(decisions: DataFrame, ok: Column | str = "call_ok", seed: Data
     columns; ``ok`` is the call outcome (known in a replay or simulation).
     ``seed`` is a ``notifications`` snapshot (rule_name, fingerprint, status)
     holding the history before the first row.
+
+    Chunks: with ``chunk_seconds`` every key is cut into fixed time slices;
+    by default an ordinary key is one chunk and only hot keys (more than
+    ``hot_rows`` rows) are cut into slices of about ``target_rows`` rows.
     """
     okc = F.col(ok) if isinstance(ok, str) else ok
     cols = decisions.columns
@@ -65,8 +92,18 @@ def delivery_plan(decisions: DataFrame, ok: Column | str = "call_ok", seed: Data
         desired_status("ends_at", now).alias("desired"),
         F.coalesce(okc, F.lit(False)).alias("_ok"),
         order_key(order[0], order[1]).alias("_ord"),
-        F.floor(F.unix_micros(F.col(order[0])) / F.lit(chunk_seconds * 1_000_000)).alias("_chunk"),
         F.lit(False).alias("_seed"))
+    if chunk_seconds:
+        rows = rows.withColumn(
+            "_chunk", F.floor(F.unix_micros(F.col(order[0])) / F.lit(chunk_seconds * 1_000_000)))
+    else:
+        hot = _adaptive_chunk(rows, order[0], hot_rows, target_rows)
+        span = F.col("_t1") - F.col("_t0") + 1
+        width = F.greatest(F.lit(1), F.ceil(span * F.lit(target_rows) / F.col("_n")))
+        chunk = F.when(F.col("_n").isNull(), F.lit(0).cast("long")).otherwise(
+            F.floor((F.unix_micros(F.col(order[0])) - F.col("_t0")) / width))
+        rows = (rows.join(hot, KEY, "left").withColumn("_chunk", chunk.cast("long"))
+                .drop("_n", "_t0", "_t1"))
     if seed is not None:
         s = seed.select(
             *KEY,

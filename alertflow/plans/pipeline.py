@@ -60,7 +60,7 @@ def routed_decisions(alerts: DataFrame, ruleset: RuleSet, mutes: DataFrame | Non
 
 def replay(alerts: DataFrame, ruleset: RuleSet, mutes: DataFrame | None = None,
            seed: DataFrame | None = None, ok: Column | str = "call_ok",
-           failing_receivers=(), chunk_seconds: int = delivery.DEFAULT_CHUNK_SECONDS,
+           failing_receivers=(), chunk_seconds: int | None = None,
            fingerprinted: bool = False, checkpoint_decisions: bool = True) -> ReplayResult:
     """What would this rule set have sent for this alert history?
 

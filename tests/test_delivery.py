@@ -100,3 +100,16 @@ def test_snapshot_and_last_attempt(spark):
     dec = spark.createDataFrame([("r", "f"), ("r", "g")], "rule_name string, fingerprint string")
     la = {r.fingerprint: r.prev_status for r in D.last_attempt(dec, D.notification_snapshot(att)).collect()}
     assert la == {"f": "firing-sent", "g": None}
+
+
+def test_adaptive_chunks_for_hot_keys(spark):
+    rng = random.Random(33)
+    keys = [("0", "0"), ("0", "1"), ("1", "0"), ("2", "2")]
+    rows = _random_rows(rng, 900, keys, 60 * 24) + _random_rows(rng, 40, [("9", "9")], 60 * 24)
+    rows = [(r[0], r[1], r[2], i, r[4], r[5]) for i, r in enumerate(rows)]
+    seed = {("r0", "f0"): "firing-sent", ("r9", "f9"): "resolved-failed"}
+    df = spark.createDataFrame(rows, SCHEMA)
+    sd = spark.createDataFrame([(k[0], k[1], v) for k, v in seed.items()],
+                               "rule_name string, fingerprint string, status string")
+    out = D.delivery_plan(df, ok="ok", seed=sd, hot_rows=50, target_rows=37).collect()
+    assert {r.seq: r.status for r in out} == _model(rows, seed)
