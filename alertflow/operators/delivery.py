@@ -28,6 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from alertflow.session import materialize
 from alertflow.functions.status import (FIRING_FAILED, FIRING_SENT, ORDER_KEY_MIN, RESOLVED_FAILED, RESOLVED_SENT,
                                        desired_status, failed_status, order_key)
 
@@ -62,9 +63,10 @@ def _adaptive_chunk(rows: DataFrame, time_col: str, hot_rows: int, target_rows:
     stats = (rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"), F.min(micros).alias("_t0"),
                                     F.max(micros).alias("_t1"))
              .where(F.col("_n") > hot_rows))
-    # small and bounded; cached (recomputed from its input if an executor is
-    # lost) and counted before it is broadcast
-    stats = stats.cache()
+    # small and bounded; checkpointed (no cached blocks left behind by a
+    # long-running stream calling this per micro-batch) and counted before
+    # it is broadcast
+    stats = materialize(stats)
     side = F.broadcast(stats) if stats.count() <= HOT_KEYS_BROADCAST_MAX else stats
     return side
 
