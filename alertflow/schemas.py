@@ -23,7 +23,7 @@ ALERTS = T.StructType([
     T.StructField("generator_url", T.StringType()),
 ])
 
-# One alert as posted (Alertmanager v2 field names).
+# One alert as posted (the common v2 alert JSON: labels, annotations, startsAt, endsAt, generatorURL).
 POSTABLE_ALERT = T.StructType([
     T.StructField("labels", LABELS),
     T.StructField("annotations", LABELS),

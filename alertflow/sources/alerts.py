@@ -1,6 +1,6 @@
 """Alert readers (S1, S2, S3, S9) and the stored-table readers.
 
-A posted batch is a JSON array of Alertmanager-v2 alerts. The whole file is
+A posted batch is a JSON array of v2-format alerts. The whole file is
 read as one text value, parsed with an explicit schema and exploded with
 its position, so arrival order survives as ``seq``. A body that does not
 parse is rejected whole, as the reference rejects the request.
