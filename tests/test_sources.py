@@ -80,3 +80,16 @@ def test_observed_state_stream(spark):
     want = {r.fingerprint: r for r in observed.alert_state(spark.createDataFrame(rows, schema)).collect()}
     assert got.keys() == want.keys()
     assert got["f1"].ends_at == t0 and got["f1"].last_seen_at == t0 + dt.timedelta(hours=1)
+
+
+def test_observe_counters_in_a_plain_stream(spark):
+    from alertflow.operators.metrics import observe_counters
+    src = tempfile.mkdtemp(prefix="af-obs-")
+    spark.range(25).selectExpr("id AS alert_id").coalesce(1).write.parquet(f"{src}/in")
+    stream = spark.readStream.schema("alert_id long").parquet(f"{src}/in")
+    q = (observe_counters(stream).writeStream.format("memory").queryName("obs_out")
+         .trigger(availableNow=True).option("checkpointLocation", tempfile.mkdtemp(prefix="af-ck3-")).start())
+    q.awaitTermination()
+    seen = [p["observedMetrics"]["alertflow_counters"]["alerts_received"] for p in q.recentProgress
+            if p.get("observedMetrics", {}).get("alertflow_counters")]
+    assert sum(seen) == 25
