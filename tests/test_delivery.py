@@ -113,3 +113,32 @@ def test_adaptive_chunks_for_hot_keys(spark):
                                "rule_name string, fingerprint string, status string")
     out = D.delivery_plan(df, ok="ok", seed=sd, hot_rows=50, target_rows=37).collect()
     assert {r.seq: r.status for r in out} == _model(rows, seed)
+
+
+def test_hot_key_slices_are_bounded_and_exact(spark):
+    from pyspark.sql import functions as F
+    n = 200_000
+    # one flapping alert under one rule: 200k pushes, plus an ordinary key
+    df = (spark.range(n + 1000)
+          .select(F.when(F.col("id") < n, F.lit("hot")).otherwise(F.lit("cold")).alias("fingerprint"),
+                  F.lit("r").alias("rule_name"),
+                  (F.lit(T0).cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("id") * 7))
+                  .alias("observed_at"),
+                  F.col("id").alias("seq"),
+                  F.when((F.col("id") / 3).cast("long") % 2 == 0, F.lit(None).cast("timestamp"))
+                   .otherwise(F.lit(T0).cast("timestamp")).alias("ends_at"),
+                  (F.col("id") % 5 != 0).alias("ok")))
+    adaptive = D.delivery_plan(df, ok="ok", hot_rows=50_000, target_rows=20_000)
+    fixed = D.delivery_plan(df, ok="ok", chunk_seconds=86400 * 365)
+    diff = (adaptive.select("seq", "status").exceptAll(fixed.select("seq", "status")).count()
+            + fixed.select("seq", "status").exceptAll(adaptive.select("seq", "status")).count())
+    assert diff == 0
+    # the slices of the hot key: about target_rows each, the cold key one chunk
+    stats = D._adaptive_chunk(df.select("rule_name", "fingerprint", "observed_at"), "observed_at", 50_000, 20_000)
+    st = stats.collect()
+    assert [r.fingerprint for r in st] == ["hot"] and st[0]._n == n
+    width = -(-(st[0]._t1 - st[0]._t0 + 1) * 20_000 // n)
+    per_chunk = (df.where(F.col("fingerprint") == "hot")
+                 .groupBy(F.floor((F.unix_micros("observed_at") - F.lit(st[0]._t0)) / F.lit(width)).alias("c"))
+                 .count().agg(F.max("count"), F.count(F.lit(1))).first())
+    assert per_chunk[0] <= 20_001 and per_chunk[1] >= 10
