@@ -42,11 +42,11 @@ def failing_outcome(ok_col: str, failing_receivers=()) -> Column:
 
 
 def routed_decisions(alerts: DataFrame, ruleset: RuleSet, mutes: DataFrame | None = None,
-                     fingerprinted: bool = False) -> DataFrame:
+                     fingerprinted: bool = False, label_sets: DataFrame | None = None) -> DataFrame:
     """Unmuted alerts routed to known receivers, with fingerprints. The label
     set table is built once and serves both the fingerprint and the mute
     match (which then runs per label set, not per alert)."""
-    table = None
+    table = label_sets
     if fingerprinted:
         a = alerts
     else:
@@ -61,7 +61,8 @@ def routed_decisions(alerts: DataFrame, ruleset: RuleSet, mutes: DataFrame | Non
 def replay(alerts: DataFrame, ruleset: RuleSet, mutes: DataFrame | None = None,
            seed: DataFrame | None = None, ok: Column | str = "call_ok",
            failing_receivers=(), chunk_seconds: int | None = None,
-           fingerprinted: bool = False, checkpoint_decisions: bool = True) -> ReplayResult:
+           fingerprinted: bool = False, checkpoint_decisions: bool = True,
+           label_sets: DataFrame | None = None) -> ReplayResult:
     """What would this rule set have sent for this alert history?
 
     The routed decisions are checkpointed: the state machine reads them in
@@ -69,7 +70,7 @@ def replay(alerts: DataFrame, ruleset: RuleSet, mutes: DataFrame | None = None,
     scan, fingerprint and mute joins from running twice. It also cuts the
     lineage, so a lost executor does not recompute the mute join.
     """
-    dec = routed_decisions(alerts, ruleset, mutes, fingerprinted=fingerprinted)
+    dec = routed_decisions(alerts, ruleset, mutes, fingerprinted=fingerprinted, label_sets=label_sets)
     if checkpoint_decisions:
         dec = materialize(dec)
     okc = failing_outcome(ok, failing_receivers) if isinstance(ok, str) else ok

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from alertflow import schemas
-from alertflow.functions.labels import with_fingerprint
+from alertflow.functions.labels import fingerprint_table, with_fingerprint
 from alertflow.functions.status import desired_status
 from alertflow.session import materialize
 from alertflow.operators import delivery, metrics, observed
@@ -59,9 +59,10 @@ class ReplaySink:
         mutes = spark.read.schema(schemas.MUTES).parquet(self.mutes_path) if self.mutes_path else None
         notif = self._snapshot(spark, "notifications", schemas.NOTIFICATIONS, batch_id)
         state = self._snapshot(spark, "alert_state", schemas.ALERT_STATE, batch_id)
-        fa = with_fingerprint(batch)
+        table = fingerprint_table(batch)
+        fa = with_fingerprint(batch, table=table)
         r = replay(fa, self.ruleset, mutes=mutes, seed=notif, ok=self.ok, failing_receivers=self.failing,
-                   fingerprinted=True)
+                   fingerprinted=True, label_sets=table)
         # the plan feeds three writes below: compute it once
         r.plan = materialize(r.plan)
         # A replayed micro-batch rewrites only its own folder

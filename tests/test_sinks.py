@@ -50,3 +50,16 @@ def test_outbox_write_and_counters(spark):
     p = outbox.write_snapshot(delivery.notification_snapshot(delivery.attempts(plan)), snap_dir, 1)
     assert spark.read.parquet(p).count() > 0
     outbox.write_json(ob.limit(5), tempfile.mkdtemp(prefix="af-json-") + "/o")
+
+
+def test_replay_with_given_label_sets_equals_plain(spark):
+    from alertflow.functions.labels import fingerprint_table
+    from alertflow.plans.pipeline import replay
+    a = testdata.load_alerts(spark, SF_SMALL)
+    m = testdata.load_mutes(spark, SF_SMALL)
+    plain = replay(a, example_ruleset(), mutes=m).plan.select("alert_id", "rule_name", "status")
+    table = fingerprint_table(a)
+    given = replay(with_fingerprint(a, table=table), example_ruleset(), mutes=m, fingerprinted=True,
+                   label_sets=table).plan.select("alert_id", "rule_name", "status")
+    assert plain.exceptAll(given).count() == 0 and given.exceptAll(plain).count() == 0
+    assert plain.count() == 1017
