@@ -38,7 +38,9 @@ class ReplaySink:
 
     def __init__(self, ruleset: RuleSet, out_dir: str, mutes_path: str | None = None,
                  failing_receivers=(), ok: str | Callable = "call_ok",
-                 initial_notifications: str | None = None, initial_state: str | None = None):
+                 initial_notifications: str | None = None, initial_state: str | None = None,
+                 retention_seconds: int | None = None):
+        self.retention = retention_seconds
         self.ruleset, self.out = ruleset, out_dir.rstrip("/")
         self.mutes_path, self.failing, self.ok = mutes_path, tuple(failing_receivers), ok
         self.initial = {"notifications": initial_notifications, "alert_state": initial_state}
@@ -79,6 +81,14 @@ class ReplaySink:
         (metrics.counters(batch, r.plan)
          .write.mode("overwrite").parquet(f"{self.out}/counters/batch_id={batch_id}"))
         new_state = observed.alert_state(fa, seed=state)
+        if self.retention:
+            # Keep fingerprints seen within the window before this
+            # batch's newest push (one aggregate over the batch)
+            cutoff = batch.agg(F.max("observed_at")).first()[0]
+            if cutoff is not None:
+                new_state = observed.retain(new_state, F.lit(cutoff).cast("timestamp")
+                                            - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0),
+                                                                 F.lit(self.retention)))
         new_state.write.mode("overwrite").parquet(f"{self.out}/alert_state/v={batch_id + 1:08d}")
 
 

@@ -118,3 +118,19 @@ def test_dedup_stream_equals_plan(spark):
     inp = spark.read.schema(schema).parquet(f"{src}/in")
     want = {(r.seq, r.status) for r in delivery.delivery_plan(inp, ok="ok").where("deliver").collect()}
     assert got == want and len(got) > 0
+
+
+def test_sink_retention_drops_old_fingerprints(spark):
+    src = tempfile.mkdtemp(prefix="af-ret-")
+    out = tempfile.mkdtemp(prefix="af-ret-out-")
+    for i, (labels, t) in enumerate([({"a": "old"}, 1_700_000_000), ({"a": "new"}, 1_700_100_000)]):
+        p = os.path.join(src, f"b{i}.json")
+        with open(p, "w") as f:
+            json.dump([{"labels": labels, "startsAt": "2023-11-14T00:00:00Z"}], f)
+        os.utime(p, (t, t))
+    stream, _ = S.read_alert_stream(spark, src, max_files_per_trigger=1)
+    sink = SP.ReplaySink(example_ruleset(), out, retention_seconds=3600)
+    SP.start_replay_stream(stream, sink, tempfile.mkdtemp(prefix="af-ret-ck-")).awaitTermination()
+    last = max(int(r.batch_id) for r in spark.read.parquet(f"{out}/attempts").select("batch_id").distinct().collect())
+    st = spark.read.parquet(f"{out}/alert_state/v={last + 1:08d}").collect()
+    assert [r.labels for r in st] == [{"a": "new"}]
