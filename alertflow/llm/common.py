@@ -38,11 +38,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def id_remainder(id_col: Column, n: int) -> Column:
-    """crc32 of the id as text, modulo ``n``; a null id counts as ''."""
-    return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % n
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over a 64-bit word (vectorised)."""
     x = x.astype(np.uint64, copy=True)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from alertflow.llm import exact_dedup, mixing, url_filter
+from alertflow.llm import chat_format, exact_dedup, mixing, url_filter
 
 QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op8_url_filters": url_filter.op8_url_filters,
+    "op9_chat_format": chat_format.op9_chat_format,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLES = {
     "op4_mixing": mixing.ORACLE,
     "op8_url_filters": url_filter.ORACLE,
+    "op9_chat_format": chat_format.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
