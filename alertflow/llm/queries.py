@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from alertflow.llm import chat_format, exact_dedup, mixing, url_filter
+from alertflow.llm import chat_format, exact_dedup, mixing, toxicity, url_filter
 
 QUERIES = {
     "op4_mixing": mixing.op4_mixing,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_url_filters": url_filter.op8_url_filters,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
