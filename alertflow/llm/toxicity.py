@@ -4,8 +4,8 @@ Token weights: log-odds of a token in toxic against other labelled documents
 under an informative Dirichlet prior (the token's frequency in the whole
 corpus), divided by its standard error. A token counts once per document, and
 equal labelled texts count once, so neither repetition inside a text nor a
-group of copies passes for evidence. Tokens whose weight passes ``Z_MIN`` and
-``Z_SHARE`` score their weight, every other token scores ``-drift``. One linear scan per
+group of copies passes for evidence. Tokens whose weight is significant
+score their weight, every other token scores ``-drift``. One linear scan per
 document finds all maximal segments of positive total (Ruzzo-Tompa). Segment
 scores are put on the scale of chance by extreme-value statistics: ``lambda``
 solves E[exp(lambda * s)] = 1 over tokens of non-toxic documents, and a
@@ -36,59 +36,64 @@ import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from alertflow.llm.common import read_table
+from alertflow.llm.common import read_table, staged
 from alertflow.llm.features import bounded_sample, id_remainder, logistic_on_bins, sum_counts
 
-BITS = 18
-BUCKETS = 1 << BITS
-#: Weights below this many standard errors, or below this share of the strongest weight, count as no evidence.
-Z_MIN, Z_SHARE = 2.75, 0.4
+#: A token needs to be in so many toxic labelled texts.
+MIN_TOXIC = 3
+#: Weights below this many standard errors count as no evidence, and so do tokens whose count among toxic texts
+#: could be chance: the binomial tail, times the number of tokens tested, must stay below ``CHANCE``.
+Z_MIN, CHANCE = 2.5, 0.05
 MAX_LABELLED = 20_000
 #: Characters cut from both ends of a word.
 PUNCTUATION = b".,!?|#*$%&;:\"'()[]<>"
 _CACHE_ROWS = 300_000
 
 
-class TokenBuckets(dict):
-    """Word -> bucket, remembered for up to ``_CACHE_ROWS`` words."""
+class TokenIds(dict):
+    """Word -> 64-bit id of the word without outer punctuation, remembered for up to ``_CACHE_ROWS`` words."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= _CACHE_ROWS:
             self.clear()
-        bucket = self[word] = xxhash.xxh3_64_intdigest(word.strip(PUNCTUATION)) & (BUCKETS - 1)
-        return bucket
+        token = self[word] = xxhash.xxh3_64_intdigest(word.strip(PUNCTUATION)) - (1 << 63)
+        return token
 
 
-_buckets = TokenBuckets()
+_ids = TokenIds()
 
 
-def token_buckets(text: str | None) -> np.ndarray:
-    """Bucket of each word of the text, lower-cased (A-Z), in order."""
+def token_ids(text: str | None) -> np.ndarray:
+    """Id of each word of the text, lower-cased (A-Z), in order."""
     words = text.encode().lower().split() if text else []
-    return np.fromiter(map(_buckets.__getitem__, words), np.int64, len(words))
+    return np.fromiter(map(_ids.__getitem__, words), np.int64, len(words))
 
 
 @dataclass
 class Model:
-    weights: np.ndarray   # per bucket: z, or -drift
+    tokens: np.ndarray    # ids of the tokens that count as evidence, sorted
+    weights: np.ndarray   # their z
+    drift: float          # what every other token costs
     lam: float
     log_k: float
     slope: float
     offset: float
 
-    def segments(self, buckets: np.ndarray) -> list[tuple[int, int, float]]:
+    def segments(self, ids: np.ndarray) -> list[tuple[int, int, float]]:
         """All significant segments (first token, last token + 1, evidence > 0)."""
-        if not len(buckets):
+        if not len(ids) or not len(self.tokens):
             return []
-        s = self.weights[buckets]
-        at = np.flatnonzero(s > 0)
+        place = np.minimum(np.searchsorted(self.tokens, ids), len(self.tokens) - 1)
+        at = np.flatnonzero(self.tokens[place] == ids)
         if not len(at):
             return []
-        edge = self.log_k + np.log(len(buckets))
+        s = np.full(len(ids), -self.drift)
+        s[at] = self.weights[place[at]]
+        edge = self.log_k + np.log(len(ids))
         return [(a, b, e) for a, b, total in maximal_segments(s, at) if (e := self.lam * total - edge) > 0]
 
-    def evidence(self, buckets: np.ndarray) -> float:
-        return float(sum(e for *_, e in self.segments(buckets)))
+    def evidence(self, ids: np.ndarray) -> float:
+        return float(sum(e for *_, e in self.segments(ids)))
 
     def score(self, evidence: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * np.log1p(evidence) + self.offset, -30, 30))))
@@ -113,16 +118,23 @@ def maximal_segments(s: np.ndarray, at: np.ndarray) -> list[tuple[int, int, floa
     return [(a, b, r - l) for a, b, l, r in stack]
 
 
-def log_odds(toxic: np.ndarray, other: np.ndarray, corpus: np.ndarray) -> np.ndarray:
-    """z of each bucket's log-odds, prior as heavy as the labelled tokens."""
-    n_t, n_o = toxic.sum(), other.sum()
-    prior = corpus / max(1, corpus.sum()) * (n_t + n_o) + 1e-9
-    p0 = prior.sum()
+def log_odds(toxic, other, corpus, n_toxic: float, n_other: float, n_corpus: float) -> np.ndarray:
+    """z of each token's log-odds; the prior is as heavy as the labelled tokens."""
+    p0 = n_toxic + n_other
+    prior = corpus / max(1, n_corpus) * p0 + 1e-9
     a, b = toxic + prior, other + prior
-    delta = np.log(a / (n_t + p0 - a + 1e-9)) - np.log(b / (n_o + p0 - b + 1e-9))
+    delta = np.log(a / (n_toxic + p0 - a + 1e-9)) - np.log(b / (n_other + p0 - b + 1e-9))
     return delta / np.sqrt(1 / a + 1 / b)
 
 
+def binomial_log_tail(hits: np.ndarray, misses: np.ndarray, share: float) -> np.ndarray:
+    """Chernoff bound of ln P(at least ``hits`` of hits + misses) when each is a hit with probability ``share``."""
+    n, share = hits + misses, min(max(share, 1e-9), 1 - 1e-9)
+    rate = np.clip(hits / n, 1e-12, 1 - 1e-12)
+    bound = -n * (rate * np.log(rate / share) + (1 - rate) * np.log((1 - rate) / (1 - share)))
+    return np.where(rate > share, bound, 0.0)
+
+
 def karlin_lambda(values: np.ndarray, share: np.ndarray) -> float:
     """Positive root of E[exp(lambda * s)] = 1 for a score with negative mean."""
     low, high = 0.0, 1.0
@@ -135,17 +147,32 @@ def karlin_lambda(values: np.ndarray, share: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def _count(batch: pa.RecordBatch, groups: int) -> np.ndarray:
-    """Number of documents per bucket; column 0 text, column 1 (if any) the group."""
-    out = np.zeros((groups, BUCKETS), np.int64)
-    group = batch.column(1).to_pylist() if batch.num_columns > 1 else [0] * batch.num_rows
-    parts: list[list[np.ndarray]] = [[] for _ in range(groups)]
-    for text, g in zip(batch.column(0).to_pylist(), group, strict=True):
-        parts[g].append(np.unique(token_buckets(text)))
-    for g, p in enumerate(parts):
-        if p:
-            out[g] += np.bincount(np.concatenate(p), minlength=BUCKETS)
-    return out
+def _document_counts(rows: DataFrame, groups: int, only: np.ndarray | None = None) -> DataFrame:
+    """token, n0 .. n(groups-1): documents with the token by group. The row of the null token has the totals of
+    all tokens. ``rows``: text and group; ``only``: sorted ids of the tokens to count (default all)."""
+    shared = rows.sparkSession.sparkContext.broadcast(only)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        want = shared.value
+        for b in batches:
+            texts, group = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for g in range(groups):
+                parts = [np.unique(token_ids(t)) for t, k in zip(texts, group, strict=True) if k == g]
+                found = np.concatenate([np.zeros(0, np.int64), *parts])
+                total = len(found)
+                if want is not None and len(want):
+                    found = found[want[np.minimum(np.searchsorted(want, found), len(want) - 1)] == found]
+                token, n = np.unique(found, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([None, *token.tolist()], pa.int64()), pa.array([g] * (len(token) + 1), pa.int32()),
+                     pa.array([total, *n.tolist()], pa.int64())], names=["token", "g", "n"])
+
+    return rows.mapInArrow(run, "token long, g int, n long").groupBy("token").agg(
+        *[F.coalesce(F.sum(F.when(F.col("g") == g, F.col("n"))), F.lit(0)).alias(f"n{g}") for g in range(groups)])
+
+
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    return table[name].to_numpy().astype(np.float64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
@@ -161,23 +188,38 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
     calibration = id_remainder(F.col("__id"), 4) == 2
     # 0/1: labels behind the weights; 2/3: labels behind the curve
     group = (F.col("__label").cast("int") + F.when(calibration, 2).otherwise(0)).cast("int")
-    grouped = (rows.select("__text", group.alias("__group"), F.xxhash64("__text").alias("__hash"))
-               .dropDuplicates(["__hash", "__group"]).drop("__hash"))
-    corpus = sum_counts(texts, ["__text"], lambda b: _count(b, 1), (1, BUCKETS))[0]
-    counts = sum_counts(grouped, ["__text", "__group"], lambda b: _count(b, 4), (4, BUCKETS))
-    z = log_odds(counts[1], counts[0], corpus)
-    strong = np.where(z >= max(Z_MIN, Z_SHARE * z.max()), z, 0.0)
-    background = (counts[0] + counts[2]) / max(1, (counts[0] + counts[2]).sum())
-    drift = max(0.05 * Z_MIN, 4 * float((background * strong).sum()))
-    weights = np.where(strong > 0, strong, -drift).astype(np.float64)
-    if background.sum() > 0 and strong.max() > 0:
-        # a floor on the share of evidence keeps lambda finite when no evidence occurs in the background
-        share = np.append(background, 1e-6)
-        lam = karlin_lambda(np.append(weights, strong.max()), share / share.sum())
-        hit = float((background * (strong > 0)).sum()) + 1e-6
+    grouped = staged(rows.select("__text", group.alias("__group"), F.xxhash64("__text").alias("__hash"))
+               .dropDuplicates(["__hash", "__group"]).drop("__hash"), "toxic-labelled")
+    # a token is a candidate if it is in enough toxic texts, and in a larger share of them than of the others
+    counted = staged(_document_counts(grouped, 4), "toxic-counts")
+    totals = counted.filter("token IS NULL").toArrow()
+    n_other, n_toxic, n_other2, n_toxic2 = (float(_column(totals, f"n{g}").sum()) for g in range(4))
+    found = (counted.filter((F.col("token").isNotNull()) & (F.col("n1") >= MIN_TOXIC)
+                            & (F.col("n1") * F.lit(n_other) > F.col("n0") * F.lit(n_toxic)))
+             .orderBy("token").toArrow())
+    tokens = found["token"].to_numpy()
+    if len(tokens):
+        prior = _document_counts(texts.select("__text", F.lit(0)), 1, tokens).toArrow()
+        known = prior["token"].is_valid().to_numpy()
+        n_corpus = float(_column(prior, "n0")[~known].sum())
+        corpus = np.zeros(len(tokens))
+        corpus[np.searchsorted(tokens, prior["token"].drop_null().to_numpy())] = _column(prior, "n0")[known]
+        tail = binomial_log_tail(_column(found, "n1"), _column(found, "n0"), n_toxic / max(1.0, n_toxic + n_other))
+        z = log_odds(_column(found, "n1"), _column(found, "n0"), corpus, n_toxic, n_other, n_corpus)
+        strong = (z >= Z_MIN) & (tail + np.log(len(tokens)) < np.log(CHANCE))
+    else:
+        z, strong = np.zeros(0), np.zeros(0, bool)
+    tokens, weights = tokens[strong], z[strong]
+    # how often non-toxic documents show each weight; the floor keeps lambda finite when none does
+    share = (_column(found, "n0") + _column(found, "n2"))[strong] / max(1.0, n_other + n_other2)
+    drift = max(0.05 * Z_MIN, 4 * float((share * weights).sum()))
+    if len(weights):
+        values, odds = np.append(weights, [weights.max(), -drift]), np.append(share, [1e-6, 0.0])
+        odds[-1] = 1 - odds.sum()
+        lam, hit = karlin_lambda(values, odds), float(odds[:-1].sum())
     else:
         lam, hit = 1.0, 1.0
-    model = Model(weights, lam, float(np.log(hit)), 0.0, 0.0)
+    model = Model(tokens, weights, drift, lam, float(np.log(hit)), 0.0, 0.0)
     held = _evidence_counts(grouped.filter("__group >= 2"), model)
     if held[1].sum() < 5:  # too few kept out: fall back on all labelled rows
         held = held + _evidence_counts(grouped.filter("__group < 2"), model)
@@ -197,7 +239,7 @@ def _evidence_counts(grouped: DataFrame, model: Model, bins: int = 120) -> np.nd
     def counts(b: pa.RecordBatch) -> np.ndarray:
         out = np.zeros((2, bins), np.int64)
         for text, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            e = np.log1p(shared.value.evidence(token_buckets(text)))
+            e = np.log1p(shared.value.evidence(token_ids(text)))
             out[g % 2, min(bins - 1, int(round(e * 10)))] += 1
         return out
 
@@ -212,7 +254,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         m = shared.value
         kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("evidence", pa.float64())]))
         for b in batches:
-            found = [m.segments(token_buckets(t)) for t in b.column(1).to_pylist()]
+            found = [m.segments(token_ids(t)) for t in b.column(1).to_pylist()]
             scores = [m.score(sum(e for *_, e in f)) for f in found]
             passages = [[{"first": int(i), "end": int(j), "evidence": float(e)} for i, j, e in f] for f in found]
             yield pa.RecordBatch.from_arrays(
@@ -232,7 +274,7 @@ def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, at = shared.value, names.index(text_col)
         for b in batches:
-            clean = [m.score(m.evidence(token_buckets(t))) < 0.5 for t in b.column(at).to_pylist()]
+            clean = [m.score(m.evidence(token_ids(t))) < 0.5 for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
