@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from alertflow.llm import chat_format, exact_dedup, mixing, toxicity, url_filter
+from alertflow.llm import chat_format, exact_dedup, language_id, mixing, quality, toxicity, url_filter
 
 QUERIES = {
     "op4_mixing": mixing.op4_mixing,
+    "op5_language_id": language_id.op5_language_id,
+    "op6_quality_rules": quality.op6_quality_rules,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_url_filters": url_filter.op8_url_filters,
     "op9_chat_format": chat_format.op9_chat_format,
