@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from alertflow.llm import chat_format, exact_dedup, language_id, minhash_forest, mixing, quality, toxicity, url_filter
+from alertflow.llm import chat_format, exact_dedup, language_id, minhash_forest, mixing, quality, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op2_minhash_dedup": minhash_forest.op2_minhash_dedup,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_mixing": mixing.op4_mixing,
     "op5_language_id": language_id.op5_language_id,
     "op6_quality_rules": quality.op6_quality_rules,
