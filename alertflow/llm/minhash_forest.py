@@ -96,21 +96,22 @@ def _sketch(sig: np.ndarray) -> bytes:
 
 
 def _profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, fp (128-bit digest of the set; null if empty), sig."""
+    """doc_id, text_key, n_shingles, fp (128-bit digest of the set; null if empty), sig."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, fps, sigs = [], [], []
-            for t in b.column(1).to_pylist():
+            for t in b.column(2).to_pylist():
                 s = shingles(t)
                 sizes.append(len(s))
                 fps.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sigs.append(signature(s).astype(">u4").tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(sigs, pa.binary())],
-                names=["doc_id", "n_shingles", "fp", "sig"])
+                [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()),
+                 pa.array(sigs, pa.binary())], names=["doc_id", "text_key", "n_shingles", "fp", "sig"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {id_type}, n_shingles long, fp binary, sig binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(
+        run, f"doc_id {id_type}, text_key long, n_shingles long, fp binary, sig binary")
 
 
 def _orders(classes: DataFrame) -> DataFrame:
@@ -275,7 +276,7 @@ def _other_components(pairs: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept."""
+    """Per document: doc_id, n_shingles, component_id, kept, text_key (hash of the text)."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     profiles = staged(_profiles(docs), "forest-profiles")
     classes = staged(profiles.filter("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp")
@@ -310,18 +311,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = roots.withColumn("root", F.coalesce("root", "cid"))
     least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = staged(roots.join(least, "root").select("fp", "component_id"), "forest-components")
-    joined = profiles.select("doc_id", "n_shingles", "fp").join(of_class, "fp", "left")
+    joined = profiles.select("doc_id", "text_key", "n_shingles", "fp").join(of_class, "fp", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"),
-                         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+                         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_key")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that a smaller id of their component stands for; same columns."""
     gone = (near_duplicates(docs, id_col, text_col).filter(~F.col("kept"))
-            .select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+            .select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text")).distinct())
+    return docs.join(gone, (F.col(f"`{id_col}`") == F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__text")),
+                     "left_anti")
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_duplicates(read_table(spark, sf_dir, "documents")).drop("text_key")

@@ -60,7 +60,10 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
               .withColumn("budget", F.sum("source_size").over(whole) * F.lit(share))
               .withColumn("level", (F.col("budget") - F.coalesce(F.sum("most").over(before), F.lit(0.0)))
                           / (F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
-              .withColumn("final", F.min(F.when(F.col("level") <= F.col("most") / F.col("w"), F.col("level"))).over(whole)))
+              .withColumn("at", F.row_number().over(order))
+              # the first source that stays below its cap fixes the level of all that follow
+              .withColumn("final", F.min(F.when(F.col("level") <= F.col("most") / F.col("w"), F.struct("at", "level")))
+                          .over(whole)["level"]))
     target = F.when(F.col("final").isNull(), F.col("most")).otherwise(
         F.least(F.col("w") * F.col("final"), F.col("most")))
     return levels.select("skey", "source_size", target.alias("target"))
@@ -145,11 +148,11 @@ ranked AS (
   SELECT *, ([3.0, 1.0, 2.0]::DOUBLE[])[(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS w,
     row_number() OVER (ORDER BY source IS NULL, source) AS rk, source_size * 2.0::DOUBLE AS most FROM sums),
 levels AS (
-  SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE
+  SELECT *, row_number() OVER (ORDER BY most / w, rk) AS pos, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE
       - coalesce(sum(most) OVER (ORDER BY most / w, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY most / w, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS lvl
   FROM ranked),
-final AS (SELECT min(CASE WHEN lvl <= most / w THEN lvl END) AS f FROM levels),
+final AS (SELECT arg_min(lvl, pos) FILTER (lvl <= most / w) AS f FROM levels),
 targets AS (
   SELECT source, source_size, CASE WHEN f IS NULL THEN most ELSE least(w * f, most) END AS target FROM levels, final),
 needs AS (

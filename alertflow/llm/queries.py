@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from alertflow.llm import chat_format, exact_dedup, language_id, minhash_forest, mixing, quality, suffix_dedup, toxicity, url_filter
+from alertflow.llm import chat_format, exact_dedup, language_id, minhash_forest, mixing, quality, sentencepiece_scan, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
+    "op1_sentencepiece": sentencepiece_scan.op1_sentencepiece,
     "op2_minhash_dedup": minhash_forest.op2_minhash_dedup,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_mixing": mixing.op4_mixing,
