@@ -30,30 +30,44 @@ def _col(c) -> Column:
 def match_all(conditions, labels) -> Column:
     """every condition equals the label, an absent label reads as ''.
 
-    An empty (or NULL) condition map is a catch-all.
+    An empty (or NULL) condition map is a catch-all. A NULL value, in a
+    condition or a label, reads as ''.
     """
     conds, labs = _col(conditions), _col(labels)
     return F.coalesce(
         F.forall(F.map_entries(conds),
-                 lambda e: F.coalesce(labs[e["key"]], F.lit("")) == e["value"]),
+                 lambda e: F.coalesce(labs[e["key"]], F.lit("")) == F.coalesce(e["value"], F.lit(""))),
         F.lit(True))
 
 
 def labels_contain(labels, matchers) -> Column:
-    """strict containment (JSON ``@>``): the key must be present."""
+    """strict containment (JSON ``@>``): the key must be present. A NULL
+    value of a present key reads as '', as in F1."""
     labs, m = _col(labels), _col(matchers)
     return F.coalesce(
         F.forall(F.map_entries(m),
-                 lambda e: F.coalesce(labs[e["key"]] == e["value"], F.lit(False))),
+                 lambda e: F.coalesce(present_value(labs, e["key"]) == F.coalesce(e["value"], F.lit("")), F.lit(False))),
         F.lit(True))
 
 
+def present_value(labels, key) -> Column:
+    """The label's value, '' if it is NULL; NULL only if the key is absent."""
+    labs = _col(labels)
+    return F.coalesce(labs[key], F.when(F.map_contains_key(labs, key), F.lit("")))
+
+
+def no_null_values(labels) -> Column:
+    """NULL map -> empty map, NULL values -> '' (what a JSON null label decodes to)."""
+    labs = F.coalesce(_col(labels), F.create_map().cast("map<string,string>"))
+    return F.transform_values(labs, lambda k, v: F.coalesce(v, F.lit("")))
+
+
 def literal_match_all(match: dict, labels) -> Column:
     """F1 for a rule known on the driver: a plain conjunction, codegen-able."""
     labs = _col(labels)
     cond = F.lit(True)
     for k in sorted(match):
-        cond = cond & (F.coalesce(labs[F.lit(k)], F.lit("")) == F.lit(match[k]))
+        cond = cond & (F.coalesce(labs[F.lit(k)], F.lit("")) == F.lit(match[k] or ""))
     return cond
 
 
@@ -61,8 +75,9 @@ def literal_match_all(match: dict, labels) -> Column:
 
 def sorted_entries(labels) -> Column:
     """Entries sorted by key (byte order, as Go's sort.Strings). Also the
-    join key of a label set: equal maps give equal arrays."""
-    return F.sort_array(F.map_entries(_col(labels)))
+    join key of a label set: equal maps give equal arrays. A NULL map gives
+    the empty array and a NULL value '', so no row is lost in a join on it."""
+    return F.sort_array(F.map_entries(no_null_values(labels)))
 
 
 def label_hex(labels) -> Column:
@@ -116,10 +131,11 @@ def fingerprint(labels) -> Column:
     return fingerprint_from_hex(label_hex(labels))
 
 
-# Above this many distinct label sets the fingerprint table is joined by a
-# shuffle instead of a broadcast: 500k rows of ~200 bytes (sorted entries plus
-# 16 hex digits) keep the broadcast near 100 MB.
-FINGERPRINT_BROADCAST_MAX_ROWS = 500_000
+# A fingerprint table is broadcast up to this many bytes (sorted entries, digits
+# and a fixed cost per row); a larger one is joined by a shuffle. Label text
+# counts at its length, so long labels cannot make the broadcast grow unseen.
+FINGERPRINT_BROADCAST_MAX_BYTES = 64 << 20
+_ROW_BYTES = 100
 
 
 def fingerprint_table(df: DataFrame, labels: str = "labels", out: str = "fingerprint") -> DataFrame:
@@ -136,17 +152,17 @@ def fingerprint_table(df: DataFrame, labels: str = "labels", out: str = "fingerp
 
 
 def with_fingerprint(df: DataFrame, labels: str = "labels", out: str = "fingerprint",
-                     broadcast_max_rows: int = FINGERPRINT_BROADCAST_MAX_ROWS,
+                     broadcast_max_bytes: int = FINGERPRINT_BROADCAST_MAX_BYTES,
                      table: DataFrame | None = None) -> DataFrame:
     """Add the F3 fingerprint, hashing each distinct label set once.
 
-    The table of :func:`fingerprint_table` is broadcast only when its counted
-    size is under ``broadcast_max_rows``; otherwise both sides shuffle on the
-    key.
+    The table of :func:`fingerprint_table` is broadcast only when its measured
+    bytes are under ``broadcast_max_bytes``; otherwise both sides shuffle on
+    the key.
     """
     dim = table if table is not None else fingerprint_table(df, labels, out)
-    n = dim.count()
-    side = F.broadcast(dim) if n <= broadcast_max_rows else dim
+    n_bytes = dim.agg(F.sum(F.length(F.to_json("_lkey").cast("binary")) + F.lit(_ROW_BYTES))).first()[0] or 0
+    side = F.broadcast(dim) if n_bytes <= broadcast_max_bytes else dim
     keyed = df.withColumn("_lkey", sorted_entries(labels))
     return keyed.join(side, "_lkey", "inner").drop("_lkey")
 

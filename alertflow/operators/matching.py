@@ -26,16 +26,12 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertflow.functions.labels import labels_contain, match_all
+from alertflow.functions.labels import labels_contain, match_all, no_null_values, present_value
 
 MAX_KEYSETS = 8
 _SENTINEL = "\u0000"
 
 
-def _empty_map() -> Column:
-    return F.create_map().cast("map<string,string>")
-
-
 def condition_pairs(probe: DataFrame, conds: DataFrame, labels: str = "labels", matchers: str = "matchers",
                     mode: str = "loose", extra_eq: tuple = (), residual: Column | None = None,
                     max_keysets: int = MAX_KEYSETS, force: str | None = None) -> DataFrame:
@@ -47,7 +43,7 @@ def condition_pairs(probe: DataFrame, conds: DataFrame, labels: str = "labels",
     """
     if mode not in ("loose", "strict"):
         raise ValueError(mode)
-    m = F.coalesce(F.col(matchers), _empty_map())
+    m = no_null_values(matchers)
     c = conds.withColumn("_ckeys", F.sort_array(F.map_keys(m)))
     strategy = force
     keysets = None
@@ -78,7 +74,7 @@ def _keyset_join(probe, c, labels, m, mode, keysets, extra_eq, residual):
         if mode == "loose":
             vals = [F.coalesce(labs[F.lit(k)], F.lit("")) for k in keys]
         else:
-            vals = [labs[F.lit(k)] for k in keys]
+            vals = [present_value(labs, F.lit(k)) for k in keys]
         kval = F.to_json(F.array(*vals)) if vals else F.lit("[]")
         entries.append(F.struct(F.lit(ks).alias("_kset"), kval.alias("_kval")))
     probe_x = (probe.select("*", F.explode(F.array(*entries)).alias("_pk"))
@@ -99,7 +95,7 @@ def _anchor_join(probe, c, labels, matchers, m, mode, extra_eq, residual):
     cond = (c.withColumn("_ak", F.coalesce(first, F.lit(_SENTINEL)))
             .withColumn("_av", F.when(first.isNotNull(), m[first]).otherwise(F.lit(_SENTINEL)))
             .drop("_ckeys"))
-    ents = F.map_entries(F.coalesce(F.col(labels), _empty_map()))
+    ents = F.map_entries(no_null_values(labels))
     if mode == "loose":
         ents = F.filter(ents, lambda e: e["value"] != "")
     sentinel = F.array(F.struct(F.lit(_SENTINEL).alias("key"), F.lit(_SENTINEL).alias("value")))

@@ -1,97 +1,95 @@
 """Routing: ordered first match with ``continue``.
 
-A rule set is short configuration, so it is compiled into one projection:
-one boolean per rule, a CASE chain for the first terminal match (``stop``)
-and an array of hit indexes exploded into decision rows. That is a narrow,
-codegen-friendly map-side operator: no shuffle, no join.
-
-Rule sets beyond ``COMPILED_MAX_RULES`` use :func:`route_join`: the rules are
-matched once per distinct label set by the condition equi join (see
-``operators.matching``), cut at the first terminal rule, and joined back to
-the alerts on the label set.
+What a rule set decides for a label set is one array of rule indexes: the
+matching rules in order, up to the first one without ``continue``
+(:func:`with_hits`). Routing, unrouted alerts, verify and explain all read that
+array, so they agree at every rule count. It comes in two exact forms:
+
+* up to ``COMPILED_MAX_RULES`` rules: one expression per rule, evaluated once,
+  and one cut at the first terminal hit; linear in the rules, map-side only;
+* beyond: the distinct label sets are matched against the rules by the
+  condition equi join (``operators.matching``) and joined back by label set.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertflow.functions.labels import literal_match_all, sorted_entries
 from alertflow.operators.matching import condition_pairs
 from alertflow.sources.config import RuleSet
 
-# Beyond this many rules the compiled CASE/array expression would outgrow
-# generated-code limits; larger rule sets use the label-set join.
-COMPILED_MAX_RULES = 256
-
-
-def _stop_expr(conds: list[Column], rules) -> Column:
-    """Index of the first matching rule without ``continue`` (n if none)."""
-    n = len(rules)
-    stop = None
-    for i, r in enumerate(rules):
-        if r.cont:
-            continue
-        stop = F.when(conds[i], F.lit(i)) if stop is None else stop.when(conds[i], F.lit(i))
-    return F.lit(n) if stop is None else stop.otherwise(F.lit(n))
-
-
-def hit_indexes(ruleset: RuleSet, labels: str = "labels") -> Column:
-    """Array of decided rule indexes (rule order), NULL for rules not taken."""
-    rules = ruleset.rules
-    conds = [literal_match_all(r.match, labels) for r in rules]
-    stop = _stop_expr(conds, rules)
-    return F.array(*[F.when(conds[i] & (stop >= F.lit(i)), F.lit(i)) for i in range(len(rules))])
-
-
-def _rule_lookup(ruleset: RuleSet, idx: Column) -> list[Column]:
-    rules = ruleset.rules
-    names = F.array(*[F.lit(r.name) for r in rules])
-    recv = F.array(*[F.lit(r.receiver) for r in rules])
-    cont = F.array(*[F.lit(bool(r.cont)) for r in rules])
-    return [F.element_at(names, idx + 1).alias("rule_name"),
-            F.element_at(recv, idx + 1).alias("receiver"),
-            F.element_at(cont, idx + 1).alias("continue")]
+# Beyond this many rules the label-set join is cheaper than one expression per
+# rule and row; both forms give the same array (tested against each other).
+COMPILED_MAX_RULES = 32
+
+_RULE_STRUCT = "array<struct<name:string,receiver:string,cont:boolean,receiver_type:string,condition:string>>"
+
+
+def rule_array(ruleset: RuleSet, conditions: list | None = None) -> Column:
+    """The rules as one constant array (folded once by the optimizer, whatever their number)."""
+    rtype = {r.name: r.type for r in ruleset.receivers}
+    rows = [{"name": r.name, "receiver": r.receiver, "cont": bool(r.cont), "receiver_type": rtype.get(r.receiver, "?"),
+             "condition": conditions[i] if conditions else None} for i, r in enumerate(ruleset.rules)]
+    return F.from_json(F.lit(json.dumps(rows)), _RULE_STRUCT)
+
+
+def _compiled_hits(ruleset: RuleSet, labels: str) -> Column:
+    """Matching rule indexes, cut after the first without ``continue``."""
+    none = F.array().cast("array<int>")
+    if not ruleset.rules:
+        return none
+    matched = F.array_compact(F.array(*[F.when(literal_match_all(r.match, labels), F.lit(i))
+                                        for i, r in enumerate(ruleset.rules)]))
+    last = [i for i, r in enumerate(ruleset.rules) if not r.cont]
+    if not last:
+        return matched
+    # the array is a value of its own here: evaluated once, then cut
+    cut = F.transform(F.array(matched), lambda m: F.filter(m, lambda i: i <= F.coalesce(
+        F.array_min(F.array_intersect(m, F.array(*[F.lit(x) for x in last]))), F.lit(len(ruleset.rules)))))
+    return F.get(cut, 0)
+
+
+def with_hits(df: DataFrame, ruleset: RuleSet, labels: str = "labels", out: str = "_hits",
+              compiled_max: int | None = None) -> DataFrame:
+    """``df`` with the array of decided rule indexes in rule order (empty if no rule matches)."""
+    if len(ruleset.rules) <= (COMPILED_MAX_RULES if compiled_max is None else compiled_max):
+        return df.withColumn(out, _compiled_hits(ruleset, labels))
+    rules = ruleset.rules_df(df.sparkSession).select("rule_idx", F.col("match").alias("_match"), "continue")
+    keyed = df.withColumn("_lk", sorted_entries(labels))
+    sets = keyed.select("_lk").distinct().withColumn("_lset", F.map_from_entries("_lk"))
+    pairs = condition_pairs(sets, rules, labels="_lset", matchers="_match", mode="loose")
+    # first terminal hit and all hits of a label set; at most one entry per rule
+    found = pairs.groupBy("_lk").agg(F.array_sort(F.collect_list("rule_idx")).alias("_all"),
+                                     F.min(F.when(~F.col("continue"), F.col("rule_idx"))).alias("_stop"))
+    stop = F.coalesce(F.col("_stop"), F.lit(len(ruleset.rules)))
+    decided = found.select("_lk", F.filter("_all", lambda i: i <= stop).alias(out))
+    none = F.array().cast("array<int>")
+    return (keyed.join(decided, "_lk", "left").withColumn(out, F.coalesce(out, none)).drop("_lk")
+            .select(*df.columns, out))
 
 
-def route(alerts: DataFrame, ruleset: RuleSet, labels: str = "labels") -> DataFrame:
+def route(alerts: DataFrame, ruleset: RuleSet, labels: str = "labels", compiled_max: int | None = None) -> DataFrame:
     """R1 + R24: decision rows ``alert columns + rule_idx, rule_name,
     receiver, continue`` in rule order per alert (0..n rows per alert)."""
-    rules = ruleset.rules
-    if not rules:
-        return (alerts.where(F.lit(False))
-                .select("*", F.lit(None).cast("int").alias("rule_idx"), F.lit(None).cast("string").alias("rule_name"),
-                        F.lit(None).cast("string").alias("receiver"), F.lit(None).cast("boolean").alias("continue")))
-    if len(rules) > COMPILED_MAX_RULES:
-        return route_join(alerts, ruleset, labels)
-    cols = alerts.columns
-    hits = alerts.select(*cols, hit_indexes(ruleset, labels).alias("_hits"))
-    dec = (hits.select(*cols, F.explode("_hits").alias("rule_idx"))
-           .where(F.col("rule_idx").isNotNull()))
-    return dec.select(*cols, "rule_idx", *_rule_lookup(ruleset, F.col("rule_idx")))
+    hits = with_hits(alerts, ruleset, labels, compiled_max=compiled_max)
+    dec = hits.select(*alerts.columns, F.explode("_hits").alias("rule_idx"))
+    rule = F.element_at(rule_array(ruleset), F.col("rule_idx") + 1)
+    return dec.select(*alerts.columns, "rule_idx", rule["name"].alias("rule_name"), rule["receiver"].alias("receiver"),
+                      rule["cont"].alias("continue"))
 
 
 def route_join(alerts: DataFrame, ruleset: RuleSet, labels: str = "labels") -> DataFrame:
-    """R1 for large rule sets. Routing depends only on the label set, so the
-    distinct label sets (map-side partial distinct) are matched against the
-    rules by the condition join, cut at the first terminal rule per label
-    set, and the alerts join the decided (label set, rule) rows once."""
-    spark = alerts.sparkSession
-    rules = ruleset.rules_df(spark).withColumnRenamed("match", "_match")
-    a = alerts.withColumn("_lk", sorted_entries(labels))
-    sets = a.select("_lk").distinct().withColumn("_lset", F.map_from_entries("_lk"))
-    pairs = condition_pairs(sets, rules, labels="_lset", matchers="_match", mode="loose")
-    w = Window.partitionBy("_lk")
-    stop = F.min(F.when(~F.col("continue"), F.col("rule_idx"))).over(w)
-    decided = (pairs.withColumn("_stop", F.coalesce(stop, F.lit(len(ruleset.rules))))
-               .where(F.col("rule_idx") <= F.col("_stop"))
-               .select("_lk", "rule_idx", F.col("name").alias("rule_name"), "receiver", "continue"))
-    return a.join(decided, "_lk", "inner").select(*alerts.columns, "rule_idx", "rule_name", "receiver", "continue")
+    """R1 by the label-set join at any rule count."""
+    return route(alerts, ruleset, labels, compiled_max=-1)
 
 
-def unrouted(alerts: DataFrame, ruleset: RuleSet, labels: str = "labels") -> DataFrame:
+def unrouted(alerts: DataFrame, ruleset: RuleSet, labels: str = "labels", compiled_max: int | None = None) -> DataFrame:
     """R2: alerts that no rule takes (they would be dropped)."""
-    return alerts.where(F.size(F.filter(hit_indexes(ruleset, labels), lambda x: x.isNotNull())) == 0)
+    return with_hits(alerts, ruleset, labels, compiled_max=compiled_max).where(F.size("_hits") == 0).drop("_hits")
 
 
 def with_receiver(decisions: DataFrame, ruleset: RuleSet) -> DataFrame:

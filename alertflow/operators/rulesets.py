@@ -13,8 +13,8 @@ import unicodedata
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertflow.functions.labels import format_labels, literal_match_all, same_multiset
-from alertflow.operators.routing import hit_indexes
+from alertflow.functions.labels import format_labels, same_multiset
+from alertflow.operators.routing import rule_array, with_hits
 from alertflow.sources.config import RuleSet
 
 KNOWN_RECEIVER_TYPES = ("webhook",)
@@ -93,12 +93,10 @@ def lint_rules(rules: DataFrame, configs: DataFrame | None = None) -> DataFrame:
 
 
 def _route_lists(df: DataFrame, ruleset: RuleSet, labels: str = "labels") -> DataFrame:
-    names = F.array(*[F.lit(r.name) for r in ruleset.rules])
-    recv = F.array(*[F.lit(r.receiver) for r in ruleset.rules])
-    hits = F.filter(hit_indexes(ruleset, labels), lambda x: x.isNotNull())
-    return (df.withColumn("_hits", hits)
-            .withColumn("got_rules", F.transform("_hits", lambda i: F.element_at(names, i + 1)))
-            .withColumn("got_receivers", F.transform("_hits", lambda i: F.element_at(recv, i + 1)))
+    rules = rule_array(ruleset)
+    hits = with_hits(df, ruleset, labels)
+    return (hits.withColumn("got_rules", F.transform("_hits", lambda i: F.element_at(rules, i + 1)["name"]))
+            .withColumn("got_receivers", F.transform("_hits", lambda i: F.element_at(rules, i + 1)["receiver"]))
             .drop("_hits"))
 
 
@@ -148,31 +146,51 @@ def explain(alerts: DataFrame, ruleset: RuleSet, muted_col: str | None = None,
     ``muted_col`` names a boolean column from the mute lookup; without it the
     mute check is reported as skipped.
     """
-    rules = ruleset.rules
-    n = len(rules)
-    conds = [literal_match_all(r.match, labels) for r in rules]
-    stop = F.lit(n)
-    for i in reversed(range(n)):
-        if not rules[i].cont:
-            stop = F.when(conds[i], F.lit(i)).otherwise(stop)
-    rtype = {r.name: r.type for r in ruleset.receivers}
-    steps = F.array(*[F.struct(
-        F.lit(i + 1).alias("step"), F.lit(r.name).alias("rule_name"),
-        F.when(conds[i], F.lit("MATCH")).otherwise(F.lit("skip")).alias("verdict"),
-        F.when(conds[i], F.lit(r.receiver)).alias("receiver"),
-        F.when(conds[i], F.lit("continue" if r.cont else "stop")).alias("action"),
-        F.when(conds[i], F.lit(rtype.get(r.receiver, "?"))).alias("receiver_type"),
-        F.lit(_cond_text(r.match)).alias("condition")) for i, r in enumerate(rules)])
+    rules = rule_array(ruleset, [_cond_text(r.match) for r in ruleset.rules])
     mute_check = (F.when(F.col(muted_col), F.lit("MATCHED")).otherwise(F.lit("not matched"))
                   if muted_col else F.lit("skipped"))
-    base = alerts.select(key, format_labels(labels).alias("label_text"), mute_check.alias("mute_check"),
-                         stop.alias("_stop"), steps.alias("_steps"))
-    visited = F.filter("_steps", lambda s: (s["step"] - 1) <= F.col("_stop"))
+    hits = F.col("_hits")
+    # visited: everything up to the last decided rule if that one stops, else every rule
+    last = F.try_element_at(hits, F.lit(-1))
+    stopped = ~F.coalesce(F.try_element_at(rules, last + 1)["cont"], F.lit(True))
+    stop = F.when(stopped, last).otherwise(F.lit(len(ruleset.rules)))
+    base = with_hits(alerts, ruleset, labels).select(
+        key, format_labels(labels).alias("label_text"), mute_check.alias("mute_check"), "_hits", stop.alias("_stop"))
+
+    def step(rule, i):
+        match = F.array_contains(hits, i)
+        return F.struct(
+            (i + 1).alias("step"), rule["name"].alias("rule_name"),
+            F.when(match, F.lit("MATCH")).otherwise(F.lit("skip")).alias("verdict"),
+            F.when(match, rule["receiver"]).alias("receiver"),
+            F.when(match, F.when(rule["cont"], F.lit("continue")).otherwise(F.lit("stop"))).alias("action"),
+            F.when(match, rule["receiver_type"]).alias("receiver_type"), rule["condition"].alias("condition"))
+
+    visited = F.filter(F.transform(rules, step), lambda s: (s["step"] - 1) <= F.col("_stop"))
     out = base.select(key, "label_text", "mute_check",
                       F.explode_outer(F.when(F.col("mute_check") != "MATCHED", visited)).alias("s"))
     return out.select(key, "label_text", "mute_check", "s.*")
 
 
+def final_decisions(alerts: DataFrame, ruleset: RuleSet, muted_col: str | None = None,
+                    labels: str = "labels", key: str = "fingerprint") -> DataFrame:
+    """The end of a trace, one row per alert: ``outcome`` (muted, dropped, delivered), the decided rules with their
+    receivers, and the closing text (``none, alert would be dropped`` when no rule takes it)."""
+    rules = rule_array(ruleset)
+    muted = F.coalesce(F.col(muted_col), F.lit(False)) if muted_col else F.lit(False)
+    base = with_hits(alerts, ruleset, labels).withColumn("_muted", muted)
+    decided = F.transform(F.when(~F.col("_muted"), F.col("_hits")).otherwise(F.array().cast("array<int>")),
+                          lambda i: F.struct(F.element_at(rules, i + 1)["name"].alias("rule_name"),
+                                             F.element_at(rules, i + 1)["receiver"].alias("receiver"),
+                                             F.element_at(rules, i + 1)["receiver_type"].alias("receiver_type")))
+    outcome = (F.when(F.col("_muted"), "muted").when(F.size("_hits") == 0, "dropped").otherwise("delivered"))
+    text = F.when(outcome == "dropped", F.lit("none, alert would be dropped")).when(
+        outcome == "delivered", F.array_join(F.transform("decisions", lambda d: F.concat(
+            d["rule_name"], F.lit(" -> "), d["receiver"], F.lit(" ("), d["receiver_type"], F.lit(")"))), ", "))
+    return (base.withColumn("decisions", decided)
+            .select(key, outcome.alias("outcome"), "decisions", text.alias("final")))
+
+
 _LETTER = {7: "\\a", 8: "\\b", 12: "\\f", 10: "\\n", 13: "\\r", 9: "\\t", 11: "\\v"}
 
 

@@ -73,7 +73,7 @@ def test_with_fingerprint_joins_back(spark):
     rows = [(i, {"k": str(i % 5)}) for i in range(50)]
     df = spark.createDataFrame(rows, f"id long, labels {MAP}")
     for limit in (10**6, 0):  # broadcast and shuffle branches
-        out = {r.id: r.fingerprint for r in L.with_fingerprint(df, broadcast_max_rows=limit).collect()}
+        out = {r.id: r.fingerprint for r in L.with_fingerprint(df, broadcast_max_bytes=limit).collect()}
         assert out == {i: models.fingerprint(l) for i, l in rows}
 
 
