@@ -59,7 +59,7 @@ def present_value(labels, key) -> Column:
 def no_null_values(labels) -> Column:
     """NULL map -> empty map, NULL values -> '' (what a JSON null label decodes to)."""
     labs = F.coalesce(_col(labels), F.create_map().cast("map<string,string>"))
-    return F.transform_values(labs, lambda k, v: F.coalesce(v, F.lit("")))
+    return F.transform_values(labs, lambda k, v: F.coalesce(v, F.lit(""))).cast("map<string,string>")
 
 
 def literal_match_all(match: dict, labels) -> Column:

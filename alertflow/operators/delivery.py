@@ -16,11 +16,14 @@ all "strictly before this row":
     last_ok[d]     latest earlier row with desired d and a successful call
     last_other[d]  latest earlier row with the other desired value
 
-Running maxima are associative, so a hot key does not need one task: rows
-are scanned per ``(key, time chunk)`` and each chunk adds the carried maxima
-of all earlier chunks of its key (a second, much smaller window over one
-summary row per chunk). Prior history enters as one seed row per key that
-sorts before everything else.
+An ordinary key is one window partition: one exchange, one sort. Running
+maxima are associative, so a hot key does not need one task: its rows are
+range-partitioned by (key, order) with sampled bounds into slices of about
+``target_rows`` rows, whatever their times, and each slice adds the carried
+maxima of all earlier slices of its key (a second, much smaller window over
+one summary row per slice). Prior history enters as one seed row per key that
+sorts before everything else. Rows of equal order count by desired status,
+then outcome, so reruns agree.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from alertflow.functions.status import (FIRING_FAILED, FIRING_SENT, ORDER_KEY_MI
 KEY = ["rule_name", "fingerprint"]
 STATUS_VALUES = [FIRING_SENT, FIRING_FAILED, RESOLVED_SENT, RESOLVED_FAILED]
 DEFAULT_CHUNK_SECONDS = 3600  # for callers that want fixed time slices
-HOT_KEY_ROWS = 1_000_000      # a key with more rows is cut into time slices
+HOT_KEY_ROWS = 1_000_000      # a key with more rows is cut into slices
 HOT_CHUNK_ROWS = 1_000_000    # about this many rows per slice of a hot key
 HOT_KEYS_BROADCAST_MAX = 200_000
 _SEED_CHUNK = -(1 << 31)
@@ -51,24 +54,80 @@ def _maxes(desired: Column, ok: Column, ordk: Column) -> list[Column]:
 _NAMES = ["ok_f", "ok_r", "any_f", "any_r"]
 
 
-def _adaptive_chunk(rows: DataFrame, time_col: str, hot_rows: int, target_rows: int) -> Column:
-    """Chunk per row: 0 for ordinary keys (the whole key is one window
-    partition), time slices of about ``target_rows`` rows for hot keys.
+def _hot_keys(rows: DataFrame, hot_rows: int) -> tuple[DataFrame | None, int]:
+    """Keys with more than ``hot_rows`` rows (at most rows / hot_rows of them) and their number of rows; None if there
+    are none. One partial-aggregated count per key, reading the key columns only."""
+    stats = materialize(rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows))
+    n_keys, n_rows = stats.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    keys = stats.select(*KEY)
+    return (F.broadcast(keys) if n_keys <= HOT_KEYS_BROADCAST_MAX else keys) if n_keys else None, n_rows or 0
 
-    Hot keys (more than ``hot_rows`` rows) are found by one partial-aggregated
-    count per key; there are at most ``rows / hot_rows`` of them, and their
-    table is broadcast only when its counted size is small.
-    """
-    micros = F.unix_micros(F.col(time_col))
-    stats = (rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"), F.min(micros).alias("_t0"),
-                                    F.max(micros).alias("_t1"))
-             .where(F.col("_n") > hot_rows))
-    # small and bounded; checkpointed (no cached blocks left behind by a
-    # long-running stream calling this per micro-batch) and counted before
-    # it is broadcast
-    stats = materialize(stats)
-    side = F.broadcast(stats) if stats.count() <= HOT_KEYS_BROADCAST_MAX else stats
-    return side
+
+def _seed_rows(seed: DataFrame, rows: DataFrame) -> DataFrame:
+    """The history of the keys in ``rows``, one row per key before all others."""
+    keys = rows.select(*KEY).distinct()
+    return seed.join(keys, KEY, "left_semi").select(
+        *KEY,
+        F.when(F.col("status").startswith("resolved"), F.lit(RESOLVED_SENT))
+         .otherwise(F.lit(FIRING_SENT)).alias("desired"),
+        F.col("status").endswith("-sent").alias("_ok"),
+        F.lit(ORDER_KEY_MIN).cast("decimal(38,0)").alias("_ord"),
+        F.lit(_SEED_CHUNK).cast("long").alias("_chunk"),
+        F.lit(True).alias("_seed"))
+
+
+def _order(*keys: str):
+    return Window.partitionBy(*keys).orderBy("_ord", "desired", "_ok")
+
+
+def _decide(rows: DataFrame, cols: list[str], g: dict) -> DataFrame:
+    """Plan columns from the running maxima strictly before each row."""
+    fir = F.col("desired") == FIRING_SENT
+    last_ok = F.when(fir, g["ok_f"]).otherwise(g["ok_r"])
+    last_other = F.when(fir, g["any_r"]).otherwise(g["any_f"])
+    deliver = last_ok.isNull() | (last_other.isNotNull() & (last_ok < last_other))
+    status = F.when(deliver, F.when(F.col("_ok"), F.col("desired")).otherwise(failed_status(F.col("desired"))))
+    return rows.where(~F.col("_seed")).select(*cols, "desired", deliver.alias("deliver"), status.alias("status"))
+
+
+def _one_pass(rows: DataFrame, cols: list[str]) -> DataFrame:
+    """Whole keys: both windows share one exchange and one sort."""
+    w = _order(*KEY)
+    rows = rows.withColumn("_pos", F.row_number().over(w))
+    m = _maxes(F.col("desired"), F.col("_ok"), F.col("_pos"))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.select("*", *[F.max(x).over(before).alias(f"_l_{n}") for x, n in zip(m, _NAMES)])
+    return _decide(local, cols, {n: F.col(f"_l_{n}") for n in _NAMES})
+
+
+def _sliced(rows: DataFrame, cols: list[str]) -> DataFrame:
+    """Keys cut into slices (``_chunk``, in order)."""
+    # position of each row in its key's order, as one long: chunk * 2**31 +
+    # row number inside the chunk (both windows share one sort)
+    w_pos = _order(*KEY, "_chunk")
+    rows = rows.withColumn(
+        "_pos", F.when(F.col("_seed"), F.lit(_SEED_POS))
+        .otherwise(F.col("_chunk") * F.lit(1 << 31) + F.row_number().over(w_pos)))
+    m = _maxes(F.col("desired"), F.col("_ok"), F.col("_pos"))
+    w_local = w_pos.rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.select("*", *[F.max(x).over(w_local).alias(f"_l_{n}") for x, n in zip(m, _NAMES)])
+
+    # one summary row per (key, chunk) from the already partitioned rows,
+    # then the maxima carried over from all earlier chunks of the key
+    totals = local.groupBy(*KEY, "_chunk").agg(*[F.max(x).alias(f"_t_{n}") for x, n in zip(m, _NAMES)])
+    w_chunks = Window.partitionBy(*KEY).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(*KEY, "_chunk",
+                          *[F.max(f"_t_{n}").over(w_chunks).alias(f"_c_{n}") for n in _NAMES])
+    both = local.join(carry, [*KEY, "_chunk"], "inner")
+    return _decide(both, cols, {n: F.greatest(F.col(f"_l_{n}"), F.col(f"_c_{n}")) for n in _NAMES})
+
+
+def hot_slices(rows: DataFrame, n_rows: int, target_rows: int) -> DataFrame:
+    """Rows of hot keys with ``_chunk``: the range partition of (key, order) that holds them. Written once, as two
+    branches read it and both must see the same slices."""
+    n = max(2, -(-n_rows // target_rows))
+    dealt = rows.repartitionByRange(n, *KEY, "_ord", "desired", "_ok")
+    return materialize(dealt.withColumn("_chunk", F.spark_partition_id().cast("long")))
 
 
 def delivery_plan(decisions: DataFrame, ok: Column | str = "call_ok", seed: DataFrame | None = None,
@@ -81,11 +140,12 @@ def delivery_plan(decisions: DataFrame, ok: Column | str = "call_ok", seed: Data
     ``decisions`` needs ``rule_name, fingerprint, ends_at`` and the order
     columns; ``ok`` is the call outcome (known in a replay or simulation).
     ``seed`` is a ``notifications`` snapshot (rule_name, fingerprint, status)
-    holding the history before the first row.
+    holding the history before the first row; only keys of ``decisions`` are
+    taken from it.
 
-    Chunks: with ``chunk_seconds`` every key is cut into fixed time slices;
-    by default an ordinary key is one chunk and only hot keys (more than
-    ``hot_rows`` rows) are cut into slices of about ``target_rows`` rows.
+    With ``chunk_seconds`` every key is cut into fixed time slices; by default
+    keys are whole, and only those with more than ``hot_rows`` rows are cut
+    into slices of about ``target_rows`` rows.
     """
     okc = F.col(ok) if isinstance(ok, str) else ok
     cols = decisions.columns
@@ -95,54 +155,19 @@ def delivery_plan(decisions: DataFrame, ok: Column | str = "call_ok", seed: Data
         F.coalesce(okc, F.lit(False)).alias("_ok"),
         order_key(order[0], order[1]).alias("_ord"),
         F.lit(False).alias("_seed"))
-    if chunk_seconds:
-        rows = rows.withColumn(
-            "_chunk", F.floor(F.unix_micros(F.col(order[0])) / F.lit(chunk_seconds * 1_000_000)))
-    else:
-        hot = _adaptive_chunk(rows, order[0], hot_rows, target_rows)
-        span = F.col("_t1") - F.col("_t0") + 1
-        width = F.greatest(F.lit(1), F.ceil(span * F.lit(target_rows) / F.col("_n")))
-        chunk = F.when(F.col("_n").isNull(), F.lit(0).cast("long")).otherwise(
-            F.floor((F.unix_micros(F.col(order[0])) - F.col("_t0")) / width))
-        rows = (rows.join(hot, KEY, "left").withColumn("_chunk", chunk.cast("long"))
-                .drop("_n", "_t0", "_t1"))
-    if seed is not None:
-        s = seed.select(
-            *KEY,
-            F.when(F.col("status").startswith("resolved"), F.lit(RESOLVED_SENT))
-             .otherwise(F.lit(FIRING_SENT)).alias("desired"),
-            F.col("status").endswith("-sent").alias("_ok"),
-            F.lit(ORDER_KEY_MIN).cast("decimal(38,0)").alias("_ord"),
-            F.lit(_SEED_CHUNK).cast("long").alias("_chunk"),
-            F.lit(True).alias("_seed"))
-        # the seed sorts before every row of its key (own chunk, minimal order)
-        rows = rows.unionByName(s, allowMissingColumns=True)
 
-    # position of each row in its key's order, as one long: chunk * 2**31 +
-    # row number inside the chunk (both windows share one sort)
-    w_pos = Window.partitionBy(*KEY, "_chunk").orderBy("_ord")
-    rows = rows.withColumn(
-        "_pos", F.when(F.col("_seed"), F.lit(_SEED_POS))
-        .otherwise(F.col("_chunk") * F.lit(1 << 31) + F.row_number().over(w_pos)))
-    m = _maxes(F.col("desired"), F.col("_ok"), F.col("_pos"))
-    w_local = w_pos.rowsBetween(Window.unboundedPreceding, -1)
-    local = rows.select("*", *[F.max(x).over(w_local).alias(f"_l_{n}") for x, n in zip(m, _NAMES)])
+    def seeded(part: DataFrame) -> DataFrame:
+        return part if seed is None else part.unionByName(_seed_rows(seed, part), allowMissingColumns=True)
 
-    # one summary row per (key, chunk) from the already partitioned rows,
-    # then the maxima carried over from all earlier chunks of the key
-    totals = local.groupBy(*KEY, "_chunk").agg(*[F.max(x).alias(f"_t_{n}") for x, n in zip(m, _NAMES)])
-    w_chunks = Window.partitionBy(*KEY).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*KEY, "_chunk",
-                          *[F.max(f"_t_{n}").over(w_chunks).alias(f"_c_{n}") for n in _NAMES])
-    both = local.where(~F.col("_seed")).join(carry, [*KEY, "_chunk"], "inner")
-
-    g = {n: F.greatest(F.col(f"_l_{n}"), F.col(f"_c_{n}")) for n in _NAMES}
-    fir = F.col("desired") == FIRING_SENT
-    last_ok = F.when(fir, g["ok_f"]).otherwise(g["ok_r"])
-    last_other = F.when(fir, g["any_r"]).otherwise(g["any_f"])
-    deliver = last_ok.isNull() | (last_other.isNotNull() & (last_ok < last_other))
-    status = F.when(deliver, F.when(F.col("_ok"), F.col("desired")).otherwise(failed_status(F.col("desired"))))
-    return both.select(*cols, "desired", deliver.alias("deliver"), status.alias("status"))
+    if chunk_seconds:
+        chunk = F.floor(F.unix_micros(F.col(order[0])) / F.lit(chunk_seconds * 1_000_000))
+        return _sliced(seeded(rows.withColumn("_chunk", chunk)), cols)
+    hot, n_rows = _hot_keys(rows, hot_rows)
+    if hot is None:
+        return _one_pass(seeded(rows), cols)
+    cold = _one_pass(seeded(rows.join(hot, KEY, "left_anti")), cols)
+    sliced = hot_slices(rows.join(hot, KEY, "left_semi").select(*rows.columns), n_rows, target_rows)
+    return cold.unionByName(_sliced(seeded(sliced), cols))
 
 
 def attempts(plan: DataFrame, at: str = "observed_at", seq: str = "seq") -> DataFrame:

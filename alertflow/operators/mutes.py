@@ -1,14 +1,15 @@
 """Mutes: lookup, attribution, listing, validation, create and expire
 (R3, R4, R5a, R9, R10, R16, K4, K5, P2).
 
-The lookup is an interval + label-condition join done in two equi joins:
-the label condition is matched once per distinct label set (the condition
-join of ``operators.matching``), and the time condition per alert: the
-matching (label set, mute) pairs are cut into fixed time buckets (one row
-per bucket the mute covers), the alert has one bucket, and the exact closed
-interval check is the residual. No nested loop, and no broadcast of a mute
-table whose size grows with the data (Spark broadcasts only what its size
-estimate allows).
+The lookup is an interval + label-condition join done in equi joins: the label
+condition is matched once per distinct label set (the condition join of
+``operators.matching``), and the time condition per alert. A (label set, mute)
+pair of up to ``MAX_BUCKETS`` time buckets is cut into them and meets the
+alerts of the same label set and bucket; a longer one (mute until the far
+future) stays one row and meets the alerts of its label set. The exact closed
+interval check is the residual of both. No nested loop, no row per day of a
+mute's life, and no broadcast of a mute table whose size grows with the data
+(Spark broadcasts only what its size estimate allows).
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertflow.functions.labels import sorted_entries
-from alertflow.functions.status import as_time, is_blank, mute_active, mute_id, mute_status
+from alertflow.functions.status import as_time, is_blank, mute_active, mute_id, mute_status, zero_time_to_null
 from alertflow.operators.matching import condition_pairs
 
 DEFAULT_BUCKET_SECONDS = 86400
+MAX_BUCKETS = 16  # a pair that covers more is not cut into buckets
 
 
 def _prefixed(mutes: DataFrame) -> DataFrame:
@@ -33,8 +35,8 @@ def _bucket(ts: Column, seconds: int) -> Column:
 
 def _keyed_sides(alerts: DataFrame, mutes: DataFrame, mode: str, time_col: str, bucket_seconds: int,
                  labels: str, force: str | None, label_sets: DataFrame | None, set_key: str):
-    """Alerts keyed by (label set, bucket) and the matching (label set,
-    mute, bucket) rows; the exact closed-interval check is the residual."""
+    """Alerts keyed by label set and bucket, and the matching (label set,
+    mute) rows: the short ones per bucket, the long ones once."""
     m = _prefixed(mutes).where(F.col("m_ends_at") >= F.col("m_starts_at"))
     if label_sets is not None:
         a = alerts.withColumn("_lk", F.col(set_key))
@@ -43,20 +45,24 @@ def _keyed_sides(alerts: DataFrame, mutes: DataFrame, mode: str, time_col: str,
         a = alerts.withColumn("_lk", sorted_entries(labels))
         sets = a.select("_lk").distinct().withColumn("_lset", F.map_from_entries("_lk"))
     lm = condition_pairs(sets, m, labels="_lset", matchers="m_matchers", mode=mode, force=force).drop("_lset")
-    lm = lm.withColumn("_bucket", F.explode(F.sequence(_bucket(F.col("m_starts_at"), bucket_seconds),
-                                                       _bucket(F.col("m_ends_at"), bucket_seconds))))
+    first, last = _bucket(F.col("m_starts_at"), bucket_seconds), _bucket(F.col("m_ends_at"), bucket_seconds)
+    is_short = last - first < MAX_BUCKETS
+    short = lm.where(is_short).withColumn("_bucket", F.explode(F.sequence(first, last)))
+    long = lm.where(~is_short).withColumn("_bucket", F.lit(None).cast("long"))
     a = a.withColumn("_bucket", _bucket(F.col(time_col), bucket_seconds))
-    return a, lm
+    return a, short, long
 
 
-def _interval_join(a: DataFrame, lm: DataFrame, time_col: str, how: str) -> DataFrame:
+def _interval_join(a: DataFrame, lm: DataFrame, time_col: str, how: str, by_bucket: bool) -> DataFrame:
     al, ml = a.alias("_a"), lm.alias("_m")
     t = F.col(f"_a.{time_col}")
-    cond = ((F.col("_a._lk") == F.col("_m._lk")) & (F.col("_a._bucket") == F.col("_m._bucket"))
+    cond = ((F.col("_a._lk") == F.col("_m._lk"))
             & (F.col("_m.m_starts_at") <= t) & (t <= F.col("_m.m_ends_at")))
+    if by_bucket:
+        cond = cond & (F.col("_a._bucket") == F.col("_m._bucket"))
     out = al.join(ml, cond, how)
     if how in ("left_semi", "left_anti"):
-        return out.select(*[F.col(f"_a.{c}") for c in a.columns if c not in ("_lk", "_bucket")])
+        return out.select("_a.*")
     return out.select(*[F.col(f"_a.{c}") for c in a.columns if c not in ("_lk", "_bucket")],
                       *[F.col(f"_m.{c}") for c in lm.columns if c not in ("_lk", "_bucket")])
 
@@ -70,16 +76,18 @@ def mute_pairs(alerts: DataFrame, mutes: DataFrame, mode: str = "loose", time_co
 
     Matching depends only on the label set, so it runs on the distinct label
     sets (a map-side partial distinct of the alerts): label set x mute pairs
-    come from the condition join, are cut into time buckets, and the alerts
-    join them once on ``(label set, bucket)`` with the exact closed-interval
-    check as residual. The alert table is neither exploded nor broadcast.
+    come from the condition join; short ones are cut into time buckets and
+    joined on ``(label set, bucket)``, long ones on the label set, both with
+    the exact closed-interval check as residual. The alert table is neither
+    exploded nor broadcast.
 
     ``label_sets`` is an existing table of the distinct label sets
     (``fingerprint_table``: ``_lkey`` plus ``set_key``); with it the alerts
     join on their ``set_key`` column and are not scanned a second time.
     """
-    a, lm = _keyed_sides(alerts, mutes, mode, time_col, bucket_seconds, labels, force, label_sets, set_key)
-    return _interval_join(a, lm, time_col, "inner")
+    a, short, long = _keyed_sides(alerts, mutes, mode, time_col, bucket_seconds, labels, force, label_sets, set_key)
+    return _interval_join(a, short, time_col, "inner", True).unionByName(
+        _interval_join(a, long, time_col, "inner", False))
 
 
 def active_mute_pairs(alerts: DataFrame, mutes: DataFrame, as_of, mode: str = "strict",
@@ -91,19 +99,23 @@ def active_mute_pairs(alerts: DataFrame, mutes: DataFrame, as_of, mode: str = "s
 
 def _lookup(alerts, mutes, how, mode="loose", time_col="observed_at", bucket_seconds=DEFAULT_BUCKET_SECONDS,
             labels="labels", force=None, label_sets=None, set_key="fingerprint"):
-    a, lm = _keyed_sides(alerts, mutes, mode, time_col, bucket_seconds, labels, force, label_sets, set_key)
-    return _interval_join(a, lm, time_col, how)
+    a, short, long = _keyed_sides(alerts, mutes, mode, time_col, bucket_seconds, labels, force, label_sets, set_key)
+    rest = _interval_join(a, long, time_col, "left_anti", False)
+    out = _interval_join(rest, short, time_col, how, True)
+    if how == "left_semi":
+        out = out.unionByName(_interval_join(a, long, time_col, "left_semi", False))
+    return out.drop("_lk", "_bucket")
 
 
 def muted(alerts: DataFrame, mutes: DataFrame, **kw) -> DataFrame:
-    """R3 semi form: alerts suppressed by at least one active mute. One
-    left-semi join on (label set, bucket) with the interval as condition; an
-    alert hit by several mutes comes out once."""
+    """R3 semi form: alerts suppressed by at least one active mute. Semi joins
+    with the interval as condition (the bucketed one for alerts that no long
+    mute hits); an alert hit by several mutes comes out once."""
     return _lookup(alerts, mutes, "left_semi", **kw)
 
 
 def unmuted(alerts: DataFrame, mutes: DataFrame, **kw) -> DataFrame:
-    """R3 anti form: alerts that reach routing (left-anti join, same keys)."""
+    """R3 anti form: alerts that reach routing (left-anti joins, same keys)."""
     return _lookup(alerts, mutes, "left_anti", **kw)
 
 
@@ -169,7 +181,9 @@ def validation_error(matchers="matchers", starts_at="starts_at", ends_at="ends_a
                      comment="comment", created_by="created_by") -> Column:
     """The first failing field, in the reference's fixed order, as
     ``struct(field, message)``; NULL when the request is valid."""
-    m, s, e = F.col(matchers), F.col(starts_at), F.col(ends_at)
+    # the zero time of the wire format counts as missing
+    m, s, e = F.col(matchers), zero_time_to_null(F.col(starts_at)), zero_time_to_null(F.col(ends_at))
+    # fixed values: fields, messages and their order
     err = lambda f, msg: F.struct(F.lit(f).alias("field"), F.lit(msg).alias("message"))
     return (F.when(m.isNull() | (F.size(m) == 0), err("matchers", "matchers must be non-empty"))
             .when(s.isNull(), err("starts_at", "starts_at and ends_at are required"))
@@ -179,9 +193,11 @@ def validation_error(matchers="matchers", starts_at="starts_at", ends_at="ends_a
             .when(is_blank(created_by), err("created_by", "created_by is required")))
 
 
-def create_mutes(requests: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
+def create_mutes(requests: DataFrame, as_of, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """K4: split requests into new mutes (with id and status) and rejects
-    (field, message). The id is deterministic over the request."""
+    (field, message). The id is deterministic over the request, so equal
+    requests are one mute, and a mute that ``existing`` already has is not
+    created again: ids stay unique."""
     v = requests.withColumn("_err", validation_error())
     ok = v.where(F.col("_err").isNull()).drop("_err")
     created = ok.select(
@@ -190,6 +206,10 @@ def create_mutes(requests: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
         "matchers", "starts_at", "ends_at",
         F.coalesce("comment", F.lit("")).alias("comment"),
         F.coalesce("created_by", F.lit("")).alias("created_by"))
+    # equal ids are equal requests (the hash covers every field)
+    created = created.dropDuplicates(["id"])
+    if existing is not None:
+        created = created.join(existing.select("id"), "id", "left_anti")
     rejects = v.where(F.col("_err").isNotNull()).select(
         "*", F.col("_err.field").alias("field"), F.col("_err.message").alias("message")).drop("_err")
     return mute_view(created, as_of), rejects
@@ -197,8 +217,9 @@ def create_mutes(requests: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
 
 def expire_mutes(mutes: DataFrame, expires: DataFrame) -> tuple[DataFrame, DataFrame]:
     """K5: ``expires(id, at)`` sets ``ends_at = at`` (no status guard, as in
-    the reference). Returns the new mutes table and the unknown ids."""
-    e = expires.select("id", F.col("at").alias("_at"))
+    the reference); of several for one id the latest ``at`` counts. Returns
+    the new mutes table and the unknown ids."""
+    e = expires.groupBy("id").agg(F.max("at").alias("_at"))
     new = (mutes.join(e, "id", "left")
            .withColumn("ends_at", F.coalesce("_at", "ends_at")).drop("_at"))
     missing = e.join(mutes.select("id"), "id", "left_anti").select(

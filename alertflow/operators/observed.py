@@ -13,11 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertflow.functions.labels import sorted_entries
+from alertflow.functions.labels import present_value, sorted_entries
 from alertflow.functions.status import ORDER_KEY_MIN, as_time, observed_status, order_key
 from alertflow.operators.mutes import exclude_muted_at, filter_mutes, mute_view
 
-DEFAULT_LIMIT = 100
+# Fixed value: the page size of the listings over HTTP. Functions here return every row unless a limit is passed.
+PAGE_SIZE = 100
 VIEW_COLUMNS = ["fingerprint", "labels", "starts_at", "ends_at", "first_seen_at", "last_seen_at"]
 
 
@@ -100,16 +101,17 @@ def filter_status(state: DataFrame, status: str, as_of) -> DataFrame:
     raise ValueError(f"unknown alert status filter {status!r}")
 
 
-def _limit(n):
-    return DEFAULT_LIMIT if (n is None or n <= 0) else n
+def _limited(df: DataFrame, n: int | None) -> DataFrame:
+    return df if n is None else df.limit(n)
 
 
 def list_alerts(state: DataFrame, as_of, status: str = "firing", exclude_muted: bool = False,
                 mutes: DataFrame | None = None, limit: int | None = None,
                 label_sets: DataFrame | None = None) -> DataFrame:
     """Status filter, optional strict exclusion by mutes active at
-    ``as_of`` (R5a), newest ``last_seen_at`` first, limit (default 100).
-    ``fingerprint`` breaks ties; the plan is a TakeOrderedAndProject.
+    ``as_of`` (R5a), newest ``last_seen_at`` first; all rows, or the first
+    ``limit``. ``fingerprint`` breaks ties; with a limit the plan is a
+    TakeOrderedAndProject.
     ``label_sets`` (the fingerprint table) lets the mute check run on the
     distinct label sets instead of a second evaluation of ``state``."""
     s = filter_status(state, status, as_of)
@@ -117,8 +119,7 @@ def list_alerts(state: DataFrame, as_of, status: str = "firing", exclude_muted:
         if mutes is None:
             raise ValueError("exclude_muted needs the mutes table")
         s = exclude_muted_at(s, mutes, as_of, label_sets=label_sets)
-    return (alert_view(s, as_of)
-            .orderBy(F.col("last_seen_at").desc(), F.col("fingerprint")).limit(_limit(limit)))
+    return _limited(alert_view(s, as_of).orderBy(F.col("last_seen_at").desc(), F.col("fingerprint")), limit)
 
 
 def get_alerts(state: DataFrame, keys: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
@@ -143,20 +144,19 @@ def lookup_alerts(state: DataFrame, keys: DataFrame, as_of) -> DataFrame:
 def matching_alerts(state: DataFrame, matchers: dict, as_of, status: str = "firing",
                     limit: int | None = None) -> DataFrame:
     """Alerts containing the matcher map (strict F2), by status, newest
-    first, limited. Literal matchers compile to a pushed-down-friendly
+    first; all rows, or the first ``limit``. Literal matchers compile to a pushed-down-friendly
     conjunction; an empty map matches every alert."""
     cond = F.lit(True)
     for k in sorted(matchers):
-        cond = cond & F.coalesce(F.col("labels")[F.lit(k)] == F.lit(matchers[k]), F.lit(False))
+        cond = cond & F.coalesce(present_value("labels", F.lit(k)) == F.lit(matchers[k] or ""), F.lit(False))
     s = filter_status(state.where(cond), status, as_of)
-    return (alert_view(s, as_of)
-            .orderBy(F.col("last_seen_at").desc(), F.col("fingerprint")).limit(_limit(limit)))
+    return _limited(alert_view(s, as_of).orderBy(F.col("last_seen_at").desc(), F.col("fingerprint")), limit)
 
 
 def mute_overview(mutes: DataFrame, state: DataFrame, as_of, mute_status_filter: str = "present",
                   per_mute: int | None = None) -> DataFrame:
-    """Every mute of the chosen status with at most ``per_mute`` of its
-    firing matching alerts (strict F2), newest first. One join and one
+    """Every mute of the chosen status with its firing matching alerts (all, or
+    at most ``per_mute``) (strict F2), newest first. One join and one
     ``row_number`` replace the reference's query per mute. Expired mutes get
     no match side, as in the reference."""
     from alertflow.operators.matching import condition_pairs
@@ -167,8 +167,10 @@ def mute_overview(mutes: DataFrame, state: DataFrame, as_of, mute_status_filter:
     firing = filter_status(state, "firing", as_of).select("fingerprint", "labels", "last_seen_at")
     pairs = condition_pairs(firing, live, matchers="m_matchers", mode="strict")
     w = Window.partitionBy("m_id").orderBy(F.col("last_seen_at").desc(), F.col("fingerprint"))
-    top = (pairs.withColumn("rank", F.row_number().over(w))
-           .where(F.col("rank") <= _limit(per_mute))
+    ranked = pairs.withColumn("rank", F.row_number().over(w))
+    if per_mute is not None:
+        ranked = ranked.where(F.col("rank") <= per_mute)
+    top = (ranked
            .select(F.col("m_id").alias("id"), "fingerprint", "last_seen_at", "rank"))
     return mv.join(top, "id", "left")
 

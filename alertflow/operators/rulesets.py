@@ -28,10 +28,12 @@ def validate_receivers(receivers: DataFrame) -> DataFrame:
     r = receivers.withColumn("_dup", F.row_number().over(w) > 1)
     name = F.coalesce(F.col("name"), F.lit(""))
     typ = F.coalesce(F.col("type"), F.lit(""))
+    url_file = F.coalesce(F.col("url_file"), F.lit("")) if "url_file" in receivers.columns else F.lit("")
+    # fixed values: the messages and their order
     msg = (F.when(name == "", F.format_string("receiver #%d: name is required", F.col("receiver_idx") + 1))
            .when(F.col("_dup"), F.format_string('receiver "%s": duplicate name', name))
            .when(typ == "", F.format_string('receiver "%s": type is required', name))
-           .when((typ == "webhook") & (F.coalesce(F.col("url"), F.lit("")) == ""),
+           .when((typ == "webhook") & (F.coalesce(F.col("url"), F.lit("")) == "") & (url_file == ""),
                  F.format_string('receiver "%s": webhook receiver requires url or url_file', name))
            .when(~typ.isin(*KNOWN_RECEIVER_TYPES),
                  F.format_string('receiver "%s": unknown receiver type "%s" (only "webhook" is configurable)',
@@ -50,6 +52,7 @@ def validate_rules(rules: DataFrame, receivers: DataFrame) -> DataFrame:
     name = F.coalesce(F.col("name"), F.lit(""))
     recv = F.coalesce(F.col("receiver"), F.lit(""))
     num = F.col("rule_idx") + 1
+    # fixed values: the messages and their order
     msg = (F.when(name == "", F.format_string("rule #%d: name is required", num))
            .when(F.col("_dup"), F.format_string('rule #%d: duplicate name "%s"', num, name))
            .when(recv == "", F.format_string('rule "%s": receiver is required', name))

@@ -189,17 +189,19 @@ def _view_cols(v: DataFrame) -> DataFrame:
 
 
 def q_list_firing(spark, sf):
-    return _view_cols(observed.list_alerts(Inputs(spark, sf).state_at_as_of(), AS_OF, "firing"))
+    return _view_cols(observed.list_alerts(Inputs(spark, sf).state_at_as_of(), AS_OF, "firing",
+                                           limit=observed.PAGE_SIZE))
 
 
 def q_list_firing_unmuted(spark, sf):
     inp = Inputs(spark, sf)
     return _view_cols(observed.list_alerts(inp.state_at_as_of(), AS_OF, "firing", exclude_muted=True,
-                                           mutes=inp.mutes(), label_sets=inp.fp_table()))
+                                           mutes=inp.mutes(), label_sets=inp.fp_table(), limit=observed.PAGE_SIZE))
 
 
 def q_list_expired(spark, sf):
-    return _view_cols(observed.list_alerts(Inputs(spark, sf).state_at_as_of(), AS_OF, "expired"))
+    return _view_cols(observed.list_alerts(Inputs(spark, sf).state_at_as_of(), AS_OF, "expired",
+                                           limit=observed.PAGE_SIZE))
 
 
 def q_get_alerts(spark, sf):
@@ -211,12 +213,12 @@ def q_get_alerts(spark, sf):
 
 def q_matching_alerts(spark, sf):
     s = Inputs(spark, sf).state_at_as_of()
-    return _view_cols(observed.matching_alerts(s, {"severity": "critical"}, AS_OF, "firing"))
+    return _view_cols(observed.matching_alerts(s, {"severity": "critical"}, AS_OF, "firing", limit=observed.PAGE_SIZE))
 
 
 def q_mute_overview(spark, sf):
     inp = Inputs(spark, sf)
-    ov = observed.mute_overview(inp.mutes(), inp.state_at_as_of(), AS_OF, "present")
+    ov = observed.mute_overview(inp.mutes(), inp.state_at_as_of(), AS_OF, "present", per_mute=observed.PAGE_SIZE)
     return ov.select("id", "status", "fingerprint", F.col("rank").cast("long").alias("rank"))
 
 

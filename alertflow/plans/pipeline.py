@@ -4,11 +4,11 @@ observe -> fingerprint -> mute (loose, at each alert's own time) -> route ->
 receiver -> de-duplicate (R13) -> attempts / notifications / outbox.
 
 Shuffles: the distinct label sets (map-side partial distinct; the table is
-checkpointed and broadcast only under a counted bound), one by
-``(label set, bucket)`` for the mute join, one by ``(rule, fingerprint,
-chunk)`` for the state machine plus a narrow one for its chunk summaries.
-Routing and receiver lookup are map-side projections. The routed decisions
-are checkpointed once before the state machine.
+checkpointed and broadcast only under a bound of its bytes), one by
+``(label set, bucket)`` for the mute join, one by ``(rule, fingerprint)`` for
+the state machine (two more, narrow, for hot keys only). Routing and receiver
+lookup are map-side projections. Nothing is checkpointed in full width: columns
+that a query does not ask for are pruned down to the scan.
 """
 
 from __future__ import annotations
@@ -61,14 +61,13 @@ def routed_decisions(alerts: DataFrame, ruleset: RuleSet, mutes: DataFrame | Non
 def replay(alerts: DataFrame, ruleset: RuleSet, mutes: DataFrame | None = None,
            seed: DataFrame | None = None, ok: Column | str = "call_ok",
            failing_receivers=(), chunk_seconds: int | None = None,
-           fingerprinted: bool = False, checkpoint_decisions: bool = True,
+           fingerprinted: bool = False, checkpoint_decisions: bool = False,
            label_sets: DataFrame | None = None) -> ReplayResult:
     """What would this rule set have sent for this alert history?
 
-    The routed decisions are checkpointed: the state machine reads them in
-    two branches (rows and chunk summaries), and the checkpoint keeps the
-    scan, fingerprint and mute joins from running twice. It also cuts the
-    lineage, so a lost executor does not recompute the mute join.
+    The state machine counts the keys first (a narrow job, to find hot ones)
+    and then reads the routed decisions once. ``checkpoint_decisions`` writes
+    them before, for callers that evaluate several results of one replay.
     """
     dec = routed_decisions(alerts, ruleset, mutes, fingerprinted=fingerprinted, label_sets=label_sets)
     if checkpoint_decisions:

@@ -47,6 +47,7 @@ RECEIVERS = T.StructType([
     T.StructField("type", T.StringType()),
     T.StructField("url", T.StringType()),
     T.StructField("config_id", T.StringType()),
+    T.StructField("url_file", T.StringType()),
 ])
 
 MUTES = T.StructType([

@@ -96,32 +96,36 @@ def live_deliver(decisions: DataFrame, deliver: Callable[[str, str, str], bool],
 
     d = decisions.select("rule_name", "fingerprint", F.col(now).alias("attempt_at"), "seq", "receiver",
                          "receiver_url", desired_status("ends_at", now).alias("desired"),
-                         payload(now).alias("payload"), F.lit(None).cast("string").alias("prev"))
+                         payload(now).alias("payload"), F.lit(None).cast("string").alias("prev"),
+                         F.col("seq").cast("string").alias("_seq"))
     if seed is not None:
         s = seed.select("rule_name", "fingerprint", F.lit(None).cast("timestamp").alias("attempt_at"),
                         F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("receiver"),
                         F.lit(None).cast("string").alias("receiver_url"), F.lit(None).cast("string").alias("desired"),
-                        F.lit(None).cast("string").alias("payload"), F.col("status").alias("prev"))
+                        F.lit(None).cast("string").alias("payload"), F.col("status").alias("prev"), F.lit(None).cast("string").alias("_seq"))
         d = d.unionByName(s)
     d = (d.repartition("rule_name", "fingerprint")
          .sortWithinPartitions("rule_name", "fingerprint", F.col("attempt_at").asc_nulls_first(), "seq"))
 
     def run(batches):
         import pandas as pd
-        state: dict = {}
+        last, status = None, None  # rows come sorted by key: only the current key's status is kept
         for pdf in batches:
             out = []
-            for r in pdf.itertuples(index=False):
+            for r in pdf.rename(columns={"_seq": "seq_text"}).itertuples(index=False):
                 k = (r.rule_name, r.fingerprint)
+                if k != last:
+                    last, status = k, None
                 if r.desired is None:
-                    state[k] = r.prev
+                    status = r.prev
                     continue
-                if state.get(k) == r.desired:
+                if status == r.desired:
                     continue
                 ok = bool(deliver(r.receiver, r.receiver_url, r.payload))
                 st = r.desired if ok else r.desired.replace("-sent", "-failed")
-                state[k] = st
-                out.append((r.rule_name, r.fingerprint, r.attempt_at, r.seq, st))
+                status = st
+                # seq travels as text: a column with NULL seeds would become floating point
+                out.append((r.rule_name, r.fingerprint, r.attempt_at, None if r.seq_text is None else int(r.seq_text), st))
             yield pd.DataFrame(out, columns=[f.name for f in LIVE_SCHEMA.fields])
 
     return d.mapInPandas(run, LIVE_SCHEMA)

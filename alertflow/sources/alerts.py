@@ -8,24 +8,25 @@ parse is rejected whole, as the reference rejects the request.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from alertflow import schemas
+from alertflow.functions.labels import no_null_values
 from alertflow.functions.status import zero_time_to_null
 
-_BATCH = T.ArrayType(schemas.POSTABLE_ALERT)
+# Elements of one body and ordinals of bodies share the 63 bits of ``seq``.
+_MAX_ELEMENTS, _MAX_ORDINAL = 1 << 20, 1 << 42
+_RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
 _JSON_OPTS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS]XXX"}
 
 
 def _normalise(df: DataFrame) -> DataFrame:
-    """S9 + F10: missing labels -> empty map; zero times -> NULL."""
-    empty = F.create_map().cast(schemas.LABELS)
+    """S9 + F10: missing labels -> empty map, null values -> ''; zero times -> NULL."""
     return df.select(
         "*",
-        F.coalesce(F.col("a.labels"), empty).alias("labels"),
-        F.coalesce(F.col("a.annotations"), empty).alias("annotations"),
+        no_null_values("a.labels").alias("labels"),
+        no_null_values("a.annotations").alias("annotations"),
         zero_time_to_null(F.col("a.startsAt")).alias("starts_at"),
         zero_time_to_null(F.col("a.endsAt")).alias("ends_at"),
         F.col("a.generatorURL").alias("generator_url"),
@@ -36,8 +37,10 @@ def parse_batches(files: DataFrame, observed_at=None) -> tuple[DataFrame, DataFr
     """S1 core over a DataFrame ``(path, mtime, value)`` of raw bodies.
 
     Returns ``(alerts, rejects)``. ``observed_at`` is the body's arrival
-    time (file modification time) unless a time is given; ``seq`` orders
-    pushes of equal arrival time by file and array position.
+    time (file modification time) unless a time is given. ``seq`` orders
+    pushes of equal arrival time: by the body's ``ordinal`` if ``files`` has
+    that column (a broker offset, a file's rank), else by a hash of the path,
+    then by array position. Bodies of more than 2**20 elements are rejected.
     """
     # elements are kept as raw JSON text first, so that an element whose
     # labels do not parse as a string map is seen (the reference rejects the
@@ -45,27 +48,48 @@ def parse_batches(files: DataFrame, observed_at=None) -> tuple[DataFrame, DataFr
     raw = F.from_json("value", "array<string>")
     elems = F.transform(raw, lambda e: F.struct(e.alias("raw"), F.from_json(e, schemas.POSTABLE_ALERT, _JSON_OPTS)
                                                 .alias("a")))
-    parsed = files.select("path", "mtime", elems.alias("_e"))
-    bad_elem = F.exists(F.coalesce(F.col("_e"), F.array()), lambda x: x["a"].isNull() | (
-        x["a"]["labels"].isNull() & F.get_json_object(x["raw"], "$.labels").isNotNull()))
-    parsed = parsed.select("path", "mtime", (F.col("_e").isNotNull() & ~bad_elem).alias("_ok"),
+    ordinal = (F.col("ordinal") if "ordinal" in files.columns else F.abs(F.xxhash64("path")) % F.lit(_MAX_ORDINAL))
+    parsed = files.select("path", "mtime", ordinal.alias("_ordinal"), elems.alias("_e"))
+    bad_elem = F.exists(F.coalesce(F.col("_e"), F.array()), lambda x: ~_valid_element(x["raw"]))
+    too_many = F.coalesce(F.size("_e") > F.lit(_MAX_ELEMENTS), F.lit(False))
+    parsed = parsed.select("path", "mtime", "_ordinal", (F.col("_e").isNotNull() & ~bad_elem & ~too_many).alias("_ok"),
                            F.transform("_e", lambda x: x["a"]).alias("batch"))
     rejects = parsed.where(~F.col("_ok")).select("path", F.lit("malformed alert batch").alias("error"))
-    exploded = parsed.where("_ok").select("path", "mtime", F.posexplode("batch").alias("pos", "a"))
+    exploded = parsed.where("_ok").select("path", "mtime", "_ordinal", F.posexplode("batch").alias("pos", "a"))
     out = _normalise(exploded)
     obs = F.col("mtime") if observed_at is None else F.lit(observed_at).cast("timestamp")
     return (out.select(
         F.xxhash64("path", "pos").alias("alert_id"),
         obs.alias("observed_at"),
-        _seq(F.col("path"), F.col("pos")).alias("seq"),
+        (F.col("_ordinal") * F.lit(_MAX_ELEMENTS) + F.col("pos")).alias("seq"),
         "labels", "annotations", "starts_at", "ends_at", "generator_url"),
         rejects)
 
 
-def _seq(path, pos):
-    # file ordinal from the path (bodies are at most 10 MiB, so fewer than
-    # 2**20 alerts each), then the position inside the array
-    return (F.abs(F.xxhash64(path)) % F.lit(1 << 42)) * F.lit(1 << 20) + pos
+def _valid_element(raw):
+    """What a typed decode of one alert accepts: an object (or null) whose labels and annotations are objects of texts
+    or nulls, whose times are RFC 3339 texts or null, and whose generatorURL is a text or null."""
+    v = F.try_parse_json(raw)
+
+    def kind(x):
+        return F.regexp_extract(F.coalesce(F.schema_of_variant(x), F.lit("VOID")), "^[A-Z]+", 0)
+
+    def part(name):
+        return F.try_variant_get(v, f"$.{name}", "variant")
+
+    def texts(name):
+        values = F.map_values(F.try_variant_get(v, f"$.{name}", "map<string,variant>"))
+        return (kind(part(name)) == "VOID") | ((kind(part(name)) == "OBJECT") & F.forall(
+            F.coalesce(values, F.array().cast("array<variant>")), lambda x: kind(x).isin("STRING", "VOID")))
+
+    def time(name):
+        text = F.try_variant_get(v, f"$.{name}", "string")
+        return (kind(part(name)) == "VOID") | ((kind(part(name)) == "STRING") & F.coalesce(
+            text.rlike(_RFC3339) & F.try_to_timestamp(text).isNotNull(), F.lit(False)))
+
+    is_null = raw.isNull() | (kind(v) == "VOID") & v.isNotNull()
+    return is_null | (v.isNotNull() & (kind(v) == "OBJECT") & texts("labels") & texts("annotations") & time("startsAt")
+                      & time("endsAt") & kind(part("generatorURL")).isin("STRING", "VOID"))
 
 
 def _bodies(reader_df: DataFrame) -> DataFrame:
@@ -74,8 +98,12 @@ def _bodies(reader_df: DataFrame) -> DataFrame:
 
 
 def read_alert_batches(spark: SparkSession, path: str, observed_at=None) -> tuple[DataFrame, DataFrame]:
-    """A directory (or glob) of JSON-array bodies, one body per file."""
-    return parse_batches(_bodies(spark.read.option("wholetext", "true").text(path)), observed_at)
+    """A directory (or glob) of JSON-array bodies, one body per file.
+    Files of equal modification time count in path order (their rank, from a
+    window over one row per file)."""
+    bodies = _bodies(spark.read.option("wholetext", "true").text(path))
+    rank = bodies.select("path").withColumn("ordinal", F.row_number().over(Window.orderBy("path")).cast("long"))
+    return parse_batches(bodies.join(rank, "path"), observed_at)
 
 
 def read_alert_file(spark: SparkSession, path: str) -> DataFrame:
@@ -102,7 +130,7 @@ def read_alert_stream(spark: SparkSession, path: str, max_files_per_trigger: int
 def read_alert_kafka(spark: SparkSession, bootstrap_servers: str, topic: str, **options):
     """S3, production form: one posted batch per Kafka message. Needs the
     Kafka connector on the classpath; the parse is the same as S1 with the
-    broker timestamp as arrival time and (partition, offset) as order."""
+    broker timestamp as arrival time and the offset as order among equal times."""
     r = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", bootstrap_servers)
          .option("subscribe", topic))
     for k, v in options.items():
@@ -110,20 +138,20 @@ def read_alert_kafka(spark: SparkSession, bootstrap_servers: str, topic: str, **
     raw = r.load()
     bodies = raw.select(F.concat_ws(":", F.col("topic"), F.col("partition").cast("string"),
                                     F.col("offset").cast("string")).alias("path"),
-                        F.col("timestamp").alias("mtime"), F.col("value").cast("string").alias("value"))
+                        F.col("offset").alias("ordinal"), F.col("timestamp").alias("mtime"), F.col("value").cast("string").alias("value"))
     return parse_batches(bodies)
 
 
 def read_mutes(spark: SparkSession, path: str) -> DataFrame:
-    """Mutes; NULL comment / created_by read as ''."""
+    """Mutes; NULL comment / created_by and NULL matcher values read as ''."""
     df = spark.read.schema(schemas.MUTES).parquet(path)
-    return df.withColumn("comment", F.coalesce("comment", F.lit(""))) \
+    return df.withColumn("matchers", no_null_values("matchers")).withColumn("comment", F.coalesce("comment", F.lit(""))) \
              .withColumn("created_by", F.coalesce("created_by", F.lit("")))
 
 
 def mutes_from_jsonb(df: DataFrame, matchers_col: str = "matchers") -> DataFrame:
     """S4 for a JDBC-style source whose matchers are JSON text."""
-    return df.withColumn(matchers_col, F.from_json(matchers_col, "map<string,string>"))
+    return df.withColumn(matchers_col, no_null_values(F.from_json(matchers_col, "map<string,string>")))
 
 
 def read_notifications(spark: SparkSession, path: str) -> DataFrame:

@@ -29,6 +29,7 @@ class Receiver:
     name: str
     type: str = "webhook"
     url: str = ""
+    url_file: str = ""  # kept as text; the file (a secret) is not read here
 
 
 @dataclass
@@ -46,16 +47,17 @@ class RuleSet:
         return spark.createDataFrame(rows, schemas.RULES)
 
     def receivers_df(self, spark: SparkSession) -> DataFrame:
-        rows = [(i, r.name, r.type, r.url, self.config_id) for i, r in enumerate(self.receivers)]
+        rows = [(i, r.name, r.type, r.url, self.config_id, r.url_file) for i, r in enumerate(self.receivers)]
         return spark.createDataFrame(rows, schemas.RECEIVERS)
 
     @staticmethod
     def from_dict(cfg: dict, config_id: str = "default") -> "RuleSet":
         """Build from the parsed YAML layout (``receivers:`` and ``rules:``)."""
-        recv = [Receiver(r.get("name", ""), r.get("type", ""), r.get("url", "") or "")
+        text = lambda r, k: scalar_text(r.get(k))
+        recv = [Receiver(text(r, "name"), text(r, "type"), text(r, "url"), text(r, "url_file"))
                 for r in cfg.get("receivers", []) or []]
-        rules = [Rule(r.get("name", ""), dict(r.get("match") or {}), r.get("receiver", ""),
-                      bool(r.get("continue", False)))
+        rules = [Rule(text(r, "name"), {scalar_text(k): scalar_text(v) for k, v in (r.get("match") or {}).items()},
+                      text(r, "receiver"), r.get("continue", False) in (True, "true", "True", "TRUE"))
                  for r in cfg.get("rules", []) or []]
         return RuleSet(rules, recv, config_id)
 
@@ -67,18 +69,47 @@ class RuleSet:
             import yaml
         except ImportError as e:  # pragma: no cover - optional dependency
             raise RuntimeError("PyYAML is needed for from_yaml; use from_dict") from e
-        return RuleSet.from_dict(yaml.safe_load(text) or {}, config_id)
+        return RuleSet.from_dict(yaml.load(text, Loader=_text_loader(yaml)) or {}, config_id)
 
     @staticmethod
-    def from_dataframes(rules: DataFrame, receivers: DataFrame, max_rules: int = 100_000) -> "RuleSet":
-        """Rule sets kept as tables: read back to the driver with a bound
-        (a rule set is configuration, not data)."""
+    def from_dataframes(rules: DataFrame, receivers: DataFrame, max_rules: int = 100_000,
+                        config_id: str | None = None) -> "RuleSet":
+        """Rule sets kept as tables: read back to the driver with a bound (a
+        rule set is configuration, not data). Tables with several
+        ``config_id`` need one to be named; more than ``max_rules`` rules or
+        receivers are refused, never cut."""
+        if config_id is not None:
+            rules, receivers = rules.where(F.col("config_id") == config_id), receivers.where(F.col("config_id") == config_id)
         rr = rules.orderBy("rule_idx").limit(max_rules + 1).collect()
         if len(rr) > max_rules:
             raise ValueError(f"rule set larger than {max_rules} rules")
         vv = receivers.limit(max_rules + 1).collect()
+        if len(vv) > max_rules:
+            raise ValueError(f"rule set larger than {max_rules} receivers")
+        ids = {r["config_id"] for r in [*rr, *vv] if "config_id" in r}
+        if len(ids) > 1:
+            raise ValueError(f"several rule sets: name one config_id of {sorted(map(str, ids))[:5]}")
         return RuleSet([Rule(r["name"], dict(r["match"] or {}), r["receiver"], bool(r["continue"])) for r in rr],
-                       [Receiver(v["name"], v["type"], v["url"] or "") for v in vv])
+                       [Receiver(v["name"], v["type"], v["url"] or "", v["url_file"] or "" if "url_file" in v else "")
+                        for v in vv],
+                       next(iter(ids), None) or "default")
+
+
+def scalar_text(v) -> str:
+    """A configuration scalar as the text it was written as (NULL: '')."""
+    if v is None:
+        return ""
+    return ("true" if v else "false") if isinstance(v, bool) else str(v)
+
+
+def _text_loader(yaml):
+    """YAML loader that keeps every scalar as text (``port: 80``, ``on``, ``1e3`` stay as written); only null is resolved."""
+    class Loader(yaml.SafeLoader):
+        pass
+    Loader.yaml_implicit_resolvers = {
+        first: [(tag, exp) for tag, exp in pairs if tag in ("tag:yaml.org,2002:null", "tag:yaml.org,2002:merge")]
+        for first, pairs in yaml.SafeLoader.yaml_implicit_resolvers.items()}
+    return Loader
 
 
 # The example configuration shipped with the reference
@@ -138,7 +169,7 @@ def read_cases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 _CONFIG_JSON = T.StructType([
     T.StructField("receivers", T.ArrayType(T.StructType([
         T.StructField("name", T.StringType()), T.StructField("type", T.StringType()),
-        T.StructField("url", T.StringType())]))),
+        T.StructField("url", T.StringType()), T.StructField("url_file", T.StringType())]))),
     T.StructField("rules", T.ArrayType(T.StructType([
         T.StructField("name", T.StringType()), T.StructField("match", schemas.LABELS),
         T.StructField("receiver", T.StringType()), T.StructField("continue", T.BooleanType())]))),
@@ -160,7 +191,8 @@ def read_config_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     recv = doc.select("config_id", F.posexplode_outer("receivers").alias("receiver_idx", "v")).where(
         F.col("v").isNotNull())
     recv = recv.select(F.col("receiver_idx").cast("int").alias("receiver_idx"), F.col("v.name").alias("name"),
-                       F.col("v.type").alias("type"), F.col("v.url").alias("url"), "config_id")
+                       F.col("v.type").alias("type"), F.col("v.url").alias("url"), "config_id",
+                       F.col("v.url_file").alias("url_file"))
     return rules, recv
 
 
@@ -172,11 +204,11 @@ def cases_from_yaml(spark: SparkSession, text: str) -> tuple[DataFrame, DataFram
         import yaml
     except ImportError as e:  # pragma: no cover - optional dependency
         raise RuntimeError("PyYAML is needed for cases_from_yaml") from e
-    doc = yaml.safe_load(text) or {}
+    doc = yaml.load(text, Loader=_text_loader(yaml)) or {}
     rows = []
     for c in doc.get("verify", []) or []:
         exp = c.get("expect") or {}
-        rows.append((c.get("name") or "", {str(k): str(v) for k, v in (c.get("labels") or {}).items()},
+        rows.append((c.get("name") or "", {scalar_text(k): scalar_text(v) for k, v in (c.get("labels") or {}).items()},
                      list(exp.get("rules") or []), list(exp.get("receivers") or []), c.get("description")))
     df = spark.createDataFrame(rows, schemas.CASES)
     ok = F.col("name") != ""

@@ -1,6 +1,8 @@
 import datetime as dt
 import random
 
+import pytest
+
 from alertflow.operators import delivery as D
 from tests import models
 
@@ -115,30 +117,48 @@ def test_adaptive_chunks_for_hot_keys(spark):
     assert {r.seq: r.status for r in out} == _model(rows, seed)
 
 
-def test_hot_key_slices_are_bounded_and_exact(spark):
+@pytest.mark.parametrize("spacing", [7, 0])  # evenly spaced; a burst: every push at one instant
+def test_hot_key_slices_are_bounded_and_exact(spark, spacing):
     from pyspark.sql import functions as F
-    n = 200_000
+    n = 60_000
     # one flapping alert under one rule: 200k pushes, plus an ordinary key
     df = (spark.range(n + 1000)
           .select(F.when(F.col("id") < n, F.lit("hot")).otherwise(F.lit("cold")).alias("fingerprint"),
                   F.lit("r").alias("rule_name"),
-                  (F.lit(T0).cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("id") * 7))
+                  (F.lit(T0).cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("id") * spacing))
                   .alias("observed_at"),
                   F.col("id").alias("seq"),
                   F.when((F.col("id") / 3).cast("long") % 2 == 0, F.lit(None).cast("timestamp"))
                    .otherwise(F.lit(T0).cast("timestamp")).alias("ends_at"),
                   (F.col("id") % 5 != 0).alias("ok")))
-    adaptive = D.delivery_plan(df, ok="ok", hot_rows=50_000, target_rows=20_000)
+    adaptive = D.delivery_plan(df, ok="ok", hot_rows=20_000, target_rows=6_000)
     fixed = D.delivery_plan(df, ok="ok", chunk_seconds=86400 * 365)
     diff = (adaptive.select("seq", "status").exceptAll(fixed.select("seq", "status")).count()
             + fixed.select("seq", "status").exceptAll(adaptive.select("seq", "status")).count())
     assert diff == 0
-    # the slices of the hot key: about target_rows each, the cold key one chunk
-    stats = D._adaptive_chunk(df.select("rule_name", "fingerprint", "observed_at"), "observed_at", 50_000, 20_000)
-    st = stats.collect()
-    assert [r.fingerprint for r in st] == ["hot"] and st[0]._n == n
-    width = -(-(st[0]._t1 - st[0]._t0 + 1) * 20_000 // n)
-    per_chunk = (df.where(F.col("fingerprint") == "hot")
-                 .groupBy(F.floor((F.unix_micros("observed_at") - F.lit(st[0]._t0)) / F.lit(width)).alias("c"))
-                 .count().agg(F.max("count"), F.count(F.lit(1))).first())
-    assert per_chunk[0] <= 20_001 and per_chunk[1] >= 10
+    rows = df.withColumn("desired", F.lit("x")).withColumn("_ok", F.col("ok")).withColumn("_ord", F.col("seq").cast("decimal(38,0)"))
+    hot, n_rows = D._hot_keys(rows, 20_000)
+    assert [r.fingerprint for r in hot.collect()] == ["hot"] and n_rows == n
+    slices = D.hot_slices(rows.join(hot, D.KEY, "left_semi"), n_rows, 6_000).groupBy("_chunk").count().collect()
+    assert len(slices) >= 8 and max(r["count"] for r in slices) <= 12_000
+
+
+def test_ordinary_keys_take_one_exchange(spark):
+    df = spark.createDataFrame([("r0", "f0", T0, 1, None, True)], SCHEMA)
+    plan = D.delivery_plan(df, ok="ok")
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.split("Initial Plan")[0].count(" Exchange hashpartitioning") == 1 and "Join" not in text
+
+
+def test_seed_of_other_keys_is_left_out(spark):
+    df = spark.createDataFrame([("r0", "f0", T0, 1, None, True)], SCHEMA)
+    seed = spark.createDataFrame([("r0", "f0", "firing-sent"), ("r9", "f9", "firing-sent")],
+                                 "rule_name string, fingerprint string, status string")
+    assert [(r.rule_name, r.status) for r in D.delivery_plan(df, ok="ok", seed=seed).collect()] == [("r0", None)]
+
+
+def test_rows_of_equal_order_count_by_outcome(spark):
+    rows = [("r0", "f0", T0, 1, None, True), ("r0", "f0", T0, 1, None, False)]
+    got = D.delivery_plan(spark.createDataFrame(rows, SCHEMA), ok="ok").collect()
+    assert sorted(r.status for r in got) == ["firing-failed", "firing-sent"]
