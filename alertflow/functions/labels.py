@@ -249,5 +249,5 @@ def labels_from_json(text) -> Column:
 
 
 def labels_to_json(labels) -> Column:
-    """map to JSON object text with keys in sorted order."""
-    return F.to_json(F.map_from_entries(sorted_entries(labels)))
+    """map to JSON object text with keys in sorted order (NULL stays NULL)."""
+    return F.when(_col(labels).isNotNull(), F.to_json(F.map_from_entries(sorted_entries(labels))))

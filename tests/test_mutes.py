@@ -118,3 +118,34 @@ def test_expire_and_listing(spark):
     assert p.ends_at < p.starts_at
     found, miss = M.get_mutes(m, spark.createDataFrame([("a",), ("q",)], "id string"), now)
     assert [r.id for r in found.collect()] == ["a"] and miss.count() == 1
+
+
+def test_a_mute_until_the_far_future_stays_one_row(spark):
+    alerts = spark.createDataFrame([(i, {"a": str(i % 3)}, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i)) for i in range(60)],
+                                   "seq long, labels map<string,string>, observed_at timestamp")
+    mutes = spark.createDataFrame(
+        [("far", {"a": "1"}, dt.datetime(1970, 1, 1), dt.datetime(9999, 1, 1), "c", "u"),
+         ("short", {"a": "2"}, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2), "c", "u"),
+         ("null", {"b": None}, dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 3, 1), "c", "u")], schemas.MUTES)
+    _, short, long = M._keyed_sides(alerts, mutes, "loose", "observed_at", 86400, "labels", None, None, "fingerprint")
+    assert long.count() == 1 and short.count() == 2 + 3
+    muted = {r.seq for r in M.muted(alerts, mutes).collect()}
+    assert muted == {i for i in range(60) if i % 3 == 1 or (i % 3 == 2 and i <= 24) or 48 <= i <= 49}
+    assert {r.seq for r in M.unmuted(alerts, mutes).collect()} == set(range(60)) - muted
+    for force in ("keyset", "anchor"):
+        pairs = M.mute_pairs(alerts, mutes, force=force).select("seq", "m_id").collect()
+        assert {p.seq for p in pairs} == muted and len(pairs) == len(set(pairs))
+
+
+def test_repeated_expiries_and_requests_keep_ids_unique(spark):
+    t = dt.datetime(2024, 1, 1)
+    req = spark.createDataFrame([("x", {"a": "1"}, t, t + dt.timedelta(hours=1), "c", "u")] * 2
+                                + [("z", {"a": "1"}, dt.datetime(1, 1, 1), t, "c", "u")], schemas.MUTES).drop("id")
+    created, rejects = M.create_mutes(req, t)
+    assert created.count() == 1
+    assert [r.field for r in rejects.select("field").collect()] == ["starts_at"]  # the zero time counts as missing
+    again, _ = M.create_mutes(req, t, existing=created)
+    assert again.count() == 0
+    at = spark.createDataFrame([(created.first().id, t), (created.first().id, t + dt.timedelta(minutes=5))], "id string, at timestamp")
+    new, _ = M.expire_mutes(created.drop("status"), at)
+    assert [r.ends_at for r in new.collect()] == [t + dt.timedelta(minutes=5)]

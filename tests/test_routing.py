@@ -99,3 +99,51 @@ def test_large_rule_set_uses_join_form(spark):
     want = {k: v for k, v in want.items() if v}
     out = routing.route(df, rs)
     assert _decided(out) == want
+
+
+def test_compiled_and_join_form_agree_with_nulls(spark):
+    import random
+
+    from alertflow.operators import rulesets
+    from alertflow.sources.config import Receiver, Rule, RuleSet
+
+    rng = random.Random(8)
+    value = lambda: rng.choice(["a", "b", "", None])
+    labels = [None, {}] + [{k: value() for k in rng.sample("xyz", rng.randint(0, 3))} for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(labels)), "id long, labels map<string,string>")
+    for n in (0, 1, 7, 40):
+        rules = [Rule(f"r{i}", {k: value() for k in rng.sample("xyz", rng.randint(1, 2))}, f"v{i % 3}", rng.random() < 0.6)
+                 for i in range(n)]
+        rs = RuleSet(rules, [Receiver("v0"), Receiver("v1")])
+        want = {}
+        for i, labs in enumerate(labels):
+            got = []
+            for k, r in enumerate(rules):
+                if all(((labs or {}).get(key) or "") == (v or "") for key, v in r.match.items()):
+                    got.append(k)
+                    if not r.cont:
+                        break
+            want[i] = got
+        for most in (-1, 1000):
+            hits = {r.id: r._hits for r in routing.with_hits(df, rs, compiled_max=most).collect()}
+            assert hits == want
+            assert {r.id for r in routing.unrouted(df, rs, compiled_max=most).collect()} == {i for i, h in want.items() if not h}
+        final = {r.id: r for r in rulesets.final_decisions(df, rs, key="id").collect()}
+        assert all((final[i].outcome == "dropped") == (not h) for i, h in want.items())
+        if not n:
+            assert {r.final for r in final.values()} == {"none, alert would be dropped"}
+            assert rulesets.explain(df, rs, key="id").select("id").distinct().count() == len(labels)
+
+
+def test_two_thousand_rules(spark):
+    from alertflow.operators import rulesets
+    from alertflow.sources.config import Receiver, Rule, RuleSet
+
+    rs = RuleSet([Rule(f"r{i}", {"user": str(i)}, "v", i % 2 == 0) for i in range(1999)] + [Rule("all", {}, "v")],
+                 [Receiver("v")])
+    df = spark.createDataFrame([(i, {"user": str(i)}) for i in (0, 1, 1998, 5000)], "id long, labels map<string,string>")
+    got = sorted((r.id, r.rule_name) for r in routing.route(df, rs).collect())
+    assert got == [(0, "all"), (0, "r0"), (1, "r1"), (1998, "all"), (1998, "r1998"), (5000, "all")]
+    assert routing.unrouted(df, rs).count() == 0
+    steps = rulesets.explain(df, rs, key="id").groupBy("id").count().collect()
+    assert {r.id: r["count"] for r in steps} == {0: 2000, 1: 2, 1998: 2000, 5000: 2000}

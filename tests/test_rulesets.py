@@ -1,3 +1,5 @@
+import pytest
+
 from alertflow import schemas
 from alertflow.operators import rulesets as RS
 from alertflow.sources.config import EXAMPLE_CASES, Receiver, Rule, RuleSet, example_cases, example_ruleset
@@ -154,3 +156,27 @@ def test_verify_report_text(spark):
     assert rep["ok"] == "PASS  ok"
     assert rep["bad"] == ("FAIL  bad\n      why it matters\n"
                           "      expected rules     [critical-mirror], got [catch-all]")
+
+
+def test_tables_of_several_rule_sets_need_a_name_and_respect_the_bound(spark):
+    from alertflow import schemas
+    from alertflow.sources.config import RuleSet
+
+    rules = spark.createDataFrame([(0, "r", {}, "v", False, "a"), (0, "q", {}, "v", False, "b")], schemas.RULES)
+    recv = spark.createDataFrame([(i, f"v{i}", "webhook", "u", c, None) for c in "ab" for i in range(3)], schemas.RECEIVERS)
+    with pytest.raises(ValueError):
+        RuleSet.from_dataframes(rules, recv)
+    with pytest.raises(ValueError):
+        RuleSet.from_dataframes(rules, recv, max_rules=2, config_id="a")
+    assert [r.name for r in RuleSet.from_dataframes(rules, recv, config_id="b").rules] == ["q"]
+
+
+def test_yaml_scalars_stay_text_and_url_file_counts(spark):
+    from alertflow.operators import rulesets
+    from alertflow.sources.config import RuleSet
+
+    pytest.importorskip("yaml")
+    rs = RuleSet.from_yaml("receivers:\n- {name: v, type: webhook, url_file: /run/secret}\n"
+                           "rules:\n- {name: on, match: {port: 80, up: true, v: 1e3}, receiver: v, continue: true}\n")
+    assert rs.rules[0].match == {"port": "80", "up": "true", "v": "1e3"} and rs.rules[0].name == "on" and rs.rules[0].cont
+    assert rulesets.validate_rules(rs.rules_df(spark), rs.receivers_df(spark)).count() == 0

@@ -93,3 +93,38 @@ def test_observe_counters_in_a_plain_stream(spark):
     seen = [p["observedMetrics"]["alertflow_counters"]["alerts_received"] for p in q.recentProgress
             if p.get("observedMetrics", {}).get("alertflow_counters")]
     assert sum(seen) == 25
+
+
+def test_body_is_rejected_whole_on_any_bad_field(spark):
+    import json
+
+    good = {"labels": {"a": "1"}, "startsAt": "2024-01-01T00:00:00Z"}
+    cases = [({}, True), ({"labels": None}, True), ({"labels": {"a": None}}, True), ({"labels": {"a": 5}}, False),
+             ({"labels": "x"}, False), ({"labels": ["x"]}, False), ({"annotations": "x"}, False), ({"annotations": {"a": {}}}, False),
+             ({"annotations": None}, True), ({"endsAt": "garbage"}, False), ({"endsAt": 12345}, False), ({"endsAt": None}, True),
+             ({"endsAt": ""}, False), ({"endsAt": "2024-01-01T00:00:00+02:00"}, True), ({"endsAt": "2024-01-01T00:00:00.123456Z"}, True),
+             ({"endsAt": "2024-13-01T00:00:00Z"}, False), ({"endsAt": "2024-01-01 00:00:00"}, False), ({"generatorURL": 1}, False),
+             ({"generatorURL": "http://x"}, True), ({"unknown": [1, {}]}, True)]
+    rows = [(f"f{i:02d}", dt.datetime(2024, 1, 1), json.dumps([good, good | c])) for i, (c, _) in enumerate(cases)]
+    rows += [("g0", dt.datetime(2024, 1, 1), "[1]"), ("g1", dt.datetime(2024, 1, 1), "{}"), ("g2", dt.datetime(2024, 1, 1), "[")]
+    alerts, rejects = S.parse_batches(spark.createDataFrame(rows, "path string, mtime timestamp, value string"))
+    bad = {r.path for r in rejects.collect()}
+    assert bad == {f"f{i:02d}" for i, (_, ok) in enumerate(cases) if not ok} | {"g0", "g1", "g2"}
+    got = alerts.collect()
+    assert len(got) == 2 * sum(ok for _, ok in cases) and all(None not in r.labels.values() for r in got)
+
+
+def test_equal_arrival_times_keep_broker_order(spark):
+    rows = [(f"t:0:{i}", dt.datetime(2024, 1, 1), '[{"labels":{"i":"%d"}},{"labels":{"i":"%d"}}]' % (2 * i, 2 * i + 1), i)
+            for i in range(30)]
+    alerts, _ = S.parse_batches(spark.createDataFrame(rows, "path string, mtime timestamp, value string, ordinal long"))
+    assert [int(r.labels["i"]) for r in alerts.orderBy("observed_at", "seq").collect()] == list(range(60))
+
+
+def test_files_of_equal_time_count_in_path_order(spark):
+    d = tempfile.mkdtemp(prefix="af-order-")
+    for i in (2, 0, 1):
+        with open(f"{d}/b{i}.json", "w") as f:
+            f.write('[{"labels":{"i":"%d"}}]' % i)
+    alerts, _ = S.read_alert_batches(spark, d, observed_at="2024-01-01 00:00:00")
+    assert [r.labels["i"] for r in alerts.orderBy("observed_at", "seq").collect()] == ["0", "1", "2"]
