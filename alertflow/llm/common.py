@@ -14,13 +14,14 @@ import numpy as np
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from alertflow.session import ensure_checkpoint_dir
+from alertflow.session import ensure_checkpoint_dir, ship_package
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -28,6 +29,7 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back (cuts lineage; the
     reread table has known sizes, so the planner picks joins by size)."""
     spark = df.sparkSession
+    ship_package(spark)
     path = f"{ensure_checkpoint_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

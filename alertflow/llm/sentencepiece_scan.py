@@ -291,11 +291,11 @@ _loaded: dict[int, Pieces] = {}
 
 def _pieces(shared) -> Pieces:
     """One model per worker process."""
-    blob = shared.value
-    if id(shared) not in _loaded and hash(blob) not in _loaded:
+    key = hash(shared.value)
+    if key not in _loaded:
         _loaded.clear()
-        _loaded[hash(blob)] = Pieces(blob)
-    return _loaded[hash(blob)]
+        _loaded[key] = Pieces(shared.value)
+    return _loaded[key]
 
 
 def _broadcast(spark: SparkSession, model_path: str):
@@ -314,17 +314,15 @@ def chunk_rows(docs: DataFrame, shared, chunk: int) -> DataFrame:
         for b in batches:
             for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 norm = p.normalised(text)
-                cuts = list(range(0, len(norm), chunk)) + [len(norm)]
-                for first in range(0, len(cuts) - 1, 64):
-                    some = list(enumerate(pairwise(cuts)))[first:first + 64] if len(cuts) < 10_000 else [
-                        (k, (cuts[k], cuts[k + 1])) for k in range(first, min(first + 64, len(cuts) - 1))]
-                    m = 2 * p.longest
+                parts, m = -(-len(norm) // chunk), 2 * p.longest
+                for first in range(0, parts, 64):
+                    lows = range(first * chunk, min((first + 64) * chunk, len(norm)), chunk)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([row] * len(some), pa.int64()), pa.array([k for k, _ in some], pa.int64()),
-                         pa.array([len(cuts) - 1] * len(some), pa.int64()),
-                         pa.array([norm[max(0, lo - m):lo] for _, (lo, _) in some], pa.string()),
-                         pa.array([norm[lo:hi] for _, (lo, hi) in some], pa.string()),
-                         pa.array([norm[hi:hi + m] for _, (_, hi) in some], pa.string())],
+                        [pa.array([row] * len(lows), pa.int64()), pa.array([lo // chunk for lo in lows], pa.int64()),
+                         pa.array([parts] * len(lows), pa.int64()),
+                         pa.array([norm[max(0, lo - m):lo] for lo in lows], pa.string()),
+                         pa.array([norm[lo:lo + chunk] for lo in lows], pa.string()),
+                         pa.array([norm[lo + chunk:lo + chunk + m] for lo in lows], pa.string())],
                         names=["row", "part", "parts", "before", "body", "after"])
 
     return docs.select("row", "text").mapInArrow(
@@ -334,8 +332,8 @@ def chunk_rows(docs: DataFrame, shared, chunk: int) -> DataFrame:
 def _chunks(b: pa.RecordBatch, p: Pieces) -> Iterator[Chunk]:
     cols = [b.column(n).to_pylist() for n in ("part", "parts", "before", "body", "after")]
     for part, parts, before, body, after in zip(*cols, strict=True):
-        yield Chunk(p, before, body, after, part == 0 or len(before) < 2 * p.longest and part * len(body) == len(before),
-                    part == parts - 1)
+        # a margin shorter than asked for reaches back to the document's start
+        yield Chunk(p, before, body, after, len(before) < 2 * p.longest, part == parts - 1)
 
 
 def encode_giant(docs: DataFrame, shared, chunk: int) -> DataFrame:
