@@ -42,7 +42,7 @@ def test_mute_overview_limits_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
-def test_state_machine_partitions_by_key_and_chunk(spark):
+def test_state_machine_partitions_by_key_once(spark):
     plan = _plan(spark, "delivery_plan")
-    assert "hashpartitioning(rule_name" in plan and "_chunk" in plan
-    assert "SortAggregate" not in plan  # chunk summaries hash-aggregate (long positions)
+    assert plan.count("Exchange hashpartitioning(rule_name") == 1 and "_chunk" not in plan
+    assert "SortAggregate" not in plan and "SortMergeJoin" not in plan
