@@ -338,7 +338,8 @@ def _chunks(b: pa.RecordBatch, p: Pieces) -> Iterator[Chunk]:
 
 def encode_giant(docs: DataFrame, shared, chunk: int) -> DataFrame:
     """row, token_ids of documents (row, text) that are split into chunks."""
-    chunks = staged(chunk_rows(docs, shared, chunk).repartition("row", "part"), "pieces-chunks")
+    # written as they come: the file's row groups, not the documents, are what the next stages are dealt by
+    chunks = staged(chunk_rows(docs, shared, chunk), "pieces-chunks")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = _pieces(shared)
