@@ -46,9 +46,11 @@ TREES, DEPTH, MIN_DEPTH = 16, 8, 2
 HASHES = TREES * DEPTH
 #: Similar-looking partners sought per class and order (first, and when rescanning among the few whose component
 #: differs), and how far the search goes among equal prefixes.
-PARTNERS, RESCAN_PARTNERS, REACH = 2, 16, 64
+PARTNERS, RESCAN_PARTNERS, REACH = 2, 4, 64
 #: Share of agreeing MinHash values below which a pair is not confirmed: five standard errors below 75 %.
 LIKELY = 72 / HASHES
+#: The same when rescanning, where most neighbours of another component are near misses: three standard errors.
+RESCAN_LIKELY = 84 / HASHES
 #: Most rounds of rescanning with known components.
 RESCANS = 4
 _CACHE_ROWS = 300_000
@@ -151,10 +153,14 @@ class _Window:
     def rows(self, at) -> _Window:
         return _Window(*(c[at] for c in self.columns))
 
+    def like(self, at: int) -> np.ndarray:
+        """Rows of the same tree that share the shortest prefix with row ``at``."""
+        return np.flatnonzero((self.tree == self.tree[at]) & (self.key[:, :MIN_DEPTH] == self.key[at, :MIN_DEPTH]).all(axis=1))
+
     def plus(self, other: _Window) -> _Window:
         return _Window(*(np.concatenate([x, y]) for x, y in zip(self.columns, other.columns, strict=True)))
 
-    def candidates(self, first_new: int, quota: int, last_old: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def candidates(self, first_new: int, quota: int, likely_from: float, last_old: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pairs (i < j) with j among the rows from ``first_new`` on (and i before ``last_old``): cids and agreement."""
         n = len(self)
         start = max(0, first_new - REACH)
@@ -173,7 +179,7 @@ class _Window:
             i, j = left[other], right[other]
             differ = self.sketch[i] ^ self.sketch[j]
             agree = ((differ & 15) == 0).sum(axis=1) + ((differ >> 4) == 0).sum(axis=1)
-            likely = agree >= LIKELY * HASHES
+            likely = agree >= likely_from * HASHES
             partners[i[likely]] += 1
             new = likely & (j >= first_new)
             found.append((self.cid[i[new]], self.cid[j[new]], agree[new]))
@@ -203,7 +209,7 @@ def _edge_batch(w: _Window, kind: int, pid: int) -> pa.RecordBatch:
         names=[c.split()[0] for c in _PAIRS.split(", ")])
 
 
-def _scan(ordered: DataFrame, quota: int = PARTNERS) -> DataFrame:
+def _scan(ordered: DataFrame, quota: int = PARTNERS, likely: float = LIKELY) -> DataFrame:
     """Candidate pairs (a, b, agree) of sorted, range-partitioned orders, ends of partitions included."""
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -216,11 +222,12 @@ def _scan(ordered: DataFrame, quota: int = PARTNERS) -> DataFrame:
             head = new.rows(slice(0, REACH)) if head is None else (
                 head.plus(new.rows(slice(0, REACH - len(head)))) if len(head) < REACH else head)
             both, first = (new, 0) if kept is None else (kept.plus(new), len(kept))
-            yield _pair_batch(*both.candidates(first, quota))
+            yield _pair_batch(*both.candidates(first, quota, likely))
             kept = both.rows(slice(max(0, len(both) - REACH), None))
         if kept is not None:
-            yield _edge_batch(head, 1, pid - 1)
-            yield _edge_batch(kept, 2, pid)
+            # only rows that share the shortest prefix with the end itself can have a partner beyond it
+            yield _edge_batch(head.rows(head.like(0)), 1, pid - 1)
+            yield _edge_batch(kept.rows(kept.like(-1)), 2, pid)
 
     def across(key, table):
         parts = {k: table.filter(pc.equal(table["kind"], k)).sort_by(
@@ -228,7 +235,7 @@ def _scan(ordered: DataFrame, quota: int = PARTNERS) -> DataFrame:
         if not (parts[1].num_rows and parts[2].num_rows):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "agree": pa.array([], pa.int32())})
         old, new = (_Window.of(parts[k].to_batches()[0]) for k in (2, 1))
-        a, b, agree = old.plus(new).candidates(len(old), quota, len(old))
+        a, b, agree = old.plus(new).candidates(len(old), quota, likely, len(old))
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "agree": agree.astype(np.int32)})
 
     found = staged(ordered.mapInArrow(within, _PAIRS), "forest-scan")
@@ -300,7 +307,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for _ in range(RESCANS):
         known = (classes.join(paired, "cid").join(components.withColumnRenamed("node", "cid"), "cid", "left")
                  .withColumn("comp", F.coalesce("root", "cid")))
-        new = staged(_scan(_orders(known), RESCAN_PARTNERS).join(seen, ["a", "b"], "left_anti"), "forest-rescan")
+        new = staged(_scan(_orders(known), RESCAN_PARTNERS, RESCAN_LIKELY).join(seen, ["a", "b"], "left_anti"), "forest-rescan")
         more = staged(_confirm(new, classes, docs), "forest-links")
         if more.isEmpty():
             break
