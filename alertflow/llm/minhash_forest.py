@@ -53,6 +53,8 @@ LIKELY = 72 / HASHES
 RESCAN_LIKELY = 84 / HASHES
 #: Most rounds of rescanning with known components.
 RESCANS = 4
+#: Most classes and shingles of a block, about, when the rest of a region is compared.
+BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 1 << 20
 _CACHE_ROWS = 300_000
 _MULTIPLIERS = mix64(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -160,18 +162,28 @@ class _Window:
     def plus(self, other: _Window) -> _Window:
         return _Window(*(np.concatenate([x, y]) for x, y in zip(self.columns, other.columns, strict=True)))
 
-    def candidates(self, first_new: int, quota: int, likely_from: float, last_old: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs (i < j) with j among the rows from ``first_new`` on (and i before ``last_old``): cids and agreement."""
+    def regions(self, at) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct tree and shortest prefix of the rows."""
+        pairs = np.unique(np.stack([self.tree[at].astype(np.int64), _region(self.key[at])]), axis=1)
+        return pairs[0], pairs[1]
+
+    def candidates(self, first_new: int, quota: int, likely_from: float, last_old: int | None = None
+                   ) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        """Pairs (i < j) with j among the rows from ``first_new`` on (and i before ``last_old``): cids and agreement;
+        and the rows that were cut off, with more rows to go in their region."""
         n = len(self)
-        start = max(0, first_new - REACH)
+        start = max(0, first_new - REACH - 1)
         left = np.arange(start, n if last_old is None else last_old)
         partners = np.zeros(n, np.int32)
-        found = []
-        for step in range(1, REACH + 1):
-            left = left[(left + step < n) & (partners[left] < quota)]
+        found, cut = [], []
+        for step in range(1, REACH + 2):
+            left = left[left + step < n]
             right = left + step
             left = left[(self.tree[left] == self.tree[right])
                         & (self.key[left, :MIN_DEPTH] == self.key[right, :MIN_DEPTH]).all(axis=1)]
+            full = (partners[left] >= quota) | (step > REACH)
+            cut.append(left[full])
+            left = left[~full]
             if not len(left):
                 break
             right = left + step
@@ -183,9 +195,14 @@ class _Window:
             partners[i[likely]] += 1
             new = likely & (j >= first_new)
             found.append((self.cid[i[new]], self.cid[j[new]], agree[new]))
-        if not found:
-            return (np.zeros(0, np.int64),) * 3
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        pairs = tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        return pairs, np.concatenate(cut)
+
+
+def _region(key: np.ndarray) -> np.ndarray:
+    """The shortest prefix (``MIN_DEPTH`` values of 32 bits) as one number."""
+    key = key.astype(np.uint64)
+    return (key[..., 0] << np.uint64(32) | key[..., 1]).view(np.int64)
 
 
 _PAIRS = "kind int, pid int, a long, b long, agree int, tree int, key binary, cid long, sketch binary, comp long"
@@ -209,8 +226,20 @@ def _edge_batch(w: _Window, kind: int, pid: int) -> pa.RecordBatch:
         names=[c.split()[0] for c in _PAIRS.split(", ")])
 
 
-def _scan(ordered: DataFrame, quota: int = PARTNERS, likely: float = LIKELY) -> DataFrame:
-    """Candidate pairs (a, b, agree) of sorted, range-partitioned orders, ends of partitions included."""
+def _cut_batch(tree, region) -> pa.RecordBatch:
+    """A region that the scan has not gone through (kind 3): its number is written as ``a``."""
+    n = len(tree)
+    columns = {"kind": np.full(n, 3, np.int32), "a": region, "tree": tree.astype(np.int32)}
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns[c]) if c in columns else pa.nulls(n, kind) for c, kind in (
+            ("kind", None), ("pid", pa.int32()), ("a", None), ("b", pa.int64()), ("agree", pa.int32()), ("tree", None),
+            ("key", pa.binary()), ("cid", pa.int64()), ("sketch", pa.binary()), ("comp", pa.int64()))],
+        names=[c.split()[0] for c in _PAIRS.split(", ")])
+
+
+def _scan(ordered: DataFrame, quota: int = PARTNERS, likely: float = LIKELY) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b, agree) of sorted, range-partitioned orders, ends of partitions included; and the regions
+    (tree, region) in which a class was cut off, by its quota, by ``REACH`` or by the end of the partition."""
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -222,10 +251,13 @@ def _scan(ordered: DataFrame, quota: int = PARTNERS, likely: float = LIKELY) ->
             head = new.rows(slice(0, REACH)) if head is None else (
                 head.plus(new.rows(slice(0, REACH - len(head)))) if len(head) < REACH else head)
             both, first = (new, 0) if kept is None else (kept.plus(new), len(kept))
-            yield _pair_batch(*both.candidates(first, quota, likely))
-            kept = both.rows(slice(max(0, len(both) - REACH), None))
+            pairs, cut = both.candidates(first, quota, likely)
+            yield _pair_batch(*pairs)
+            yield _cut_batch(*both.regions(cut))
+            kept = both.rows(slice(max(0, len(both) - REACH - 1), None))
         if kept is not None:
             # only rows that share the shortest prefix with the end itself can have a partner beyond it
+            yield _cut_batch(*kept.regions([-1]))
             yield _edge_batch(head.rows(head.like(0)), 1, pid - 1)
             yield _edge_batch(kept.rows(kept.like(-1)), 2, pid)
 
@@ -235,13 +267,97 @@ def _scan(ordered: DataFrame, quota: int = PARTNERS, likely: float = LIKELY) ->
         if not (parts[1].num_rows and parts[2].num_rows):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "agree": pa.array([], pa.int32())})
         old, new = (_Window.of(parts[k].to_batches()[0]) for k in (2, 1))
-        a, b, agree = old.plus(new).candidates(len(old), quota, likely, len(old))
+        a, b, agree = old.plus(new).candidates(len(old), quota, likely, len(old))[0]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "agree": agree.astype(np.int32)})
 
     found = staged(ordered.mapInArrow(within, _PAIRS), "forest-scan")
     inner = found.filter("kind = 0").select("a", "b", "agree")
-    ends = found.filter("kind > 0").groupBy("pid").applyInArrow(across, "a long, b long, agree int")
-    return inner.union(ends).groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    ends = found.filter("kind IN (1, 2)").groupBy("pid").applyInArrow(across, "a long, b long, agree int")
+    cut = found.filter("kind = 3").select("tree", F.col("a").alias("region")).distinct()
+    return inner.union(ends).groupBy("a", "b").agg(F.max("agree").alias("agree")), cut
+
+
+def _regions(classes: DataFrame) -> DataFrame:
+    """One row per class and tree: tree, region, cid, n_shingles, comp."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            key = np.frombuffer(b"".join(b.column(3).to_pylist()), ">u4").reshape(n, TREES, DEPTH)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)), pa.array(_region(key).ravel()),
+                 *(pa.array(np.repeat(b.column(i).to_numpy(), TREES)) for i in range(3))],
+                names=["tree", "region", "cid", "n_shingles", "comp"])
+
+    return classes.select("cid", "n_shingles", "comp", "sig").mapInArrow(
+        run, "tree int, region long, cid long, n_shingles long, comp long")
+
+
+def _compare(tree: int, old: int, cid, comp, sig, sets) -> tuple[list[int], list[int]]:
+    """Links (a, b) between different components, as few as join them; ``old`` rows are compared with the others, or all
+    rows with each other if there are no others. A pair that shares a region of an earlier tree is left to that one."""
+    n, comp = len(cid), comp.copy()
+    earlier, low = _region(sig.reshape(n, TREES, DEPTH))[:, :tree], (sig & 15).astype(np.uint8)
+    size = np.array([len(s) for s in sets])
+    first = np.cumsum(size) - size
+    words, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, a, b = np.zeros(len(words), bool), [], []
+    for i in range(old):
+        j = np.arange(old if old < n else i + 1, n)
+        j = j[(comp[j] != comp[i]) & (100 * np.minimum(size[j], size[i]) >= SIMILARITY * np.maximum(size[j], size[i]))]
+        j = j[~(earlier[j] == earlier[i]).any(axis=1)]
+        j = j[(low[j] == low[i]).sum(axis=1) >= LIKELY * HASHES]
+        if not len(j):
+            continue
+        own = flat[first[i]:first[i] + size[i]]
+        mark[own] = True
+        ends = np.cumsum(size[j])
+        both = np.add.reduceat(mark[flat[np.arange(ends[-1]) + np.repeat(first[j] - ends + size[j], size[j])]],
+                               ends - size[j], dtype=np.int64)
+        mark[own] = False
+        for k in j[100 * both >= SIMILARITY * (size[j] + size[i] - both)]:
+            if comp[k] != comp[i]:
+                a.append(min(cid[i], cid[k]))
+                b.append(max(cid[i], cid[k]))
+                comp[comp == comp[k]] = comp[i]
+    return a, b
+
+
+def _rest(classes: DataFrame, cut: DataFrame, docs: DataFrame, components: DataFrame) -> DataFrame:
+    """The links (a, b) that the scan has missed in the regions where a class was cut off: all pairs of a region whose
+    classes are in different components, on full sets. Regions are dealt as pairs of blocks, and a task returns no more
+    links than join its classes."""
+    known = classes.join(components.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("root", "cid"))
+    members = staged(_regions(known).join(cut, ["tree", "region"]), "forest-members")
+    blocks = F.greatest(F.ceil(F.count("cid") / BLOCK_CLASSES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks")
+    sizes = (members.groupBy("tree", "region").agg(blocks, F.min("comp").alias("least"), F.max("comp").alias("most"))
+             .filter("least < most").select("tree", "region", "blocks"))
+    rows = staged(members.join(sizes, ["tree", "region"]).drop("n_shingles"), "forest-members")
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t) for t in b.column(3).to_pylist()]
+            same = [xxhash.xxh3_128_digest(s.tobytes()) == fp for s, fp in zip(sets, b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=["cid", "sig", "shingles"]).filter(pa.array(same, pa.bool_()))  # not another text under the same id
+
+    wanted = classes.join(rows.select("cid").distinct(), "cid").select("doc_id", "cid", "sig", "fp")
+    sets = staged(docs.join(wanted, "doc_id").select("cid", "sig", "fp", "text")
+                  .mapInArrow(full, "cid long, sig binary, shingles binary"), "forest-sets")
+    dealt = (rows.withColumn("block", F.pmod(F.xxhash64("cid"), "blocks"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+             .select("tree", "region", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
+                     (F.col("block") > F.col("other")).alias("second"), "cid", "comp").join(sets, "cid"))
+
+    def links(key, table):
+        table = table.sort_by([("second", "ascending"), ("cid", "ascending")]).combine_chunks()
+        old = table.num_rows - int(pc.sum(table["second"]).as_py() or 0)
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), ">u4").reshape(-1, HASHES)
+        sets = [np.frombuffer(s, np.uint64) for s in table["shingles"].to_pylist()]
+        a, b = _compare(key[0].as_py(), old, table["cid"].to_numpy(), table["comp"].to_numpy(), sig, sets)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("tree", "region", "one", "two").applyInArrow(links, "a long, b long")
 
 
 def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -287,9 +403,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     profiles = staged(_profiles(docs), "forest-profiles")
     classes = staged(profiles.filter("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp")
-                     .agg(F.min("doc_id").alias("doc_id"), F.min("sig").alias("sig"))
+                     .agg(F.min("doc_id").alias("doc_id"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n_shingles"))
                      .withColumn("cid", F.monotonically_increasing_id()), "forest-classes")
-    pairs = staged(_scan(_orders(classes.withColumn("comp", F.lit(-1).cast("long")))), "forest-pairs")
+    pairs, cut = _scan(_orders(classes.withColumn("comp", F.lit(-1).cast("long"))))
+    pairs = staged(pairs, "forest-pairs")
 
     # each class with its likeliest candidate
     best = F.max(F.struct("agree", "a", "b")).alias("best")
@@ -307,13 +424,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for _ in range(RESCANS):
         known = (classes.join(paired, "cid").join(components.withColumnRenamed("node", "cid"), "cid", "left")
                  .withColumn("comp", F.coalesce("root", "cid")))
-        new = staged(_scan(_orders(known), RESCAN_PARTNERS, RESCAN_LIKELY).join(seen, ["a", "b"], "left_anti"), "forest-rescan")
+        new = staged(_scan(_orders(known), RESCAN_PARTNERS, RESCAN_LIKELY)[0].join(seen, ["a", "b"], "left_anti"), "forest-rescan")
         more = staged(_confirm(new, classes, docs), "forest-links")
         if more.isEmpty():
             break
         links, seen = links.union(more), seen.union(new.select("a", "b"))
         components = connected_components(links)
 
+    links = links.union(staged(_rest(classes, cut, docs, components), "forest-links"))
+    components = connected_components(links)
+
     roots = classes.select("cid", "doc_id", "fp").join(components.withColumnRenamed("node", "cid"), "cid", "left")
     roots = roots.withColumn("root", F.coalesce("root", "cid"))
     least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from alertflow.llm import minhash_forest as M
@@ -79,3 +81,40 @@ def test_links_equal_brute_force(spark):
     assert sorted(repr(r.doc_id) for r in kept.collect()) == want
     empty = spark.createDataFrame([], df.schema)
     assert M.near_duplicates(empty).collect() == [] and M.drop_near_duplicates(empty).collect() == []
+
+
+def test_no_link_is_lost_among_near_misses(spark):
+    """Texts of one template at similarity 0.68 or so; planted pairs at 0.75 to 0.80 that nothing else joins."""
+    rng = random.Random(5)
+    template = [f"t{i}" for i in range(1000)]
+
+    def edited(edits):
+        words = list(template)
+        for at, word in edits.items():
+            words[at] = word
+        return " ".join(words)
+
+    def edits(n):
+        return {at: f"e{rng.random()}" for at in rng.sample(range(1000), n)}
+
+    texts = [edited(edits(19)) for _ in range(1200)]
+    for _ in range(200):
+        one = edits(19)
+        shared = rng.choice([5, 6, 7])
+        texts += [edited(one), edited(dict(list(one.items())[:shared]) | edits(19 - shared))]
+    rng.shuffle(texts)
+
+    sets = [word_shingles(t) for t in texts]
+    seen = Counter(s for x in sets for s in x)
+    place = {s: i for i, s in enumerate(s for s, n in seen.items() if n > 1)}
+    held = np.zeros((len(texts), len(place)), np.float32)
+    for i, x in enumerate(sets):
+        held[i, [place[s] for s in x if s in place]] = 1
+    both, size = held @ held.T, np.array([len(x) for x in sets])
+    root = np.arange(len(texts))
+    for i, j in np.argwhere(np.triu(100 * both >= 75 * (size[:, None] + size - both), 1)):
+        root[root == max(root[i], root[j])] = min(root[i], root[j])
+    assert len(set(root.tolist())) > 1000  # most texts are near misses only
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in M.near_duplicates(df).collect()} == dict(enumerate(root.tolist()))
