@@ -15,9 +15,14 @@ partitions are compared afterwards.
 Links are confirmed on full sets in two steps: each class with its likeliest
 candidate first, then every candidate pair whose classes are still in
 different components. Pairs inside one component cannot change the result.
-Rounds of rescanning follow: with the components known, neighbours of another
-component become candidates, until no order offers one that is confirmed (at
-most ``RESCANS`` rounds).
+The scan notes the regions (rows of one order that share ``MIN_DEPTH`` values)
+in which it left a class before the region's end: by ``PARTNERS``, by
+``REACH`` or at the end of a partition. Those are gone through without a limit
+once the components are known: all pairs of a region whose classes are in
+different components, on full sets, block by block. So every pair that shares
+a region and has ``LIKELY`` values in common is linked, if it is similar enough
+and not in one component anyhow; rejected pairs use up nothing. Work grows with
+the square of a region of near misses, rows by the number of its blocks.
 
 Defined cases: null or wordless texts are linked with nothing and stay; with
 one to four words the whole sequence is the one shingle; a row without id has
@@ -44,15 +49,10 @@ from alertflow.llm.components import connected_components
 WORDS, SIMILARITY = 5, 75  # words of a shingle; percent
 TREES, DEPTH, MIN_DEPTH = 16, 8, 2
 HASHES = TREES * DEPTH
-#: Similar-looking partners sought per class and order (first, and when rescanning among the few whose component
-#: differs), and how far the search goes among equal prefixes.
-PARTNERS, RESCAN_PARTNERS, REACH = 2, 4, 64
+#: Similar-looking partners sought per class and order by the scan, and how far it goes among equal prefixes.
+PARTNERS, REACH = 2, 64
 #: Share of agreeing MinHash values below which a pair is not confirmed: five standard errors below 75 %.
 LIKELY = 72 / HASHES
-#: The same when rescanning, where most neighbours of another component are near misses: three standard errors.
-RESCAN_LIKELY = 84 / HASHES
-#: Most rounds of rescanning with known components.
-RESCANS = 4
 #: Most classes and shingles of a block, about, when the rest of a region is compared.
 BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 1 << 20
 _CACHE_ROWS = 300_000
@@ -418,19 +418,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.union(staged(_confirm(rest, classes, docs), "forest-links"))
     components = connected_components(links)
 
-    # dense regions: neighbours of other components, among the classes that have a similar-looking neighbour at all
-    seen = pairs.select("a", "b")
-    paired = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    for _ in range(RESCANS):
-        known = (classes.join(paired, "cid").join(components.withColumnRenamed("node", "cid"), "cid", "left")
-                 .withColumn("comp", F.coalesce("root", "cid")))
-        new = staged(_scan(_orders(known), RESCAN_PARTNERS, RESCAN_LIKELY)[0].join(seen, ["a", "b"], "left_anti"), "forest-rescan")
-        more = staged(_confirm(new, classes, docs), "forest-links")
-        if more.isEmpty():
-            break
-        links, seen = links.union(more), seen.union(new.select("a", "b"))
-        components = connected_components(links)
-
     links = links.union(staged(_rest(classes, cut, docs, components), "forest-links"))
     components = connected_components(links)
 
