@@ -25,9 +25,10 @@ is only accepted on 128 equal bits.
 Defined cases: null text is empty; texts shorter than ``SPAN`` lose nothing;
 rows with equal texts repeat each other, also under one id; a null id is
 returned as it is; strings are judged on the input, not on what is left; an
-empty table gives an empty result; extra columns are ignored. Row numbers come
-from the scan of the input, which must give the same rows in the same order
-when read again (files do); pass ``stage=True`` for other inputs.
+empty table gives an empty result; extra columns are ignored. Rows are
+numbered once and written with their texts before the first level, as a later
+read of the input may be split otherwise (files are packed by the live cores)
+and number them differently.
 """
 
 from __future__ import annotations
@@ -280,8 +281,10 @@ def _merged(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(lo[starts].tolist(), end[np.concatenate([starts[1:] - 1, [len(lo) - 1]])].tolist(), strict=True))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stage: bool = False) -> DataFrame:
-    """Per document: id, n_bytes, n_removed, n_spans, kept_sha256, spans (first byte, end)."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stage: bool = True) -> DataFrame:
+    """Per document: id, n_bytes, n_removed, n_spans, kept_sha256, spans (first byte, end).
+
+    ``stage=False`` is for inputs whose rows come in the same partitions and order whenever they are read."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias(id_col), F.col(text_col).alias("text"))
     if stage:
         rows = staged(rows, "suffix-rows")

@@ -46,6 +46,34 @@ def test_removals_equal_brute_force(spark, monkeypatch):
     assert S.remove_repeats(spark.createDataFrame([], df.schema)).collect() == []
 
 
+def test_rows_keep_their_numbers_when_files_are_split_otherwise(spark, monkeypatch, tmp_path):
+    rng = random.Random(8)
+
+    def text(n):
+        return "".join(rng.choice("abcdefgh ijkl") for _ in range(n))
+
+    passage = text(300)
+    rows = [(i, text(rng.randint(100, 400)) + (passage[:rng.randint(210, 300)] if i % 3 else "") + text(100)) for i in range(60)]
+    path, size = str(tmp_path / "docs"), "spark.sql.files.maxPartitionBytes"
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(6).write.parquet(path)
+    before, staged, calls = spark.conf.get(size), S.staged, []
+
+    def then_other_splits(df, tag):
+        out = staged(df, tag)
+        calls.append(tag)
+        spark.conf.set(size, ["1500b", "128m"][len(calls) % 2])
+        return out
+
+    monkeypatch.setattr(S, "staged", then_other_splits)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = [tuple(r)[:5] for r in S.remove_repeats(spark.read.parquet(path)).collect()]
+    finally:
+        spark.conf.set(size, before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(map(repr, got)) == sorted(map(repr, brute(rows)))
+
+
 def test_multikey_order():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 500):
