@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from alertflow.llm import chat_format, exact_dedup, language_id, minhash_forest, mixing, quality, sentencepiece_scan, suffix_dedup, toxicity, url_filter
+from alertflow.llm import (chat_format, exact_dedup, hard_negatives, language_id, minhash_forest, mixing, quality, ranked_search,
+                           secret_scan, sentencepiece_scan, suffix_dedup, toxicity, url_filter)
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_scan.op1_sentencepiece,
@@ -15,6 +16,9 @@ QUERIES = {
     "op8_url_filters": url_filter.op8_url_filters,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_ranked_search": ranked_search.op11_ranked_search,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_secret_scan": secret_scan.op13_secret_scan,
 }
 
 ORACLES = {
@@ -22,4 +26,6 @@ ORACLES = {
     "op8_url_filters": url_filter.ORACLE,
     "op9_chat_format": chat_format.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op11_ranked_search": ranked_search.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
 }

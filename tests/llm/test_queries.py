@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_one_query_per_operator_and_the_pipeline():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(E.queries())
     assert set(ORACLES) <= set(E.oracle_sql())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "sentencepiece"]
@@ -20,7 +20,7 @@ def test_one_query_per_operator_and_the_pipeline():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df, rel = QUERIES[name](spark, SF), con.sql(ORACLES[name])
     assert sorted(df.columns) == sorted(rel.columns)
