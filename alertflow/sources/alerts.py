@@ -4,19 +4,29 @@ A posted batch is a JSON array of v2-format alerts. The whole file is
 read as one text value, parsed with an explicit schema and exploded with
 its position, so arrival order survives as ``seq``. A body that does not
 parse is rejected whole, as the reference rejects the request.
+
+``seq`` orders the alerts of bodies with one arrival time. Every reader computes
+it from the body's own name and the position in it, so a history read as a
+batch, the same files read as a stream, and a retried micro-batch give the same
+numbers; no reader ranks, joins or gathers bodies.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertflow import schemas
 from alertflow.functions.labels import no_null_values
 from alertflow.functions.status import zero_time_to_null
 
-# Elements of one body and ordinals of bodies share the 63 bits of ``seq``.
-_MAX_ELEMENTS, _MAX_ORDINAL = 1 << 20, 1 << 42
+# Elements of one body and ordinals of bodies share the 63 bits of ``seq``: 20 bits for the position, 42 for the
+# ordinal. A file's ordinal is the last number in its name and a digest of its path, a message's its offset and partition.
+_MAX_ELEMENTS = 1 << 20
+_NUMBER_DIGITS, _DIGEST_BITS = 6, 22
+_PARTITION_BITS, _ORDINAL_BITS = 10, 42
+#: The number that orders files of one modification time: the last digits of the file's name.
+FILE_NUMBER = r"(\d+)\D*$"
 _RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
 _JSON_OPTS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS]XXX"}
 
@@ -33,14 +43,29 @@ def _normalise(df: DataFrame) -> DataFrame:
     ).drop("a")
 
 
+def file_ordinal(path: Column, number: str = FILE_NUMBER) -> Column:
+    """Order of a file among those of its modification time, from its path alone: the last six digits of the number
+    that the pattern ``number`` finds in its name (counters and time stamps of fixed width keep their order), then a
+    digest of the path."""
+    digits = F.regexp_extract(F.substring_index(path, "/", -1), number, 1)
+    n = F.coalesce(F.right(digits, F.lit(_NUMBER_DIGITS)).try_cast("long"), F.lit(0))
+    return F.shiftleft(n, _DIGEST_BITS) + F.pmod(F.xxhash64(path), F.lit(1 << _DIGEST_BITS))
+
+
+def message_ordinal(offset: Column, partition: Column) -> Column:
+    """Order of a message among those of its broker time: the offset (its low bits), then the partition."""
+    low = F.pmod(offset.cast("long"), F.lit(1 << (_ORDINAL_BITS - _PARTITION_BITS)))
+    return F.shiftleft(low, _PARTITION_BITS) + F.pmod(partition.cast("long"), F.lit(1 << _PARTITION_BITS))
+
+
 def parse_batches(files: DataFrame, observed_at=None) -> tuple[DataFrame, DataFrame]:
     """S1 core over a DataFrame ``(path, mtime, value)`` of raw bodies.
 
     Returns ``(alerts, rejects)``. ``observed_at`` is the body's arrival
     time (file modification time) unless a time is given. ``seq`` orders
     pushes of equal arrival time: by the body's ``ordinal`` if ``files`` has
-    that column (a broker offset, a file's rank), else by a hash of the path,
-    then by array position. Bodies of more than 2**20 elements are rejected.
+    that column (under 2**43), else by :func:`file_ordinal` of the path, then by
+    array position. Bodies of more than 2**20 elements are rejected.
     """
     # elements are kept as raw JSON text first, so that an element whose
     # labels do not parse as a string map is seen (the reference rejects the
@@ -48,7 +73,7 @@ def parse_batches(files: DataFrame, observed_at=None) -> tuple[DataFrame, DataFr
     raw = F.from_json("value", "array<string>")
     elems = F.transform(raw, lambda e: F.struct(e.alias("raw"), F.from_json(e, schemas.POSTABLE_ALERT, _JSON_OPTS)
                                                 .alias("a")))
-    ordinal = (F.col("ordinal") if "ordinal" in files.columns else F.abs(F.xxhash64("path")) % F.lit(_MAX_ORDINAL))
+    ordinal = F.col("ordinal") if "ordinal" in files.columns else file_ordinal(F.col("path"))
     parsed = files.select("path", "mtime", ordinal.alias("_ordinal"), elems.alias("_e"))
     bad_elem = F.exists(F.coalesce(F.col("_e"), F.array()), lambda x: ~_valid_element(x["raw"]))
     too_many = F.coalesce(F.size("_e") > F.lit(_MAX_ELEMENTS), F.lit(False))
@@ -99,11 +124,9 @@ def _bodies(reader_df: DataFrame) -> DataFrame:
 
 def read_alert_batches(spark: SparkSession, path: str, observed_at=None) -> tuple[DataFrame, DataFrame]:
     """A directory (or glob) of JSON-array bodies, one body per file.
-    Files of equal modification time count in path order (their rank, from a
-    window over one row per file)."""
-    bodies = _bodies(spark.read.option("wholetext", "true").text(path))
-    rank = bodies.select("path").withColumn("ordinal", F.row_number().over(Window.orderBy("path")).cast("long"))
-    return parse_batches(bodies.join(rank, "path"), observed_at)
+    Files of equal modification time count in the order of :func:`file_ordinal`,
+    as they do in :func:`read_alert_stream`."""
+    return parse_batches(_bodies(spark.read.option("wholetext", "true").text(path)), observed_at)
 
 
 def read_alert_file(spark: SparkSession, path: str) -> DataFrame:
@@ -118,8 +141,8 @@ def read_alert_stream(spark: SparkSession, path: str, max_files_per_trigger: int
     """S3: continuous ingestion from a directory of JSON-array bodies.
 
     Every new file is one posted batch; the same parse as S1 runs on each
-    micro-batch. Returns ``(alerts, rejects)`` streams. (A Kafka ``value``
-    column fits :func:`parse_batches` the same way.)
+    micro-batch and gives each alert the same ``observed_at`` and ``seq`` as a
+    batch read of the file. Returns ``(alerts, rejects)`` streams.
     """
     r = spark.readStream.option("wholetext", "true")
     if max_files_per_trigger:
@@ -127,19 +150,23 @@ def read_alert_stream(spark: SparkSession, path: str, max_files_per_trigger: int
     return parse_batches(_bodies(r.text(path)))
 
 
+def kafka_bodies(raw: DataFrame) -> DataFrame:
+    """Kafka rows (topic, partition, offset, timestamp, value) as bodies for :func:`parse_batches`. Messages of one
+    broker time count by offset, then partition, so equal offsets of two partitions differ."""
+    return raw.select(F.concat_ws(":", "topic", F.col("partition").cast("string"), F.col("offset").cast("string")).alias("path"),
+                      message_ordinal(F.col("offset"), F.col("partition")).alias("ordinal"),
+                      F.col("timestamp").alias("mtime"), F.col("value").cast("string").alias("value"))
+
+
 def read_alert_kafka(spark: SparkSession, bootstrap_servers: str, topic: str, **options):
     """S3, production form: one posted batch per Kafka message. Needs the
     Kafka connector on the classpath; the parse is the same as S1 with the
-    broker timestamp as arrival time and the offset as order among equal times."""
+    broker timestamp as arrival time."""
     r = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", bootstrap_servers)
          .option("subscribe", topic))
     for k, v in options.items():
         r = r.option(k, v)
-    raw = r.load()
-    bodies = raw.select(F.concat_ws(":", F.col("topic"), F.col("partition").cast("string"),
-                                    F.col("offset").cast("string")).alias("path"),
-                        F.col("offset").alias("ordinal"), F.col("timestamp").alias("mtime"), F.col("value").cast("string").alias("value"))
-    return parse_batches(bodies)
+    return parse_batches(kafka_bodies(r.load()))
 
 
 def read_mutes(spark: SparkSession, path: str) -> DataFrame:

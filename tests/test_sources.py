@@ -128,3 +128,46 @@ def test_files_of_equal_time_count_in_path_order(spark):
             f.write('[{"labels":{"i":"%d"}}]' % i)
     alerts, _ = S.read_alert_batches(spark, d, observed_at="2024-01-01 00:00:00")
     assert [r.labels["i"] for r in alerts.orderBy("observed_at", "seq").collect()] == ["0", "1", "2"]
+
+
+def test_batch_and_stream_number_alerts_alike(spark):
+    src, t = tempfile.mkdtemp(prefix="af-num-"), 1_700_000_000
+    names = ["b10.json", "b9.json", "b2.json", "x.json", "y.json", "push-2024-01-16T00-00-07.json"]
+    for n in names:
+        with open(f"{src}/{n}", "w") as f:
+            f.write('[{"labels":{"n":"%s","i":"0"}},{"labels":{"n":"%s","i":"1"}}]' % (n, n))
+        os.utime(f"{src}/{n}", (t, t))
+    batch, _ = S.read_alert_batches(spark, src)
+    stream, _ = S.read_alert_stream(spark, src, max_files_per_trigger=1)
+    q = (stream.writeStream.format("memory").queryName("numbered").trigger(availableNow=True)
+         .option("checkpointLocation", tempfile.mkdtemp(prefix="af-ck4-")).start())
+    q.awaitTermination()
+
+    def numbers(df):
+        return {(r.labels["n"], r.labels["i"]): (r.observed_at, r.seq, r.alert_id) for r in df.collect()}
+
+    got = numbers(batch)
+    assert got == numbers(spark.table("numbered")) and len({s for _, s, _ in got.values()}) == 2 * len(names)
+    by_seq = [n for n, i in sorted(got, key=lambda k: got[k][1]) if i == "0"]
+    assert [n for n in by_seq if n.startswith("b")] == ["b2.json", "b9.json", "b10.json"]
+    assert all(got[n, "1"][1] == got[n, "0"][1] + 1 for n in names)
+    plan = batch._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Join" not in plan
+
+
+def test_equal_offsets_of_two_partitions_differ(spark):
+    t = dt.datetime(2024, 1, 1)
+    big = 1 << 40
+    rows = [("t", p, o, t, bytearray(b'[{"labels":{"at":"%d.%d"}}]' % (p, o))) for p in (0, 1, 700) for o in (5, 6, big, big + 1)]
+    raw = spark.createDataFrame(rows, "topic string, partition int, offset long, timestamp timestamp, value binary")
+    alerts, _ = S.parse_batches(S.kafka_bodies(raw))
+    got = {r.labels["at"]: r.seq for r in alerts.collect()}
+    assert len(set(got.values())) == len(rows)
+    assert got["1.5"] < got["0.6"] < got["1.6"] and got[f"0.{big}"] < got[f"0.{big + 1}"]
+
+
+def test_ordinals_fit_into_seq(spark):
+    rows = [(f"/a/{'9' * 30}.json", 2**62, 2**31 - 1), ("", 0, 0), ("no digits", 1, 1), ("/a/9/x", 2, 2)]
+    df = spark.createDataFrame(rows, "path string, offset long, partition int").select(
+        S.file_ordinal(F.col("path")).alias("f"), S.message_ordinal(F.col("offset"), F.col("partition")).alias("m"))
+    assert all(0 <= r.f < 1 << 43 and 0 <= r.m < 1 << 43 for r in df.collect())
