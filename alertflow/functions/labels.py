@@ -131,40 +131,46 @@ def fingerprint(labels) -> Column:
     return fingerprint_from_hex(label_hex(labels))
 
 
-# A fingerprint table is broadcast up to this many bytes (sorted entries, digits
-# and a fixed cost per row); a larger one is joined by a shuffle. Label text
-# counts at its length, so long labels cannot make the broadcast grow unseen.
-FINGERPRINT_BROADCAST_MAX_BYTES = 64 << 20
+# A side table is broadcast up to this many bytes (its rows as JSON text and a
+# fixed cost per row); a larger one is joined by a shuffle. Text counts at its
+# length, so long labels cannot make the broadcast grow unseen.
+BROADCAST_MAX_BYTES = 64 << 20
 _ROW_BYTES = 100
 
 
+def broadcast_if_small(side: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """``side`` (already materialised, so that measuring it is one cheap aggregate) with a broadcast hint if its
+    measured bytes allow it."""
+    row = F.octet_length(F.to_json(F.struct(*side.columns))) + F.lit(_ROW_BYTES)
+    n_bytes = side.agg(F.sum(row)).first()[0] or 0
+    return F.broadcast(side) if n_bytes <= max_bytes else side
+
+
 def fingerprint_table(df: DataFrame, labels: str = "labels", out: str = "fingerprint") -> DataFrame:
-    """The distinct label sets of ``df`` with their F3 fingerprint:
-    ``(_lkey, fingerprint)``, where ``_lkey`` is the sorted entry array.
+    """The distinct label sets of ``df`` with their F3 fingerprint and number of rows:
+    ``(_lkey, fingerprint, _n)``, where ``_lkey`` is the sorted entry array.
 
     Distinct is aggregated map-side (partial aggregation) and the hash runs
     once per label set. The table is checkpointed (lineage cut, survives
     executor loss), so its size is known before anyone broadcasts it.
     """
-    dim = (df.select(sorted_entries(labels).alias("_lkey")).distinct()
-           .select("_lkey", fingerprint_from_hex(label_hex_of_entries("_lkey")).alias(out)))
+    dim = (df.groupBy(sorted_entries(labels).alias("_lkey")).agg(F.count(F.lit(1)).alias("_n"))
+           .select("_lkey", fingerprint_from_hex(label_hex_of_entries("_lkey")).alias(out), "_n"))
     return materialize(dim)
 
 
 def with_fingerprint(df: DataFrame, labels: str = "labels", out: str = "fingerprint",
-                     broadcast_max_bytes: int = FINGERPRINT_BROADCAST_MAX_BYTES,
-                     table: DataFrame | None = None) -> DataFrame:
+                     broadcast_max_bytes: int = BROADCAST_MAX_BYTES,
+                     table: DataFrame | None = None, carry: tuple = ()) -> DataFrame:
     """Add the F3 fingerprint, hashing each distinct label set once.
 
     The table of :func:`fingerprint_table` is broadcast only when its measured
     bytes are under ``broadcast_max_bytes``; otherwise both sides shuffle on
-    the key.
+    the key. ``carry`` names further columns of ``table`` to bring along.
     """
-    dim = table if table is not None else fingerprint_table(df, labels, out)
-    n_bytes = dim.agg(F.sum(F.length(F.to_json("_lkey").cast("binary")) + F.lit(_ROW_BYTES))).first()[0] or 0
-    side = F.broadcast(dim) if n_bytes <= broadcast_max_bytes else dim
+    dim = (table if table is not None else fingerprint_table(df, labels, out)).select("_lkey", out, *carry)
     keyed = df.withColumn("_lkey", sorted_entries(labels))
-    return keyed.join(side, "_lkey", "inner").drop("_lkey")
+    return keyed.join(broadcast_if_small(dim, broadcast_max_bytes), "_lkey", "inner").drop("_lkey")
 
 
 # ---------------------------------------------------------------- formatting

@@ -31,6 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from alertflow.functions.labels import broadcast_if_small
 from alertflow.session import materialize
 from alertflow.functions.status import (FIRING_FAILED, FIRING_SENT, ORDER_KEY_MIN, RESOLVED_FAILED, RESOLVED_SENT,
                                        desired_status, failed_status, order_key)
@@ -40,7 +41,6 @@ STATUS_VALUES = [FIRING_SENT, FIRING_FAILED, RESOLVED_SENT, RESOLVED_FAILED]
 DEFAULT_CHUNK_SECONDS = 3600  # for callers that want fixed time slices
 HOT_KEY_ROWS = 1_000_000      # a key with more rows is cut into slices
 HOT_CHUNK_ROWS = 1_000_000    # about this many rows per slice of a hot key
-HOT_KEYS_BROADCAST_MAX = 200_000
 _SEED_CHUNK = -(1 << 31)
 _SEED_POS = -(1 << 62)
 
@@ -54,19 +54,20 @@ def _maxes(desired: Column, ok: Column, ordk: Column) -> list[Column]:
 _NAMES = ["ok_f", "ok_r", "any_f", "any_r"]
 
 
-def _hot_keys(rows: DataFrame, hot_rows: int) -> tuple[DataFrame | None, int]:
+def _hot_keys(counts: DataFrame, hot_rows: int) -> tuple[DataFrame | None, int]:
     """Keys with more than ``hot_rows`` rows (at most rows / hot_rows of them) and their number of rows; None if there
-    are none. One partial-aggregated count per key, reading the key columns only."""
-    stats = materialize(rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows))
-    n_keys, n_rows = stats.agg(F.count(F.lit(1)), F.sum("_n")).first()
-    keys = stats.select(*KEY)
-    return (F.broadcast(keys) if n_keys <= HOT_KEYS_BROADCAST_MAX else keys) if n_keys else None, n_rows or 0
-
-
-def _seed_rows(seed: DataFrame, rows: DataFrame) -> DataFrame:
-    """The history of the keys in ``rows``, one row per key before all others."""
-    keys = rows.select(*KEY).distinct()
-    return seed.join(keys, KEY, "left_semi").select(
+    are none. ``counts`` has the key columns and their rows ``_n``, or is itself the rows to count."""
+    per_key = F.sum("_n") if "_n" in counts.columns else F.count(F.lit(1))
+    stats = counts.groupBy(*KEY).agg(per_key.alias("_n")).where(F.col("_n") > hot_rows)
+    n_rows = stats.agg(F.sum("_n")).first()[0]
+    if not n_rows:
+        return None, 0
+    return broadcast_if_small(materialize(stats.select(*KEY))), n_rows
+
+
+def _seed_rows(seed: DataFrame, keys: DataFrame) -> DataFrame:
+    """The history of ``keys``, one row per key before all others."""
+    return seed.join(keys.select(*KEY).distinct(), KEY, "left_semi").select(
         *KEY,
         F.when(F.col("status").startswith("resolved"), F.lit(RESOLVED_SENT))
          .otherwise(F.lit(FIRING_SENT)).alias("desired"),
@@ -133,7 +134,7 @@ def hot_slices(rows: DataFrame, n_rows: int, target_rows: int) -> DataFrame:
 def delivery_plan(decisions: DataFrame, ok: Column | str = "call_ok", seed: DataFrame | None = None,
                   now: str = "observed_at", order: tuple = ("observed_at", "seq"),
                   chunk_seconds: int | None = None, hot_rows: int = HOT_KEY_ROWS,
-                  target_rows: int = HOT_CHUNK_ROWS) -> DataFrame:
+                  target_rows: int = HOT_CHUNK_ROWS, keys: DataFrame | None = None) -> DataFrame:
     """Every decision row with ``desired``, ``deliver`` and the recorded
     ``status`` of the attempt (NULL when skipped).
 
@@ -145,7 +146,10 @@ def delivery_plan(decisions: DataFrame, ok: Column | str = "call_ok", seed: Data
 
     With ``chunk_seconds`` every key is cut into fixed time slices; by default
     keys are whole, and only those with more than ``hot_rows`` rows are cut
-    into slices of about ``target_rows`` rows.
+    into slices of about ``target_rows`` rows. ``keys`` is a small table of the
+    keys (a superset will do) with an upper bound ``_n`` of each one's rows, such
+    as the label sets' counts times the rules they hit; with it neither the hot
+    keys nor the seeds need a second evaluation of ``decisions``.
     """
     okc = F.col(ok) if isinstance(ok, str) else ok
     cols = decisions.columns
@@ -156,18 +160,20 @@ def delivery_plan(decisions: DataFrame, ok: Column | str = "call_ok", seed: Data
         order_key(order[0], order[1]).alias("_ord"),
         F.lit(False).alias("_seed"))
 
-    def seeded(part: DataFrame) -> DataFrame:
-        return part if seed is None else part.unionByName(_seed_rows(seed, part), allowMissingColumns=True)
+    def seeded(part: DataFrame, of: DataFrame) -> DataFrame:
+        return part if seed is None else part.unionByName(_seed_rows(seed, of), allowMissingColumns=True)
+
+    known = rows if keys is None else keys
 
     if chunk_seconds:
         chunk = F.floor(F.unix_micros(F.col(order[0])) / F.lit(chunk_seconds * 1_000_000))
-        return _sliced(seeded(rows.withColumn("_chunk", chunk)), cols)
-    hot, n_rows = _hot_keys(rows, hot_rows)
+        return _sliced(seeded(rows.withColumn("_chunk", chunk), known), cols)
+    hot, n_rows = _hot_keys(known, hot_rows)
     if hot is None:
-        return _one_pass(seeded(rows), cols)
-    cold = _one_pass(seeded(rows.join(hot, KEY, "left_anti")), cols)
+        return _one_pass(seeded(rows, known), cols)
+    cold = _one_pass(seeded(rows.join(hot, KEY, "left_anti"), known.join(hot, KEY, "left_anti")), cols)
     sliced = hot_slices(rows.join(hot, KEY, "left_semi").select(*rows.columns), n_rows, target_rows)
-    return cold.unionByName(_sliced(seeded(sliced), cols))
+    return cold.unionByName(_sliced(seeded(sliced, hot), cols))
 
 
 def attempts(plan: DataFrame, at: str = "observed_at", seq: str = "seq") -> DataFrame:

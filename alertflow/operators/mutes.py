@@ -1,25 +1,32 @@
 """Mutes: lookup, attribution, listing, validation, create and expire
 (R3, R4, R5a, R9, R10, R16, K4, K5, P2).
 
-The lookup is an interval + label-condition join done in equi joins: the label
-condition is matched once per distinct label set (the condition join of
-``operators.matching``), and the time condition per alert. A (label set, mute)
-pair of up to ``MAX_BUCKETS`` time buckets is cut into them and meets the
-alerts of the same label set and bucket; a longer one (mute until the far
-future) stays one row and meets the alerts of its label set. The exact closed
-interval check is the residual of both. No nested loop, no row per day of a
-mute's life, and no broadcast of a mute table whose size grows with the data
+Attribution (which mutes hit which alerts) is an interval + label-condition join
+done in equi joins: the label condition is matched once per distinct label set
+(the condition join of ``operators.matching``), and the time condition per alert.
+A (label set, mute) pair of up to ``MAX_BUCKETS`` time buckets is cut into them
+and meets the alerts of the same label set and bucket; a longer one (mute until
+the far future) stays one row and meets the alerts of its label set. The exact
+closed interval check is the residual of both. No nested loop, no row per day of
+a mute's life, and no broadcast of a mute table whose size grows with the data
 (Spark broadcasts only what its size estimate allows).
+
+The lookup (is any mute active?) needs less: the intervals of all mutes that
+match a label set are merged into disjoint ones, and these become one sorted
+array per label set, in chunks of about the square root of their number. One
+join by label set then reads the alerts once and never multiplies them; the time
+check looks at the chunks' ends and into at most one chunk.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertflow.functions.labels import sorted_entries
+from alertflow.functions.labels import broadcast_if_small, sorted_entries
 from alertflow.functions.status import as_time, is_blank, mute_active, mute_id, mute_status, zero_time_to_null
 from alertflow.operators.matching import condition_pairs
+from alertflow.session import materialize
 
 DEFAULT_BUCKET_SECONDS = 86400
 MAX_BUCKETS = 16  # a pair that covers more is not cut into buckets
@@ -33,10 +40,9 @@ def _bucket(ts: Column, seconds: int) -> Column:
     return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000))
 
 
-def _keyed_sides(alerts: DataFrame, mutes: DataFrame, mode: str, time_col: str, bucket_seconds: int,
-                 labels: str, force: str | None, label_sets: DataFrame | None, set_key: str):
-    """Alerts keyed by label set and bucket, and the matching (label set,
-    mute) rows: the short ones per bucket, the long ones once."""
+def _set_pairs(alerts: DataFrame, mutes: DataFrame, mode: str, labels: str, force: str | None,
+               label_sets: DataFrame | None, set_key: str) -> tuple[DataFrame, DataFrame]:
+    """Alerts with the key ``_lk`` of their label set, and one row per (label set, matching mute)."""
     m = _prefixed(mutes).where(F.col("m_ends_at") >= F.col("m_starts_at"))
     if label_sets is not None:
         a = alerts.withColumn("_lk", F.col(set_key))
@@ -44,7 +50,14 @@ def _keyed_sides(alerts: DataFrame, mutes: DataFrame, mode: str, time_col: str,
     else:
         a = alerts.withColumn("_lk", sorted_entries(labels))
         sets = a.select("_lk").distinct().withColumn("_lset", F.map_from_entries("_lk"))
-    lm = condition_pairs(sets, m, labels="_lset", matchers="m_matchers", mode=mode, force=force).drop("_lset")
+    return a, condition_pairs(sets, m, labels="_lset", matchers="m_matchers", mode=mode, force=force).drop("_lset")
+
+
+def _keyed_sides(alerts: DataFrame, mutes: DataFrame, mode: str, time_col: str, bucket_seconds: int,
+                 labels: str, force: str | None, label_sets: DataFrame | None, set_key: str):
+    """Alerts keyed by label set and bucket, and the matching (label set,
+    mute) rows: the short ones per bucket, the long ones once."""
+    a, lm = _set_pairs(alerts, mutes, mode, labels, force, label_sets, set_key)
     first, last = _bucket(F.col("m_starts_at"), bucket_seconds), _bucket(F.col("m_ends_at"), bucket_seconds)
     is_short = last - first < MAX_BUCKETS
     short = lm.where(is_short).withColumn("_bucket", F.explode(F.sequence(first, last)))
@@ -53,18 +66,16 @@ def _keyed_sides(alerts: DataFrame, mutes: DataFrame, mode: str, time_col: str,
     return a, short, long
 
 
-def _interval_join(a: DataFrame, lm: DataFrame, time_col: str, how: str, by_bucket: bool) -> DataFrame:
+def _interval_join(a: DataFrame, lm: DataFrame, time_col: str, by_bucket: bool) -> DataFrame:
     al, ml = a.alias("_a"), lm.alias("_m")
     t = F.col(f"_a.{time_col}")
     cond = ((F.col("_a._lk") == F.col("_m._lk"))
             & (F.col("_m.m_starts_at") <= t) & (t <= F.col("_m.m_ends_at")))
     if by_bucket:
         cond = cond & (F.col("_a._bucket") == F.col("_m._bucket"))
-    out = al.join(ml, cond, how)
-    if how in ("left_semi", "left_anti"):
-        return out.select("_a.*")
-    return out.select(*[F.col(f"_a.{c}") for c in a.columns if c not in ("_lk", "_bucket")],
-                      *[F.col(f"_m.{c}") for c in lm.columns if c not in ("_lk", "_bucket")])
+    return al.join(ml, cond, "inner").select(
+        *[F.col(f"_a.{c}") for c in a.columns if c not in ("_lk", "_bucket")],
+        *[F.col(f"_m.{c}") for c in lm.columns if c not in ("_lk", "_bucket")])
 
 
 def mute_pairs(alerts: DataFrame, mutes: DataFrame, mode: str = "loose", time_col: str = "observed_at",
@@ -86,8 +97,7 @@ def mute_pairs(alerts: DataFrame, mutes: DataFrame, mode: str = "loose", time_co
     join on their ``set_key`` column and are not scanned a second time.
     """
     a, short, long = _keyed_sides(alerts, mutes, mode, time_col, bucket_seconds, labels, force, label_sets, set_key)
-    return _interval_join(a, short, time_col, "inner", True).unionByName(
-        _interval_join(a, long, time_col, "inner", False))
+    return _interval_join(a, short, time_col, True).unionByName(_interval_join(a, long, time_col, False))
 
 
 def active_mute_pairs(alerts: DataFrame, mutes: DataFrame, as_of, mode: str = "strict",
@@ -97,26 +107,62 @@ def active_mute_pairs(alerts: DataFrame, mutes: DataFrame, as_of, mode: str = "s
     return condition_pairs(alerts, m, labels=labels, matchers="m_matchers", mode=mode, force=force)
 
 
-def _lookup(alerts, mutes, how, mode="loose", time_col="observed_at", bucket_seconds=DEFAULT_BUCKET_SECONDS,
-            labels="labels", force=None, label_sets=None, set_key="fingerprint"):
-    a, short, long = _keyed_sides(alerts, mutes, mode, time_col, bucket_seconds, labels, force, label_sets, set_key)
-    rest = _interval_join(a, long, time_col, "left_anti", False)
-    out = _interval_join(rest, short, time_col, how, True)
-    if how == "left_semi":
-        out = out.unionByName(_interval_join(a, long, time_col, "left_semi", False))
-    return out.drop("_lk", "_bucket")
+def merged_intervals(pairs: DataFrame, key: str = "_lk", starts_at: str = "m_starts_at", ends_at: str = "m_ends_at",
+                     out: str = "_mi") -> DataFrame:
+    """Per ``key`` the union of its closed intervals as disjoint ones (microseconds), sorted, in chunks: ``key, out``
+    with ``out`` an array of ``struct(s, e, list)`` and ``list`` an array of ``struct(s, e)``."""
+    iv = pairs.select(F.col(key), F.unix_micros(starts_at).alias("_s"), F.unix_micros(ends_at).alias("_e")).where("_s <= _e")
+    w = Window.partitionBy(key).orderBy("_s", "_e")
+    reach = F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.when(reach >= F.col("_s"), F.lit(0)).otherwise(F.lit(1))
+    groups = iv.withColumn("_new", apart).withColumn("_g", F.sum("_new").over(w))
+    disjoint = groups.groupBy(key, "_g").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"))
+    lists = disjoint.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("_s").alias("s"), F.col("_e").alias("e")))).alias("_all"))
+    size = F.ceil(F.sqrt(F.size("_all"))).cast("int")
+    parts = F.transform(F.sequence(F.lit(1), F.size("_all"), F.col("_size")), lambda at: F.slice("_all", at, F.col("_size")))
+    chunk = F.transform("_parts", lambda p: F.struct(p[0]["s"].alias("s"), F.element_at(p, -1)["e"].alias("e"), p.alias("list")))
+    return lists.withColumn("_size", size).withColumn("_parts", parts).select(key, chunk.alias(out))
+
+
+def in_intervals(chunks: str, time_col: str) -> Column:
+    """Does the time lie in one of :func:`merged_intervals`? False without intervals or time."""
+    t = F.unix_micros(F.col(time_col))
+
+    def holds(x: Column) -> Column:
+        return (x["s"] <= t) & (t <= x["e"])
+
+    return F.coalesce(F.exists(chunks, lambda c: holds(c) & F.exists(c["list"], holds)), F.lit(False))
+
+
+def mute_intervals(mutes: DataFrame, label_sets: DataFrame, mode: str = "loose", set_key: str = "fingerprint",
+                   force: str | None = None, out: str = "_mi") -> DataFrame:
+    """``set_key, out``: when each label set of ``label_sets`` (``_lkey`` plus ``set_key``) is muted; label sets that
+    no mute matches have no row."""
+    sets = label_sets.select(set_key, "_lkey")
+    _, pairs = _set_pairs(sets, mutes, mode, "labels", force, label_sets, set_key)
+    return merged_intervals(pairs.withColumnRenamed("_lk", set_key), set_key, out=out)
+
+
+def _lookup(alerts: DataFrame, mutes: DataFrame, hit: bool, mode: str = "loose", time_col: str = "observed_at",
+            labels: str = "labels", force: str | None = None, label_sets: DataFrame | None = None,
+            set_key: str = "fingerprint") -> DataFrame:
+    a, pairs = _set_pairs(alerts, mutes, mode, labels, force, label_sets, set_key)
+    side = broadcast_if_small(materialize(merged_intervals(pairs)))
+    muted_at = in_intervals("_mi", time_col)
+    found = a.join(side, "_lk", "inner" if hit else "left").where(muted_at if hit else ~muted_at)
+    return found.select(*alerts.columns)
 
 
 def muted(alerts: DataFrame, mutes: DataFrame, **kw) -> DataFrame:
-    """R3 semi form: alerts suppressed by at least one active mute. Semi joins
-    with the interval as condition (the bucketed one for alerts that no long
-    mute hits); an alert hit by several mutes comes out once."""
-    return _lookup(alerts, mutes, "left_semi", **kw)
+    """R3 semi form: alerts suppressed by at least one active mute; an alert
+    hit by several mutes comes out once. Keywords: ``mode``, ``time_col``,
+    ``labels``, ``force``, ``label_sets`` and ``set_key`` as in :func:`mute_pairs`."""
+    return _lookup(alerts, mutes, True, **kw)
 
 
 def unmuted(alerts: DataFrame, mutes: DataFrame, **kw) -> DataFrame:
-    """R3 anti form: alerts that reach routing (left-anti joins, same keys)."""
-    return _lookup(alerts, mutes, "left_anti", **kw)
+    """R3 anti form: alerts that reach routing."""
+    return _lookup(alerts, mutes, False, **kw)
 
 
 def muted_keys_at(mutes: DataFrame, as_of, label_sets: DataFrame, key: str = "fingerprint",

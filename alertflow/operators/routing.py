@@ -1,19 +1,24 @@
 """Routing: ordered first match with ``continue``.
 
-What a rule set decides for a label set is one array of rule indexes: the
-matching rules in order, up to the first one without ``continue``
-(:func:`with_hits`). Routing, unrouted alerts, verify and explain all read that
-array, so they agree at every rule count. It comes in two exact forms:
-
-* up to ``COMPILED_MAX_RULES`` rules: one expression per rule, evaluated once,
-  and one cut at the first terminal hit; linear in the rules, map-side only;
+What a rule set decides for a label set is a set of rule indexes: the matching
+rules in order, up to the first one without ``continue``. Routing, unrouted
+alerts, verify and explain all read it, so they agree at every rule count. It
+comes in two exact forms:
+
+* up to ``COMPILED_MAX_RULES`` rules: a bit mask in one long. Each rule sets its
+  bit, the lowest bit of a rule without ``continue`` cuts off all higher ones:
+  plain arithmetic inside generated code, linear in the rules, map-side only;
 * beyond: the distinct label sets are matched against the rules by the
   condition equi join (``operators.matching``) and joined back by label set.
+
+A replay evaluates either form once per distinct label set and brings the
+decided indexes along with the fingerprint (``plans.pipeline``).
 """
 
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,27 +42,38 @@ def rule_array(ruleset: RuleSet, conditions: list | None = None) -> Column:
     return F.from_json(F.lit(json.dumps(rows)), _RULE_STRUCT)
 
 
-def _compiled_hits(ruleset: RuleSet, labels: str) -> Column:
-    """Matching rule indexes, cut after the first without ``continue``."""
-    none = F.array().cast("array<int>")
-    if not ruleset.rules:
-        return none
-    matched = F.array_compact(F.array(*[F.when(literal_match_all(r.match, labels), F.lit(i))
-                                        for i, r in enumerate(ruleset.rules)]))
-    last = [i for i, r in enumerate(ruleset.rules) if not r.cont]
-    if not last:
-        return matched
-    # the array is a value of its own here: evaluated once, then cut
-    cut = F.transform(F.array(matched), lambda m: F.filter(m, lambda i: i <= F.coalesce(
-        F.array_min(F.array_intersect(m, F.array(*[F.lit(x) for x in last]))), F.lit(len(ruleset.rules)))))
-    return F.get(cut, 0)
+def _hit_mask(ruleset: RuleSet, labels: str) -> Column:
+    """Bit i: rule i is decided (it matches, and no earlier matching rule stops)."""
+    bits = [F.when(literal_match_all(r.match, labels), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+            for i, r in enumerate(ruleset.rules)]
+    return reduce(lambda x, y: x.bitwiseOR(y), bits, F.lit(0).cast("long"))
+
+
+def _with_mask(df: DataFrame, ruleset: RuleSet, labels: str) -> DataFrame:
+    """``df`` with the cut mask ``_mask``."""
+    terminal = F.lit(sum(1 << i for i, r in enumerate(ruleset.rules) if not r.cont)).cast("long")
+    last = F.col("_all").bitwiseAND(terminal)
+    lowest = last.bitwiseAND(-last)
+    cut = F.when(last == 0, F.col("_all")).otherwise(F.col("_all").bitwiseAND(lowest * 2 - 1))
+    return df.withColumn("_all", _hit_mask(ruleset, labels)).withColumn("_mask", cut).drop("_all")
+
+
+def _mask_indexes(ruleset: RuleSet) -> Column:
+    """The rule indexes in ``_mask``, with NULL for the others."""
+    return F.array(*[F.when(F.col("_mask").bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(i))
+                     for i in range(len(ruleset.rules))]).cast("array<int>")
+
+
+def _compiled(ruleset: RuleSet, compiled_max: int | None) -> bool:
+    most = COMPILED_MAX_RULES if compiled_max is None else compiled_max
+    return len(ruleset.rules) <= min(most, 62)
 
 
 def with_hits(df: DataFrame, ruleset: RuleSet, labels: str = "labels", out: str = "_hits",
               compiled_max: int | None = None) -> DataFrame:
     """``df`` with the array of decided rule indexes in rule order (empty if no rule matches)."""
-    if len(ruleset.rules) <= (COMPILED_MAX_RULES if compiled_max is None else compiled_max):
-        return df.withColumn(out, _compiled_hits(ruleset, labels))
+    if _compiled(ruleset, compiled_max):
+        return _with_mask(df, ruleset, labels).withColumn(out, F.array_compact(_mask_indexes(ruleset))).drop("_mask")
     rules = ruleset.rules_df(df.sparkSession).select("rule_idx", F.col("match").alias("_match"), "continue")
     keyed = df.withColumn("_lk", sorted_entries(labels))
     sets = keyed.select("_lk").distinct().withColumn("_lset", F.map_from_entries("_lk"))
@@ -75,10 +91,22 @@ def with_hits(df: DataFrame, ruleset: RuleSet, labels: str = "labels", out: str
 def route(alerts: DataFrame, ruleset: RuleSet, labels: str = "labels", compiled_max: int | None = None) -> DataFrame:
     """R1 + R24: decision rows ``alert columns + rule_idx, rule_name,
     receiver, continue`` in rule order per alert (0..n rows per alert)."""
-    hits = with_hits(alerts, ruleset, labels, compiled_max=compiled_max)
-    dec = hits.select(*alerts.columns, F.explode("_hits").alias("rule_idx"))
+    if _compiled(ruleset, compiled_max):
+        masked = _with_mask(alerts, ruleset, labels)
+        dec = masked.select(*alerts.columns, F.explode(_mask_indexes(ruleset)).alias("rule_idx")).where("rule_idx IS NOT NULL")
+        return _named(dec, alerts.columns, ruleset)
+    return route_hits(with_hits(alerts, ruleset, labels, compiled_max=compiled_max), ruleset)
+
+
+def route_hits(hits: DataFrame, ruleset: RuleSet, col: str = "_hits") -> DataFrame:
+    """Decision rows of rows that already carry their decided rule indexes."""
+    cols = [c for c in hits.columns if c != col]
+    return _named(hits.select(*cols, F.explode(col).alias("rule_idx")), cols, ruleset)
+
+
+def _named(dec: DataFrame, cols: list[str], ruleset: RuleSet) -> DataFrame:
     rule = F.element_at(rule_array(ruleset), F.col("rule_idx") + 1)
-    return dec.select(*alerts.columns, "rule_idx", rule["name"].alias("rule_name"), rule["receiver"].alias("receiver"),
+    return dec.select(*cols, "rule_idx", rule["name"].alias("rule_name"), rule["receiver"].alias("receiver"),
                       rule["cont"].alias("continue"))
 
 

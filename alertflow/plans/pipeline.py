@@ -3,12 +3,17 @@
 observe -> fingerprint -> mute (loose, at each alert's own time) -> route ->
 receiver -> de-duplicate (R13) -> attempts / notifications / outbox.
 
-Shuffles: the distinct label sets (map-side partial distinct; the table is
-checkpointed and broadcast only under a bound of its bytes), one by
-``(label set, bucket)`` for the mute join, one by ``(rule, fingerprint)`` for
-the state machine (two more, narrow, for hot keys only). Routing and receiver
-lookup are map-side projections. Nothing is checkpointed in full width: columns
-that a query does not ask for are pruned down to the scan.
+What a label set decides is worked out once per distinct label set, not per
+alert: its fingerprint, the rules that take it and the merged intervals in which
+it is muted. That table is checkpointed, and one join by label set (broadcast
+only under a bound of its measured bytes) brings all three to the alerts, which
+are read once. Its row counts bound the rows of every (rule, fingerprint), so hot
+keys and seeds are found without evaluating the routed alerts a second time.
+
+Shuffles: the distinct label sets (map-side partial distinct) and one by ``(rule,
+fingerprint)`` for the state machine (two more, narrow, for hot keys only).
+Nothing is checkpointed in full width: columns that a query does not ask for are
+pruned down to the scan.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from pyspark.sql import functions as F
 from alertflow.functions.labels import fingerprint_table, with_fingerprint
 from alertflow.session import materialize
 from alertflow.operators import delivery, routing
-from alertflow.operators.mutes import unmuted
+from alertflow.operators.mutes import in_intervals, mute_intervals, unmuted
 from alertflow.sources.config import RuleSet
 
 
@@ -41,20 +46,37 @@ def failing_outcome(ok_col: str, failing_receivers=()) -> Column:
     return c
 
 
+def decision_table(label_sets: DataFrame, ruleset: RuleSet, mutes: DataFrame | None = None) -> DataFrame:
+    """The label-set table with the decided rule indexes ``_hits`` and, with mutes, the muted intervals ``_mi``."""
+    sets = label_sets.withColumn("labels", F.map_from_entries("_lkey"))
+    table = routing.with_hits(sets, ruleset).drop("labels")
+    if mutes is not None:
+        table = table.join(mute_intervals(mutes, label_sets), "fingerprint", "left")
+    return materialize(table)
+
+
+def decision_keys(table: DataFrame, ruleset: RuleSet) -> DataFrame:
+    """The (rule_name, fingerprint) of a decision table with an upper bound ``_n`` of their rows."""
+    return routing.route_hits(table.select("fingerprint", "_n", "_hits"), ruleset).select("rule_name", "fingerprint", "_n")
+
+
 def routed_decisions(alerts: DataFrame, ruleset: RuleSet, mutes: DataFrame | None = None,
-                     fingerprinted: bool = False, label_sets: DataFrame | None = None) -> DataFrame:
-    """Unmuted alerts routed to known receivers, with fingerprints. The label
-    set table is built once and serves both the fingerprint and the mute
-    match (which then runs per label set, not per alert)."""
-    table = label_sets
+                     fingerprinted: bool = False, label_sets: DataFrame | None = None,
+                     table: DataFrame | None = None) -> DataFrame:
+    """Unmuted alerts routed to known receivers, with fingerprints. ``table``
+    is their :func:`decision_table` if there is one; alerts that already carry
+    a fingerprint are matched and routed by themselves."""
     if fingerprinted:
-        a = alerts
+        a = alerts if mutes is None else unmuted(alerts, mutes, label_sets=label_sets)
+        dec = routing.route(a, ruleset)
     else:
-        table = fingerprint_table(alerts)
-        a = with_fingerprint(alerts, table=table)
-    if mutes is not None:
-        a = unmuted(a, mutes, label_sets=table)
-    dec = routing.route(a, ruleset)
+        if table is None:
+            table = decision_table(fingerprint_table(alerts) if label_sets is None else label_sets, ruleset, mutes)
+        carry = ("_hits",) if mutes is None else ("_hits", "_mi")
+        a = with_fingerprint(alerts, table=table, carry=carry)
+        if mutes is not None:
+            a = a.where(~in_intervals("_mi", "observed_at")).drop("_mi")
+        dec = routing.route_hits(a, ruleset)
     return routing.known_receiver_decisions(dec, ruleset)
 
 
@@ -65,14 +87,17 @@ def replay(alerts: DataFrame, ruleset: RuleSet, mutes: DataFrame | None = None,
            label_sets: DataFrame | None = None) -> ReplayResult:
     """What would this rule set have sent for this alert history?
 
-    The state machine counts the keys first (a narrow job, to find hot ones)
-    and then reads the routed decisions once. ``checkpoint_decisions`` writes
-    them before, for callers that evaluate several results of one replay.
+    The routed decisions are evaluated once. ``checkpoint_decisions`` writes
+    them first, for callers that evaluate several results of one replay.
     """
-    dec = routed_decisions(alerts, ruleset, mutes, fingerprinted=fingerprinted, label_sets=label_sets)
+    table = keys = None
+    if not fingerprinted:
+        table = decision_table(fingerprint_table(alerts) if label_sets is None else label_sets, ruleset, mutes)
+        keys = decision_keys(table, ruleset)
+    dec = routed_decisions(alerts, ruleset, mutes, fingerprinted=fingerprinted, label_sets=label_sets, table=table)
     if checkpoint_decisions:
         dec = materialize(dec)
     okc = failing_outcome(ok, failing_receivers) if isinstance(ok, str) else ok
-    plan = delivery.delivery_plan(dec, ok=okc, seed=seed, chunk_seconds=chunk_seconds)
+    plan = delivery.delivery_plan(dec, ok=okc, seed=seed, chunk_seconds=chunk_seconds, keys=keys)
     att = delivery.attempts(plan)
     return ReplayResult(plan, att, delivery.notification_snapshot(att))
