@@ -138,14 +138,25 @@ BROADCAST_MAX_BYTES = 64 << 20
 _ROW_BYTES = 100
 
 
-def broadcast_if_small(side: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+def side_bytes(columns: list[str]) -> Column:
+    """Aggregate: measured size of a side table."""
+    return F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*columns))) + F.lit(_ROW_BYTES)), F.lit(0))
+
+
+def broadcast_if_small(side: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES, n_bytes: int | None = None) -> DataFrame:
     """``side`` (already materialised, so that measuring it is one cheap aggregate) with a broadcast hint if its
-    measured bytes allow it."""
-    row = F.octet_length(F.to_json(F.struct(*side.columns))) + F.lit(_ROW_BYTES)
-    n_bytes = side.agg(F.sum(row)).first()[0] or 0
+    measured bytes allow it. ``n_bytes`` is that measure if the caller has it."""
+    if n_bytes is None:
+        n_bytes = side.agg(side_bytes(side.columns)).first()[0]
     return F.broadcast(side) if n_bytes <= max_bytes else side
 
 
+def label_set_rows(df: DataFrame, labels: str = "labels", out: str = "fingerprint") -> DataFrame:
+    """:func:`fingerprint_table` before it is checkpointed."""
+    return (df.groupBy(sorted_entries(labels).alias("_lkey")).agg(F.count(F.lit(1)).alias("_n"))
+            .select("_lkey", fingerprint_from_hex(label_hex_of_entries("_lkey")).alias(out), "_n"))
+
+
 def fingerprint_table(df: DataFrame, labels: str = "labels", out: str = "fingerprint") -> DataFrame:
     """The distinct label sets of ``df`` with their F3 fingerprint and number of rows:
     ``(_lkey, fingerprint, _n)``, where ``_lkey`` is the sorted entry array.
@@ -154,23 +165,22 @@ def fingerprint_table(df: DataFrame, labels: str = "labels", out: str = "fingerp
     once per label set. The table is checkpointed (lineage cut, survives
     executor loss), so its size is known before anyone broadcasts it.
     """
-    dim = (df.groupBy(sorted_entries(labels).alias("_lkey")).agg(F.count(F.lit(1)).alias("_n"))
-           .select("_lkey", fingerprint_from_hex(label_hex_of_entries("_lkey")).alias(out), "_n"))
-    return materialize(dim)
+    return materialize(label_set_rows(df, labels, out))
 
 
 def with_fingerprint(df: DataFrame, labels: str = "labels", out: str = "fingerprint",
                      broadcast_max_bytes: int = BROADCAST_MAX_BYTES,
-                     table: DataFrame | None = None, carry: tuple = ()) -> DataFrame:
+                     table: DataFrame | None = None, carry: tuple = (), table_bytes: int | None = None) -> DataFrame:
     """Add the F3 fingerprint, hashing each distinct label set once.
 
     The table of :func:`fingerprint_table` is broadcast only when its measured
     bytes are under ``broadcast_max_bytes``; otherwise both sides shuffle on
-    the key. ``carry`` names further columns of ``table`` to bring along.
+    the key. ``carry`` names further columns of ``table`` to bring along,
+    ``table_bytes`` is the table's :func:`side_bytes` if already measured.
     """
     dim = (table if table is not None else fingerprint_table(df, labels, out)).select("_lkey", out, *carry)
     keyed = df.withColumn("_lkey", sorted_entries(labels))
-    return keyed.join(broadcast_if_small(dim, broadcast_max_bytes), "_lkey", "inner").drop("_lkey")
+    return keyed.join(broadcast_if_small(dim, broadcast_max_bytes, table_bytes), "_lkey", "inner").drop("_lkey")
 
 
 # ---------------------------------------------------------------- formatting

@@ -134,7 +134,8 @@ def hot_slices(rows: DataFrame, n_rows: int, target_rows: int) -> DataFrame:
 def delivery_plan(decisions: DataFrame, ok: Column | str = "call_ok", seed: DataFrame | None = None,
                   now: str = "observed_at", order: tuple = ("observed_at", "seq"),
                   chunk_seconds: int | None = None, hot_rows: int = HOT_KEY_ROWS,
-                  target_rows: int = HOT_CHUNK_ROWS, keys: DataFrame | None = None) -> DataFrame:
+                  target_rows: int = HOT_CHUNK_ROWS, keys: DataFrame | None = None,
+                  most_rows: int | None = None) -> DataFrame:
     """Every decision row with ``desired``, ``deliver`` and the recorded
     ``status`` of the attempt (NULL when skipped).
 
@@ -149,7 +150,8 @@ def delivery_plan(decisions: DataFrame, ok: Column | str = "call_ok", seed: Data
     into slices of about ``target_rows`` rows. ``keys`` is a small table of the
     keys (a superset will do) with an upper bound ``_n`` of each one's rows, such
     as the label sets' counts times the rules they hit; with it neither the hot
-    keys nor the seeds need a second evaluation of ``decisions``.
+    keys nor the seeds need a second evaluation of ``decisions``; ``most_rows``
+    bounds the rows of every key, so that a table without hot keys is not asked.
     """
     okc = F.col(ok) if isinstance(ok, str) else ok
     cols = decisions.columns
@@ -168,7 +170,7 @@ def delivery_plan(decisions: DataFrame, ok: Column | str = "call_ok", seed: Data
     if chunk_seconds:
         chunk = F.floor(F.unix_micros(F.col(order[0])) / F.lit(chunk_seconds * 1_000_000))
         return _sliced(seeded(rows.withColumn("_chunk", chunk), known), cols)
-    hot, n_rows = _hot_keys(known, hot_rows)
+    hot, n_rows = (None, 0) if most_rows is not None and most_rows <= hot_rows else _hot_keys(known, hot_rows)
     if hot is None:
         return _one_pass(seeded(rows, known), cols)
     cold = _one_pass(seeded(rows.join(hot, KEY, "left_anti"), known.join(hot, KEY, "left_anti")), cols)

@@ -53,11 +53,12 @@ def _candidate_ruleset() -> RuleSet:
 class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self._fp = None
-        self._table = None
+        self._alerts = self._fp = self._table = None
 
     def alerts(self) -> DataFrame:
-        return testdata.load_alerts(self.spark, self.sf_dir)
+        if self._alerts is None:
+            self._alerts = testdata.load_alerts(self.spark, self.sf_dir)
+        return self._alerts
 
     def mutes(self) -> DataFrame:
         return testdata.load_mutes(self.spark, self.sf_dir)

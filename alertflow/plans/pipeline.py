@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertflow.functions.labels import fingerprint_table, with_fingerprint
+from alertflow.functions.labels import fingerprint_table, label_set_rows, side_bytes, with_fingerprint
 from alertflow.session import materialize
 from alertflow.operators import delivery, routing
 from alertflow.operators.mutes import in_intervals, mute_intervals, unmuted
@@ -46,23 +46,38 @@ def failing_outcome(ok_col: str, failing_receivers=()) -> Column:
     return c
 
 
-def decision_table(label_sets: DataFrame, ruleset: RuleSet, mutes: DataFrame | None = None) -> DataFrame:
-    """The label-set table with the decided rule indexes ``_hits`` and, with mutes, the muted intervals ``_mi``."""
-    sets = label_sets.withColumn("labels", F.map_from_entries("_lkey"))
-    table = routing.with_hits(sets, ruleset).drop("labels")
+@dataclass
+class DecisionTable:
+    """What each distinct label set decides, checkpointed: ``_lkey, fingerprint, _n, _hits`` and, with mutes, ``_mi``."""
+    rows: DataFrame
+    muted: bool
+    n_bytes: int     # its measured size
+    most: int        # rows of its most frequent label set
+
+
+def decision_table(alerts: DataFrame, ruleset: RuleSet, mutes: DataFrame | None = None,
+                   label_sets: DataFrame | None = None) -> DecisionTable:
+    """The label sets of ``alerts`` (or the given fingerprint table) with the decided rule indexes ``_hits`` and the
+    merged intervals ``_mi`` in which mutes match them."""
+    sets = label_sets
+    if sets is None:  # the mute join reads the label sets more than once
+        sets = label_set_rows(alerts) if mutes is None else fingerprint_table(alerts)
+    rows = routing.with_hits(sets.withColumn("labels", F.map_from_entries("_lkey")), ruleset).drop("labels")
     if mutes is not None:
-        table = table.join(mute_intervals(mutes, label_sets), "fingerprint", "left")
-    return materialize(table)
+        rows = rows.join(mute_intervals(mutes, sets), "fingerprint", "left")
+    rows = materialize(rows)
+    size = rows.agg(side_bytes(rows.columns).alias("n_bytes"), F.max("_n").alias("most")).first()
+    return DecisionTable(rows, mutes is not None, size.n_bytes, size.most or 0)
 
 
-def decision_keys(table: DataFrame, ruleset: RuleSet) -> DataFrame:
+def decision_keys(table: DecisionTable, ruleset: RuleSet) -> DataFrame:
     """The (rule_name, fingerprint) of a decision table with an upper bound ``_n`` of their rows."""
-    return routing.route_hits(table.select("fingerprint", "_n", "_hits"), ruleset).select("rule_name", "fingerprint", "_n")
+    return routing.route_hits(table.rows.select("fingerprint", "_n", "_hits"), ruleset).select("rule_name", "fingerprint", "_n")
 
 
 def routed_decisions(alerts: DataFrame, ruleset: RuleSet, mutes: DataFrame | None = None,
                      fingerprinted: bool = False, label_sets: DataFrame | None = None,
-                     table: DataFrame | None = None) -> DataFrame:
+                     table: DecisionTable | None = None) -> DataFrame:
     """Unmuted alerts routed to known receivers, with fingerprints. ``table``
     is their :func:`decision_table` if there is one; alerts that already carry
     a fingerprint are matched and routed by themselves."""
@@ -71,10 +86,10 @@ def routed_decisions(alerts: DataFrame, ruleset: RuleSet, mutes: DataFrame | Non
         dec = routing.route(a, ruleset)
     else:
         if table is None:
-            table = decision_table(fingerprint_table(alerts) if label_sets is None else label_sets, ruleset, mutes)
-        carry = ("_hits",) if mutes is None else ("_hits", "_mi")
-        a = with_fingerprint(alerts, table=table, carry=carry)
-        if mutes is not None:
+            table = decision_table(alerts, ruleset, mutes, label_sets)
+        carry = ("_hits", "_mi") if table.muted else ("_hits",)
+        a = with_fingerprint(alerts, table=table.rows, carry=carry, table_bytes=table.n_bytes)
+        if table.muted:
             a = a.where(~in_intervals("_mi", "observed_at")).drop("_mi")
         dec = routing.route_hits(a, ruleset)
     return routing.known_receiver_decisions(dec, ruleset)
@@ -92,12 +107,13 @@ def replay(alerts: DataFrame, ruleset: RuleSet, mutes: DataFrame | None = None,
     """
     table = keys = None
     if not fingerprinted:
-        table = decision_table(fingerprint_table(alerts) if label_sets is None else label_sets, ruleset, mutes)
+        table = decision_table(alerts, ruleset, mutes, label_sets)
         keys = decision_keys(table, ruleset)
     dec = routed_decisions(alerts, ruleset, mutes, fingerprinted=fingerprinted, label_sets=label_sets, table=table)
     if checkpoint_decisions:
         dec = materialize(dec)
     okc = failing_outcome(ok, failing_receivers) if isinstance(ok, str) else ok
-    plan = delivery.delivery_plan(dec, ok=okc, seed=seed, chunk_seconds=chunk_seconds, keys=keys)
+    plan = delivery.delivery_plan(dec, ok=okc, seed=seed, chunk_seconds=chunk_seconds, keys=keys,
+                                  most_rows=table.most if table else None)
     att = delivery.attempts(plan)
     return ReplayResult(plan, att, delivery.notification_snapshot(att))

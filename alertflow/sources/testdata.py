@@ -7,8 +7,7 @@ columns used are read), so they grow with the input.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 # Fixed values of the fixture mapping.
 AS_OF = "2024-01-16 00:00:00"
@@ -21,17 +20,15 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def _labels(ev_type: Column, user_id: Column, value: Column) -> Column:
-    team = F.when(user_id % 3 == 0, F.lit("infra")).when(user_id % 3 == 1, F.lit("platform"))
-    sev = (F.when(value >= SEVERITY_CRITICAL_MIN, F.lit("critical"))
-           .when(value >= SEVERITY_WARNING_MIN, F.lit("warning")).otherwise(F.lit("info")))
-    inst = F.concat(F.lit("host-"), (user_id % 10).cast("string"))
-    source = F.when(user_id % 10 == 3, F.lit("noisy-system"))
-    chaos = F.when(user_id % 10 == 7, F.lit("fail"))
-    full = F.create_map(F.lit("alertname"), ev_type, F.lit("severity"), sev, F.lit("team"), team,
-                        F.lit("instance"), inst, F.lit("source"), source, F.lit("chaos"), chaos)
-    # absent labels are left out of the map
-    return F.map_filter(full, lambda k, v: v.isNotNull())
+# Absent labels are left out of the map.
+_LABELS = f"""map_filter(map(
+  'alertname', event_type,
+  'severity', CASE WHEN value >= {SEVERITY_CRITICAL_MIN} THEN 'critical' WHEN value >= {SEVERITY_WARNING_MIN} THEN 'warning'
+              ELSE 'info' END,
+  'team', CASE user_id % 3 WHEN 0 THEN 'infra' WHEN 1 THEN 'platform' END,
+  'instance', concat('host-', user_id % 10),
+  'source', CASE WHEN user_id % 10 = 3 THEN 'noisy-system' END,
+  'chaos', CASE WHEN user_id % 10 = 7 THEN 'fail' END), (k, v) -> v IS NOT NULL)"""
 
 
 def alerts_from_events(ev: DataFrame) -> DataFrame:
@@ -39,21 +36,17 @@ def alerts_from_events(ev: DataFrame) -> DataFrame:
 
     ``call_ok`` is the simulated outcome of a delivery call for this push.
     """
-    ts = F.col("ts").cast("timestamp")
-    eid = F.col("event_id")
-    ends = (F.when(eid % 5 == 0, ts - F.expr("INTERVAL 1 MINUTE"))
-            .when(eid % 5 == 1, ts)
-            .when(eid % 5 == 2, ts + F.expr("INTERVAL 5 MINUTES")))
-    return ev.select(
-        eid.alias("alert_id"),
-        ts.alias("observed_at"),
-        eid.alias("seq"),
-        _labels(F.col("event_type"), F.col("user_id"), F.col("value")).alias("labels"),
-        F.create_map(F.lit("summary"), F.col("props")).alias("annotations"),
-        F.date_trunc("hour", ts).alias("starts_at"),
-        ends.alias("ends_at"),
-        F.lit(None).cast("string").alias("generator_url"),
-        (eid % 7 != 0).alias("call_ok"),
+    return ev.selectExpr(
+        "event_id AS alert_id",
+        "cast(ts AS timestamp) AS observed_at",
+        "event_id AS seq",
+        f"{_LABELS} AS labels",
+        "map('summary', props) AS annotations",
+        "date_trunc('hour', cast(ts AS timestamp)) AS starts_at",
+        """CASE event_id % 5 WHEN 0 THEN cast(ts AS timestamp) - INTERVAL 1 MINUTE WHEN 1 THEN cast(ts AS timestamp)
+           WHEN 2 THEN cast(ts AS timestamp) + INTERVAL 5 MINUTES END AS ends_at""",
+        "cast(NULL AS string) AS generator_url",
+        "event_id % 7 <> 0 AS call_ok",
     )
 
 
@@ -63,22 +56,17 @@ def mutes_from_events(ev: DataFrame) -> DataFrame:
     Matcher shapes rotate over four forms, the last one with an empty value
     (the loose/strict trap).
     """
-    eid = F.col("event_id")
-    k = F.floor(eid / MUTE_EVERY) % 4
-    inst = F.concat(F.lit("host-"), (F.col("user_id") % 10).cast("string"))
-    matchers = (F.when(k == 0, F.create_map(F.lit("alertname"), F.col("event_type"), F.lit("instance"), inst))
-                .when(k == 1, F.create_map(F.lit("instance"), inst))
-                .when(k == 2, F.create_map(F.lit("severity"), F.lit("info"), F.lit("instance"), inst))
-                .otherwise(F.create_map(F.lit("team"), F.lit(""), F.lit("instance"), inst)))
-    ts = F.col("ts").cast("timestamp")
-    hours = 12 * (1 + F.floor(eid / MUTE_EVERY) % 5)
-    return ev.filter(eid % MUTE_EVERY == 0).select(
-        F.concat(F.lit("m"), eid.cast("string")).alias("id"),
-        matchers.alias("matchers"),
-        ts.alias("starts_at"),
-        (ts + F.make_dt_interval(F.lit(0), hours.cast("int"))).alias("ends_at"),
-        F.concat(F.lit("c"), eid.cast("string")).alias("comment"),
-        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("created_by"),
+    return ev.where(f"event_id % {MUTE_EVERY} = 0").selectExpr(
+        "concat('m', event_id) AS id",
+        f"""CASE floor(event_id / {MUTE_EVERY}) % 4
+            WHEN 0 THEN map('alertname', event_type, 'instance', concat('host-', user_id % 10))
+            WHEN 1 THEN map('instance', concat('host-', user_id % 10))
+            WHEN 2 THEN map('severity', 'info', 'instance', concat('host-', user_id % 10))
+            ELSE map('team', '', 'instance', concat('host-', user_id % 10)) END AS matchers""",
+        "cast(ts AS timestamp) AS starts_at",
+        f"""cast(ts AS timestamp) + make_dt_interval(0, cast(12 * (1 + floor(event_id / {MUTE_EVERY}) % 5) AS int)) AS ends_at""",
+        "concat('c', event_id) AS comment",
+        "concat('u', user_id) AS created_by",
     )
 
 

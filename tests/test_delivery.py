@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from alertflow.operators import delivery as D
 from tests import models
@@ -119,7 +120,6 @@ def test_adaptive_chunks_for_hot_keys(spark):
 
 @pytest.mark.parametrize("spacing", [7, 0])  # evenly spaced; a burst: every push at one instant
 def test_hot_key_slices_are_bounded_and_exact(spark, spacing):
-    from pyspark.sql import functions as F
     n = 60_000
     # one flapping alert under one rule: 200k pushes, plus an ordinary key
     df = (spark.range(n + 1000)
@@ -162,3 +162,24 @@ def test_rows_of_equal_order_count_by_outcome(spark):
     rows = [("r0", "f0", T0, 1, None, True), ("r0", "f0", T0, 1, None, False)]
     got = D.delivery_plan(spark.createDataFrame(rows, SCHEMA), ok="ok").collect()
     assert sorted(r.status for r in got) == ["firing-failed", "firing-sent"]
+
+
+def test_hot_keys_come_from_the_label_sets(spark):
+    """With a table of key bounds neither hot keys nor seeds evaluate the decisions again; results stay the same."""
+    rng = random.Random(41)
+    rows = _random_rows(rng, 700, [("0", "0"), ("0", "1")], 60 * 24)
+    df = spark.createDataFrame(rows, SCHEMA)
+    seed = spark.createDataFrame([("r0", "f0", "firing-sent"), ("r7", "f7", "firing-sent")],
+                                 "rule_name string, fingerprint string, status string")
+    bound = {k: sum(1 for r in rows if (r[0], r[1]) == k) for k in {(r[0], r[1]) for r in rows}}
+    keys = spark.createDataFrame([(*k, n + 10) for k, n in bound.items()] + [("r8", "f8", 900)],
+                                 "rule_name string, fingerprint string, _n long")
+    want = _model(rows, {("r0", "f0"): "firing-sent"})
+    for hot_rows in (100, 10_000):
+        out = D.delivery_plan(df, ok="ok", seed=seed, hot_rows=hot_rows, target_rows=60, keys=keys)
+        assert {r.seq: r.status for r in out.collect()} == want
+    assert {r.seq: r.status for r in D.delivery_plan(df, ok="ok", seed=seed, keys=keys, most_rows=710).collect()} == want
+    failing = df.where(F.raise_error(F.lit("evaluated")).isNull())  # planning must not run it
+    D.delivery_plan(failing, ok="ok", keys=keys, hot_rows=10_000, seed=seed)
+    hot, n = D._hot_keys(keys, 100)
+    assert n == 900 + sum(v + 10 for v in bound.values()) and hot.count() == 3

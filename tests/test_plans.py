@@ -46,3 +46,14 @@ def test_state_machine_partitions_by_key_once(spark):
     plan = _plan(spark, "delivery_plan")
     assert plan.count("Exchange hashpartitioning(rule_name") == 1 and "_chunk" not in plan
     assert "SortAggregate" not in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["route_decisions", "delivery_plan", "process_replay", "muted_alerts", "unmuted_alerts"])
+def test_alerts_are_read_once(spark, name):
+    """The label-set tables are checkpointed; what runs last scans the events a single time."""
+    assert _plan(spark, name).count("FileScan parquet") == 1
+
+
+def test_routing_is_one_projection_of_bit_masks(spark):
+    plan = _plan(spark, "route_decisions")
+    assert "Exchange" not in plan and "Join" not in plan and "lambda" not in plan.split("FileScan")[0].split("Generate")[0]
