@@ -99,15 +99,16 @@ def replay(alerts: DataFrame, ruleset: RuleSet, mutes: DataFrame | None = None,
            seed: DataFrame | None = None, ok: Column | str = "call_ok",
            failing_receivers=(), chunk_seconds: int | None = None,
            fingerprinted: bool = False, checkpoint_decisions: bool = False,
-           label_sets: DataFrame | None = None) -> ReplayResult:
+           label_sets: DataFrame | None = None, table: DecisionTable | None = None) -> ReplayResult:
     """What would this rule set have sent for this alert history?
 
     The routed decisions are evaluated once. ``checkpoint_decisions`` writes
-    them first, for callers that evaluate several results of one replay.
+    them first, for callers that evaluate several results of one replay;
+    ``table`` is the alerts' :func:`decision_table` if the caller has it.
     """
-    table = keys = None
+    keys = None
     if not fingerprinted:
-        table = decision_table(alerts, ruleset, mutes, label_sets)
+        table = table or decision_table(alerts, ruleset, mutes, label_sets)
         keys = decision_keys(table, ruleset)
     dec = routed_decisions(alerts, ruleset, mutes, fingerprinted=fingerprinted, label_sets=label_sets, table=table)
     if checkpoint_decisions:

@@ -3,11 +3,13 @@
 ``ReplaySink`` is the preferred form: ``foreachBatch`` runs the batch
 pipeline of ``plans.pipeline`` on every micro-batch. Inside a batch it
 re-reads the mutes (a mute written after the stream started applies to the
-next alert), seeds the state machine with the latest notifications
-snapshot, appends the attempts and counters of the batch under
-``batch_id=N`` (a replayed batch overwrites its own folders, so retries are
-idempotent) and writes new snapshot versions of ``notifications`` and
-``alert_state``.
+next alert), seeds the state machine with the latest attempts of the batch's
+keys, appends the attempts and counters of the batch under ``batch_id=N`` (a
+replayed batch overwrites its own folders, so retries are idempotent) and
+updates ``notifications`` and ``alert_state``. These two are bucketed tables
+with versions (``streaming.snapshots``): a batch reads and rewrites only the
+buckets of its own keys, and versions that no retry can need are removed, so
+neither the work of a batch nor the files grow with the stream's past.
 
 ``dedup_stream`` (T1) is the low-latency form: ``applyInPandasWithState``
 keeps the last status per (rule, fingerprint) in the state store, no timers.
@@ -16,6 +18,7 @@ keeps the last status per (rule, fingerprint) in the state store, no timers.
 
 from __future__ import annotations
 
+import datetime as dt
 from typing import Callable, Iterator
 
 import pandas as pd
@@ -29,67 +32,76 @@ from alertflow.functions.labels import fingerprint_table, with_fingerprint
 from alertflow.functions.status import desired_status
 from alertflow.session import materialize
 from alertflow.operators import delivery, metrics, observed
-from alertflow.plans.pipeline import replay
+from alertflow.plans.pipeline import decision_keys, decision_table, replay
 from alertflow.sources.config import RuleSet
+from alertflow.streaming.snapshots import Snapshots
 
 
 class ReplaySink:
-    """``foreachBatch`` function running the whole Process pipeline."""
+    """``foreachBatch`` function running the whole Process pipeline. ``state_buckets`` should be of the order of the
+    state's rows over a million, or of the keys of a batch if that is less."""
 
     def __init__(self, ruleset: RuleSet, out_dir: str, mutes_path: str | None = None,
                  failing_receivers=(), ok: str | Callable = "call_ok",
                  initial_notifications: str | None = None, initial_state: str | None = None,
-                 retention_seconds: int | None = None):
+                 retention_seconds: int | None = None, state_buckets: int = 256):
         self.retention = retention_seconds
         self.ruleset, self.out = ruleset, out_dir.rstrip("/")
         self.mutes_path, self.failing, self.ok = mutes_path, tuple(failing_receivers), ok
         self.initial = {"notifications": initial_notifications, "alert_state": initial_state}
+        self.tables = {
+            "notifications": Snapshots(f"{self.out}/notifications", schemas.NOTIFICATIONS, delivery.KEY, state_buckets),
+            "alert_state": Snapshots(f"{self.out}/alert_state", schemas.ALERT_STATE, ["fingerprint"], state_buckets,
+                                     time="last_seen_at")}
 
-    def _snapshot(self, spark, name, schema, batch_id):
+    def read(self, spark, name: str, version: int | None = None) -> DataFrame:
+        """``notifications`` or ``alert_state`` after ``version`` micro-batches (the newest version unless given)."""
+        return self.tables[name].read(spark, version)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
         # Micro-batch ids are consecutive and batch b-1 is committed only
         # after its writes, so the state before batch b is version b. This
         # batch writes version b+1; a replayed batch reads the same input.
-        if batch_id == 0:
-            path = self.initial[name]
-            return spark.read.schema(schema).parquet(path) if path else None
-        return spark.read.schema(schema).parquet(f"{self.out}/{name}/v={batch_id:08d}")
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        notif, state = self.tables["notifications"], self.tables["alert_state"]
+        if batch_id == 0:
+            for name, table in self.tables.items():
+                path = self.initial[name]
+                table.start(spark, spark.read.schema(table.schema).parquet(path) if path else None)
         if "call_ok" not in batch.columns:
             batch = batch.withColumn("call_ok", F.lit(True))
         mutes = spark.read.schema(schemas.MUTES).parquet(self.mutes_path) if self.mutes_path else None
-        notif = self._snapshot(spark, "notifications", schemas.NOTIFICATIONS, batch_id)
-        state = self._snapshot(spark, "alert_state", schemas.ALERT_STATE, batch_id)
-        table = fingerprint_table(batch)
-        fa = with_fingerprint(batch, table=table)
-        r = replay(fa, self.ruleset, mutes=mutes, seed=notif, ok=self.ok, failing_receivers=self.failing,
-                   fingerprinted=True, label_sets=table)
+        sets = fingerprint_table(batch)
+        decided = decision_table(batch, self.ruleset, mutes, sets)
+        seed = notif.read(spark, batch_id, notif.touched(decision_keys(decided, self.ruleset)))
+        r = replay(batch, self.ruleset, mutes=mutes, seed=seed, ok=self.ok, failing_receivers=self.failing, table=decided)
         # the plan feeds three writes below: compute it once
         r.plan = materialize(r.plan)
+        tried = delivery.attempts(r.plan)
         # A replayed micro-batch rewrites only its own folder
-        (delivery.attempts(r.plan).write.mode("overwrite")
-         .parquet(f"{self.out}/attempts/batch_id={batch_id}"))
-        new_notif = r.notifications if notif is None else \
-            delivery.notification_snapshot(
-                delivery.attempts(r.plan).unionByName(
-                    notif.select("rule_name", "fingerprint", F.col("sent_at").alias("attempt_at"),
-                                 F.lit(None).cast("long").alias("seq"), "status")))
-        new_notif.write.mode("overwrite").parquet(f"{self.out}/notifications/v={batch_id + 1:08d}")
+        tried.write.mode("overwrite").parquet(f"{self.out}/attempts/batch_id={batch_id}")
+        notif.update(spark, batch_id, notif.touched(tried), lambda old: delivery.notification_snapshot(tried.unionByName(
+            old.select("rule_name", "fingerprint", F.col("sent_at").alias("attempt_at"),
+                       F.lit(None).cast("long").alias("seq"), "status"))))
         # R22 per batch (a foreachBatch frame is evaluated several times, so
         # df.observe would count more than once here)
         (metrics.counters(batch, r.plan)
          .write.mode("overwrite").parquet(f"{self.out}/counters/batch_id={batch_id}"))
-        new_state = observed.alert_state(fa, seed=state)
+        pushes = with_fingerprint(batch, table=sets)
+        cutoff = None
         if self.retention:
             # Keep fingerprints seen within the window before this
             # batch's newest push (one aggregate over the batch)
-            cutoff = batch.agg(F.max("observed_at")).first()[0]
-            if cutoff is not None:
-                new_state = observed.retain(new_state, F.lit(cutoff).cast("timestamp")
-                                            - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0),
-                                                                 F.lit(self.retention)))
-        new_state.write.mode("overwrite").parquet(f"{self.out}/alert_state/v={batch_id + 1:08d}")
+            newest = batch.agg(F.max("observed_at")).first()[0]
+            cutoff = None if newest is None else newest - dt.timedelta(seconds=self.retention)
+
+        def merged(old: DataFrame) -> DataFrame:
+            new = observed.alert_state(pushes, seed=old)
+            return new if cutoff is None else observed.retain(new, cutoff)
+
+        state.update(spark, batch_id, state.touched(sets), merged, older_than=cutoff)
+        for table in self.tables.values():
+            table.expire(spark, batch_id + 1)
 
 
 def start_replay_stream(alerts_stream: DataFrame, sink: ReplaySink, checkpoint: str, trigger: dict | None = None):

@@ -74,7 +74,7 @@ def test_stream_equals_batch_and_replay_is_idempotent(spark):
 
     last = max(int(r.batch_id) for r in got.select("batch_id").distinct().collect()) + 1
     snap = {(r.rule_name, r.fingerprint, r.status) for r in
-            spark.read.parquet(f"{out}/notifications/v={last:08d}").collect()}
+            sink.read(spark, "notifications", last).collect()}
     assert snap == {(r.rule_name, r.fingerprint, r.status) for r in want.notifications.collect()}
 
     # replaying the last micro-batch (same id, same input) rewrites its own
@@ -85,11 +85,11 @@ def test_stream_equals_batch_and_replay_is_idempotent(spark):
     redo, _ = S.read_alert_batches(spark, [os.path.join(src, f) for f in files])
     sink(redo, b)
     again = {(r.rule_name, r.fingerprint, r.status) for r in
-             spark.read.parquet(f"{out}/notifications/v={b + 1:08d}").collect()}
+             sink.read(spark, "notifications", b + 1).collect()}
     assert again == snap
     got2 = {(r.rule_name, r.fingerprint, r.seq, r.status) for r in spark.read.parquet(f"{out}/attempts").collect()}
     assert got2 == want_att
-    st = spark.read.parquet(f"{out}/alert_state/v={last:08d}")
+    st = sink.read(spark, "alert_state")
     assert st.count() == with_fingerprint(batch_alerts).select("fingerprint").distinct().count()
 
 
@@ -132,5 +132,55 @@ def test_sink_retention_drops_old_fingerprints(spark):
     sink = SP.ReplaySink(example_ruleset(), out, retention_seconds=3600)
     SP.start_replay_stream(stream, sink, tempfile.mkdtemp(prefix="af-ret-ck-")).awaitTermination()
     last = max(int(r.batch_id) for r in spark.read.parquet(f"{out}/attempts").select("batch_id").distinct().collect())
-    st = spark.read.parquet(f"{out}/alert_state/v={last + 1:08d}").collect()
+    st = sink.read(spark, "alert_state", last + 1).collect()
     assert [r.labels for r in st] == [{"a": "new"}]
+
+
+def _folders(path):
+    return sorted(n for n in os.listdir(path) if n.startswith(("v=", "_bucket=")))
+
+
+def test_snapshots_rewrite_touched_buckets_and_keep_two_versions(spark):
+    """Twenty updates of two keys each over 64 buckets: a few buckets are rewritten each time, old versions go."""
+    from pyspark.sql import types as T
+
+    from alertflow.streaming.snapshots import Snapshots
+    path, t0 = tempfile.mkdtemp(prefix="af-buckets-"), dt.datetime(2024, 1, 1)
+    schema = T.StructType.fromDDL("k long, n long, at timestamp")
+    table = Snapshots(path, schema, ["k"], buckets=64, time="at")
+    want = {k: (0, t0) for k in range(300)}
+    table.start(spark, spark.createDataFrame([(k, n, at) for k, (n, at) in want.items()], schema))
+    rewritten = []
+    for v in range(20):
+        at = t0 + dt.timedelta(hours=v + 1)
+        new = {v * 7 % 310: (v + 1, at), v * 13 % 310: (v + 1, at)}
+        df = spark.createDataFrame([(k, n, a) for k, (n, a) in new.items()], schema)
+
+        def merge(old):
+            return old.join(df, "k", "left_anti").unionByName(df)
+
+        rewritten.append(len(table.update(spark, v, table.touched(df), merge)))
+        if v == 11:  # the same micro-batch again: same version, same rows
+            table.update(spark, v, table.touched(df), merge)
+        table.expire(spark, v + 1)
+        want |= new
+    assert max(rewritten) <= 2 and table.versions(spark) == [19, 20]
+    assert {r.k: (r.n, r.at) for r in table.read(spark).collect()} == want
+    # folders of other versions hold only buckets that are still in use
+    used = {f for v in (19, 20) for f, _ in table.manifest(spark, v).values()}
+    assert {f"{d}/{b}" for d in _folders(f"{path}/data") for b in _folders(f"{path}/data/{d}")} == used
+    # buckets with rows older than the cutoff are touched without a change of their own
+    cutoff = t0 + dt.timedelta(hours=10)
+    gone = table.update(spark, 20, [], lambda old: old.where(F.col("at") >= F.lit(cutoff)), older_than=cutoff)
+    assert len(gone) > 50 and {r.k for r in table.read(spark).collect()} == {k for k, (_, at) in want.items() if at >= cutoff}
+    assert table.update(spark, 21, [], lambda old: old, older_than=cutoff) == []
+    assert table.read(spark, 22).count() == table.read(spark, 21).count()
+
+
+def test_snapshots_of_an_empty_table(spark):
+    from alertflow import schemas
+    from alertflow.streaming.snapshots import Snapshots
+    table = Snapshots(tempfile.mkdtemp(prefix="af-buckets-"), schemas.NOTIFICATIONS, ["rule_name", "fingerprint"], buckets=4)
+    assert table.read(spark).count() == 0 and table.versions(spark) == []
+    table.start(spark, None)
+    assert table.read(spark).count() == 0 and table.update(spark, 0, [], lambda old: old) == [] and table.versions(spark) == [0, 1]
