@@ -12,6 +12,9 @@ share ``share`` times all sizes; a target stops at ``cap`` times its source's
 size and the excess goes to the others by weight until none is above (solved
 in one pass over the sources in the order in which they reach their cap).
 
+A source whose target is a whole number of copies (one at its cap) takes exactly
+these, so no document comes out more than ``cap`` times.
+
 Defined cases: a null text has size 0; a null source is a source of its own;
 a source of size 0 has target 0; a null id hashes as ''; rows with one id
 share one decision; an empty table gives an empty result. Extra columns are
@@ -25,7 +28,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 
-from alertflow.llm.common import read_table, staged, word_count
+from alertflow.llm.common import free_names, read_table, staged, word_count
 
 #: Parameters of the registered query (fixed values).
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0
@@ -82,7 +85,10 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
                    .withColumn("prefix", F.lit(0).cast("long")), "mix-targets")
     for level in range(1, _LEVELS + 1):
         state = staged(_refine(sized, state, level), f"mix-level{level}")
-    return sized, state.drop("need").withColumnRenamed("prefix", "threshold")
+    # a source that takes whole copies only takes no more of any document, wordless ones included
+    whole = (F.col("base") > 0) & (F.col("target") <= F.col("base") * F.col("source_size"))
+    return sized, state.select("skey", "source_size", "target", "base",
+                               F.when(whole, F.lit(0).cast("long")).otherwise(F.col("prefix")).alias("threshold"))
 
 
 def _refine(sized: DataFrame, state: DataFrame, level: int) -> DataFrame:
@@ -125,10 +131,11 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source
 
     Only the per-source thresholds are joined: no text is shuffled while they are small."""
     _, thresholds = mix_plan(docs, id_col=id_col, source_col=source_col, **params)
-    t = thresholds.select(F.col("skey").alias("__mix_key"), F.struct("base", "threshold").alias("__mix"))
-    copies = F.col("__mix.base") + (id_hash(F.col(id_col)) < F.col("__mix.threshold")).cast("long")
-    return (docs.withColumn("__mix_key", source_key(F.col(source_col))).join(t, "__mix_key")
-            .withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
+    key, plan, copy = free_names(docs, "mix_key", "mix_plan", "mix_copy")
+    t = thresholds.select(F.col("skey").alias(key), F.struct("base", "threshold").alias(plan))
+    copies = F.col(plan)["base"] + (id_hash(F.col(f"`{id_col}`")) < F.col(plan)["threshold"]).cast("long")
+    return (docs.withColumn(key, source_key(F.col(f"`{source_col}`"))).join(t, key)
+            .withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
             .select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
@@ -165,7 +172,8 @@ edges AS (
   SELECT n.source, arg_min(r.h, r.h) AS edge, arg_min(r.cum, r.h) AS cum, arg_min(r.cum - r.size, r.h) AS below
   FROM needs n JOIN runs r ON n.source IS NOT DISTINCT FROM r.source AND r.cum > n.need GROUP BY n.source),
 cuts AS (
-  SELECT n.*, coalesce(e.edge + (e.cum - n.need < n.need - e.below)::BIGINT, 68719476736) AS cut
+  SELECT n.*, CASE WHEN n.base > 0 AND n.need <= 0 THEN 0
+    ELSE coalesce(e.edge + (e.cum - n.need < n.need - e.below)::BIGINT, 68719476736) END AS cut
   FROM needs n LEFT JOIN edges e ON n.source IS NOT DISTINCT FROM e.source),
 mixed AS (
   SELECT s.doc_id, s.size, c.source_size, c.target, c.base + (s.h < c.cut)::BIGINT AS copies,

@@ -91,3 +91,22 @@ def test_query_equals_its_sql(spark, sf):
     docs = con.execute("SELECT doc_id, text, source, '' FROM documents").fetchall()
     check(rows, docs)
     assert corpus_pipeline.STAGES[3][1](spark, spark.read.parquet(f"{d}/documents.parquet"), d).count() > 0
+
+
+def test_no_document_comes_out_more_often_than_the_cap(spark):
+    """Thirty small sources at their cap and one large, each with wordless rows; columns named like the operator's own."""
+    docs = [(1000 * s + i, "" if i % 3 == 0 else "two words", f"small{s:02d}", "keep") for s in range(30) for i in range(12)]
+    docs += [(100_000 + i, None if i % 50 == 0 else "w " * 20, "big", "keep") for i in range(400)]
+    docs += [(200_000 + i, "", "wordless", "keep") for i in range(5)]
+    df = spark.createDataFrame(docs, SCHEMA)
+    rows = mixing.mix(df).collect()
+    check(rows, docs)
+    assert max(r.copies for r in rows) == 2 and all(r.taken <= 2 * r.size for r in rows)
+    clash = df.selectExpr("*", "size AS mix_key", "size AS MIX_PLAN", "size AS __mix", "size AS h", "size AS skey", "size AS base")
+    out = mixing.apply_mix(clash)
+    assert out.columns == clash.columns
+    got = {}
+    for r in out.collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + 1
+        assert {r.mix_key, r.MIX_PLAN, r["__mix"], r.h, r.skey, r.base} == {"keep"}
+    assert got == {r.doc_id: r.copies for r in rows if r.copies}
