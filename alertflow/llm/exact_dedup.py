@@ -21,7 +21,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 
-from alertflow.llm.common import SPACE, read_table, staged
+from alertflow.llm.common import SPACE, free_names, read_table, staged
 
 MIN, MAX = 512, 4096
 #: A chunk ends after one of these pairs (any fixed set with a frequency near 1 in 100 serves).
@@ -71,7 +71,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
               .filter("group_size > 1")
               .select("recipe", "group_size", F.struct((-F.col("best.low")).alias("doc_id"),
                                                        (-F.col("best.first")).alias("row_id")).alias("keeper")))
-    joined = r.join(groups, "recipe", "left")
+    # written, so that both sides of the join are dealt for it: a large group's rows can be split among tasks
+    joined = r.join(staged(groups, "dedup-groups"), "recipe", "left")
     alone = F.col("keeper").isNull()
     return joined.select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keeper.doc_id")).alias("keep_id"),
@@ -86,15 +87,23 @@ def _row_key(id_col: Column, sha: Column) -> Column:
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row per group of equal texts; same columns.
 
-    Texts move once, to meet the keepers by (id, digest); of rows that repeat
-    both, the first stays (the window reuses the join's partitioning and order)."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept")
-    kept = kept.select(_row_key(F.col("doc_id"), F.col("text_sha256")).alias("__key"))
-    sha = F.sha2(normalised(F.col(text_col)).cast("binary"), 256)
-    mine = docs.withColumn("__key", _row_key(F.col(f"`{id_col}`"), sha))
-    first = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
-    return (mine.join(kept, "__key").withColumn("__n", first).filter("__n = 1")
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    What is joined are the keys (id, digest) of the rows that go, which lie in groups of two and more: while they are
+    few, no text moves. Rows that repeat the id and text of a row that stays are dealt with on their own, if there are
+    any: of those a longest stays."""
+    key, n = free_names(docs, "copy_key", "copy_n")
+    groups = exact_groups(docs, id_col, text_col).filter("group_size > 1")
+    keys = staged(groups.groupBy(_row_key(F.col("doc_id"), F.col("text_sha256")).alias(key)).agg(
+        F.count(F.lit(1)).alias("rows"), F.max("kept").alias("kept")).filter("NOT kept OR rows > 1"), "dedup-leaving")
+    sha = F.sha2(normalised(F.col(f"`{text_col}`")).cast("binary"), 256)
+    mine = docs.withColumn(key, _row_key(F.col(f"`{id_col}`"), sha))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rest = mine.join(keys.select(key), key, "left_anti").select(*columns)
+    repeated = keys.filter("kept")
+    if repeated.isEmpty():
+        return rest
+    first = F.row_number().over(Window.partitionBy(key).orderBy(F.length(F.col(f"`{text_col}`")).desc()))
+    once = mine.join(repeated.select(key), key, "left_semi").withColumn(n, first).filter(F.col(n) == 1)
+    return rest.unionByName(once.select(*columns))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,3 +58,16 @@ def test_a_key_with_two_contents_gets_two_identifiers(spark, monkeypatch):
 def test_only_dataframe_functions(spark):
     plan = E.op10_exact_dedup(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_drop_copies_keeps_the_callers_columns_and_moves_only_copies(spark):
+    rows = [(1, "a b"), (1, "a  b"), (1, "a b"), (2, "ab"), (3, "other"), (3, "other"), (None, "x"), (None, "x"), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(
+        "*", "'k' AS copy_key", "'n' AS copy_n", "'K' AS __key", "'g' AS group_size", "'e' AS kept")
+    kept = E.drop_copies(df)
+    assert kept.columns == df.columns
+    got = kept.collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([(1, "a  b"), (3, "other"), (None, "x"), (4, None)], key=repr)
+    assert {(r.copy_key, r.copy_n, r["__key"], r.group_size, r.kept) for r in got} == {("k", "n", "K", "g", "e")}
+    plain = E.drop_copies(spark.createDataFrame([(i, f"text {i % 50}") for i in range(60)], "doc_id long, text string"))
+    assert plain.count() == 50 and "Window" not in plain._jdf.queryExecution().optimizedPlan().toString()
