@@ -34,6 +34,7 @@ from alertflow.llm.features import id_remainder, logistic_on_bins
 
 BITS = 11
 DIMS = 2 << BITS  # bigrams, then trigrams
+MAX_LANGUAGES = 256
 MAX_TRAIN = 4_000
 UNKNOWN = "und"
 
@@ -141,7 +142,10 @@ def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", te
         rows = rows.filter(learn)
     place = F.pmod(F.xxhash64(F.col(id_col), F.lit("lang")), F.lit(1 << 30)) / (1 << 30)
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), place.alias("place"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one per language
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:  # one machine per pair of related languages: a column of free text is refused
+        raise ValueError(f"more than {MAX_LANGUAGES} different values of {lang_col}")
+    counts = {r["lang"]: r["n"] for r in found}
     if not counts:
         return Model()
     quota = max_train / len(counts)

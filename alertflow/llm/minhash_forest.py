@@ -43,7 +43,7 @@ import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from alertflow.llm.common import mix64, read_table, staged
+from alertflow.llm.common import free_names, mix64, read_table, staged
 from alertflow.llm.components import connected_components
 
 WORDS, SIMILARITY = 5, 75  # words of a shingle; percent
@@ -433,10 +433,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that a smaller id of their component stands for; same columns."""
+    same_id, same_text = free_names(docs, "near_id", "near_text")
     gone = (near_duplicates(docs, id_col, text_col).filter(~F.col("kept"))
-            .select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text")).distinct())
-    return docs.join(gone, (F.col(f"`{id_col}`") == F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__text")),
-                     "left_anti")
+            .select(F.col("doc_id").alias(same_id), F.col("text_key").alias(same_text)).distinct())
+    here = (F.col(f"`{id_col}`") == F.col(same_id)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(same_text))
+    return docs.join(gone, here, "left_anti")
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

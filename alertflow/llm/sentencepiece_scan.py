@@ -41,7 +41,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from alertflow.llm.common import read_table, staged
+from alertflow.llm.common import free_names, read_table, staged
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk; longer documents are split.
@@ -372,8 +372,11 @@ def encode_giant(docs: DataFrame, shared, chunk: int) -> DataFrame:
 
 
 def add_tokens(docs: DataFrame, text_col: str = "text", model_path: str = MODEL_PATH, chunk: int = CHUNK) -> DataFrame:
-    """``docs`` with a column token_ids (array<int>). Documents of up to ``chunk`` characters are encoded where they are;
-    only longer ones are split and meet again by row."""
+    """``docs`` with a column token_ids (array<int>), which they must not have yet. Documents of up to ``chunk`` characters
+    are encoded where they are; only longer ones are split and meet again by row."""
+    if "token_ids" in map(str.lower, docs.columns):
+        raise ValueError("the documents already have a column token_ids")
+    row, = free_names(docs, "piece_row")
     shared = _broadcast(docs.sparkSession, model_path)
     names, is_giant = docs.columns, F.coalesce(F.length(F.col(text_col)) > chunk, F.lit(False))
 
@@ -388,9 +391,9 @@ def add_tokens(docs: DataFrame, text_col: str = "text", model_path: str = MODEL_
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     short = docs.filter(~is_giant).mapInArrow(run, f"{fields}, token_ids array<int>")
-    giant = staged(docs.filter(is_giant).withColumn("__row", F.monotonically_increasing_id()), "pieces-giant")
-    tokens = encode_giant(giant.select(F.col("__row").alias("row"), F.col(text_col).alias("text")), shared, chunk)
-    long = giant.join(tokens.withColumnRenamed("row", "__row"), "__row")
+    giant = staged(docs.filter(is_giant).withColumn(row, F.monotonically_increasing_id()), "pieces-giant")
+    tokens = encode_giant(giant.select(F.col(row).alias("row"), F.col(f"`{text_col}`").alias("text")), shared, chunk)
+    long = giant.join(tokens.withColumnRenamed("row", row), row)
     return short.union(long.select(*[F.col(f"`{c}`") for c in names], "token_ids"))
 
 
