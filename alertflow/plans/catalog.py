@@ -294,18 +294,25 @@ def q_verify_summary(spark, sf):
     return rulesets.verify_summary(rulesets.verify(exp, _candidate_ruleset()))
 
 
-def q_explain_trace(spark, sf):
-    """Trace of every label set seen up to as_of, with the mute check
-    against the mutes active at as_of (loose)."""
-    inp = Inputs(spark, sf)
-    sets = inp.state_at_as_of().select("fingerprint", "labels")
+def _flagged_sets(inp: Inputs) -> DataFrame:
+    """Every label set ever pushed, with the mute check against the mutes active at as_of (loose)."""
     hit = mute_ops.muted_keys_at(inp.mutes(), AS_OF, inp.fp_table(), mode="loose")
-    flagged = sets.join(hit.withColumn("muted", F.lit(True)), "fingerprint", "left").fillna(False, ["muted"])
-    tr = rulesets.explain(flagged, _ruleset(), muted_col="muted")
+    return _cases(inp).join(hit.withColumn("muted", F.lit(True)), "fingerprint", "left").fillna(False, ["muted"])
+
+
+def q_explain_trace(spark, sf):
+    """Trace of every label set."""
+    tr = rulesets.explain(_flagged_sets(Inputs(spark, sf)), _ruleset(), muted_col="muted")
     return tr.select("fingerprint", "mute_check", "step", "rule_name", "verdict", "receiver", "action",
                      "receiver_type", "condition")
 
 
+def q_final_decisions(spark, sf):
+    """R21's closing lines of every label set, under rules without a catch-all (so that some are dropped)."""
+    end = rulesets.final_decisions(_flagged_sets(Inputs(spark, sf)), _ruleset_no_catch_all(), muted_col="muted")
+    return end.select("fingerprint", "outcome", F.size("decisions").alias("n_decisions"), "final")
+
+
 def q_process_replay(spark, sf):
     return _plan_cols(_plan(Inputs(spark, sf), with_mutes=True))
 
@@ -375,6 +382,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "verify_cases": q_verify_cases,
     "verify_summary": q_verify_summary,
     "explain_trace": q_explain_trace,
+    "final_decisions": q_final_decisions,
     "process_replay": q_process_replay,
     "counters": q_counters,
     "routing_report": q_routing_report,

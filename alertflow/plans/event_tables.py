@@ -6,9 +6,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from alertflow.functions.labels import labels_from_json, labels_to_json, parse_matchers_text
-from alertflow.functions.status import parse_form_time
+from alertflow.functions.labels import (fingerprint_table, format_labels, format_matchers, labels_from_json, labels_to_json,
+                                        parse_matchers_text)
+from alertflow.functions.status import display_time, format_duration, parse_duration_ms, parse_form_time
 from alertflow.operators import mutes as mute_ops, routing, rulesets
+from alertflow.operators.matching import condition_pairs
+from alertflow.session import materialize
 from alertflow.sources import testdata
 from alertflow.sources.alerts import parse_batches
 from alertflow.sources.config import Receiver, Rule, RuleSet
@@ -108,8 +111,28 @@ def q_rule_set_errors(spark, sf):
     return rulesets.first_errors(rulesets.validate_rules(*_rule_sets(spark, sf)))
 
 
+def q_condition_shapes(spark, sf):
+    """Condition join by rarest anchors: 31 key shapes, every condition and every label set carries cluster=prod.
+    Per condition, the label sets and alerts that match it, loose (F1) and strict (F2)."""
+    labels = testdata.load_alerts(spark, sf).select("alert_id", F.map_concat("labels", F.expr("map('cluster', 'prod')")).alias("labels"))
+    sets = fingerprint_table(labels).select(F.map_from_entries("_lkey").alias("labels"), "_n")
+    conds = materialize(labels.selectExpr("""map_from_entries(concat(array(named_struct('key', 'cluster', 'value', 'prod')),
+        transform(filter(array('alertname', 'severity', 'team', 'instance', 'source'),
+                         (k, i) -> shiftright(cast(alert_id % 31 + 1 AS int), i) % 2 = 1),
+                  k -> named_struct('key', k, 'value', coalesce(labels[k], ''))))) AS m""").groupBy(format_matchers("m").alias("condition")).agg(
+        F.count(F.lit(1)).alias("n_events"), F.any_value("m").alias("m")))
+    out = conds.select("condition", "n_events")
+    for mode in ("loose", "strict"):
+        pairs = condition_pairs(sets, conds.select("condition", "m"), matchers="m", mode=mode)
+        n = pairs.groupBy("condition").agg(F.count(F.lit(1)).alias(f"{mode}_sets"), F.sum("_n").alias(f"{mode}_alerts"))
+        out = out.join(n, "condition", "left")
+    return out.fillna(0)
+
+
 def q_text_functions(spark, sf):
-    """F12 (every error path), F16, F22, F23 on texts made from every event."""
+    """F11 to F17, F22, F23 on texts made from every event (F12: every error path)."""
+    span = F.when(F.col("event_id") % 9 == 0, F.lit(0)).otherwise(F.col("event_id") * 61_000 % 400_000_000)
+    labels = F.create_map(F.lit("z"), F.concat(F.col("event_type"), F.lit('"\\')), F.lit("a"), F.col("user_id").cast("string"))
     n = F.col("event_id") % 6
     text = (F.when(n == 0, F.lit("  ")).when(n == 1, F.lit("=x")).when(n == 2, F.concat(F.col("event_type"), F.lit("=")))
             .when(n == 3, F.lit("plain")).otherwise(F.concat(F.lit("b="), F.col("event_type"), F.lit("  a=1 b=2"))))
@@ -119,7 +142,11 @@ def q_text_functions(spark, sf):
     return _events(spark, sf).select(
         "event_id", labels_to_json(parsed["matchers"]).alias("matchers"), parsed["error"].alias("error"),
         labels_to_json(labels_from_json(js)).alias("json"),
-        F.date_format(parse_form_time(F.when(n == 5, F.lit("junk")).otherwise(form)), "yyyy-MM-dd HH:mm:ss").alias("form_time"))
+        F.date_format(parse_form_time(F.when(n == 5, F.lit("junk")).otherwise(form)), "yyyy-MM-dd HH:mm:ss").alias("form_time"),
+        display_time(F.col("ts").cast("timestamp")).alias("shown"), format_duration(span).alias("duration"),
+        parse_duration_ms(F.concat(format_duration(span), F.lit(" 90s"))).alias("duration_ms"),
+        parse_duration_ms(F.when(n == 0, F.lit("0m")).when(n == 1, F.lit("soon"))).alias("no_duration"),
+        format_labels(labels).alias("label_text"), format_matchers(labels).alias("matcher_text"))
 
 
 QUERIES = {
@@ -129,6 +156,7 @@ QUERIES = {
     "create_mutes": q_create_mutes,
     "rule_set_errors": q_rule_set_errors,
     "text_functions": q_text_functions,
+    "condition_shapes": q_condition_shapes,
 }
 
 _REQUESTS = """
@@ -182,6 +210,36 @@ SELECT event_id, CASE WHEN event_id % 6 > 3 THEN '{"a":"1","b":"2"}' END AS matc
     WHEN 2 THEN 'invalid matcher "' || event_type || '=": expected key=value'
     WHEN 3 THEN 'invalid matcher "plain": expected key=value' END AS error,
   '{"a":"' || event_type || '","z":"1"}' AS json,
-  CASE WHEN event_id % 6 <> 5 THEN strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') END AS form_time
-FROM events""",
+  CASE WHEN event_id % 6 <> 5 THEN strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') END AS form_time,
+  strftime(ts, '%Y-%m-%d %H:%M:%S') AS shown,
+  CASE WHEN m = 0 THEN '0m' ELSE (CASE WHEN m >= 1440 THEN (m // 1440) || 'd' ELSE '' END)
+    || (CASE WHEN m // 60 % 24 > 0 THEN (m // 60 % 24) || 'h' ELSE '' END)
+    || (CASE WHEN m % 60 > 0 THEN (m % 60) || 'm' ELSE '' END) END AS duration,
+  m * 60000 + 90000 AS duration_ms, NULL::BIGINT AS no_duration,
+  'a="' || user_id || '", z="' || event_type || '\\"\\\\"' AS label_text,
+  'a=' || user_id || ' z=' || event_type || '"\\' AS matcher_text
+FROM (SELECT *, CASE WHEN event_id % 9 = 0 THEN 0 ELSE event_id * 61000 % 400000000 // 60000 END AS m FROM events)""",
+
+    "condition_shapes": """
+WITH a AS (
+  SELECT event_id % 31 + 1 AS bits, event_type AS alertname,
+    CASE WHEN value >= 113 THEN 'critical' WHEN value >= 35 THEN 'warning' ELSE 'info' END AS severity,
+    CASE user_id % 3 WHEN 0 THEN 'infra' WHEN 1 THEN 'platform' END AS team, 'host-' || (user_id % 10) AS instance,
+    CASE WHEN user_id % 10 = 3 THEN 'noisy-system' END AS source, CASE WHEN user_id % 10 = 7 THEN 'fail' END AS chaos
+  FROM events),
+sets AS (SELECT alertname, severity, team, instance, source, chaos, count(*) AS n FROM a GROUP BY ALL),
+c AS (
+  SELECT CASE WHEN bits & 1 > 0 THEN alertname END AS c1, CASE WHEN bits & 2 > 0 THEN severity END AS c2,
+    CASE WHEN bits & 4 > 0 THEN coalesce(team, '') END AS c3, CASE WHEN bits & 8 > 0 THEN instance END AS c4,
+    CASE WHEN bits & 16 > 0 THEN coalesce(source, '') END AS c5, count(*) AS n_events FROM a GROUP BY ALL),
+j AS (
+  SELECT c.*, s.n, (c3 IS NULL OR s.team = c3) AND (c5 IS NULL OR s.source = c5) AS strict
+  FROM c JOIN sets s ON (c1 IS NULL OR s.alertname = c1) AND (c2 IS NULL OR s.severity = c2)
+    AND (c3 IS NULL OR coalesce(s.team, '') = c3) AND (c4 IS NULL OR s.instance = c4)
+    AND (c5 IS NULL OR coalesce(s.source, '') = c5))
+SELECT coalesce('alertname=' || c1 || ' ', '') || 'cluster=prod' || coalesce(' instance=' || c4, '')
+    || coalesce(' severity=' || c2, '') || coalesce(' source=' || c5, '') || coalesce(' team=' || c3, '') AS condition,
+  n_events, count(*) AS loose_sets, sum(n)::BIGINT AS loose_alerts, count(*) FILTER (strict) AS strict_sets,
+  coalesce(sum(n) FILTER (strict), 0)::BIGINT AS strict_alerts
+FROM j GROUP BY c1, c2, c3, c4, c5, n_events""",
 }

@@ -148,6 +148,13 @@ st AS (
                        FROM pushes) WHERE k = 1) l USING (fingerprint))
 """
 
+_SETS = f""",
+every AS (SELECT DISTINCT fingerprint, alertname, severity, team, instance, source, chaos FROM af),
+sets AS (
+  SELECT x.*, EXISTS (SELECT 1 FROM mu WHERE mu.m_starts_at <= {AS_OF} AND {AS_OF} <= mu.m_ends_at
+                      AND {loose()}) AS muted
+  FROM every x)"""
+
 _VIEW = f"fingerprint, label_text, {_ts('ends_at')} AS ends_at, {_ts('last_seen_at')} AS last_seen_at"
 
 
@@ -335,11 +342,7 @@ SELECT count(*) FILTER (WHERE rok AND vok) AS passed, count(*) FILTER (WHERE NOT
        count(*) AS total
 FROM vres""",
 
-    "explain_trace": PRELUDE + _STATE + f""",
-sets AS (
-  SELECT x.*, EXISTS (SELECT 1 FROM mu WHERE mu.m_starts_at <= {AS_OF} AND {AS_OF} <= mu.m_ends_at
-                      AND {loose()}) AS muted
-  FROM st x),
+    "explain_trace": PRELUDE + _SETS + f""",
 conds(rule_idx, condition) AS (VALUES
   (0, 'severity="critical", team="infra"'), (1, 'severity="critical"'), (2, 'severity="warning", team="infra"'),
   (3, 'chaos="fail"'), (4, 'source="noisy-system"'), (5, '(catch-all)')),
@@ -357,6 +360,19 @@ WHERE e.rule_idx <= coalesce(s.stop, 1000)
 UNION ALL
 SELECT fingerprint, 'MATCHED', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM sets WHERE muted""",
 
+    "final_decisions": PRELUDE + _SETS + f""",
+hit AS (
+  SELECT x.fingerprint, r.rule_idx, r.rule_name, r.receiver, r.cont
+  FROM sets x JOIN rules r ON NOT x.muted AND r.rule_idx < 5 AND {_RULE_COND.format(r='r', a='x')}),
+cut AS (SELECT *, min(CASE WHEN NOT cont THEN rule_idx END) OVER (PARTITION BY fingerprint) AS stop FROM hit),
+ends AS (
+  SELECT fingerprint, count(*) AS n, string_agg(rule_name || ' -> ' || receiver || ' (webhook)', ', ' ORDER BY rule_idx) AS t
+  FROM cut WHERE rule_idx <= coalesce(stop, 1000) GROUP BY fingerprint)
+SELECT x.fingerprint, CASE WHEN x.muted THEN 'muted' WHEN e.n IS NULL THEN 'dropped' ELSE 'delivered' END AS outcome,
+  coalesce(e.n, 0)::INTEGER AS n_decisions,
+  CASE WHEN x.muted THEN NULL WHEN e.n IS NULL THEN 'none, alert would be dropped' ELSE e.t END AS final
+FROM sets x LEFT JOIN ends e USING (fingerprint)""",
+
     "process_replay": PLAN_MUTED + """
 SELECT alert_id, rule_name, fingerprint, desired, deliver, status FROM plan""",
 
