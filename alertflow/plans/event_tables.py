@@ -39,27 +39,37 @@ def q_route_many_rules(spark, sf):
 
 
 def q_parse_alert_bodies(spark, sf):
-    """S1 + S9: bodies of 20 events each; every 37th event has a fault of its own, which rejects its body whole."""
+    """S1 + S9: bodies of 20 events each; every 37th event has a fault of its own, which rejects its body whole. Other
+    events write field names in other cases, repeat a label or name the labels twice; every 53rd body is ``null``."""
     e = _events(spark, sf)
     fault = F.when(F.col("event_id") % 37 == 0, F.col("event_id") % 5)
+    n = F.col("event_id")
+    named = (F.when(n % 11 == 0, F.format_string('"LABELS":{"alertname":"old","alertname":"%s"', "event_type"))
+             .when(n % 11 == 1, F.format_string('"Labels":{"alertname":"old"},"labels":{"alertname":"%s"', "event_type"))
+             .otherwise(F.format_string('"labels":{"alertname":"%s"', "event_type")))
+    ends = F.when(n % 7 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(n % 7 == 1, F.date_format("ts", "yyyy-MM-dd")).otherwise(
+        "0001-01-01T00:00:00Z")
     text = F.format_string(
-        '{"labels":{"alertname":"%s","user":%s},"annotations":%s,"endsAt":%s,"generatorURL":%s}', "event_type",
+        '{%s,"user":%s},"annotations":%s,"endsat":%s,"generatorURL":%s}', named,
         F.when(fault == 0, F.lit("5")).when(F.col("event_id") % 3 == 0, F.lit("null")).otherwise(
             F.concat(F.lit('"u'), F.col("user_id").cast("string"), F.lit('"'))),
         F.when(fault == 1, F.lit('"x"')).otherwise(F.lit('{"k":"v"}')),
-        F.when(fault == 2, F.lit('"garbage"')).when(fault == 3, F.lit("12345")).otherwise(F.lit('"0001-01-01T00:00:00Z"')),
+        F.when(fault == 2, F.lit('"garbage"')).when(fault == 3, F.lit("12345")).otherwise(
+            F.format_string('"%s"', ends)),
         F.when(fault == 4, F.lit("{}")).otherwise(F.lit('"http://x"')))
     bodies = (e.select((F.col("event_id") / 20).cast("long").alias("body"), F.struct("event_id", text.alias("t")).alias("x"), "ts")
               .groupBy("body").agg(F.array_sort(F.collect_list("x")).alias("xs"), F.max("ts").cast("timestamp").alias("mtime"))
               .select(F.format_string("body-%d", "body").alias("path"), "mtime", F.col("body").alias("ordinal"),
-                      F.concat(F.lit("["), F.array_join(F.transform("xs", lambda x: x["t"]), ","), F.lit("]")).alias("value")))
+                      F.when(F.col("body") % 53 == 52, F.lit("null")).otherwise(F.concat(
+                          F.lit("["), F.array_join(F.transform("xs", lambda x: x["t"]), ","), F.lit("]"))).alias("value")))
     alerts, rejects = parse_batches(bodies)
     path = F.format_string("body-%d", F.shiftright("seq", 20))
     ok = alerts.groupBy(path.alias("path")).agg(
         F.count(F.lit(1)).alias("alerts"), F.count_if(F.col("labels")["user"] == "").alias("empty_users"),
-        F.count_if(F.col("ends_at").isNull()).alias("open"), F.lit(None).cast("string").alias("error"))
-    none = F.lit(0).cast("long")
-    return ok.unionByName(rejects.select("path", none.alias("alerts"), none.alias("empty_users"), none.alias("open"), "error"))
+        F.count_if(F.col("ends_at").isNull()).alias("open"), F.max(F.date_format("ends_at", "yyyy-MM-dd HH:mm:ss")).alias("last_end"),
+        F.count_if(F.col("labels")["alertname"] == "old").alias("old_names"), F.min(F.col("labels")["alertname"]).alias("first_name"),
+        F.lit(None).cast("string").alias("error"))
+    return ok.unionByName(rejects.select("path", "error"), allowMissingColumns=True).fillna(0)
 
 
 def _requests(spark, sf) -> DataFrame:
@@ -171,10 +181,13 @@ SELECT rule_name, receiver, count(*) AS decisions, count(*) FILTER (receiver = '
 
     "parse_alert_bodies": """
 WITH b AS (
-  SELECT event_id // 20 AS body, count(*) AS n, count(*) FILTER (event_id % 3 = 0) AS e,
-    bool_or(event_id % 37 = 0) AS bad FROM events GROUP BY 1)
+  SELECT event_id // 20 AS body, count(*) AS n, count(*) FILTER (event_id % 3 = 0) AS e, min(event_type) AS name,
+    count(*) FILTER (event_id % 7 > 1) AS o, bool_or(event_id % 37 = 0) AS bad,
+    max(CASE event_id % 7 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('day', ts) END) AS ends FROM events GROUP BY 1)
 SELECT 'body-' || body AS path, CASE WHEN bad THEN 0 ELSE n END AS alerts, CASE WHEN bad THEN 0 ELSE e END AS empty_users,
-  CASE WHEN bad THEN 0 ELSE n END AS open, CASE WHEN bad THEN 'malformed alert batch' END AS error FROM b""",
+  CASE WHEN bad THEN 0 ELSE o END AS open, CASE WHEN NOT bad THEN strftime(ends, '%Y-%m-%d %H:%M:%S') END AS last_end,
+  0::BIGINT AS old_names, CASE WHEN NOT bad THEN name END AS first_name, CASE WHEN bad THEN 'malformed alert batch' END AS error
+FROM b WHERE body % 53 <> 52""",
 
     "mute_requests": f"""
 WITH {_REQUESTS}

@@ -1,9 +1,14 @@
 """Alert readers (S1, S2, S3, S9) and the stored-table readers.
 
 A posted batch is a JSON array of v2-format alerts. The whole file is
-read as one text value, parsed with an explicit schema and exploded with
-its position, so arrival order survives as ``seq``. A body that does not
-parse is rejected whole, as the reference rejects the request.
+read as one text value, decoded element by element and exploded with its
+position, so arrival order survives as ``seq``. A body that does not parse is
+rejected whole, as the reference rejects the request.
+
+The decode follows the service's typed one: field names match without regard
+to case, of repeated names the last value counts (repeated ``labels`` objects
+are merged, a null empties what was there), a body ``null`` has no alerts,
+and label values, times and the URL must be texts or null.
 
 ``seq`` orders the alerts of bodies with one arrival time. Every reader computes
 it from the body's own name and the position in it, so a history read as a
@@ -28,7 +33,19 @@ _PARTITION_BITS, _ORDINAL_BITS = 10, 42
 #: The number that orders files of one modification time: the last digits of the file's name.
 FILE_NUMBER = r"(\d+)\D*$"
 _RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
-_JSON_OPTS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS]XXX"}
+# The time forms that a posted time may have; without a zone it is UTC, the empty text is 1970.
+_TIME_FORMS = "|".join([
+    r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?",
+    r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{3}|\.\d{6})[+-]\d{4}",
+    r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}Z?",
+    r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d+)?",
+    r"\d{4}-\d{2}-\d{2}",
+    "",
+])
+_TIME_PARTS = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2})(:\d{2})?(\.\d+)?(Z|[+-]\d{2}:?\d{2})?)?$"
+# A text that is a value, found from the end of the one before: all up to its opening quote, names included; then the rest.
+_TEXT_VALUE = r'(?s)\G((?:[^"]++|"(?:[^"\\]|\\.)*+"\s*+:)*+")((?:[^"\\]|\\.)*+")'
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
 def _normalise(df: DataFrame) -> DataFrame:
@@ -67,21 +84,22 @@ def parse_batches(files: DataFrame, observed_at=None) -> tuple[DataFrame, DataFr
     that column (under 2**43), else by :func:`file_ordinal` of the path, then by
     array position. Bodies of more than 2**20 elements are rejected.
     """
-    # elements are kept as raw JSON text first, so that an element whose
-    # labels do not parse as a string map is seen (the reference rejects the
-    # whole body then; a lenient parse would silently drop the labels)
-    raw = F.from_json("value", "array<string>")
-    elems = F.transform(raw, lambda e: F.struct(e.alias("raw"), F.from_json(e, schemas.POSTABLE_ALERT, _JSON_OPTS)
-                                                .alias("a")))
+    # every text that is a value gets an "s" in front, so the first character of a value tells its kind; the end mark,
+    # which no text of the body can equal, shows that nothing follows the body
+    marked = F.concat(F.lit("["), F.regexp_replace("value", _TEXT_VALUE, "$1s$2"), F.lit(',"end"]'))
     ordinal = F.col("ordinal") if "ordinal" in files.columns else file_ordinal(F.col("path"))
-    parsed = files.select("path", "mtime", ordinal.alias("_ordinal"), elems.alias("_e"))
-    bad_elem = F.exists(F.coalesce(F.col("_e"), F.array()), lambda x: ~_valid_element(x["raw"]))
-    too_many = F.coalesce(F.size("_e") > F.lit(_MAX_ELEMENTS), F.lit(False))
-    parsed = parsed.select("path", "mtime", "_ordinal", (F.col("_e").isNotNull() & ~bad_elem & ~too_many).alias("_ok"),
-                           F.transform("_e", lambda x: x["a"]).alias("batch"))
+    parsed = files.select("path", "mtime", ordinal.alias("_ordinal"), F.from_json(marked, "array<string>", _STRICT).alias("_b"))
+    body = F.get("_b", F.lit(0))
+    whole = F.coalesce((F.size("_b") == 2) & (F.get("_b", F.lit(1)) == "end") & (body.isNull() | body.startswith("[")), F.lit(False))
+    elems = F.when(whole & body.isNotNull(), F.from_json(body, "array<string>", _STRICT)).otherwise(F.array().cast("array<string>"))
+    parsed = parsed.select("path", "mtime", "_ordinal", whole.alias("_whole"),
+                           F.transform(elems, lambda e: F.struct(e.alias("raw"), _folded(_fields(e)).alias("fields"))).alias("_e"))
+    valid = F.col("_whole") & F.forall("_e", _valid_element) & (F.size("_e") <= _MAX_ELEMENTS)
+    parsed = parsed.select("path", "mtime", "_ordinal", F.coalesce(valid, F.lit(False)).alias("_ok"), "_e")
     rejects = parsed.where(~F.col("_ok")).select("path", F.lit("malformed alert batch").alias("error"))
-    exploded = parsed.where("_ok").select("path", "mtime", "_ordinal", F.posexplode("batch").alias("pos", "a"))
-    out = _normalise(exploded)
+    # the outer form and the late filter keep the optimiser from parsing once more for a filter before the explode
+    exploded = parsed.select("path", "mtime", "_ordinal", F.posexplode_outer(F.when(F.col("_ok"), F.col("_e"))).alias("pos", "_x"))
+    out = _normalise(exploded.where(F.col("pos").isNotNull()).select("path", "mtime", "_ordinal", "pos", _typed(F.col("_x.fields")).alias("a")))
     obs = F.col("mtime") if observed_at is None else F.lit(observed_at).cast("timestamp")
     return (out.select(
         F.xxhash64("path", "pos").alias("alert_id"),
@@ -91,30 +109,72 @@ def parse_batches(files: DataFrame, observed_at=None) -> tuple[DataFrame, DataFr
         rejects)
 
 
-def _valid_element(raw):
-    """What a typed decode of one alert accepts: an object (or null) whose labels and annotations are objects of texts
-    or nulls, whose times are RFC 3339 texts or null, and whose generatorURL is a text or null."""
-    v = F.try_parse_json(raw)
+def _fields(text: Column) -> Column:
+    """Entries (name, value text) of a JSON object in their order, repeated names included; NULL for other values."""
+    return F.when(text.startswith("{"), F.map_entries(F.from_json(text, "map<string,string>", _STRICT)))
+
+
+def _folded(fields: Column) -> Column:
+    """Fields with names in lower case; the long s counts as s."""
+    return F.transform(fields, lambda x: F.struct(F.lower(F.translate(x["key"], "\u017f", "s")).alias("key"), x["value"].alias("value")))
+
+
+def _named(fields: Column, name: str) -> Column:
+    return F.filter(fields, lambda x: x["key"] == name.lower())
+
+
+def _is_text(value: Column) -> Column:
+    return value.isNull() | value.startswith("s")
 
-    def kind(x):
-        return F.regexp_extract(F.coalesce(F.schema_of_variant(x), F.lit("VOID")), "^[A-Z]+", 0)
 
-    def part(name):
-        return F.try_variant_get(v, f"$.{name}", "variant")
+def _valid_element(x: Column) -> Column:
+    """What a typed decode of one alert accepts: an object (or null) whose labels and annotations are objects of texts
+    or nulls, whose times are null or texts of a known form, and whose generatorURL is a text or null."""
+    fields = x["fields"]
 
     def texts(name):
-        values = F.map_values(F.try_variant_get(v, f"$.{name}", "map<string,variant>"))
-        return (kind(part(name)) == "VOID") | ((kind(part(name)) == "OBJECT") & F.forall(
-            F.coalesce(values, F.array().cast("array<variant>")), lambda x: kind(x).isin("STRING", "VOID")))
+        return F.forall(_named(fields, name), lambda f: f["value"].isNull() | (f["value"].startswith("{") & F.coalesce(
+            F.forall(_fields(f["value"]), lambda y: _is_text(y["value"])), F.lit(False))))
+
+    def times(name):
+        return F.forall(_named(fields, name), lambda f: f["value"].isNull() | (
+            f["value"].startswith("s") & _posted_time(F.substr(f["value"], F.lit(2))).isNotNull()))
+
+    return x["raw"].isNull() | F.coalesce(
+        texts("labels") & texts("annotations") & times("startsAt") & times("endsAt")
+        & F.forall(_named(fields, "generatorURL"), lambda f: _is_text(f["value"])), F.lit(False))
+
+
+def _posted_time(text: Column) -> Column:
+    """The instant of a time text; NULL if its form is unknown or there is no such time."""
+    date, minutes, seconds, fraction, zone = (F.regexp_extract(text, _TIME_PARTS, i) for i in range(1, 6))
+    full = F.concat(date, F.lit("T"), F.when(minutes == "", "00:00").otherwise(minutes),
+                    F.when(seconds == "", ":00").otherwise(seconds), fraction,
+                    F.when(zone == "", "Z").otherwise(F.regexp_replace(zone, r"^(...)(\d\d)$", "$1:$2")))
+    return (F.when(text.rlike(_RFC3339), F.try_to_timestamp(text)).when(text == "", F.timestamp_seconds(F.lit(0)))
+            .when(text.rlike(f"^(?:{_TIME_FORMS})$"), F.try_to_timestamp(full)))
+
+
+def _typed(fields: Column) -> Column:
+    """The alert of a valid element's fields; an element ``null`` is an alert without labels."""
+    none = F.array().cast("array<struct<key:string,value:string>>")
+
+    def labels(name):
+        merged = F.aggregate(_named(fields, name), none, lambda acc, f: F.when(f["value"].isNull(), none).otherwise(
+            F.concat(acc, F.coalesce(_fields(f["value"]), none))))
+        placed = F.array_sort(F.transform(merged, lambda y, i: F.struct(y["key"].alias("key"), i.alias("i"), y["value"].alias("value"))))
+        # a one-element array names the sorted entries, so that they are made once and not once per entry
+        last = F.transform(F.array(placed), lambda p: F.filter(p, lambda y, i: ~y["key"].eqNullSafe(F.get(p, i + 1)["key"])))
+        return F.map_from_entries(F.transform(F.get(last, F.lit(0)), lambda y: F.struct(y["key"], F.substr(y["value"], F.lit(2)))))
 
     def time(name):
-        text = F.try_variant_get(v, f"$.{name}", "string")
-        return (kind(part(name)) == "VOID") | ((kind(part(name)) == "STRING") & F.coalesce(
-            text.rlike(_RFC3339) & F.try_to_timestamp(text).isNotNull(), F.lit(False)))
+        given = F.filter(_named(fields, name), lambda f: f["value"].isNotNull())
+        return _posted_time(F.substr(F.get(given, F.size(given) - 1)["value"], F.lit(2)))
 
-    is_null = raw.isNull() | (kind(v) == "VOID") & v.isNotNull()
-    return is_null | (v.isNotNull() & (kind(v) == "OBJECT") & texts("labels") & texts("annotations") & time("startsAt")
-                      & time("endsAt") & kind(part("generatorURL")).isin("STRING", "VOID"))
+    url = _named(fields, "generatorURL")
+    return F.struct(labels("labels").alias("labels"), labels("annotations").alias("annotations"),
+                    time("startsAt").alias("startsAt"), time("endsAt").alias("endsAt"),
+                    F.substr(F.get(url, F.size(url) - 1)["value"], F.lit(2)).alias("generatorURL"))
 
 
 def _bodies(reader_df: DataFrame) -> DataFrame:

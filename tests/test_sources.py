@@ -102,8 +102,8 @@ def test_body_is_rejected_whole_on_any_bad_field(spark):
     cases = [({}, True), ({"labels": None}, True), ({"labels": {"a": None}}, True), ({"labels": {"a": 5}}, False),
              ({"labels": "x"}, False), ({"labels": ["x"]}, False), ({"annotations": "x"}, False), ({"annotations": {"a": {}}}, False),
              ({"annotations": None}, True), ({"endsAt": "garbage"}, False), ({"endsAt": 12345}, False), ({"endsAt": None}, True),
-             ({"endsAt": ""}, False), ({"endsAt": "2024-01-01T00:00:00+02:00"}, True), ({"endsAt": "2024-01-01T00:00:00.123456Z"}, True),
-             ({"endsAt": "2024-13-01T00:00:00Z"}, False), ({"endsAt": "2024-01-01 00:00:00"}, False), ({"generatorURL": 1}, False),
+             ({"endsAt": ""}, True), ({"endsAt": "2024-01-01T00:00:00+02:00"}, True), ({"endsAt": "2024-01-01T00:00:00.123456Z"}, True),
+             ({"endsAt": "2024-13-01T00:00:00Z"}, False), ({"endsAt": "2024-01-01 00:00:00"}, True), ({"endsAt": "2024-02-30"}, False), ({"endsAt": "01.02.2024"}, False), ({"generatorURL": 1}, False),
              ({"generatorURL": "http://x"}, True), ({"unknown": [1, {}]}, True)]
     rows = [(f"f{i:02d}", dt.datetime(2024, 1, 1), json.dumps([good, good | c])) for i, (c, _) in enumerate(cases)]
     rows += [("g0", dt.datetime(2024, 1, 1), "[1]"), ("g1", dt.datetime(2024, 1, 1), "{}"), ("g2", dt.datetime(2024, 1, 1), "[")]
@@ -114,6 +114,42 @@ def test_body_is_rejected_whole_on_any_bad_field(spark):
     assert len(got) == 2 * sum(ok for _, ok in cases) and all(None not in r.labels.values() for r in got)
 
 
+def test_fields_decode_without_case_and_repeated_ones_by_the_last(spark):
+    t = dt.datetime(2024, 1, 1)
+    cases = [  # body, labels of its alerts (None: rejected)
+        ('[{"Labels":{"a":"1"}}]', [{"a": "1"}]), ('[{"LABEL\u017f":{"A":"1"}}]', [{"A": "1"}]),
+        ('[{"labels":{"a":"1","b":"x","a":"2"}}]', [{"a": "2", "b": "x"}]), ('[{"labels":{"a":"1","a":null}}]', [{"a": ""}]),
+        ('[{"labels":{"a":"1","b":"2"},"LABELS":{"a":"3"}}]', [{"a": "3", "b": "2"}]),
+        ('[{"labels":{"a":"1"},"labels":null}]', [{}]), ('[{"labels":{"a":5},"labels":{"a":"1"}}]', None),
+        ("null", []), (" [ ] ", []), ("[null]", [{}]), ("", None), ('"[]"', None), ("[] x", None), ("[]]", None), ("[],[]", None),
+        ('[],"end"] x', None), ("[{'labels':{}}]", None), ('[{"labels":{"a":"x}"}},{"labels":{"a\\"b":"]\\n\\"[{"}}]', [{"a": "x}"}, {'a"b': ']\n"[{'}]),
+        ('[{"labels":"{}"}]', None), ('[{"labels":{"a":"1"},"x":[1,{"labels":7}]}]', [{"a": "1"}]),
+        ('[{"labels":{"long":"' + "\\\\" * 100_000 + '"}}]', [{"long": "\\" * 100_000}])]
+    rows = [(f"f{i:02d}", t, body, i) for i, (body, _) in enumerate(cases)] + [("f99", t, None, 99)]
+    alerts, rejects = S.parse_batches(spark.createDataFrame(rows, "path string, mtime timestamp, value string, ordinal long"))
+    assert {r.path for r in rejects.collect()} == {f"f{i:02d}" for i, (_, want) in enumerate(cases) if want is None} | {"f99"}
+    got = {}
+    for r in alerts.orderBy("seq").collect():
+        got.setdefault(r.seq >> 20, []).append(r.labels)
+    assert got == {i: want for i, (_, want) in enumerate(cases) if want}
+
+
+def test_posted_time_forms(spark):
+    noon = dt.datetime(2024, 3, 1, 12, 30)
+    forms = {"2024-03-01T12:30:00Z": noon, "2024-03-01T14:30:00+02:00": noon, "2024-03-01T14:30:00.000+0200": noon,
+             "2024-03-01T12:30:00": noon, "2024-03-01T12:30Z": noon, "2024-03-01T12:30": noon, "2024-03-01 12:30:00": noon,
+             "2024-03-01": dt.datetime(2024, 3, 1), "": dt.datetime(1970, 1, 1), "2024-03-01T12:30:00.123456789Z": noon.replace(microsecond=123456),
+             "0001-01-01T00:00:00Z": None}
+    body = json.dumps([{"StartsAt": "2020-01-01", "startsAt": None, "endsat": f} for f in forms])
+    alerts, rejects = S.parse_batches(spark.createDataFrame([("p", noon, body)], "path string, mtime timestamp, value string"))
+    got = alerts.orderBy("seq").collect()
+    assert [r.ends_at for r in got] == list(forms.values()) and {r.starts_at for r in got} == {dt.datetime(2020, 1, 1)}
+    wrong = ["2024-03-01T14:30:00+0200", "2024-02-30", "2024-03-01T25:00:00Z", "2024-03-01t12:30:00z", "2024-03-01 12:30", "12:30"]
+    rows = [(w, noon, json.dumps([{"endsAt": w}])) for w in wrong]
+    _, rejects = S.parse_batches(spark.createDataFrame(rows, "path string, mtime timestamp, value string"))
+    assert {r.path for r in rejects.collect()} == set(wrong)
+
+
 def test_equal_arrival_times_keep_broker_order(spark):
     rows = [(f"t:0:{i}", dt.datetime(2024, 1, 1), '[{"labels":{"i":"%d"}},{"labels":{"i":"%d"}}]' % (2 * i, 2 * i + 1), i)
             for i in range(30)]
