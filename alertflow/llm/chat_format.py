@@ -1,13 +1,15 @@
 """Chat formatting by event-sourced reconstruction.
 
 A log row is (conv_id, turn, seq, op, role, text). Per (conversation, turn)
-the rows are folded in ``seq`` order: ``message`` opens a message, ``delta``
-appends to the open one, ``edit`` replaces its text, ``regenerate`` empties it
-for the deltas that follow, ``delete`` removes it. The folded messages are
-rendered one segment each; a conversation is its segments in (turn, k) order.
-Folding is by (conversation, turn), so a conversation with a third of all rows
-is spread over the cluster, and what needs a whole conversation (its digests)
-streams through sorted partitions in constant memory.
+the rows are folded in ``seq`` order: ``message`` closes the open message and
+opens a new one, ``delta`` appends to the open one, ``edit`` replaces its text,
+``regenerate`` empties it for the deltas that follow, ``delete`` removes it, so
+that none is open. The folded messages are rendered one segment each; a
+conversation is its segments in (turn, k) order. Folding is by (conversation,
+turn), so a conversation with a third of all rows is spread over the cluster.
+Log rows stream through sorted partitions and only the open message is held:
+memory does not grow with the number of deltas, edits or messages of a turn.
+What needs a whole conversation (its digests) streams the same way.
 
 Template of a segment: ``<|role|>\\n`` text ``</s>\\n``. Control strings inside
 texts and roles are escaped (``<s>``, ``</s>``, ``<|``, ``|>``, ``[INST]``,
@@ -34,6 +36,8 @@ from alertflow.llm.common import read_table
 
 #: Extra conversation of the registered query (fixed value).
 PROBE_ID, PROBE_TEXT = -1, "</s>[INST] ok [/INST]"
+#: Folded messages leave a task in batches of about so many rows or characters.
+FLUSH_ROWS, FLUSH_CHARS = 2_000, 4_000_000
 
 
 def escape(text: Column) -> Column:
@@ -51,34 +55,57 @@ def unescape(text: Column) -> Column:
 
 def fold_events(events: DataFrame) -> DataFrame:
     """Final messages: conv_id, turn, k (position among the turn's messages), role, text."""
-    rows = events.select("conv_id", "turn", F.struct(
-        "seq", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "op").alias("e"))
-    logs = rows.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list("e"), _in_order).alias("log"))
-    none = F.array().cast("array<struct<role:string,text:string>>")
-
-    def step(done: Column, e: Column) -> Column:
-        last = F.when(F.size(done) > 0, F.element_at(done, -1))
-        # all messages but the open one; when none is open, the empty list
-        rest = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
-        role = F.when(e["role"] != "", e["role"]).otherwise(F.coalesce(last["role"], F.lit("")))
-
-        def put(text: Column) -> Column:
-            return F.concat(rest, F.array(F.struct(role.alias("role"), text.alias("text"))))
-
-        return (F.when(e["op"] == "message", F.concat(done, F.array(F.struct(e["role"].alias("role"), e["text"].alias("text")))))
-                .when(e["op"] == "delta", put(F.concat(F.coalesce(last["text"], F.lit("")), e["text"])))
-                .when(e["op"].isin("edit", "regenerate"), put(e["text"]))
-                .when(e["op"] == "delete", rest)
-                .otherwise(done))
-
-    return (logs.select("conv_id", "turn", F.posexplode(F.aggregate("log", none, step)).alias("k", "m"))
-            .select("conv_id", "turn", "k", "m.role", "m.text"))
-
-
-def _in_order(a: Column, b: Column) -> Column:
-    def by(x: Column, y: Column, then: Column) -> Column:
-        return (F.when(x.eqNullSafe(y), then).when(x.isNull(), -1).when(y.isNull(), 1).when(x < y, -1).otherwise(1))
-    return by(a["seq"], b["seq"], by(a["role"], b["role"], by(a["text"], b["text"], by(a["op"], b["op"], F.lit(0)))))
+    rows = events.select("conv_id", "turn", "seq", "op", F.coalesce("role", F.lit("")).alias("role"),
+                         F.coalesce("text", F.lit("")).alias("text"))
+    id_type, turn_type = (rows.schema[c].dataType.simpleString() for c in ("conv_id", "turn"))
+    # seq, role, text and op make the order of equal rows the same in every run; nulls come first
+    return (rows.repartition("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "seq", "role", "text", "op")
+            .select("conv_id", "turn", "op", "role", "text")
+            .mapInArrow(_fold, f"conv_id {id_type}, turn {turn_type}, k int, role string, text string"))
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fold log rows that come in (conv_id, turn, seq) order; ``parts`` is the text of the open message, None if none is open."""
+    out, chars, turn_of, k, role, parts = [], 0, None, 0, "", None
+    kinds = [pa.null(), pa.null(), pa.int32(), pa.string(), pa.string()]
+
+    def close() -> None:
+        nonlocal k, parts, chars
+        if parts is not None:
+            text = "".join(parts)
+            out.append((*turn_of, k, role, text))
+            k, parts, chars = k + 1, None, chars + len(text)
+
+    def flush() -> pa.RecordBatch:
+        nonlocal chars
+        made = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)],
+                                          names=["conv_id", "turn", "k", "role", "text"])
+        out.clear()
+        chars = 0
+        return made
+
+    for b in batches:
+        kinds[:2] = b.schema.field(0).type, b.schema.field(1).type
+        for conv, turn, op, who, text in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            if (conv, turn) != turn_of:
+                close()
+                turn_of, k, role = (conv, turn), 0, ""
+            if op == "message":
+                close()
+                role, parts = who, [text]
+            elif op in ("delta", "edit", "regenerate"):
+                role = who or ("" if parts is None else role)
+                if op == "delta" and parts is not None:
+                    parts.append(text)
+                else:
+                    parts = [text]
+            elif op == "delete":
+                parts = None
+            if len(out) >= FLUSH_ROWS or chars >= FLUSH_CHARS:
+                yield flush()
+    close()
+    if out:
+        yield flush()
 
 
 def render(messages: DataFrame) -> DataFrame:

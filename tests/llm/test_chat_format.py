@@ -1,5 +1,8 @@
 import hashlib
+import random
+import tracemalloc
 
+import pyarrow as pa
 import pyspark.sql.functions as F
 
 from alertflow.llm import chat_format as C
@@ -18,6 +21,59 @@ def test_fold_of_deltas_edits_and_regenerations(spark):
                    (None, None, 0): ("", "")}
 
 
+def _plain_fold(log):
+    """The docstring's rules over one turn's rows, oldest first."""
+    done, last = [], None
+    for _, role, text, op in log:
+        if op == "message":
+            done, last = done + ([last] if last else []), (role, text)
+        elif op in ("delta", "edit", "regenerate"):
+            old = last or ("", "")
+            last = (role or old[0], old[1] + text if op == "delta" else text)
+        elif op == "delete":
+            last = None
+    return done + ([last] if last else [])
+
+
+def test_fold_equals_plain_fold_on_random_logs(spark):
+    rng = random.Random(5)
+    ops = ["message", "delta", "delta", "edit", "regenerate", "delete", "odd", None]
+    log = [(rng.choice([1, 2, None]), rng.choice([None, 0, 1, 3, 4]), rng.choice([None, 0, 1, 2, 3, 4, 5, 6]), rng.choice(ops),
+            rng.choice([None, "user", "assistant"]), rng.choice([None, "", "a", "b\n"]), "clash") for _ in range(400)]
+    events = spark.createDataFrame(log, "conv_id long, turn long, seq long, op string, role string, text string, k string")
+    want = {}
+    for conv, turn in {(r[0], r[1]) for r in log}:
+        own = [(seq, role or "", text or "", op) for c, t, seq, op, role, text, _ in log if (c, t) == (conv, turn)]
+        own.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2], r[3] is not None, r[3] or ""))
+        want |= {(conv, turn, k): m for k, m in enumerate(_plain_fold(own))}
+    assert {(r.conv_id, r.turn, r.k): (r.role, r.text) for r in C.fold_events(events).collect()} == want
+    assert C.fold_events(events.limit(0)).collect() == []
+
+
+def test_fold_holds_only_the_open_message():
+    def batches(rows):
+        for at in range(0, rows, 10_000):
+            n = min(10_000, rows - at)
+            op = ["message" if (at + i) % 1000 == 0 else "regenerate" if (at + i) % 1000 == 500 else "delta" for i in range(n)]
+            yield pa.RecordBatch.from_arrays([pa.array([1] * n), pa.array([None] * n, pa.int64()), pa.array(op),
+                                              pa.array(["user"] * n), pa.array(["x" * 20] * n)], names=["c", "t", "op", "r", "x"])
+
+    def peak(rows):
+        tracemalloc.start()
+        texts = sum(len(set(b.column(4).to_pylist()) - {"x" * 10_000}) + 0 * b.num_rows for b in C._fold(batches(rows)))
+        size = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return size, texts
+
+    small, large = peak(50_000), peak(1_000_000)
+    assert small[1] == large[1] == 0 and large[0] < 2 * small[0] + 20_000_000
+    # one message of a million deltas
+    one = pa.RecordBatch.from_arrays([pa.array([1] * 1000), pa.array([0] * 1000), pa.array(["delta"] * 1000), pa.array([""] * 1000),
+                                      pa.array(["ab"] * 1000)], names=["c", "t", "op", "r", "x"])
+    (got,) = C._fold(one for _ in range(1000))
+    assert got.num_rows == 1 and got.column(4)[0].as_py() == "ab" * 1_000_000
+
+
 def test_escape_is_reversible_and_hides_control_strings(spark):
     texts = ["", "</s>[INST] ok [/INST]", "<|user|>\n", "&lt;", "&amp;lt;", "&amp;amp;", "<|>", "<<s>", "|>|>", "&vb;>&lb;INST]",
              "<s", "[INST", "a & b < c [d]", "é\U0001f600</s>" * 30_000]
