@@ -13,7 +13,8 @@ neither the work of a batch nor the files grow with the stream's past.
 
 ``dedup_stream`` (T1) is the low-latency form: ``applyInPandasWithState``
 keeps the last status per (rule, fingerprint) in the state store, no timers.
-``observed_state_stream`` (T2) is the streaming aggregate of R11.
+``observed_state_stream`` (T2) is the streaming aggregate of R11; with a
+retention window, event-time timeouts drop fingerprints from the state store.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from alertflow import schemas
-from alertflow.functions.labels import fingerprint_table, with_fingerprint
+from alertflow.functions.labels import fingerprint_table, labels_from_json, labels_to_json, with_fingerprint
 from alertflow.functions.status import desired_status
 from alertflow.session import materialize
 from alertflow.operators import delivery, metrics, observed
@@ -164,6 +165,64 @@ def dedup_stream(decisions: DataFrame, ok: str = "ok") -> DataFrame:
 
 # ---------------------------------------------------------------- T2
 
-def observed_state_stream(pushes: DataFrame) -> DataFrame:
-    """Continuous observed-alert state (update output mode)."""
-    return observed.alert_state_single(pushes)
+_OBSERVED_OUT = ("fingerprint string, labels string, starts string, ends string, first_seen long, last_seen long, "
+                 "removed boolean")
+_OBSERVED_STATE = "labels string, starts string, ends string, first_seen long, first_seq long, last_seen long, last_seq long"
+
+
+def _expiry_ms(last_seen: int) -> int:
+    return last_seen // 1000 + 1
+
+
+def _observe(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Fold one fingerprint's pushes into its state, one frame at a time; times are microseconds."""
+    columns = ["fingerprint", "labels", "starts", "ends", "first_seen", "last_seen", "removed"]
+
+    def row(s: tuple, removed: bool) -> pd.DataFrame:
+        labels, starts, ends, first, _, last, _ = s
+        return pd.DataFrame([(key[0], labels, starts, ends, first, last, removed)], columns=columns)
+
+    now = tuple(state.get) if state.exists else None
+    if state.hasTimedOut:
+        state.remove()
+        yield row(now, True)
+        return
+    if now is not None and _expiry_ms(now[5]) < state.getCurrentWatermarkMs():
+        now = None  # out of the window already, and seen again before its removal: a new alert
+    for pdf in pdfs:
+        if not len(pdf):
+            continue
+        order = pdf.sort_values(["seen", "seq"], kind="stable")
+        old, new = order.iloc[0], order.iloc[-1]
+        labels, starts, ends, first, first_seq, last, last_seq = now or (None,) * 7
+        if now is None or (old.seen, old.seq) < (first, first_seq):
+            starts, first, first_seq = old.starts, int(old.seen), int(old.seq)
+        if now is None or (new.seen, new.seq) >= (last, last_seq):
+            labels, ends, last, last_seq = new.labels, new.ends, int(new.seen), int(new.seq)
+        now = (labels, starts, ends, first, first_seq, last, last_seq)
+    if now is not None:
+        state.update(now)
+        state.setTimeoutTimestamp(_expiry_ms(now[5]))
+        yield row(now, False)
+
+
+def observed_state_stream(pushes: DataFrame, retention_seconds: int | None = None) -> DataFrame:
+    """Continuous observed-alert state (update output mode).
+
+    With ``retention_seconds`` (R26) the watermark follows the newest push at that distance. A fingerprint whose last push
+    it has passed by a millisecond leaves the state store and is put out once more with ``removed`` true, so the store
+    holds the fingerprints of one window, however long the stream runs. A push that is older than the watermark when it
+    arrives is dropped; a fingerprint that comes back later starts anew, as after a deletion by the service."""
+    if retention_seconds is None:
+        return observed.alert_state_single(pushes)
+    micros = {name: F.unix_micros(name).cast("string") for name in ("starts_at", "ends_at")}
+    p = pushes.withWatermark("observed_at", f"{int(retention_seconds)} seconds").select(
+        "fingerprint", "observed_at", F.unix_micros("observed_at").alias("seen"),
+        F.coalesce(F.col("seq"), F.lit(-(1 << 63))).alias("seq"), labels_to_json("labels").alias("labels"),
+        micros["starts_at"].alias("starts"), micros["ends_at"].alias("ends"))
+    out = p.groupBy("fingerprint").applyInPandasWithState(
+        _observe, _OBSERVED_OUT, _OBSERVED_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return out.select("fingerprint", labels_from_json("labels").alias("labels"),
+                      *(F.timestamp_micros(F.col(c).cast("long")).alias(name) for c, name in (
+                          ("starts", "starts_at"), ("ends", "ends_at"), ("first_seen", "first_seen_at"),
+                          ("last_seen", "last_seen_at"))), "removed")

@@ -6,7 +6,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from alertflow.functions.labels import with_fingerprint
-from alertflow.operators import delivery
+from alertflow.operators import delivery, observed
 from alertflow.plans.pipeline import replay
 from alertflow.sources import alerts as S
 from alertflow.sources.config import EXAMPLE_FAILING_RECEIVERS, example_ruleset
@@ -120,6 +120,50 @@ def test_dedup_stream_equals_plan(spark):
     assert got == want and len(got) > 0
 
 
+def test_state_stream_drops_fingerprints_after_the_retention_window(spark):
+    src = tempfile.mkdtemp(prefix="af-t2r-")
+    t0, far = dt.datetime(2024, 1, 1), dt.datetime(9999, 12, 31, 1, 2, 3, 456789)
+    schema = "fingerprint string, labels map<string,string>, starts_at timestamp, ends_at timestamp, observed_at timestamp, seq long"
+    seen = []  # (micro-batch, hour, fingerprint); "back" is seen again after its removal, "late" comes too late
+    for hour in range(12):
+        seen += [(hour, hour, f"short-{hour}-{i}") for i in range(50)] + [(hour, hour, "steady")] * 3
+    seen += [(0, 0, "back"), (9, 9, "back"), (10, 2, "late"), (10, 8.5, "steady")]
+    rows = [(b, (fp, {"fp": fp, "q": '"}\n'}, t0 + dt.timedelta(minutes=n), far if n % 2 else None,
+                 t0 + dt.timedelta(hours=hour, microseconds=n), n)) for n, (b, hour, fp) in enumerate(seen)]
+    for k in range(12):
+        part = spark.createDataFrame([r for b, r in rows if b == k], schema)
+        part.coalesce(1).write.parquet(f"{src}/tmp{k}")
+        (name,) = [f for f in os.listdir(f"{src}/tmp{k}") if f.endswith(".parquet")]
+        os.makedirs(f"{src}/in", exist_ok=True)
+        os.link(f"{src}/tmp{k}/{name}", f"{src}/in/p{k:02d}.parquet")
+        os.utime(f"{src}/in/p{k:02d}.parquet", (1_700_000_000 + k * 60,) * 2)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/in")
+    out = []
+    q = (SP.observed_state_stream(stream, retention_seconds=3 * 3600).writeStream.outputMode("update")
+         .foreachBatch(lambda df, i: out.append((i, df.collect()))).trigger(availableNow=True)
+         .option("checkpointLocation", tempfile.mkdtemp(prefix="af-ck4-")).start())
+    q.awaitTermination()
+    state, removed = {}, []
+    for _, changed in sorted(out):
+        for r in changed:
+            if r.removed:
+                removed.append(r.fingerprint)
+                state.pop(r.fingerprint, None)
+        for r in changed:
+            if not r.removed:
+                state[r.fingerprint] = r
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(sizes) <= 50 * 6 and sizes[-1] == len(state)  # rows fall, though 602 fingerprints were seen
+    assert len(set(removed)) == len(removed) and "back" in removed
+    # what is left equals the batch state of the window; the fingerprint that came back begins with its return
+    log = spark.createDataFrame([r for _, r in rows if r[0] != "late" and not (r[0] == "back" and r[4] < t0 + dt.timedelta(hours=1))], schema)
+    newest = t0 + dt.timedelta(hours=11, microseconds=max(n for n, (b, _, _) in enumerate(seen) if b == 11))
+    want = {r.fingerprint: r for r in observed.retain(observed.alert_state(log), newest - dt.timedelta(hours=3)).collect()}
+    assert {"back", "steady"} <= want.keys() == {fp for fp, r in state.items() if r.last_seen_at >= newest - dt.timedelta(hours=3)}
+    for fp, r in want.items():
+        assert r.asDict() == {k: v for k, v in state[fp].asDict().items() if k != "removed"}
+
+
 def test_sink_retention_drops_old_fingerprints(spark):
     src = tempfile.mkdtemp(prefix="af-ret-")
     out = tempfile.mkdtemp(prefix="af-ret-out-")
