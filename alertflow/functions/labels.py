@@ -135,6 +135,8 @@ def fingerprint(labels) -> Column:
 # fixed cost per row); a larger one is joined by a shuffle. Text counts at its
 # length, so long labels cannot make the broadcast grow unseen.
 BROADCAST_MAX_BYTES = 64 << 20
+# Label sets as a share of the rows above which each row is hashed in place.
+NEAR_UNIQUE = 0.5
 _ROW_BYTES = 100
 
 
@@ -171,14 +173,28 @@ def fingerprint_table(df: DataFrame, labels: str = "labels", out: str = "fingerp
 def with_fingerprint(df: DataFrame, labels: str = "labels", out: str = "fingerprint",
                      broadcast_max_bytes: int = BROADCAST_MAX_BYTES,
                      table: DataFrame | None = None, carry: tuple = (), table_bytes: int | None = None) -> DataFrame:
-    """Add the F3 fingerprint, hashing each distinct label set once.
+    """Add the F3 fingerprint, hashing each distinct label set once, or each row where label sets hardly repeat.
 
     The table of :func:`fingerprint_table` is broadcast only when its measured
     bytes are under ``broadcast_max_bytes``; otherwise both sides shuffle on
     the key. ``carry`` names further columns of ``table`` to bring along,
     ``table_bytes`` is the table's :func:`side_bytes` if already measured.
+
+    A table of nearly as many label sets as rows saves no hash and costs a shuffle of all label maps. So, without a
+    table, one scan estimates the number of label sets first, and above ``NEAR_UNIQUE`` of the rows each row is hashed
+    in place: no shuffle, no checkpoint. A given table that is too large to broadcast is left aside by the same rule
+    if it has row counts and nothing is carried. Both ways give the same values.
     """
+    if table is None and not carry:
+        n, sets = df.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64(sorted_entries(labels)))).first()
+        if sets > NEAR_UNIQUE * n:
+            return df.withColumn(out, fingerprint(labels))
     dim = (table if table is not None else fingerprint_table(df, labels, out)).select("_lkey", out, *carry)
+    if table is not None and not carry and "_n" in table.columns:
+        measured, sets, n = table.agg(side_bytes(dim.columns), F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+        if measured > broadcast_max_bytes and sets > NEAR_UNIQUE * n:
+            return df.withColumn(out, fingerprint(labels))
+        table_bytes = measured
     keyed = df.withColumn("_lkey", sorted_entries(labels))
     return keyed.join(broadcast_if_small(dim, broadcast_max_bytes, table_bytes), "_lkey", "inner").drop("_lkey")
 

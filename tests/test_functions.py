@@ -209,3 +209,29 @@ def test_format_labels_go_quoting(spark):
              ("\U0001F600", 'k="\U0001F600"'), ("\U000E0001", 'k="\\U000e0001"'), ("t\tz\"", 'k="t\\tz\\""')]
     got = _one(spark, L.format_labels("l"), [({"k": v},) for v, _ in cases], f"l {MAP}")
     assert got == [w for _, w in cases]
+
+
+def test_near_unique_label_sets_are_hashed_in_place(spark):
+    def rows(n, sets):
+        return spark.range(n).selectExpr("id", f"map('a', cast(id % {sets} AS string), 'b', if(id % 5 = 0, NULL, 'x')) AS labels").unionByName(
+            spark.createDataFrame([(-1, None), (-2, {})], "id long, labels map<string,string>"))
+
+    def operators(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def values(df):
+        return {r.id: r.fingerprint for r in df.select("id", "fingerprint").collect()}
+
+    unique, repeated = rows(3000, 3000), rows(3000, 100)
+    in_place = L.with_fingerprint(unique)
+    assert "Exchange" not in operators(in_place) and "Join" not in operators(in_place)
+    assert "BroadcastHashJoin" in operators(L.with_fingerprint(repeated))
+    table = L.fingerprint_table(unique)
+    assert "BroadcastHashJoin" in operators(L.with_fingerprint(unique, table=table))
+    assert "Join" not in operators(L.with_fingerprint(unique, table=table, broadcast_max_bytes=1000))
+    joined = L.with_fingerprint(repeated, table=L.fingerprint_table(repeated), broadcast_max_bytes=1000)
+    assert "SortMergeJoin" in operators(joined) or "ShuffledHashJoin" in operators(joined)
+    want = values(L.with_fingerprint(unique, table=table))
+    assert values(in_place) == want and len(want) == 3002 and want[-1] == want[-2] == L.EMPTY_FINGERPRINT
+    assert values(joined) == values(repeated.withColumn("fingerprint", L.fingerprint("labels")))
+    assert L.with_fingerprint(unique.limit(0)).collect() == []
