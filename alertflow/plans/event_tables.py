@@ -98,6 +98,19 @@ def q_create_mutes(spark, sf):
     return ok.unionByName(bad)
 
 
+def q_get_mutes(spark, sf):
+    """A mute from every event, looked up by an id from every event; about half of the ids are unknown."""
+    t = F.col("ts").cast("timestamp")
+    e = _events(spark, sf)
+    mutes = e.select(F.format_string("m%d", "event_id").alias("id"), F.create_map(F.lit("type"), F.col("event_type")).alias("matchers"),
+                     t.alias("starts_at"), (t + F.expr("INTERVAL 2 HOURS")).alias("ends_at"), F.col("props").alias("comment"),
+                     F.format_string("u%d", "user_id").alias("created_by"))
+    ids = e.select(F.format_string("m%d", F.col("event_id") * 2).alias("id"))
+    found, missing = mute_ops.get_mutes(mutes, ids, testdata.AS_OF)
+    return found.select("id", "status", format_matchers("matchers").alias("matchers"), "created_by").unionByName(
+        missing, allowMissingColumns=True)
+
+
 def _rule_sets(spark, sf) -> tuple[DataFrame, DataFrame]:
     """One rule set per user: a rule per event in event order, faults by the event's number; receivers by event type."""
     e = _events(spark, sf).withColumn("config_id", F.format_string("user-%d", "user_id"))
@@ -121,6 +134,28 @@ def q_rule_set_errors(spark, sf):
     return rulesets.first_errors(rulesets.validate_rules(*_rule_sets(spark, sf)))
 
 
+def q_rule_set_lint(spark, sf):
+    """Every warning of the same rule sets; a rule set per event type has no rules at all."""
+    rules, _ = _rule_sets(spark, sf)
+    idle = _events(spark, sf).select(F.format_string("type-%s", "event_type").alias("config_id")).distinct()
+    return rulesets.lint_rules(rules, rules.select("config_id").distinct().unionByName(idle))
+
+
+def q_receiver_errors(spark, sf):
+    """R17, receivers: one configuration per user with a receiver per event; all five errors, the first one of each."""
+    n = F.col("event_id")
+    e = _events(spark, sf).withColumn("config_id", F.format_string("user-%d", "user_id"))
+    at = F.row_number().over(Window.partitionBy("config_id").orderBy("event_id")) - 1
+    recv = e.select(
+        "config_id", at.cast("int").alias("receiver_idx"),
+        F.when(n % 13 == 0, F.lit(None)).when(n % 13 == 1, F.lit("")).when(n % 13 == 2, F.col("event_type")).otherwise(
+            F.format_string("recv-%d", n)).cast("string").alias("name"),
+        F.when(n % 7 == 0, F.lit("")).when(n % 7 == 1, F.lit("pager")).when(n % 7 != 2, F.lit("webhook")).alias("type"),
+        F.when(n % 3 == 0, F.lit("http://x")).when(n % 3 == 1, F.lit("")).alias("url"),
+        F.when(n % 4 == 0, F.lit("/run/secret")).when(n % 4 == 1, F.lit("")).alias("url_file"))
+    return rulesets.validate_receivers(recv).select("config_id", "ord", "message")
+
+
 def q_condition_shapes(spark, sf):
     """Condition join by rarest anchors: 31 key shapes, every condition and every label set carries cluster=prod.
     Per condition, the label sets and alerts that match it, loose (F1) and strict (F2)."""
@@ -164,7 +199,10 @@ QUERIES = {
     "parse_alert_bodies": q_parse_alert_bodies,
     "mute_requests": q_mute_requests,
     "create_mutes": q_create_mutes,
+    "get_mutes": q_get_mutes,
     "rule_set_errors": q_rule_set_errors,
+    "rule_set_lint": q_rule_set_lint,
+    "receiver_errors": q_receiver_errors,
     "text_functions": q_text_functions,
     "condition_shapes": q_condition_shapes,
 }
@@ -207,6 +245,15 @@ SELECT CASE WHEN ts > t THEN 'pending' WHEN ts + INTERVAL 2 HOUR < t THEN 'expir
   instance, count(*) AS n FROM m, t GROUP BY ALL
 UNION ALL SELECT 'rejected', NULL, count(*) FROM req WHERE n <> 0""",
 
+    "get_mutes": f"""
+WITH t AS (SELECT TIMESTAMP '{testdata.AS_OF}' AS t),
+i AS (SELECT event_id * 2 AS n FROM events)
+SELECT 'm' || i.n AS id,
+  CASE WHEN e.event_id IS NULL THEN NULL WHEN ts > t THEN 'pending' WHEN ts + INTERVAL 2 HOUR < t THEN 'expired' ELSE 'active' END AS status,
+  'type=' || event_type AS matchers, 'u' || user_id AS created_by,
+  CASE WHEN e.event_id IS NULL THEN 'mute "m' || i.n || '" not found' END AS error
+FROM t, i LEFT JOIN events e ON e.event_id = i.n""",
+
     "rule_set_errors": """
 WITH r AS (
   SELECT 'user-' || user_id AS config_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k,
@@ -217,6 +264,34 @@ e AS (
     WHEN lost THEN 'rule "' || name || '": references undefined receiver "nobody"' END AS error FROM r)
 SELECT config_id, arg_min(error, k) AS error FROM e WHERE error IS NOT NULL GROUP BY config_id""",
 
+    "rule_set_lint": """
+WITH r AS (
+  SELECT 'user-' || user_id AS config_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k,
+    count(*) OVER (PARTITION BY user_id) AS n,
+    CASE WHEN event_id % 41 = 0 THEN '' ELSE 'r' || (event_id % 997) END AS name FROM events)
+SELECT config_id, 1::INT AS ord,
+  'warning: last rule is not a catch-all; alerts not matching any rule will be silently dropped' AS warning
+FROM r WHERE k = n AND event_id % 5 <> 0
+UNION ALL SELECT config_id, (k + 1)::INT, 'warning: rule #' || k || ' ("' || name
+  || '") is a non-continue catch-all in non-final position; subsequent rules will never execute'
+FROM r WHERE k < n AND event_id % 5 = 0 AND event_id % 2 = 1
+UNION ALL SELECT DISTINCT 'type-' || event_type, 0, 'warning: no rules defined; all alerts will be dropped' FROM events""",
+
+    "receiver_errors": """
+WITH r AS (
+  SELECT 'user-' || user_id AS config_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS ord,
+    CASE event_id % 13 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN event_type ELSE 'recv-' || event_id END AS name,
+    CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN 'pager' WHEN 2 THEN '' ELSE 'webhook' END AS type,
+    event_id % 3 <> 0 AND event_id % 4 <> 0 AS unlinked FROM events),
+d AS (SELECT *, row_number() OVER (PARTITION BY config_id, name ORDER BY ord) > 1 AS dup FROM r),
+m AS (
+  SELECT config_id, ord, CASE WHEN name = '' THEN 'receiver #' || (ord + 1) || ': name is required'
+    WHEN dup THEN 'receiver "' || name || '": duplicate name' WHEN type = '' THEN 'receiver "' || name || '": type is required'
+    WHEN type = 'webhook' AND unlinked THEN 'receiver "' || name || '": webhook receiver requires url or url_file'
+    WHEN type = 'pager' THEN 'receiver "' || name || '": unknown receiver type "pager" (only "webhook" is configurable)'
+    END AS message FROM d)
+SELECT config_id, ord, message FROM m WHERE message IS NOT NULL""",
+
     "text_functions": """
 SELECT event_id, CASE WHEN event_id % 6 > 3 THEN '{"a":"1","b":"2"}' END AS matchers,
   CASE event_id % 6 WHEN 0 THEN 'matchers must be non-empty' WHEN 1 THEN 'invalid matcher "=x": expected key=value'
