@@ -7,12 +7,13 @@ would move many times the corpus, so suffixes are taken at anchors: in every
 have the same anchor, so they can only be found at suffixes that begin with
 the same gram. An anchor stands for the run of string starts that chose it.
 
-Suffixes are written as leading tokens: a code of the bytes that all strings of
-the run share (the core), then a code of the whole stretch that they cover.
-They are range-partitioned by these tokens with sampled splitters (row and
-place break ties, so one passage of a third of all rows is spread over many
-buckets), every bucket is sorted by multikey quicksort, and neighbours are
-compared: a run whose core stands alone is unique; one whose whole stretch has
+Suffixes are written as two codes: one of the bytes that all strings of the run
+share (the core), then one of the whole stretch that they cover. They are
+range-partitioned by these codes with sampled splitters (row and place break
+ties, so one passage of a third of all rows is spread over many buckets), and
+every bucket is sorted by library calls. So the order is that of the codes and
+not of the texts, and there is no multikey quicksort of leading tokens; only
+equality of neighbours matters for what is removed. Neighbours are compared: a run whose core stands alone is unique; one whose whole stretch has
 an equal neighbour is repeated; any other run is cut into runs of ``STEP``
 starts and finally into single starts, and goes through the same again, with
 one witness for each repeated stretch that others share a core with. Runs at

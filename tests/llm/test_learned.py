@@ -1,8 +1,10 @@
 """Quality rules, toxicity and language identification."""
 
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -60,6 +62,53 @@ def test_quality_on_labelled_documents(spark):
             assert (got.n_words, got.word_chars, got.n_symbols, got.n_dup_lines, got.n_repeat_words) == brute_base(d.text)
 
 
+def _grams(text):
+    b = (text or "").encode()
+    return [(int.from_bytes(b[i:i + 4], "little") * 2654435761 % 2**32) >> (32 - Q.BITS) for i in range(len(b) - 3)]
+
+
+def test_quality_score_and_threshold_equal_a_plain_version(spark):
+    rng = random.Random(8)
+    texts = {i: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"] if i % 2 else ["spam", "win", "click", "now", "beta"])
+                         + str(rng.randint(0, 30)) for _ in range(rng.randint(5, 120))) for i in range(60)}
+    texts |= {60: None, 61: "", 62: "abc", 63: texts[1], 64: "😀é" * 500}
+    labels = [(i, i % 2) for i in range(0, 50)] + [(3, 1), (60, 1), (61, 0), (70, 1), (None, 1), (7, None)]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    model = Q.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    raw, target = Counter(), Counter()
+    known = {i: label for i, label in labels if i in texts and label is not None}
+    for i, text in texts.items():
+        raw.update(_grams(text))
+        if known.get(i) == 1:
+            target.update(_grams(text))
+    n, m = sum(raw.values()), sum(target.values())
+
+    def plain(text):
+        cells = _grams(text)
+        each = [math.log((target[c] + 0.5) / (m + 0.5 * Q.CELLS)) - math.log((raw[c] + 0.5) / (n + 0.5 * Q.CELLS)) for c in cells]
+        return sum(each) / len(each) if each else 0.0
+
+    def passes_base(text):
+        words, *_, repeats = brute_base(text)
+        return words >= 50 and 100 * repeats <= 50 * words
+
+    # the cost of a cut below bin c, for every cut
+    bins = {i: math.floor((plain(texts[i]) + 10) * 100) for i in known if passes_base(texts[i])}
+    bad, good = [b for i, b in bins.items() if known[i] == 0], [b for i, b in bins.items() if known[i] == 1]
+    assert bad and good
+
+    def cost(cut):
+        return sum(b >= cut for b in bad) / len(bad) + Q.TRUSTED_COST * sum(b < cut for b in good) / len(good)
+
+    least = min(cost(c) for c in range(Q._BINS + 1))
+    assert cost(math.ceil(round((model.threshold + 10) * 100, 6))) == pytest.approx(least)
+    got = {r.doc_id: r for r in Q.judge(docs, model).collect()}
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        assert got[i].score == pytest.approx(plain(text), abs=1e-9)
+        assert got[i].kept == (passes_base(text) and plain(text) >= model.threshold)
+
+
 def test_quality_edge_rows(spark):
     docs = spark.createDataFrame([(None, None, "c"), (1, "", "c"), (2, "word " * 60_000, "c"), (2, "w", "c")],
                                  "doc_id long, text string, score string")
@@ -125,6 +174,55 @@ def test_language_on_held_out_documents(spark):
     assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows.values())
 
 
+def _plain_features(text):
+    b = f" {text} ".encode().lower()
+    counts = Counter()
+    for size, first in ((2, 0), (3, 1 << L.BITS)):
+        for i in range(len(b) - size + 1):
+            counts[first + ((int.from_bytes(b[i:i + size], "little") * 2654435761 % 2**32) >> (32 - L.BITS))] += 1
+    logs = {c: math.log1p(k) for c, k in counts.items()}
+    norm = math.sqrt(sum(v * v for v in logs.values()))
+    return {c: v / norm for c, v in logs.items()}
+
+
+def test_language_decision_equals_a_plain_version(spark):
+    rng = np.random.default_rng(4)
+
+    def machine():
+        return L.LinearSvm(rng.normal(size=L.DIMS), float(rng.normal()) / 5, 1.5, 0.1)
+
+    members = {"A": ["a1", "a2", "a3"], "B": ["b1"], "C": ["c1", "c2"]}
+    pairs = {(x, y): machine() for of in members.values() for i, x in enumerate(of) for y in of[i + 1:]}
+    model = L.Model(members, {f: machine() for f in members}, pairs)
+
+    def plain(text):
+        if not text or not any(ch.isalpha() for ch in text):
+            return "und", 0.0
+        x = _plain_features(text)
+
+        def p(svm):
+            return 1 / (1 + math.exp(-(svm.slope * (sum(svm.w[c] * v for c, v in x.items()) + svm.bias) + svm.offset)))
+
+        odds = {f: p(svm) for f, svm in model.family.items()}
+        family = max(sorted(odds), key=odds.get)
+        votes = dict.fromkeys(members[family], 0.0)
+        for (a, b), svm in pairs.items():
+            if a in votes:
+                votes[a] += p(svm)
+                votes[b] += 1 - p(svm)
+        best = max(members[family], key=votes.get)
+        others = len(members[family]) - 1
+        return best, odds[family] / sum(odds.values()) * (votes[best] / others if others else 1.0)
+
+    draw = random.Random(6)
+    texts = [None, "", "12 34", "é", "x"] + ["".join(draw.choice("abcdefg éü中\n.7") for _ in range(draw.randint(1, 400))) for _ in range(150)]
+    rows = L.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert len({r.lang_pred for r in rows}) > 3
+    for r in rows:
+        lang, score = plain(texts[r.doc_id])
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-9)
+
+
 def test_language_edge_rows(spark):
     train = [(i, t, lang, "x") for i in range(20) for t, lang in (
         (f"the house and the river {i}", "en"), (f"das haus und der fluss {i}", "de"), (f"la maison et le fleuve {i}", "fr"),
