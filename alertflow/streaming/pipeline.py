@@ -22,6 +22,7 @@ from __future__ import annotations
 import datetime as dt
 from typing import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -125,33 +126,54 @@ DEDUP_OUT = T.StructType([
 DEDUP_STATE = T.StructType([T.StructField("status", T.StringType())])
 
 
+_DEDUP_CHUNK = 10_000  # attempts per frame put out
+
+
 def _dedup(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Vectorised per key: the stored status acts as a seed row, runs of
     equal ``desired`` are numbered, and a row is attempted when no earlier
-    row of its run succeeded (the same rule as the batch plan, R13)."""
-    parts = [p for p in pdfs]
+    row of its run succeeded (the same rule as the batch plan, R13).
+
+    Of each frame only the order, a status code and the outcome are held (18 bytes a row), as the rows of a key come
+    unsorted; the attempts are put out in frames of bounded size."""
+    codes: dict[str, int] = {}
+    parts = []
+    for pdf in pdfs:
+        if len(pdf):
+            kinds, names = pd.factorize(pdf["desired"])
+            code = np.array([codes.setdefault(n, len(codes)) for n in names], np.int8)
+            parts.append((pdf["observed_at"].to_numpy(), pdf["seq"].to_numpy(), code[kinds],
+                          pdf["ok"].eq(True).to_numpy(bool)))
     if not parts:
         return
-    pdf = pd.concat(parts, ignore_index=True).sort_values(["observed_at", "seq"], kind="stable")
-    des = pdf["desired"].tolist()
-    ok = pdf["ok"].fillna(False).astype(bool).tolist()
+    at, seq, desired, ok = (np.concatenate(p) for p in zip(*parts, strict=True))
+    del parts
+    order = np.lexsort((seq, at))
+    at, seq, desired, ok = at[order], seq[order], desired[order], ok[order]
+    n = len(order)
+    starts = np.concatenate([[True], desired[1:] != desired[:-1]])
     prev = state.get[0] if state.exists else None
-    if prev is not None:
-        des = [prev.replace("-failed", "-sent")] + des
-        ok = [prev.endswith("-sent")] + ok
-    d = pd.Series(des)
-    o = pd.Series(ok, dtype="int64")
-    run = (d != d.shift()).cumsum()
-    ok_before = o.groupby(run).cumsum() - o
-    deliver = (ok_before == 0).to_numpy()
-    status = d.where(o.astype(bool), d.str.replace("-sent", "-failed", regex=False)).to_numpy()
-    if prev is not None:
-        deliver, status = deliver[1:], status[1:]
-    out = pdf.loc[deliver, ["rule_name", "fingerprint", "observed_at", "seq", "desired"]].copy()
-    out["status"] = status[deliver]
-    if len(out):
-        state.update((out["status"].iloc[-1],))
-        yield out[[f.name for f in DEDUP_OUT.fields]]
+    before = False  # whether the run of the first row has succeeded already
+    if prev is not None and codes.get(prev.replace("-failed", "-sent")) == desired[0]:
+        before = prev.endswith("-sent")
+    # successes before each row, less those before its run began
+    done = np.cumsum(ok) - ok
+    first = np.flatnonzero(starts)
+    base = done[first]
+    base[0] -= before
+    hits = np.flatnonzero(done == np.repeat(base, np.diff(np.append(first, n))))
+    sent = np.array(list(codes), dtype=object)
+    failed = np.array([c.replace("-sent", "-failed") for c in codes], dtype=object)
+
+    def status(rows: np.ndarray) -> np.ndarray:
+        return np.where(ok[rows], sent[desired[rows]], failed[desired[rows]])
+
+    if len(hits):
+        state.update((status(hits[-1:])[0],))
+    for i in range(0, len(hits), _DEDUP_CHUNK):
+        rows = hits[i:i + _DEDUP_CHUNK]
+        yield pd.DataFrame({"rule_name": key[0], "fingerprint": key[1], "observed_at": at[rows], "seq": seq[rows],
+                            "desired": sent[desired[rows]], "status": status(rows)})
 
 
 def dedup_stream(decisions: DataFrame, ok: str = "ok") -> DataFrame:

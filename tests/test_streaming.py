@@ -1,8 +1,11 @@
 import datetime as dt
 import json
 import os
+import random
 import tempfile
+import tracemalloc
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from alertflow.functions.labels import with_fingerprint
@@ -120,6 +123,55 @@ def test_dedup_stream_equals_plan(spark):
     assert got == want and len(got) > 0
 
 
+class _State:
+    """What the per-key function uses of a group state."""
+
+    def __init__(self, value=None):
+        self.value = value
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+
+def test_dedup_equals_a_plain_walk_and_holds_little():
+    def plain(rows, last):
+        out = []
+        for t, seq, desired, ok in sorted(rows, key=lambda r: r[:2]):
+            if last != desired:
+                last = desired if ok else desired.replace("-sent", "-failed")
+                out.append((seq, last))
+        return out, last
+
+    rng = random.Random(3)
+    for _ in range(300):
+        n = rng.randint(1, 40)
+        rows = [(rng.randint(0, 9), i, rng.choice(["firing-sent", "resolved-sent"]), rng.random() < 0.5) for i in range(n)]
+        rng.shuffle(rows)
+        seed = rng.choice([None, "firing-sent", "firing-failed", "resolved-sent", "resolved-failed"])
+        cuts = sorted(rng.choices(range(n + 1), k=2))
+        frames = [pd.DataFrame(part, columns=["observed_at", "seq", "desired", "ok"]).assign(
+            observed_at=lambda d: pd.to_datetime(d["observed_at"], unit="s")) for part in (rows[:cuts[0]], rows[cuts[0]:cuts[1]], rows[cuts[1]:]) if part]
+        state = _State(seed and (seed,))
+        got = [(r.seq, r.status) for f in SP._dedup(("r", "f"), iter(frames), state) for r in f.itertuples()]
+        want, last = plain(rows, seed)
+        assert got == want and (state.value or (None,))[0] == last
+
+    def frames(n):
+        for at in range(0, n, 10_000):
+            t = pd.Timestamp("2024-01-01") + pd.to_timedelta(range(at, at + 10_000), unit="s")
+            yield pd.DataFrame({"rule_name": "r" * 50, "fingerprint": "f" * 50, "observed_at": t, "seq": range(at, at + 10_000),
+                                "desired": ["firing-sent", "resolved-sent"] * 5_000, "ok": True})
+
+    tracemalloc.start()
+    total = sum(len(f) for f in SP._dedup(("r", "f"), frames(1_000_000), _State()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == 1_000_000 and peak < 150_000_000
+
+
 def test_state_stream_drops_fingerprints_after_the_retention_window(spark):
     src = tempfile.mkdtemp(prefix="af-t2r-")
     t0, far = dt.datetime(2024, 1, 1), dt.datetime(9999, 12, 31, 1, 2, 3, 456789)
