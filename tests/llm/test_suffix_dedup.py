@@ -40,9 +40,13 @@ def test_removals_equal_brute_force(spark, monkeypatch):
         rows.append((100 + i, base[:p] + "#" + str(i) + base[p:]))
     rows += [(200 + i, text(rng.randint(1, 300)) + passage[20:200] + text(200)) for i in range(20)]  # 180 shared bytes: too few
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, lo string")
-    for stage in (False, True):
-        got = [tuple(r)[:5] for r in S.remove_repeats(df, stage=stage).collect()]
+    for least in (S.LEAST_RUNS, 20):  # one bucket; as many as the session has
+        monkeypatch.setattr(S, "LEAST_RUNS", least)
+        got = [tuple(r)[:5] for r in S.remove_repeats(df).collect()]
         assert sorted(map(repr, got)) == sorted(map(repr, brute(rows)))
+    monkeypatch.setattr(S, "RUNS_PER_BUCKET", 50)  # more buckets than the session has, many ends within one passage
+    got = [tuple(r)[:5] for r in S.remove_repeats(df).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, brute(rows)))
     assert S.remove_repeats(spark.createDataFrame([], df.schema)).collect() == []
 
 
@@ -76,13 +80,29 @@ def test_rows_keep_their_numbers_when_files_are_split_otherwise(spark, monkeypat
 
 def test_multikey_order():
     rng = np.random.default_rng(1)
-    for n in (0, 1, 2, 500):
+    for n in (0, 1, 2, 500, 30_000):
         tokens = [rng.integers(0, 4, n), rng.integers(0, 3, n), rng.integers(0, 2, n)]
         order = S.multikey_order(tokens)
         rows = list(zip(*(t[order].tolist() for t in tokens), strict=True))
         assert rows == sorted(rows) and sorted(order.tolist()) == list(range(n))
 
 
+def test_splitters_deal_in_key_order():
+    rng = np.random.default_rng(3)
+    key = [rng.integers(-2, 3, 4000) for _ in range(3)]
+    rows = list(zip(*(k.tolist() for k in key), strict=True))
+    cuts = sorted(rows[:40])  # with repeated ones
+    got = S.bucket_of(key, [np.array(c) for c in zip(*cuts, strict=True)])
+    assert got.tolist() == [sum(c <= r for c in cuts) for r in rows]
+
+
+def test_leading_bytes_are_ordered_as_text():
+    texts = sorted("zürich Aachen\x00 ~~~ ÿÿ 日本語の文 abc".encode()[i:i + 8] for i in range(30))
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    got = S.leading(data, np.arange(len(texts)) * 8).tolist()
+    assert got == sorted(got) and len(set(got)) == len(set(texts))
+
+
 def test_equal_strings_choose_equal_anchors():
     rng = np.random.default_rng(2)
     shared = rng.integers(97, 105, 450).astype(np.uint8)
