@@ -32,6 +32,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     stars, one per component."""
     spread = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, before = staged(spread, "edges"), None
+    if now.isEmpty():
+        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(max_rounds):
         now = staged(_star(staged(_star(now, True), "large-star"), False), "small-star")
         # the sum of the targets falls with every change
@@ -44,3 +46,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def extended_components(known: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components (node, root) of the edges behind ``known``, as :func:`connected_components` returns them, and of
+    ``edges`` (a, b). Known components count as one node each, so only what ``edges`` changes is worked out."""
+    def at_root(name: str) -> DataFrame:
+        return known.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+
+    between = (edges.join(at_root("a"), "a", "left").join(at_root("b"), "b", "left")
+               .select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+    moved = connected_components(between)
+    tops = moved.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    old = known.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return staged(old.union(moved.join(known, "node", "left_anti").select("node", "root")), "components")

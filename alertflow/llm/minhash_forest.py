@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from alertflow.llm.common import free_names, mix64, read_table, staged
-from alertflow.llm.components import connected_components
+from alertflow.llm.components import connected_components, extended_components
 
 WORDS, SIMILARITY = 5, 75  # words of a shingle; percent
 TREES, DEPTH, MIN_DEPTH = 16, 8, 2
@@ -415,11 +415,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = staged(_confirm(likeliest, classes, docs), "forest-links")
     components = connected_components(links)
     rest = staged(_other_components(pairs, components).join(likeliest, ["a", "b"], "left_anti"), "forest-rest")
-    links = links.union(staged(_confirm(rest, classes, docs), "forest-links"))
-    components = connected_components(links)
-
-    links = links.union(staged(_rest(classes, cut, docs, components), "forest-links"))
-    components = connected_components(links)
+    components = extended_components(components, staged(_confirm(rest, classes, docs), "forest-links"))
+    components = extended_components(components, staged(_rest(classes, cut, docs, components), "forest-links"))
 
     roots = classes.select("cid", "doc_id", "fp").join(components.withColumnRenamed("node", "cid"), "cid", "left")
     roots = roots.withColumn("root", F.coalesce("root", "cid"))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from alertflow.llm import minhash_forest as M
-from alertflow.llm.components import connected_components
+from alertflow.llm.components import connected_components, extended_components
 
 
 def word_shingles(text):
@@ -118,3 +118,20 @@ def test_no_link_is_lost_among_near_misses(spark):
 
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in M.near_duplicates(df).collect()} == dict(enumerate(root.tolist()))
+
+
+def test_components_go_on_from_known_ones(spark):
+    rng = random.Random(12)
+    edges = [tuple(rng.sample(range(400), 2)) for _ in range(330)]
+    spread = spark.createDataFrame(edges, "a long, b long")
+    for cut in (0, 100, 320, 330):  # nothing known, nothing new
+        known = connected_components(spark.createDataFrame(edges[:cut], spread.schema))
+        got = extended_components(known, spark.createDataFrame(edges[cut:], spread.schema)).collect()
+        least = {n: n for e in edges for n in e}
+        for _ in least:
+            before = dict(least)
+            for a, b in edges:
+                least[a] = least[b] = min(least[a], least[b])
+            if least == before:
+                break
+        assert sorted(map(tuple, got)) == sorted(least.items())
