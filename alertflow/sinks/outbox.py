@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from alertflow import schemas
 from alertflow.functions.labels import sorted_entries
 from alertflow.functions.status import alert_status
 
@@ -84,25 +85,33 @@ LIVE_SCHEMA = T.StructType([
 ])
 
 
-def live_deliver(decisions: DataFrame, deliver: Callable[[str, str, str], bool],
-                 seed: DataFrame | None = None, now: str = "observed_at") -> DataFrame:
+def idempotency_key(now: str = "observed_at") -> Column:
+    """One text per (rule, fingerprint, order), the same in every retry: a receiver that remembers it takes a payload once."""
+    return F.sha2(F.to_json(F.struct("rule_name", "fingerprint", F.unix_micros(now).alias("at"), "seq")), 256)
+
+
+def live_deliver(decisions: DataFrame, deliver: Callable[..., bool],
+                 seed: DataFrame | None = None, now: str = "observed_at", keyed: bool = False) -> DataFrame:
     """K1 live form: the outcome is decided by the call itself, so a failure
     must change the next decision of the same key. Rows are hash partitioned
     by key and sorted inside partitions; ``mapInPandas`` streams them
     batch by batch and keeps only the last status per key. ``deliver`` gets
-    ``(receiver, url, payload)`` and returns success. Task retries may call
-    twice, which the at-least-once contract allows."""
+    ``(receiver, url, payload)`` and returns success; with ``keyed`` the
+    row's :func:`idempotency_key` comes as a fourth argument. Task retries may
+    call twice, which the at-least-once contract allows."""
     from alertflow.functions.status import desired_status
 
     d = decisions.select("rule_name", "fingerprint", F.col(now).alias("attempt_at"), "seq", "receiver",
                          "receiver_url", desired_status("ends_at", now).alias("desired"),
                          payload(now).alias("payload"), F.lit(None).cast("string").alias("prev"),
-                         F.col("seq").cast("string").alias("_seq"))
+                         F.col("seq").cast("string").alias("_seq"),
+                         (idempotency_key(now) if keyed else F.lit(None).cast("string")).alias("_key"))
     if seed is not None:
         s = seed.select("rule_name", "fingerprint", F.lit(None).cast("timestamp").alias("attempt_at"),
                         F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("receiver"),
                         F.lit(None).cast("string").alias("receiver_url"), F.lit(None).cast("string").alias("desired"),
-                        F.lit(None).cast("string").alias("payload"), F.col("status").alias("prev"), F.lit(None).cast("string").alias("_seq"))
+                        F.lit(None).cast("string").alias("payload"), F.col("status").alias("prev"), F.lit(None).cast("string").alias("_seq"),
+                        F.lit(None).cast("string").alias("_key"))
         d = d.unionByName(s)
     d = (d.repartition("rule_name", "fingerprint")
          .sortWithinPartitions("rule_name", "fingerprint", F.col("attempt_at").asc_nulls_first(), "seq"))
@@ -112,7 +121,7 @@ def live_deliver(decisions: DataFrame, deliver: Callable[[str, str, str], bool],
         last, status = None, None  # rows come sorted by key: only the current key's status is kept
         for pdf in batches:
             out = []
-            for r in pdf.rename(columns={"_seq": "seq_text"}).itertuples(index=False):
+            for r in pdf.rename(columns={"_seq": "seq_text", "_key": "key"}).itertuples(index=False):
                 k = (r.rule_name, r.fingerprint)
                 if k != last:
                     last, status = k, None
@@ -121,7 +130,7 @@ def live_deliver(decisions: DataFrame, deliver: Callable[[str, str, str], bool],
                     continue
                 if status == r.desired:
                     continue
-                ok = bool(deliver(r.receiver, r.receiver_url, r.payload))
+                ok = bool(deliver(r.receiver, r.receiver_url, r.payload, *([r.key] if keyed else [])))
                 st = r.desired if ok else r.desired.replace("-sent", "-failed")
                 status = st
                 # seq travels as text: a column with NULL seeds would become floating point
@@ -129,3 +138,46 @@ def live_deliver(decisions: DataFrame, deliver: Callable[[str, str, str], bool],
             yield pd.DataFrame(out, columns=[f.name for f in LIVE_SCHEMA.fields])
 
     return d.mapInPandas(run, LIVE_SCHEMA)
+
+
+def recorded_runs(spark: SparkSession, log: str) -> list[str]:
+    """Runs of :func:`deliver_and_record` that were committed, in the order of their names."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(log)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{log}/run=*/_SUCCESS")) or []
+    return sorted(s.getPath().getParent().getName()[len("run="):] for s in found)
+
+
+def read_attempts(spark: SparkSession, log: str, runs: list[str] | None = None) -> DataFrame:
+    """The attempt log (K3): rows of the committed runs, or of some of them."""
+    runs = recorded_runs(spark, log) if runs is None else runs
+    if not runs:
+        return spark.createDataFrame([], schemas.ATTEMPTS)
+    return spark.read.schema(schemas.ATTEMPTS).parquet(*[f"{log}/run={r}" for r in runs])
+
+
+def deliver_and_record(decisions: DataFrame, deliver: Callable[[str, str, str, str], bool], log: str, run: str,
+                       seed: DataFrame | None = None, now: str = "observed_at") -> DataFrame:
+    """K1 and K3 in one job with a commit: calls ``deliver(receiver, url, payload, key)`` and records every attempt
+    once under ``log``; returns the run's attempts.
+
+    The tasks that make the calls write the attempts themselves, under Spark's file commit: of several attempts of one
+    task only the committed one counts, and a run that fails leaves no row. Such a run is made again under the same
+    idempotency keys. A run that was committed is returned as recorded, without a call. Earlier runs of the log are the
+    history, before ``seed`` (rule_name, fingerprint, status) for keys the log does not know. ``run`` may hold letters,
+    digits, ``.``, ``_`` and ``-``; runs of one log are made one after the other.
+    """
+    from alertflow.operators.delivery import KEY, notification_snapshot
+
+    if not run or not set(run) <= set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._-"):
+        raise ValueError(f"bad run name {run!r}")
+    spark, log = decisions.sparkSession, log.rstrip("/")
+    runs = recorded_runs(spark, log)
+    if run not in runs:
+        known = notification_snapshot(read_attempts(spark, log, runs)).select(*KEY, "status")
+        if seed is not None:
+            known = known.unionByName(seed.select(*KEY, "status").join(known, KEY, "left_anti"))
+        # history of this run's keys only
+        known = known.join(decisions.select(*KEY), KEY, "left_semi")
+        live_deliver(decisions, deliver, known, now, keyed=True).write.mode("overwrite").parquet(f"{log}/run={run}")
+    return read_attempts(spark, log, [run])

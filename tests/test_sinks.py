@@ -1,6 +1,8 @@
 import json
+import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from alertflow.functions.labels import with_fingerprint
@@ -32,6 +34,45 @@ def test_live_delivery_equals_replay_with_same_outcomes(spark):
     assert got == want and len(got) > 100
 
 
+def test_recorded_runs_survive_a_failure_in_the_middle(spark):
+    dec, log = _decisions(spark), tempfile.mkdtemp(prefix="af-log-")
+    calls, mended = tempfile.mkdtemp(prefix="af-calls-"), tempfile.mkdtemp(prefix="af-flag-") + "/mended"
+
+    def deliver(receiver, url, body, key):
+        fingerprint = json.loads(body)["alerts"][0]["fingerprint"]
+        if fingerprint[-1] == "7" and not os.path.exists(mended):
+            raise ConnectionError("receiver went away")
+        with open(f"{calls}/{os.getpid()}", "a") as f:
+            f.write(f"{key}\n")
+        return not url.endswith(":9999") and fingerprint[-1] not in "01"
+
+    def made():
+        return [key for name in os.listdir(calls) for key in open(f"{calls}/{name}").read().split()]
+
+    def rows(df):
+        return sorted((r.rule_name, r.fingerprint, r.seq, r.status) for r in df.collect())
+
+    with pytest.raises(Exception, match="went away"):
+        outbox.deliver_and_record(dec, deliver, log, "a")
+    first = made()
+    assert outbox.recorded_runs(spark, log) == [] and outbox.read_attempts(spark, log).count() == 0
+    open(mended, "w").close()
+    ok = (~F.col("receiver_url").endswith(":9999")) & ~F.substring("fingerprint", 16, 1).isin("0", "1")
+    want = rows(delivery.attempts(delivery.delivery_plan(dec, ok=ok)))
+    assert rows(outbox.deliver_and_record(dec, deliver, log, "a")) == want
+    second = made()
+    # the failed run used the keys of the one that counts; each of these was called once
+    assert len(second) - len(first) == len(want) == len(set(second)) and set(first) <= set(second)
+    assert rows(outbox.deliver_and_record(dec, deliver, log, "a")) == want and len(made()) == len(second)
+
+    last = delivery.notification_snapshot(outbox.read_attempts(spark, log))
+    again = rows(delivery.attempts(delivery.delivery_plan(dec, ok=ok, seed=last)))
+    assert rows(outbox.deliver_and_record(dec, deliver, log, "b", seed=last.withColumn("status", F.lit("firing-sent")))) == again
+    assert outbox.recorded_runs(spark, log) == ["a", "b"] and 0 < len(again) != len(want)
+    with pytest.raises(ValueError):
+        outbox.deliver_and_record(dec, deliver, log, "../a")
+
+
 def test_outbox_write_and_counters(spark):
     dec = _decisions(spark)
     plan = delivery.delivery_plan(dec, ok=F.lit(True))
